@@ -31,3 +31,149 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("behavior_view")
 def q_behavior_view(spark, sf_dir):
     return view(spark, sf_dir).orderBy("id_cliente")
+
+
+# ---------------------------------------------------------------------------
+# helpers and fixed query parameters
+# ---------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+from churnlens.operators import explore, metrics, stats, conclusions  # noqa: E402
+from churnlens.functions.text import selection_label, id_from_label  # noqa: E402
+
+CITIES = ["NATION_1", "NATION_7", "NATION_13", "NATION_21"]
+CONTRACT_TYPES = ["A", "R"]
+SEARCH_TERM = "#000001"
+LOOKUP_ID = "42"
+BOX_VARIABLE = "monto_mensual"
+
+
+def r6(df: DataFrame) -> DataFrame:
+    """Round double outputs to 6 places so the SQL comparison is bit-stable."""
+    return df.select(*[F.round(F.col(f.name), 6).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+@query("kpis")
+def q_kpis(spark, sf_dir):
+    return r6(metrics.kpis(view(spark, sf_dir)))
+
+
+@query("kpis_filtered")
+def q_kpis_filtered(spark, sf_dir):
+    return r6(metrics.kpis(explore.analysis_filter(view(spark, sf_dir), CITIES, CONTRACT_TYPES)))
+
+
+@query("churn_by_city")
+def q_churn_city(spark, sf_dir):
+    return r6(metrics.churn_by_category(view(spark, sf_dir), "ciudad"))
+
+
+@query("churn_by_contract")
+def q_churn_contract(spark, sf_dir):
+    return r6(metrics.churn_by_category(view(spark, sf_dir), "tipo_contrato"))
+
+
+@query("churn_by_plan")
+def q_churn_plan(spark, sf_dir):
+    return r6(metrics.churn_by_category(view(spark, sf_dir), "plan"))
+
+
+@query("churn_by_dimensions")
+def q_churn_dims(spark, sf_dir):
+    return r6(metrics.churn_by_dimensions(view(spark, sf_dir)))
+
+
+@query("mean_by_state")
+def q_mean_by_state(spark, sf_dir):
+    return r6(metrics.mean_by_state(view(spark, sf_dir), "satisfaccion"))
+
+
+@query("count_by_state")
+def q_count_by_state(spark, sf_dir):
+    return metrics.count_by_state(view(spark, sf_dir))
+
+
+@query("global_churn")
+def q_global_churn(spark, sf_dir):
+    return r6(metrics.global_churn(churn_tables(spark, sf_dir).clientes))
+
+
+@query("metric_comparison")
+def q_metric_comparison(spark, sf_dir):
+    return metrics.metric_comparison(view(spark, sf_dir))
+
+
+@query("search")
+def q_search(spark, sf_dir):
+    return explore.search(view(spark, sf_dir), SEARCH_TERM)
+
+
+@query("filter_combo")
+def q_filter_combo(spark, sf_dir):
+    return explore.filter_customers(view(spark, sf_dir), SEARCH_TERM, None, ["N", "A"], None, 1)
+
+
+@query("sorted_table")
+def q_sorted_table(spark, sf_dir):
+    return explore.display_table(explore.sort_customers(view(spark, sf_dir), "monto_mensual", False))
+
+
+@query("lookup")
+def q_lookup(spark, sf_dir):
+    return explore.lookup(view(spark, sf_dir), LOOKUP_ID)
+
+
+@query("profile_card")
+def q_profile_card(spark, sf_dir):
+    return explore.profile_card(explore.lookup(view(spark, sf_dir), LOOKUP_ID))
+
+
+@query("filter_options")
+def q_filter_options(spark, sf_dir):
+    return explore.distinct_options(view(spark, sf_dir), "plan")
+
+
+@query("selection_labels")
+def q_selection_labels(spark, sf_dir):
+    v = view(spark, sf_dir)
+    lab = selection_label(F.col("id_cliente"), F.col("nombre"))
+    return v.select(lab.alias("etiqueta"), id_from_label(lab).alias("id_seleccionado"))
+
+
+@query("boxplot_input")
+def q_boxplot_input(spark, sf_dir):
+    return explore.boxplot_input(view(spark, sf_dir), BOX_VARIABLE)
+
+
+@query("boxplot_stats")
+def q_boxplot_stats(spark, sf_dir):
+    pts = explore.boxplot_input(view(spark, sf_dir), BOX_VARIABLE)
+    return r6(stats.boxplot_stats(pts, BOX_VARIABLE))
+
+
+@query("boxplot_outliers")
+def q_boxplot_outliers(spark, sf_dir):
+    pts = explore.boxplot_input(view(spark, sf_dir), BOX_VARIABLE)
+    return stats.boxplot_outliers(pts, stats.boxplot_stats(pts, BOX_VARIABLE), BOX_VARIABLE)
+
+
+@query("distinct_states")
+def q_distinct_states(spark, sf_dir):
+    return metrics.distinct_states(explore.boxplot_input(view(spark, sf_dir), BOX_VARIABLE))
+
+
+@query("correlation_long")
+def q_correlation_long(spark, sf_dir):
+    return r6(stats.correlation_long(view(spark, sf_dir)))
+
+
+@query("correlation_target")
+def q_correlation_target(spark, sf_dir):
+    return r6(stats.correlation_with_target(stats.correlation_long(view(spark, sf_dir))))
+
+
+@query("conclusions")
+def q_conclusions(spark, sf_dir):
+    return conclusions.conclusions(view(spark, sf_dir))
