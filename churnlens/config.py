@@ -257,6 +257,23 @@ NA_TOKENS = [
     "nan", "null",
 ]
 
+
+# validation and intake messages
+MSG_NO_ROWS = "El archivo no contiene filas de datos."
+MSG_MISSING_REQUIRED = "Faltan columnas obligatorias: "
+MSG_NO_ID = "No existe la columna identificadora obligatoria 'id_cliente'."
+MSG_EMPTY_ID = "La columna identificadora 'id_cliente' esta completamente vacia."
+MSG_NO_TARGET = "No existe la columna objetivo obligatoria 'abandono'."
+MSG_MISSING_TOTAL = "Se encontraron {n} valores faltantes."
+MSG_DUPLICATE_IDS = "Se encontraron {n} identificadores duplicados en 'id_cliente'."
+MSG_NOT_NUMERIC = "La columna '{col}' tiene {n} valores no numericos."
+MSG_BAD_TARGET = "La columna 'abandono' contiene valores distintos de 0 y 1."
+MSG_NEGATIVE = "La columna '{col}' contiene {n} valores negativos."
+MSG_SATISFACTION_RANGE = "La columna 'satisfaccion' tiene {n} valores fuera del rango 1 a 5."
+MSG_AGE_RANGE = "La columna 'edad' tiene {n} edades negativas o poco razonables."
+MSG_CSV_EMPTY = "El archivo CSV esta vacio o no contiene columnas."
+MSG_CSV_UNREADABLE = "No fue posible leer el archivo CSV: "
+
 # ---------------------------------------------------------------------------
 # end of FIXED VALUES
 # ---------------------------------------------------------------------------

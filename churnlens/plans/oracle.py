@@ -363,3 +363,6 @@ _DIFFS = " UNION ALL ".join(
     for i, (c, lab) in enumerate([("satisfaccion", "satisfaccion promedio"),
                                   ("reclamos_ultimos_6_meses", "reclamos promedio")]))
 register("conclusions", f"SELECT * FROM ({_TOPS} UNION ALL {_DIFFS}) x ORDER BY orden")
+
+# further query families register themselves into SQL
+from churnlens.plans import oracle_intake  # noqa: E402,F401

@@ -177,3 +177,46 @@ def q_correlation_target(spark, sf_dir):
 @query("conclusions")
 def q_conclusions(spark, sf_dir):
     return conclusions.conclusions(view(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# intake, validation and cleaning
+# ---------------------------------------------------------------------------
+from churnlens.operators import clean, quality  # noqa: E402
+from churnlens.sources.intake import customer_intake  # noqa: E402
+
+
+@query("intake_rows")
+def q_intake_rows(spark, sf_dir):
+    return customer_intake(spark, sf_dir)
+
+
+@query("structure_check")
+def q_structure_check(spark, sf_dir):
+    return quality.structure_verdict(customer_intake(spark, sf_dir))
+
+
+@query("quality_report")
+def q_quality_report(spark, sf_dir):
+    return quality.quality_report(customer_intake(spark, sf_dir))
+
+
+@query("dedupe_first")
+def q_dedupe_first(spark, sf_dir):
+    return clean.dedupe_first(customer_intake(spark, sf_dir)).select("id_cliente", "_src", "_pos")
+
+
+@query("clean_rows")
+def q_clean_rows(spark, sf_dir):
+    return clean.prepare(customer_intake(spark, sf_dir))[0]
+
+
+@query("clean_report")
+def q_clean_report(spark, sf_dir):
+    return clean.prepare(customer_intake(spark, sf_dir))[1]
+
+
+@query("impute_medians")
+def q_impute_medians(spark, sf_dir):
+    st = clean.stage(customer_intake(spark, sf_dir))
+    return r6(clean.stage_stats(st).select(*[F.col(f"med_{c}") for c in clean._median_columns(st)]))
