@@ -366,3 +366,4 @@ register("conclusions", f"SELECT * FROM ({_TOPS} UNION ALL {_DIFFS}) x ORDER BY
 
 # further query families register themselves into SQL
 from churnlens.plans import oracle_intake  # noqa: E402,F401
+from churnlens.plans import oracle_integrity  # noqa: E402,F401

@@ -220,3 +220,36 @@ def q_clean_report(spark, sf_dir):
 def q_impute_medians(spark, sf_dir):
     st = clean.stage(customer_intake(spark, sf_dir))
     return r6(clean.stage_stats(st).select(*[F.col(f"med_{c}") for c in clean._median_columns(st)]))
+
+
+# ---------------------------------------------------------------------------
+# integrity
+# ---------------------------------------------------------------------------
+from churnlens.operators import integrity  # noqa: E402
+
+
+@query("fk_orphans")
+def q_fk_orphans(spark, sf_dir):
+    return integrity.fk_orphans(churn_tables(spark, sf_dir).as_dict())
+
+
+@query("check_violations")
+def q_check_violations(spark, sf_dir):
+    return integrity.check_violations(churn_tables(spark, sf_dir).as_dict())
+
+
+@query("customers_without_principal")
+def q_without_principal(spark, sf_dir):
+    t = churn_tables(spark, sf_dir)
+    return integrity.customers_without_principal(t.clientes, t.contratos).select("id_cliente")
+
+
+@query("duplicate_principals")
+def q_duplicate_principals(spark, sf_dir):
+    return integrity.duplicate_principals(churn_tables(spark, sf_dir).contratos)
+
+
+@query("principal_rule")
+def q_principal_rule(spark, sf_dir):
+    t = churn_tables(spark, sf_dir)
+    return integrity.principal_rule(t.clientes, t.contratos)

@@ -34,6 +34,12 @@ class ChurnTables:
     parametros: DataFrame
     ref_date: Column
 
+    def as_dict(self) -> dict[str, DataFrame]:
+        """The nine relational tables by name (predictions live in their own history table)."""
+        return {"parametros": self.parametros, "sucursales": self.sucursales, "servicios": self.servicios,
+                "clientes": self.clientes, "contratos": self.contratos, "facturas": self.facturas,
+                "pagos": self.pagos, "reclamos": self.reclamos, "interacciones": self.interacciones}
+
 
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
