@@ -13,6 +13,11 @@ def safe_pct(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")) * 100, F.lit(0.0))
 
 
+def safe_ratio(num: Column, den: Column) -> Column:
+    """num / den; NULL or zero denominator -> 0.0."""
+    return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
+
+
 def pairwise_pearson(a: Column, b: Column) -> Column:
     """Pearson r over rows where both are non-null; constant side -> NULL.
 

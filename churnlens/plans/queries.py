@@ -253,3 +253,71 @@ def q_duplicate_principals(spark, sf_dir):
 def q_principal_rule(spark, sf_dir):
     t = churn_tables(spark, sf_dir)
     return integrity.principal_rule(t.clientes, t.contratos)
+
+
+# ---------------------------------------------------------------------------
+# churn model and risk
+# ---------------------------------------------------------------------------
+from churnlens.operators import model as churn_model, risk  # noqa: E402
+
+
+def _valid_target(v: DataFrame) -> DataFrame:
+    return v.filter(F.col("abandono").isin(0, 1))
+
+
+@query("hash_split")
+def q_hash_split(spark, sf_dir):
+    v = _valid_target(view(spark, sf_dir))
+    return v.select("id_cliente", "abandono", churn_model.split_flag(v).alias("es_prueba"))
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    v = _valid_target(view(spark, sf_dir))
+    return r6(churn_model.class_weights(v.filter(~churn_model.split_flag(v))))
+
+
+def _baseline(spark, sf_dir):
+    return risk.baseline_scores(view(spark, sf_dir))
+
+
+@query("baseline_scores")
+def q_baseline_scores(spark, sf_dir):
+    return _baseline(spark, sf_dir)
+
+
+@query("risk_distribution")
+def q_risk_distribution(spark, sf_dir):
+    return risk.risk_distribution(_baseline(spark, sf_dir))
+
+
+@query("risk_summary")
+def q_risk_summary(spark, sf_dir):
+    return r6(risk.risk_summary(_baseline(spark, sf_dir)))
+
+
+@query("risk_table")
+def q_risk_table(spark, sf_dir):
+    return risk.risk_table(_baseline(spark, sf_dir))
+
+
+@query("classification_metrics")
+def q_classification_metrics(spark, sf_dir):
+    v = _valid_target(view(spark, sf_dir)).withColumn("_test", churn_model.split_flag(view(spark, sf_dir)))
+    scores = risk.baseline_scores(v.filter("_test"), fit_on=v.filter("NOT _test"))
+    pred = (scores.join(v.select("id_cliente", "abandono"), "id_cliente")
+            .select(F.col("abandono").alias(churn_model.LABEL),
+                    (F.col("probabilidad_churn") >= 0.5).cast("double").alias("prediction")))
+    return churn_model.evaluate(pred)
+
+
+@query("tree_scores")
+def q_tree_scores(spark, sf_dir):
+    v = view(spark, sf_dir)
+    return churn_model.score(churn_model.train(v, fit_logistic=False).tree, v)
+
+
+@query("logistic_scores")
+def q_logistic_scores(spark, sf_dir):
+    v = view(spark, sf_dir)
+    return churn_model.score(churn_model.train(v).logistic, v)
