@@ -368,3 +368,4 @@ register("conclusions", f"SELECT * FROM ({_TOPS} UNION ALL {_DIFFS}) x ORDER BY
 from churnlens.plans import oracle_intake  # noqa: E402,F401
 from churnlens.plans import oracle_integrity  # noqa: E402,F401
 from churnlens.plans import oracle_model  # noqa: E402,F401
+from churnlens.plans import oracle_segment  # noqa: E402,F401

@@ -321,3 +321,60 @@ def q_tree_scores(spark, sf_dir):
 def q_logistic_scores(spark, sf_dir):
     v = view(spark, sf_dir)
     return churn_model.score(churn_model.train(v).logistic, v)
+
+
+# ---------------------------------------------------------------------------
+# segmentation
+# ---------------------------------------------------------------------------
+from churnlens.operators import segment  # noqa: E402
+
+
+def _rule_seg(spark, sf_dir):
+    return segment.rule_segments(view(spark, sf_dir))
+
+
+@query("scaled_features")
+def q_scaled_features(spark, sf_dir):
+    return r6(segment.scaled_features(view(spark, sf_dir)))
+
+
+@query("cluster_counts")
+def q_cluster_counts(spark, sf_dir):
+    return segment.cluster_counts(_rule_seg(spark, sf_dir))
+
+
+@query("cluster_counts_fixed")
+def q_cluster_counts_fixed(spark, sf_dir):
+    return segment.fixed_domain_counts(segment.cluster_counts(_rule_seg(spark, sf_dir)))
+
+
+@query("cluster_summary")
+def q_cluster_summary(spark, sf_dir):
+    return r6(segment.cluster_summary(_rule_seg(spark, sf_dir)))
+
+
+@query("cluster_churn")
+def q_cluster_churn(spark, sf_dir):
+    return r6(segment.cluster_churn(_rule_seg(spark, sf_dir)))
+
+
+@query("cluster_traits")
+def q_cluster_traits(spark, sf_dir):
+    tr = segment.cluster_traits(segment.cluster_summary(_rule_seg(spark, sf_dir)))
+    return tr.select("cluster_id", F.array_join("rasgos", " | ").alias("rasgos"))
+
+
+@query("cluster_descriptions")
+def q_cluster_descriptions(spark, sf_dir):
+    return segment.describe_clusters(segment.cluster_summary(_rule_seg(spark, sf_dir)))
+
+
+@query("kmeans_segments")
+def q_kmeans_segments(spark, sf_dir):
+    seg = segment.segment(view(spark, sf_dir))
+    return seg["clientes_segmentados"].select("id_cliente", "cluster_id", "cluster")
+
+
+@query("kmeans_cluster_summary")
+def q_kmeans_cluster_summary(spark, sf_dir):
+    return r6(segment.segment(view(spark, sf_dir))["resumen_clusters"])
