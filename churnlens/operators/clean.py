@@ -13,14 +13,14 @@ Scale notes
   ``sources.intake``).  The first position per id is a partial aggregate
   (``min(struct)``), joined back on (id, position): a hot id's rows hash over
   many partitions instead of landing in one window task.
-* Medians are exact (``median``), computed over surviving rows only.  The
-  aggregation buffer is a value histogram: small for the integer columns,
-  see ``functions.stats.median_of`` for wide money columns.
+* Medians are exact and interpolated, computed over surviving rows only,
+  with the bounded bracket method of ``operators.quantiles`` (three light
+  aggregate passes; no global value histogram).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,7 @@ from churnlens import config
 from churnlens.functions.bins import age_group, flag_positive, satisfaction_level, tenure_group
 from churnlens.functions.coerce import number
 from churnlens.functions.text import basic_text, title_case
+from churnlens.operators.quantiles import exact_medians
 
 ORDER = ("_src", "_pos")
 
@@ -92,6 +93,7 @@ class Staged:
     has_id: bool
     has_target: bool
     columns: list[str]
+    cache: dict = field(default_factory=dict)
 
 
 def stage(df: DataFrame, order=ORDER) -> Staged:
@@ -139,24 +141,34 @@ def stage_stats(st: Staged) -> DataFrame:
         aggs.append(F.count_if(kept & F.col(f"_oor_{c}")).alias(f"oor_{c}"))
     for c in _median_columns(st) + _zero_columns(st):
         aggs.append(F.count_if(surv & F.col(c).isNull()).alias(f"imp_{c}"))
+    meds = medians(st)
     for c in _median_columns(st):
-        aggs.append(F.median(F.when(surv, F.col(c))).alias(f"med_{c}"))
+        aggs.append(F.lit(meds[c]).cast("double").alias(f"med_{c}"))
     return st.frame.agg(*aggs)
 
 
+def medians(st: Staged) -> dict[str, float | None]:
+    """Exact medians of the median-imputed columns over the surviving rows (NULL if none)."""
+    cols = _median_columns(st)
+    if not cols:
+        return {}
+    if "_medians" not in st.cache:
+        st.cache["_medians"] = exact_medians(st.frame.filter(F.col("_survives")), {c: F.col(c) for c in cols})
+    return st.cache["_medians"]
+
+
 def _final_values(st: Staged, stats: DataFrame) -> dict[str, Column]:
     med = _median_columns(st)
-    sub = None
-    if med:
-        sub = stats.select(F.struct(*[F.col(f"med_{c}") for c in med]).alias("m")).scalar()
+    meds = medians(st)
     out = {}
     for c in med:
-        out[c] = F.coalesce(F.col(c), sub.getField(f"med_{c}"), F.lit(float(config.CLEAN_FALLBACKS[c])))
+        fill = meds[c] if meds[c] is not None else float(config.CLEAN_FALLBACKS[c])
+        out[c] = F.coalesce(F.col(c), F.lit(float(fill)))
     for c in _zero_columns(st):
         out[c] = F.coalesce(F.col(c), F.lit(0.0))
     for c in config.CLEAN_INTEGER_COLUMNS:
         if c in st.numeric:
-            out[c] = F.bround(out.get(c, F.col(c)), 0).cast("bigint")
+            out[c] = F.rint(out.get(c, F.col(c))).cast("bigint")  # half-even, like NumPy
     for c in ("monto_mensual", "satisfaccion"):
         if c in st.numeric:
             out[c] = out.get(c, F.col(c)).cast("double")

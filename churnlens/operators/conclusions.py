@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from churnlens import config
 from churnlens.functions.coerce import number
 from churnlens.operators.metrics import churn_by_dimensions
+from churnlens.functions.formats import fixed2_text
 
 
 def _py_2dp(c):
-    return F.format_string("%.2f", F.bround(c, 2))
+    return fixed2_text(c)
 
 
 def top_rate_sentences(df: DataFrame, topics=config.TOP_RATE_TOPICS) -> DataFrame:

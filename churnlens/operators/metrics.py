@@ -10,6 +10,7 @@ from churnlens import config
 from churnlens.functions.coerce import number, number_or_null
 from churnlens.functions.stats import safe_pct
 from churnlens.functions.text import state_label
+from churnlens.functions.formats import np_round
 
 KPI_MEANS = [
     ("satisfaccion_promedio", "satisfaccion"),
@@ -116,7 +117,7 @@ def metric_comparison(df: DataFrame, metrics=config.METRIC_COMPARISON,
             .groupBy("x.m", "x.o", "_t").agg(F.avg("x.v").alias("p"))
             .orderBy("o", "_t")
             .select(F.col("m").alias("Metrica"), state_label(F.col("_t")).alias("Estado"),
-                    F.bround("p", 2).alias("Promedio")))
+                    np_round(F.col("p"), 2).alias("Promedio")))
 
 
 def distinct_states(df: DataFrame, state_col: str = "estado_abandono") -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from churnlens import config
 from churnlens.functions.stats import safe_ratio
 from churnlens.operators.risk import with_risk
+from churnlens.functions.formats import np_round
+from churnlens.operators.quantiles import exact_medians
 
 LABEL, WEIGHT = "_label", "_weight"
 
@@ -70,10 +72,11 @@ def fit_preprocessing(train: DataFrame, cats: list[str], nums: list[str]) -> dic
         aggs.append(F.mode(F.col(c).cast("string"), True).alias(f"mode_{c}"))
     for c in nums:
         x = F.col(c).cast("double")
-        aggs += [F.median(x).alias(f"med_{c}"), F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"mean_{c}"),
-                 F.stddev_pop(x).alias(f"sd_{c}")]
+        aggs += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"mean_{c}"), F.stddev_pop(x).alias(f"sd_{c}")]
     aggs.append(F.count(F.lit(1)).alias("_n"))
     row = train.agg(*aggs).first().asDict()
+    meds = exact_medians(train, {c: F.col(c).cast("double") for c in nums}) if nums else {}
+    row.update({f"med_{c}": meds[c] for c in nums})
     n = row["_n"]
     stats = {"modes": {c: row[f"mode_{c}"] for c in cats}, "medians": {}, "means": {}, "scales": {}}
     for c in nums:
@@ -183,9 +186,9 @@ def evaluate(pred: DataFrame, label: str = LABEL, prediction: str = "prediction"
     prec = safe_ratio(F.col("vp"), F.col("vp") + F.col("fp"))
     f1 = safe_ratio(2 * F.col("vp"), 2 * F.col("vp") + F.col("fp") + F.col("fn"))
     return one.select("vp", "vn", "fp", "fn", "n",
-                      F.bround(acc, 4).alias("accuracy"), F.bround(rec, 4).alias("recall"),
-                      F.bround(prec, 4).alias("precision"), F.bround(f1, 4).alias("f1"),
-                      F.bround(F.greatest(F.col("_rate"), 1 - F.col("_rate")), 4).alias("linea_base"))
+                      np_round(acc, 4).alias("accuracy"), np_round(rec, 4).alias("recall"),
+                      np_round(prec, 4).alias("precision"), np_round(f1, 4).alias("f1"),
+                      np_round(F.greatest(F.col("_rate"), 1 - F.col("_rate")), 4).alias("linea_base"))
 
 
 # --------------------------------------------------------------------------- K8 training orchestration

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from churnlens import config
 from churnlens.functions.bins import risk_level
-from churnlens.functions.formats import fmt_prediction_pct
+
 from churnlens.functions.stats import safe_pct
+from churnlens.functions.formats import fmt_prediction_pct, np_round
 
 
 def with_risk(scores: DataFrame, prob_col: str = "probabilidad_churn") -> DataFrame:
     """H14 then H15: bucket on the unrounded probability, round to 4 (half-even) after."""
     p = F.col(prob_col)
-    return scores.withColumns({"nivel_riesgo": risk_level(p), prob_col: F.bround(p, 4)})
+    return scores.withColumns({"nivel_riesgo": risk_level(p), prob_col: np_round(p, 4)})
 
 
 def baseline_scores(view: DataFrame, by=("ciudad", "plan"), fit_on: DataFrame | None = None,

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from churnlens import config
 from churnlens.functions.coerce import number
 from churnlens.functions.stats import safe_pct
+from churnlens.operators.quantiles import exact_medians
 
 FEATURES = config.SEGMENT_FEATURES
 
@@ -51,14 +52,13 @@ def fit_scaler(df: DataFrame) -> Scaler:
     if missing:
         raise ValueError("Faltan columnas requeridas para segmentacion: " + ", ".join(missing))
     first = df.agg(F.count(F.lit(1)).alias("_n"),
-                   *[F.count(number(df, c)).alias(f"n_{c}") for c in FEATURES],
-                   *[F.median(number(df, c)).alias(f"med_{c}") for c in FEATURES]).first()
+                   *[F.count(number(df, c)).alias(f"n_{c}") for c in FEATURES]).first()
     if first["_n"] == 0:
         raise ValueError("No hay registros suficientes para segmentar clientes.")
     for c in FEATURES:
         if first[f"n_{c}"] == 0:
             raise ValueError("La columna requerida para segmentacion no contiene valores numericos validos: " + c)
-    medians = {c: float(first[f"med_{c}"]) for c in FEATURES}
+    medians = {c: float(v) for c, v in exact_medians(df, {c: number(df, c) for c in FEATURES}).items()}
     imputed = {c: F.coalesce(number(df, c), F.lit(medians[c])) for c in FEATURES}
     second = df.agg(*[F.avg(imputed[c]).alias(f"m_{c}") for c in FEATURES],
                     *[F.stddev_pop(imputed[c]).alias(f"s_{c}") for c in FEATURES]).first()

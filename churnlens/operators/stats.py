@@ -9,6 +9,7 @@ from churnlens import config
 from churnlens.functions.coerce import number
 from churnlens.functions.stats import direction_of, pairwise_pearson
 from churnlens.functions.text import state_label
+from churnlens.operators.quantiles import exact_quantiles
 
 
 def correlation_columns(df: DataFrame, variables=config.CORRELATION_VARIABLES) -> list[str]:
@@ -69,27 +70,36 @@ def correlation_with_target(matrix: DataFrame, target: str = config.TARGET_COLUM
 def boxplot_stats(points: DataFrame, variable: str) -> DataFrame:
     """Quartiles (interpolated), 1.5 IQR fences, whiskers and outlier counts per churn state.
 
-    ``points`` is the output of ``explore.boxplot_input``.  Quartiles are a
-    grouped exact percentile (bounded: one row per state); whiskers and
-    outliers come from a second grouped pass after a broadcast of those rows.
+    ``points`` is the output of ``explore.boxplot_input``.  Quartiles are
+    exact per state via the bounded bracket method (``operators.quantiles``);
+    the states are the two fixed target labels, so the per-state loop is
+    bounded.  Whiskers and outliers come from one grouped pass after a
+    broadcast of the (two-row) fence table.
     """
-    q = (points.groupBy("estado_abandono")
-         .agg(F.percentile(F.col(variable), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-              F.count(F.lit(1)).alias("n"))
-         .select("estado_abandono", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("mediana"),
-                 F.col("q")[2].alias("q3"))
+    spark = points.sparkSession
+    rows = []
+    v = F.col(variable).cast("double")
+    for label in config.TARGET_LABELS.values():
+        part = points.filter(F.col("estado_abandono") == label)
+        q = exact_quantiles(part, {"v": v}, [0.25, 0.5, 0.75])["v"]
+        if q[0] is not None:
+            rows.append((label, float(q[0]), float(q[1]), float(q[2])))
+    q = (spark.createDataFrame(rows, "estado_abandono string, q1 double, mediana double, q3 double")
          .withColumn("iqr", F.col("q3") - F.col("q1"))
          .withColumn("limite_inferior", F.col("q1") - 1.5 * F.col("iqr"))
          .withColumn("limite_superior", F.col("q3") + 1.5 * F.col("iqr")))
-    v = F.col(variable)
     inside = v.between(F.col("limite_inferior"), F.col("limite_superior"))
     w = (points.join(F.broadcast(q.select("estado_abandono", "limite_inferior", "limite_superior")),
                      "estado_abandono")
          .groupBy("estado_abandono")
-         .agg(F.min(F.when(inside, v)).alias("bigote_inferior"),
+         .agg(F.count(F.lit(1)).alias("n"),
+              F.min(F.when(inside, v)).alias("bigote_inferior"),
               F.max(F.when(inside, v)).alias("bigote_superior"),
               F.count_if(~inside).alias("atipicos")))
-    return q.join(w, "estado_abandono").withColumn("variable", F.lit(variable))
+    return (q.join(w, "estado_abandono")
+            .select("estado_abandono", "n", "q1", "mediana", "q3", "iqr", "limite_inferior", "limite_superior",
+                    "bigote_inferior", "bigote_superior", "atipicos")
+            .withColumn("variable", F.lit(variable)))
 
 
 def boxplot_outliers(points: DataFrame, stats: DataFrame, variable: str) -> DataFrame:
