@@ -12,7 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlens.plans.behavior import behavior_from_tables
-from churnlens.sources.adapter import churn_tables
+from churnlens.sources.store import stored_intake, stored_tables
+
+# every query reads the churn tables derived from the driver tables; they are
+# materialised once per input snapshot (see churnlens.sources.store)
+churn_tables = stored_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -183,7 +187,7 @@ def q_conclusions(spark, sf_dir):
 # intake, validation and cleaning
 # ---------------------------------------------------------------------------
 from churnlens.operators import clean, quality  # noqa: E402
-from churnlens.sources.intake import customer_intake  # noqa: E402
+customer_intake = stored_intake
 
 
 @query("intake_rows")

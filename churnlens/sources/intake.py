@@ -49,7 +49,7 @@ def _money_text(c):
     return F.round(c, 2).cast("decimal(20,2)").cast("string")
 
 
-def customer_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_intake(spark: SparkSession, sf_dir: str, tables=None) -> DataFrame:
     """A flat text intake derived from the driver tables (for validation and cleaning).
 
     Batch 0 is the analytic view rendered as text (one row per customer,
@@ -60,7 +60,7 @@ def customer_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     and out-of-range values and invalid targets.  Both batches grow with the
     input tables.
     """
-    view = behavior_from_tables(churn_tables(spark, sf_dir))
+    view = behavior_from_tables(tables if tables is not None else churn_tables(spark, sf_dir))
     batch0 = view.select(
         *[(_money_text(F.col(c)) if c == "monto_mensual" else
            _text(F.col(c)) if c in view.columns else F.lit(None).cast("string")).alias(c)
