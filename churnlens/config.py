@@ -274,6 +274,28 @@ MSG_AGE_RANGE = "La columna 'edad' tiene {n} edades negativas o poco razonables.
 MSG_CSV_EMPTY = "El archivo CSV esta vacio o no contiene columnas."
 MSG_CSV_UNREADABLE = "No fue posible leer el archivo CSV: "
 
+
+# display labels of result tables
+CATEGORY_TABLE_LABELS = {
+    "total_clientes": "Total clientes",
+    "clientes_abandonaron": "Abandonaron",
+    "tasa_abandono": "Tasa abandono (%)",
+}
+SEGMENT_LABELS = {
+    "cluster": "Clúster",
+    "total_clientes": "Total clientes",
+    "clientes_abandonaron": "Clientes abandonaron",
+    "tasa_abandono": "Tasa abandono",
+    "antiguedad_meses": "Antigüedad meses",
+    "monto_mensual": "Monto mensual",
+    "cantidad_servicios": "Cantidad servicios",
+    "reclamos_ultimos_6_meses": "Reclamos últimos 6 meses",
+    "pagos_atrasados": "Pagos atrasados",
+    "dias_sin_uso": "Días sin uso",
+    "satisfaccion": "Satisfacción",
+}
+MSG_VIEW_MISSING = "La vista de clientes no contiene columnas obligatorias: "
+
 # ---------------------------------------------------------------------------
 # end of FIXED VALUES
 # ---------------------------------------------------------------------------

@@ -50,3 +50,9 @@ def na_tokens_to_null(df: DataFrame) -> DataFrame:
             c = F.col(f.name)
             exprs[f.name] = F.when(~c.isin(tokens) & (c != ""), c)
     return df.withColumns(exprs) if exprs else df
+
+
+def coerce_numeric_columns(df: DataFrame, columns=config.NUMERIC_COLUMNS) -> DataFrame:
+    """A5: the numeric contract columns as nullable doubles; bad text -> NULL, no row dropped."""
+    present = {c: number(df, c) for c in columns if c in df.columns}
+    return df.withColumns(present) if present else df

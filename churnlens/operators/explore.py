@@ -151,3 +151,17 @@ def distinct_options(df: DataFrame, column: str) -> DataFrame:
 def count_results(df: DataFrame | None) -> int:
     """Row count (None -> 0)."""
     return 0 if df is None else df.count()
+
+
+def preview(df: DataFrame, n: int = 5, order_by=None) -> DataFrame:
+    """The first ``n`` rows in an explicit order (input order columns by default)."""
+    keys = order_by or [c for c in ("_src", "_pos") if c in df.columns] or [config.ID_COLUMN]
+    return df.orderBy(*keys).limit(n)
+
+
+def display_labels(df: DataFrame, labels=None) -> DataFrame:
+    """Rename known columns to their display labels; unknown columns unchanged."""
+    mapping = dict(config.COLUMN_LABELS)
+    mapping.update(labels or {})
+    present = {k: v for k, v in mapping.items() if k in df.columns}
+    return df.withColumnsRenamed(present) if present else df

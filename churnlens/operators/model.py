@@ -261,3 +261,9 @@ def load_model(path: str) -> tuple[PipelineModel, dict]:
     except Exception as exc:  # noqa: BLE001
         raise ValueError(f"No se pudo cargar el modelo '{path}': {exc}") from exc
     return model, meta
+
+
+def generate_scores(model_path: str, view: DataFrame) -> tuple[DataFrame, dict]:
+    """Load the served model and score every row of the view."""
+    model, meta = load_model(model_path)
+    return score(model, view, meta.get("features")), meta

@@ -106,3 +106,16 @@ def behavior_from_tables(t) -> DataFrame:
     """The view over a ``ChurnTables`` bundle."""
     return customer_behavior(t.clientes, t.sucursales, t.servicios, t.contratos, t.reclamos,
                              t.facturas, t.pagos, t.ref_date)
+
+
+def require_view_columns(df: DataFrame) -> DataFrame:
+    """A4: the minimum contract of the view; missing required columns raise, naming them."""
+    missing = [c for c in config.REQUIRED_COLUMNS if c not in df.columns]
+    if missing:
+        raise RuntimeError(config.MSG_VIEW_MISSING + ", ".join(missing))
+    return df
+
+
+def read_view(t) -> DataFrame:
+    """A3: every view column ordered by customer id, after the contract check."""
+    return require_view_columns(behavior_from_tables(t)).orderBy(F.col(config.ID_COLUMN).asc())

@@ -369,3 +369,13 @@ from churnlens.plans import oracle_intake  # noqa: E402,F401
 from churnlens.plans import oracle_integrity  # noqa: E402,F401
 from churnlens.plans import oracle_model  # noqa: E402,F401
 from churnlens.plans import oracle_segment  # noqa: E402,F401
+
+SQL["view_scan"] = with_base("SELECT * FROM behavior ORDER BY id_cliente")
+SQL["churn_by_city_display"] = with_base("""
+SELECT ciudad AS "Ciudad", total_clientes AS "Total clientes", clientes_abandonaron AS "Abandonaron",
+       round_even(tasa, 2) AS "Tasa abandono (%)"
+FROM (SELECT trim(ciudad) AS ciudad, count(*) AS total_clientes, CAST(sum(abandono) AS BIGINT) AS clientes_abandonaron,
+             COALESCE(CAST(sum(abandono) AS DOUBLE) / NULLIF(count(*), 0) * 100, 0.0) AS tasa
+      FROM behavior WHERE ciudad IS NOT NULL AND trim(ciudad) <> '' AND abandono IN (0, 1)
+      GROUP BY trim(ciudad)) x
+""")

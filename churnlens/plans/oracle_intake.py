@@ -256,3 +256,7 @@ SELECT idn AS id_cliente, _src, _pos FROM s1 WHERE kept
 SQL["impute_medians"] = with_intake(_staged(), f"""
 SELECT {", ".join(f"ROUND(med_{c}, 6) AS med_{c}" for c in MEDIAN)} FROM st
 """)
+
+SQL["typed_intake"] = with_intake("", "SELECT id_cliente, nombre, ciudad, " + ", ".join(
+    f"{num(c)} AS {c}" if c in NUMERIC else c for c in COLS[3:]) + ", _src, _pos FROM intake")
+SQL["intake_preview"] = with_intake("", "SELECT * FROM intake ORDER BY _src, _pos LIMIT 5")

@@ -382,3 +382,34 @@ def q_kmeans_segments(spark, sf_dir):
 @query("kmeans_cluster_summary")
 def q_kmeans_cluster_summary(spark, sf_dir):
     return r6(segment.segment(view(spark, sf_dir))["resumen_clusters"])
+
+
+# ---------------------------------------------------------------------------
+# view contract, typed intake, preview, display tables
+# ---------------------------------------------------------------------------
+from churnlens.functions.coerce import coerce_numeric_columns  # noqa: E402
+from churnlens.functions.formats import np_round  # noqa: E402
+from churnlens.plans.behavior import read_view  # noqa: E402
+
+
+@query("view_scan")
+def q_view_scan(spark, sf_dir):
+    return read_view(churn_tables(spark, sf_dir))
+
+
+@query("typed_intake")
+def q_typed_intake(spark, sf_dir):
+    return coerce_numeric_columns(customer_intake(spark, sf_dir))
+
+
+@query("intake_preview")
+def q_intake_preview(spark, sf_dir):
+    return explore.preview(customer_intake(spark, sf_dir))
+
+
+@query("churn_by_city_display")
+def q_churn_by_city_display(spark, sf_dir):
+    t = metrics.churn_by_category(view(spark, sf_dir), "ciudad")
+    t = t.withColumn("tasa_abandono", np_round(F.col("tasa_abandono"), 2))
+    from churnlens import config as _c
+    return explore.display_labels(t, _c.CATEGORY_TABLE_LABELS)
