@@ -70,7 +70,7 @@ def fk_orphans(tables: dict[str, DataFrame], foreign_keys=schemas.FOREIGN_KEYS)
     """(tabla, columna, tabla_padre, huerfanos) for every FK whose tables are given."""
     parts = []
     for child, col, parent, key in foreign_keys:
-        if child not in tables or parent not in tables:
+        if child not in tables or parent not in tables or col not in tables[child].columns:
             continue
         keys = (tables[child].filter(F.col(col).isNotNull())
                 .groupBy(F.col(col).alias("_k")).agg(F.count(F.lit(1)).alias("_n")))
@@ -103,7 +103,7 @@ def table_violations(name: str, df: DataFrame) -> DataFrame:
             rules.append(f"not_null_{c}")
             aggs.append(F.count_if(F.col(c).isNull()).alias(rules[-1]))
     pk = schemas.PRIMARY_KEYS.get(name)
-    if pk:
+    if pk and all(c in df.columns for c in pk):
         rules.append("pk_no_nulo")
         aggs.append(F.count_if(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk])).alias(rules[-1]))
         rules.append("pk_unico")

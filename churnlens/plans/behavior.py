@@ -35,6 +35,19 @@ def six_month_window(c: Column, ref_date, months: int = config.WINDOW_MONTHS) ->
     return c.between(F.add_months(ref, -months), ref)
 
 
+MONEY = "decimal(38,6)"
+
+
+def money_sum(c: Column) -> Column:
+    """Sum of amounts in exact decimal arithmetic, returned as double.
+
+    A double sum depends on the order rows meet (partitioning, engine); the
+    decimal sum does not, so the result is identical on any cluster layout.
+    Amounts carry at most 6 decimals here.
+    """
+    return F.sum(c.cast(MONEY)).cast("double")
+
+
 def contract_facts(contratos: DataFrame, servicios: DataFrame) -> DataFrame:
     """D1 + C2: active contracts joined to their service, one row per customer."""
     svc = servicios.select("id_servicio", F.col("nombre").alias("_plan"))
@@ -42,7 +55,7 @@ def contract_facts(contratos: DataFrame, servicios: DataFrame) -> DataFrame:
     return (contratos.filter(F.col("estado") == "activo")
             .join(svc, "id_servicio")
             .groupBy("id_cliente")
-            .agg(F.sum("monto_mensual").alias("monto_mensual"),
+            .agg(money_sum(F.col("monto_mensual")).alias("monto_mensual"),
                  F.count(F.lit(1)).alias("cantidad_servicios"),
                  F.max(F.when(principal, F.col("tipo_contrato"))).alias("tipo_contrato"),
                  F.max(F.when(principal, F.col("_plan"))).alias("plan")))
