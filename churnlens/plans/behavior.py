@@ -48,6 +48,17 @@ def money_sum(c: Column) -> Column:
     return F.sum(c.cast(MONEY)).cast("double")
 
 
+def principal_value(principal: Column, c: Column) -> Column:
+    """MAX(CASE WHEN principal THEN c END) as a hash-aggregable expression.
+
+    ``max`` of a string forces a sort-based aggregate; the set of principal
+    values per customer is tiny (one in valid data), so ``collect_set`` (hash
+    aggregate, spills to sort only under memory pressure) then ``array_max``
+    gives the same value even for a customer holding a third of all rows.
+    """
+    return F.array_max(F.collect_set(F.when(principal, c)))
+
+
 def contract_facts(contratos: DataFrame, servicios: DataFrame) -> DataFrame:
     """D1 + C2: active contracts joined to their service, one row per customer."""
     svc = servicios.select("id_servicio", F.col("nombre").alias("_plan"))
@@ -57,8 +68,8 @@ def contract_facts(contratos: DataFrame, servicios: DataFrame) -> DataFrame:
             .groupBy("id_cliente")
             .agg(money_sum(F.col("monto_mensual")).alias("monto_mensual"),
                  F.count(F.lit(1)).alias("cantidad_servicios"),
-                 F.max(F.when(principal, F.col("tipo_contrato"))).alias("tipo_contrato"),
-                 F.max(F.when(principal, F.col("_plan"))).alias("plan")))
+                 principal_value(principal, F.col("tipo_contrato")).alias("tipo_contrato"),
+                 principal_value(principal, F.col("_plan")).alias("plan")))
 
 
 def complaint_facts(reclamos: DataFrame, ref_date) -> DataFrame:
