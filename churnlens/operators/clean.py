@@ -21,6 +21,7 @@ Scale notes
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,19 +36,35 @@ from churnlens.operators.quantiles import exact_medians
 ORDER = ("_src", "_pos")
 
 
+def order_key(df: DataFrame, order=ORDER) -> Column:
+    """One totally ordered, hash-aggregable key for the input order.
+
+    Two integral columns (source index, position) pack exactly into a
+    ``decimal(38,0)``: ``min`` over it runs as a hash aggregate, while ``min``
+    over a struct or a string falls back to a sort-based aggregate.
+    """
+    types = dict(df.dtypes)
+    if len(order) == 2 and all(types.get(c) in ("tinyint", "smallint", "int", "bigint") for c in order):
+        d = "decimal(38,0)"
+        return F.col(order[0]).cast(d) * F.lit(Decimal(10 ** 19)).cast(d) + F.col(order[1]).cast(d)
+    return F.struct(*order)
+
+
 def flag_first(df: DataFrame, id_col: str = config.ID_COLUMN, order=ORDER) -> DataFrame:
     """E1 flags: id normalised (H2); ``_blank`` and ``_first`` (first occurrence in input order).
 
-    ``order`` columns must be unique per row.
+    ``order`` columns must be unique per row.  The first position per id is
+    a partial (map-side) aggregate; joining it back on (id, position) hashes
+    a hot id's rows over many partitions.
     """
-    x = df.withColumn(id_col, basic_text(F.col(id_col)))
+    x = df.withColumn(id_col, basic_text(F.col(id_col))).withColumn("_okey", order_key(df, order))
     firsts = (x.filter(F.col(id_col) != "")
-              .groupBy(id_col).agg(F.min(F.struct(*order)).alias("_o"))
-              .select(id_col, *[F.col(f"_o.{c}").alias(c) for c in order])
+              .groupBy(id_col).agg(F.min("_okey").alias("_okey"))
               .withColumn("_first", F.lit(True)))
-    return (x.join(firsts, [id_col, *order], "left")
+    return (x.join(firsts, [id_col, "_okey"], "left")
             .withColumn("_blank", F.col(id_col) == "")
-            .withColumn("_first", F.coalesce(F.col("_first"), F.lit(False))))
+            .withColumn("_first", F.coalesce(F.col("_first"), F.lit(False)))
+            .drop("_okey"))
 
 
 def dedupe_first(df: DataFrame, id_col: str = config.ID_COLUMN, order=ORDER) -> DataFrame:

@@ -71,17 +71,18 @@ def boxplot_stats(points: DataFrame, variable: str) -> DataFrame:
     """Quartiles (interpolated), 1.5 IQR fences, whiskers and outlier counts per churn state.
 
     ``points`` is the output of ``explore.boxplot_input``.  Quartiles are
-    exact per state via the bounded bracket method (``operators.quantiles``);
-    the states are the two fixed target labels, so the per-state loop is
-    bounded.  Whiskers and outliers come from one grouped pass after a
+    exact per state via the bounded bracket method (``operators.quantiles``),
+    one conditional column per (fixed) target label, so both states share the
+    same passes.  Whiskers and outliers come from one grouped pass after a
     broadcast of the (two-row) fence table.
     """
     spark = points.sparkSession
     rows = []
     v = F.col(variable).cast("double")
-    for label in config.TARGET_LABELS.values():
-        part = points.filter(F.col("estado_abandono") == label)
-        q = exact_quantiles(part, {"v": v}, [0.25, 0.5, 0.75])["v"]
+    # one conditional column per state: both states share the same three passes
+    per_state = {label: F.when(F.col("estado_abandono") == label, v) for label in config.TARGET_LABELS.values()}
+    quart = exact_quantiles(points, per_state, [0.25, 0.5, 0.75])
+    for label, q in quart.items():
         if q[0] is not None:
             rows.append((label, float(q[0]), float(q[1]), float(q[2])))
     q = (spark.createDataFrame(rows, "estado_abandono string, q1 double, mediana double, q3 double")

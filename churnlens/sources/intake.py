@@ -29,15 +29,19 @@ def normalize_headers(df: DataFrame) -> DataFrame:
 def read_customer_csv(spark: SparkSession, path: str) -> DataFrame:
     """A1: header CSV, every column text, missing-value tokens -> NULL, stripped headers.
 
-    ``_src`` is the file path and ``_pos`` a per-file increasing id assigned
-    while reading (file splits are deterministic, so the ids are stable).
-    Reading errors surface as Spark exceptions; ``plans.intake_flow`` turns
-    them into an invalid verdict.
+    Input order is (``_src`` = index of the file in path order, ``_pos`` =
+    increasing id within the file, assigned while reading; file splits are
+    deterministic, so the ids are stable on recomputation).  The file list is
+    bounded by the number of files, so its index map is a literal expression.
     """
     raw = (spark.read.option("header", True).option("inferSchema", False)
            .option("mode", "PERMISSIVE").csv(path))
-    df = na_tokens_to_null(normalize_headers(raw))
-    return df.withColumns({"_src": F.input_file_name(), "_pos": F.monotonically_increasing_id()})
+    df = na_tokens_to_null(normalize_headers(raw)).withColumn("_file", F.input_file_name())
+    files = sorted(r[0] for r in df.select("_file").distinct().collect())
+    src = F.lit(None).cast("int")
+    for i, f in enumerate(files):
+        src = F.when(F.col("_file") == f, F.lit(i)).otherwise(src)
+    return df.withColumns({"_src": src, "_pos": F.monotonically_increasing_id()}).drop("_file")
 
 
 def _text(c):
