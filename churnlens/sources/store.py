@@ -88,9 +88,20 @@ def _read(spark: SparkSession, folder: str) -> ChurnTables:
                        F.lit(ref).cast("date"))
 
 
+_OPENED: dict[tuple[str, str], ChurnTables] = {}
+
+
 def stored_tables(spark: SparkSession, sf_dir: str) -> ChurnTables:
-    """The churn tables of ``sf_dir``, materialised on first use."""
-    return _read(spark, materialize(spark, sf_dir))
+    """The churn tables of ``sf_dir``, materialised on first use.
+
+    The opened DataFrames are reused within a session (keyed by the snapshot
+    folder, so changed inputs are still picked up).
+    """
+    folder = materialize(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _OPENED:
+        _OPENED[key] = _read(spark, folder)
+    return _OPENED[key]
 
 
 def stored_intake(spark: SparkSession, sf_dir: str):
