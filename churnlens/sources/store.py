@@ -9,7 +9,7 @@ an executor lost later recomputes from these files, not from the raw scans
 and joins.
 
 The snapshot key hashes the input files' paths, sizes and modification
-times, so changed inputs are re-materialised.  Publication is atomic: write
+times and the derivation code, so changed inputs or rules are re-materialised.  Publication is atomic: write
 to a private folder, then rename it into place (a concurrent writer that
 loses the race just discards its copy).
 """
@@ -37,8 +37,18 @@ def _fs_and_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def snapshot_key(spark: SparkSession, sf_dir: str) -> str:
+def _derivation_version() -> bytes:
+    """The derivation code itself is part of the snapshot: edited rules re-materialise."""
+    here = os.path.dirname(os.path.abspath(__file__))
     h = hashlib.sha256()
+    for name in ("adapter.py", "intake.py"):
+        with open(os.path.join(here, name), "rb") as fh:
+            h.update(fh.read())
+    return h.digest()
+
+
+def snapshot_key(spark: SparkSession, sf_dir: str) -> str:
+    h = hashlib.sha256(_derivation_version())
     for name in DRIVER_INPUTS:
         fs, p = _fs_and_path(spark, table_path(sf_dir, name))
         h.update(name.encode())
