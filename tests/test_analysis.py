@@ -124,3 +124,14 @@ def test_formats_and_title_case(spark):
                               title_case(F.lit("o'higgins san-juan 3er")).alias("e")).first()
     assert (r["a"], r["b"], r["c"], r["d"]) == ("1.234", "12.35%", "$12.345", "50,00 %")
     assert r["e"] == "O'Higgins San-Juan 3Er"
+
+
+def test_fixed2_text_matches_python(spark):
+    import random
+    rnd = random.Random(3)
+    vals = [12.345, 2.675, 0.125, 1.005, -0.005, 0.0, 99.995, 46.875, -2.5, 1e-9]
+    vals += [rnd.uniform(-500, 500) for _ in range(500)] + [rnd.randint(0, 100000) / 1000 for _ in range(500)]
+    from churnlens.functions.formats import fixed2_text
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for r in df.select("x", fixed2_text(F.col("x")).alias("t")).collect():
+        assert r["t"] == f"{r['x']:.2f}", r["x"]
