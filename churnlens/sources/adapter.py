@@ -14,6 +14,7 @@ Features look at orders on or before ``T``; the label is "no order after T".
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,12 @@ def reference_date(orders: DataFrame, months_back: int = 6) -> Column:
     return orders.select(F.add_months(F.max(F.to_date("o_orderdate")), -months_back)).scalar()
 
 
+def _date_key_order(d: Column, key: Column) -> Column:
+    """(date, integral key) packed exactly into one decimal(38,0), order-preserving."""
+    dec = "decimal(38,0)"
+    return F.unix_date(d).cast(dec) * F.lit(Decimal(10 ** 19)).cast(dec) + key.cast(dec)
+
+
 def _line_key() -> Column:
     return F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
 
@@ -97,7 +104,10 @@ def churn_tables(spark: SparkSession, sf_dir: str) -> ChurnTables:
     facts = (orders.groupBy("o_custkey").agg(
         F.min(F.when(d <= T, d)).alias("first_d"),
         F.max(F.when(d <= T, d)).alias("last_d"),
-        F.max(F.when(d <= T, F.struct(d.alias("d"), F.col("o_orderkey"), F.col("o_orderpriority")))).alias("latest"),
+        # satisfaction of the latest order <= T (ties by order key): max_by over an exact
+        # decimal (date, key) packing keeps this a hash aggregate
+        F.max_by(F.when(d <= T, 6 - F.substring("o_orderpriority", 1, 1).try_cast("int")),
+                 F.when(d <= T, _date_key_order(d, F.col("o_orderkey")))).alias("sat_latest"),
         F.count_if(d > T).alias("n_after")))
 
     clientes = (customer
@@ -110,8 +120,7 @@ def churn_tables(spark: SparkSession, sf_dir: str) -> ChurnTables:
                         F.col("c_mktsegment").alias("segmento"),
                         F.floor(F.datediff(T, "first_d") / 30).cast("int").alias("antiguedad_meses"),
                         F.col("c_acctbal").alias("ingreso_mensual"),
-                        (F.lit(6) - F.substring("latest.o_orderpriority", 1, 1).try_cast("int"))
-                        .cast("int").alias("satisfaccion"),
+                        F.col("sat_latest").cast("int").alias("satisfaccion"),
                         F.datediff(T, "last_d").cast("int").alias("dias_sin_uso"),
                         F.col("first_d").alias("fecha_alta"),
                         F.when(F.coalesce("n_after", F.lit(0)) == 0, 1).otherwise(0).cast("int")
