@@ -19,6 +19,7 @@ exact percentile.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,19 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], qs: list[float],
                     accuracy: int = DEFAULT_ACCURACY) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles ``qs`` of every column expression (NULLs skipped)."""
     names = list(columns)
+    # the three passes read only the quantile columns: project them once and keep that
+    # projection (memory, spilling to disk) for the passes; lost blocks are recomputed
+    proj = df.select(*[columns[c].cast("double").alias(f"_q{i}") for i, c in enumerate(names)])
+    proj = proj.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _exact_quantiles(proj, {c: F.col(f"_q{i}") for i, c in enumerate(names)}, qs, accuracy)
+    finally:
+        proj.unpersist()
+
+
+def _exact_quantiles(df: DataFrame, columns: dict[str, Column], qs: list[float],
+                     accuracy: int) -> dict[str, list[float | None]]:
+    names = list(columns)
     margin = 2.0 / accuracy
     probes = sorted({min(1.0, max(0.0, q + s * margin)) for q in qs for s in (-1.0, 1.0)})
     first = df.agg(*[F.count(columns[c]).alias(f"n{i}") for i, c in enumerate(names)],
