@@ -13,9 +13,10 @@ Features look at orders on or before ``T``; the label is "no order after T".
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from decimal import Decimal
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,13 @@ class ChurnTables:
     interacciones: DataFrame
     parametros: DataFrame
     ref_date: Column
+    cached: list = field(default_factory=list)
+
+    def release(self) -> None:
+        """Unpersist frames kept for the derivation (see ``churn_tables(persist_shared=True)``)."""
+        for df in self.cached:
+            df.unpersist()
+        self.cached.clear()
 
     def as_dict(self) -> dict[str, DataFrame]:
         """The nine relational tables by name (predictions live in their own history table)."""
@@ -89,7 +97,13 @@ def mark_principal(contracts: DataFrame) -> DataFrame:
             .drop("_principal"))
 
 
-def churn_tables(spark: SparkSession, sf_dir: str) -> ChurnTables:
+def churn_tables(spark: SparkSession, sf_dir: str, persist_shared: bool = False) -> ChurnTables:
+    """Derive the churn tables from the driver tables (lazy).
+
+    ``persist_shared`` keeps the line-order join (the input of contracts,
+    complaints and payments) for the duration of a multi-table write; call
+    ``release()`` afterwards.
+    """
     customer = read_driver(spark, sf_dir, "customer")
     nation = read_driver(spark, sf_dir, "nation")
     region = read_driver(spark, sf_dir, "region")
@@ -136,6 +150,10 @@ def churn_tables(spark: SparkSession, sf_dir: str) -> ChurnTables:
                             F.col("p_retailprice").alias("precio_mensual"))
 
     lo = _lines_with_orders(lineitem, orders)
+    cached = []
+    if persist_shared:
+        lo = lo.persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(lo)
     contratos = mark_principal(
         lo.filter(F.col("order_d") <= T)
         .select(_line_key().alias("id_contrato"),
@@ -180,4 +198,4 @@ def churn_tables(spark: SparkSession, sf_dir: str) -> ChurnTables:
     parametros = spark.range(1).select(F.lit(1).alias("id"), T.alias("fecha_referencia"))
 
     return ChurnTables(clientes, sucursales, servicios, contratos, facturas, pagos, reclamos,
-                       interacciones, parametros, T)
+                       interacciones, parametros, T, cached)

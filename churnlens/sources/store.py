@@ -75,9 +75,12 @@ def materialize(spark: SparkSession, sf_dir: str) -> str:
     if _complete(spark, final):
         return final
     tmp = final + ".tmp-" + uuid.uuid4().hex[:12]
-    t = churn_tables(spark, sf_dir)
-    for name, df in t.as_dict().items():
-        df.write.mode("overwrite").parquet(os.path.join(tmp, name))
+    t = churn_tables(spark, sf_dir, persist_shared=True)
+    try:
+        for name, df in t.as_dict().items():
+            df.write.mode("overwrite").parquet(os.path.join(tmp, name))
+    finally:
+        t.release()
     written = _read(spark, tmp)
     customer_intake(spark, sf_dir, tables=written).write.mode("overwrite").parquet(os.path.join(tmp, INTAKE))
     fs, p = _fs_and_path(spark, os.path.join(tmp, "_COMPLETE"))
