@@ -138,3 +138,12 @@ def test_csv_export_sorted(spark, tmp_path, customers_df):
     back = spark.read.option("header", True).csv(out)
     assert back.columns == ["id_cliente", "nombre"]
     assert sorted(r[0] for r in back.collect()) == ["CXM0001", "CXM0002", "CXM0003", "CXM0004"]
+
+
+def test_view_partition_independent(rel):
+    def run(n):
+        r = {k: v.repartition(n) for k, v in rel.items()}
+        v = customer_behavior(r["clientes"], r["sucursales"], r["servicios"], r["contratos"], r["reclamos"],
+                              r["facturas"], r["pagos"], dt.date(2026, 6, 28))
+        return sorted(map(tuple, v.collect()), key=str)
+    assert run(1) == run(5)
