@@ -135,3 +135,42 @@ def test_fixed2_text_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     for r in df.select("x", fixed2_text(F.col("x")).alias("t")).collect():
         assert r["t"] == f"{r['x']:.2f}", r["x"]
+
+
+def test_typed_load_keeps_rows(spark):
+    from churnlens.functions.coerce import coerce_numeric_columns
+    df = spark.createDataFrame([("A", "12", "dato invalido"), ("B", " 7 ", "3.5"), ("C", "1e2", "12d")],
+                               "id_cliente string, antiguedad_meses string, monto_mensual string")
+    rows = {r["id_cliente"]: r for r in coerce_numeric_columns(df).collect()}
+    assert len(rows) == 3
+    assert rows["A"]["antiguedad_meses"] == 12.0 and rows["A"]["monto_mensual"] is None
+    assert rows["B"]["antiguedad_meses"] == 7.0 and rows["C"]["antiguedad_meses"] == 100.0
+    assert rows["C"]["monto_mensual"] is None  # '12d' is not a number for the reference
+
+
+def test_sort_rules(spark):
+    df = spark.createDataFrame([("C2", None), ("C1", 5.0), ("C3", 5.0), ("C0", 1.0)],
+                               "id_cliente string, monto_mensual double")
+    desc = [r["id_cliente"] for r in explore.sort_customers(df, "monto_mensual", False).collect()]
+    asc = [r["id_cliente"] for r in explore.sort_customers(df, "monto_mensual", True).collect()]
+    assert desc == ["C1", "C3", "C0", "C2"] and asc == ["C0", "C1", "C3", "C2"]
+    assert explore.sort_customers(df, "nombre", True) is df  # not sortable -> unchanged
+
+
+def test_options_case_folded_order(spark):
+    df = spark.createDataFrame([("1", "b"), ("2", "A"), ("3", " a "), ("4", ""), ("5", None), ("0", "B")],
+                               "id_cliente string, plan string")
+    # case-folded order; equal keys keep first appearance in id order
+    assert [r["valor"] for r in explore.distinct_options(df, "plan").collect()] == ["A", "a", "B", "b"]
+
+
+def test_display_projection_and_labels(customers):
+    t = explore.display_table(customers, ["nombre", "no_existe", "abandono"])
+    assert t.columns == ["nombre", "abandono"]
+    lab = explore.display_labels(metrics.churn_by_category(customers, "ciudad"))
+    assert lab.columns[0] == "Ciudad"
+
+
+def test_title_case_accents(spark):
+    r = spark.range(1).select(title_case(F.lit("  ñuñoa   árbol-VERDE ")).alias("t")).first()
+    assert r["t"] == "  Ñuñoa   Árbol-Verde "
