@@ -104,12 +104,24 @@ def _read(spark: SparkSession, folder: str) -> ChurnTables:
 _OPENED: dict[tuple[str, str], ChurnTables] = {}
 
 
+def _store_usable(spark: SparkSession) -> bool:
+    """File-system access needs a classic (JVM-backed) session; otherwise derive lazily."""
+    try:
+        spark._jvm  # noqa: B018
+        return spark._jvm is not None
+    except Exception:  # noqa: BLE001
+        return False
+
+
 def stored_tables(spark: SparkSession, sf_dir: str) -> ChurnTables:
     """The churn tables of ``sf_dir``, materialised on first use.
 
     The opened DataFrames are reused within a session (keyed by the snapshot
-    folder, so changed inputs are still picked up).
+    folder, so changed inputs are still picked up).  Without file-system
+    access (e.g. a remote client session) the tables are derived lazily.
     """
+    if not _store_usable(spark):
+        return churn_tables(spark, sf_dir)
     folder = materialize(spark, sf_dir)
     key = (spark.sparkContext.applicationId, folder)
     if key not in _OPENED:
@@ -118,4 +130,7 @@ def stored_tables(spark: SparkSession, sf_dir: str) -> ChurnTables:
 
 
 def stored_intake(spark: SparkSession, sf_dir: str):
+    if not _store_usable(spark):
+        from churnlens.sources.intake import customer_intake
+        return customer_intake(spark, sf_dir)
     return spark.read.parquet(os.path.join(materialize(spark, sf_dir), INTAKE))
