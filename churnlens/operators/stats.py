@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from churnlens import config
 from churnlens.functions.coerce import number
-from churnlens.functions.stats import direction_of, pairwise_pearson
+from churnlens.functions.stats import direction_of
 from churnlens.functions.text import state_label
 from churnlens.operators.quantiles import exact_quantiles
 
@@ -28,31 +28,39 @@ def correlation_columns(df: DataFrame, variables=config.CORRELATION_VARIABLES) -
     return valid
 
 
+def _pearson_sql(a: str, b: str) -> str:
+    """Pairwise-complete Pearson r of columns a, b as one SQL aggregate expression.
+
+    ``corr`` raises DIVIDE_BY_ZERO under ANSI for a constant column; built from
+    population moments with ``try_divide`` it yields NULL instead.
+    """
+    both = f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL"
+    x, y = f"CASE WHEN {both} THEN `{a}` END", f"CASE WHEN {both} THEN `{b}` END"
+    den = f"stddev_pop({x}) * stddev_pop({y})"
+    return f"try_divide(covar_pop({x}, {y}), CASE WHEN {den} > 0 THEN {den} END)"
+
+
 def correlation_long(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Long Pearson matrix (variable_x, variable_y, pos_x, pos_y, coeficiente).
 
     One aggregate pass computes all n(n-1)/2 pairs with pairwise-complete
-    masks; a constant column yields NULL (not a division error).
+    masks (plus the diagonal: NULL for a constant column); a constant column
+    yields NULL, not a division error.  The expressions are written as SQL
+    text so the plan is built in a few calls whatever the number of pairs.
     """
     cols = columns if columns is not None else correlation_columns(df)
     num = df.select(*[number(df, c).alias(c) for c in cols])
-    aggs = []
-    for i, a in enumerate(cols):
-        # diagonal: 1 unless the column is constant / has < 2 values -> NULL
-        aggs.append(pairwise_pearson(F.col(a), F.col(a)).alias(f"r_{i}_{i}"))
-        for j in range(i + 1, len(cols)):
-            aggs.append(pairwise_pearson(F.col(a), F.col(cols[j])).alias(f"r_{i}_{j}"))
+    aggs = [F.expr(_pearson_sql(a, cols[j])).alias(f"r_{i}_{j}")
+            for i, a in enumerate(cols) for j in range(i, len(cols))]
     one = num.agg(*aggs)
     cells = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            lo, hi = min(i, j), max(i, j)
-            r = F.col(f"r_{lo}_{hi}")
-            if i == j:
-                r = F.when(r.isNotNull(), F.lit(1.0))
-            cells.append(F.struct(F.lit(a).alias("variable_x"), F.lit(b).alias("variable_y"),
-                                  F.lit(i).alias("pos_x"), F.lit(j).alias("pos_y"), r.alias("coeficiente")))
-    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+            r = f"r_{min(i, j)}_{max(i, j)}"
+            r = f"CASE WHEN {r} IS NOT NULL THEN 1.0D END" if i == j else r
+            cells.append(f"'{a}', '{b}', {i}, {j}, {r}")
+    stack = f"stack({len(cells)}, {', '.join(cells)}) AS (variable_x, variable_y, pos_x, pos_y, coeficiente)"
+    return one.selectExpr(stack)
 
 
 def correlation_with_target(matrix: DataFrame, target: str = config.TARGET_COLUMN,
