@@ -164,6 +164,8 @@ def positive_probability(pred: DataFrame) -> Column:
 def score(model: PipelineModel, df: DataFrame, features: list[str] | None = None,
           id_col: str = config.ID_COLUMN) -> DataFrame:
     """K9: (id_cliente, probabilidad_churn rounded 4, nivel_riesgo on the unrounded value)."""
+    if df.isEmpty():  # one-row probe, not a count
+        raise ValueError("El DataFrame de entrada esta vacio.")
     if id_col not in df.columns:
         raise ValueError("Falta la columna obligatoria 'id_cliente'.")
     if features:
