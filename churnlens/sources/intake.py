@@ -9,6 +9,8 @@ gives the same values.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +39,13 @@ def read_customer_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = (spark.read.option("header", True).option("inferSchema", False)
            .option("mode", "PERMISSIVE").csv(path))
     df = na_tokens_to_null(normalize_headers(raw)).withColumn("_file", F.input_file_name())
-    files = sorted(r[0] for r in df.select("_file").distinct().collect())
+    # file listing metadata, no data pass; compared without the scheme prefix, whose
+    # spelling differs between the listing and input_file_name()
+    files = sorted({re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", f) for f in raw.inputFiles()})
+    file_col = F.regexp_replace(F.col("_file"), r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
     src = F.lit(None).cast("int")
     for i, f in enumerate(files):
-        src = F.when(F.col("_file") == f, F.lit(i)).otherwise(src)
+        src = F.when(file_col == f, F.lit(i)).otherwise(src)
     return df.withColumns({"_src": src, "_pos": F.monotonically_increasing_id()}).drop("_file")
 
 
