@@ -15,6 +15,7 @@ import json
 import os
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -205,25 +206,27 @@ def train(view: DataFrame, strict_features: bool = False, fit_logistic: bool = T
           target: str = config.TARGET_COLUMN) -> TrainedModels:
     """K8: split, fit preprocessing + tree + logistic on the training rows, evaluate on the test rows.
 
-    The training frame is persisted once (the tree and the logistic
-    regression make many passes over it) and released afterwards.
+    The labelled rows (features, target, split flag only) are persisted once:
+    the statistics, the tree and the logistic regression make many passes
+    over them; they are released afterwards.
     """
     cats, nums = features_of(view, strict=strict_features)
-    base = view.filter(F.col(target).isin(0, 1)).withColumn("_test", split_flag(view))
-    train_df, weight_sum = _weighted(base.filter(~F.col("_test")), target)
-    test_df = base.filter(F.col("_test")).withColumn(LABEL, F.col(target).cast("double"))
-    stats = fit_preprocessing(train_df, cats, nums)
-    prep = preprocessing_stages(cats, nums, stats)
-    train_df = train_df.persist()
+    keep = [c for c in dict.fromkeys(cats + nums + [target])]
+    base = (view.filter(F.col(target).isin(0, 1)).withColumn("_test", split_flag(view))
+            .select(*keep, "_test").persist(StorageLevel.MEMORY_AND_DISK))
     try:
+        train_df, weight_sum = _weighted(base.filter(~F.col("_test")), target)
+        test_df = base.filter(F.col("_test")).withColumn(LABEL, F.col(target).cast("double"))
+        stats = fit_preprocessing(train_df, cats, nums)
+        prep = preprocessing_stages(cats, nums, stats)
         tree = Pipeline(stages=prep + [tree_classifier()]).fit(train_df)
         logistic = (Pipeline(stages=prep + [logistic_classifier(weight_sum)]).fit(train_df)
                     if fit_logistic else None)
+        m_tree = evaluate(tree.transform(test_df)).first().asDict()
+        m_log = evaluate(logistic.transform(test_df)).first().asDict() if logistic is not None else {
+            k: None for k in ("accuracy", "recall", "precision", "f1")}
     finally:
-        train_df.unpersist()
-    m_tree = evaluate(tree.transform(test_df)).first().asDict()
-    m_log = evaluate(logistic.transform(test_df)).first().asDict() if logistic is not None else {
-        k: None for k in ("accuracy", "recall", "precision", "f1")}
+        base.unpersist()
     meta = {
         "modelo_nombre": config.MODEL_NAME, "version": config.MODEL_VERSION,
         "features": cats + nums, "categoricas": cats, "clase_positiva": 1, "indice_clase_positiva": 1,

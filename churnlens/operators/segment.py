@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -47,21 +48,29 @@ class Scaler:
 
 
 def fit_scaler(df: DataFrame) -> Scaler:
-    """K1 + K2 statistics: exact medians, then mean / population std of the imputed columns."""
+    """K1 + K2 statistics: exact medians, then mean / population std of the imputed columns.
+
+    All passes read one persisted projection of the seven coerced features,
+    so the input (e.g. the analytic view with its joins) is computed once.
+    """
     missing = missing_features(df)
     if missing:
         raise ValueError("Faltan columnas requeridas para segmentacion: " + ", ".join(missing))
-    first = df.agg(F.count(F.lit(1)).alias("_n"),
-                   *[F.count(number(df, c)).alias(f"n_{c}") for c in FEATURES]).first()
-    if first["_n"] == 0:
-        raise ValueError("No hay registros suficientes para segmentar clientes.")
-    for c in FEATURES:
-        if first[f"n_{c}"] == 0:
-            raise ValueError("La columna requerida para segmentacion no contiene valores numericos validos: " + c)
-    medians = {c: float(v) for c, v in exact_medians(df, {c: number(df, c) for c in FEATURES}).items()}
-    imputed = {c: F.coalesce(number(df, c), F.lit(medians[c])) for c in FEATURES}
-    second = df.agg(*[F.avg(imputed[c]).alias(f"m_{c}") for c in FEATURES],
-                    *[F.stddev_pop(imputed[c]).alias(f"s_{c}") for c in FEATURES]).first()
+    proj = df.select(*[number(df, c).alias(c) for c in FEATURES]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        first = proj.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"n_{c}") for c in FEATURES]).first()
+        if first["_n"] == 0:
+            raise ValueError("No hay registros suficientes para segmentar clientes.")
+        for c in FEATURES:
+            if first[f"n_{c}"] == 0:
+                raise ValueError("La columna requerida para segmentacion no contiene valores numericos validos: "
+                                 + c)
+        medians = {c: float(v) for c, v in exact_medians(proj, {c: F.col(c) for c in FEATURES}).items()}
+        imputed = {c: F.coalesce(F.col(c), F.lit(medians[c])) for c in FEATURES}
+        second = proj.agg(*[F.avg(imputed[c]).alias(f"m_{c}") for c in FEATURES],
+                          *[F.stddev_pop(imputed[c]).alias(f"s_{c}") for c in FEATURES]).first()
+    finally:
+        proj.unpersist()
     means = {c: float(second[f"m_{c}"]) for c in FEATURES}
     scales = {c: float(second[f"s_{c}"]) for c in FEATURES}
     return Scaler(medians, means, scales)
