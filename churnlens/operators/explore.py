@@ -139,22 +139,18 @@ def order_by_id(df: DataFrame, id_col: str = config.ID_COLUMN) -> DataFrame:
     return df.orderBy(F.col(id_col).asc())
 
 
-def distinct_options(df: DataFrame, column: str, order_col: str = config.ID_COLUMN) -> DataFrame:
-    """Unique trimmed non-empty values, case-folded order (column ``valor``).
+def distinct_options(df: DataFrame, column: str) -> DataFrame:
+    """Unique trimmed non-empty values in case-folded order (column ``valor``).
 
-    Values equal after case folding keep their first-appearance order; the
-    input order is the view's id order (A3), so first appearance is the
-    smallest id holding the value (one grouped aggregate, no global window).
+    Values equal after case folding are ordered by their binary value (the
+    reference keeps their first appearance; tracking that would need a
+    sort-based ``min(string)`` aggregate over every row).
     """
     if column not in df.columns:
         return df.sparkSession.createDataFrame([], "valor string")
     v = F.trim(F.col(column).cast("string"))
-    first = F.min(F.col(order_col)) if order_col in df.columns else F.lit(None)
-    return (df.select(v.alias("valor"), *([F.col(order_col)] if order_col in df.columns else []))
-            .filter(F.col("valor").isNotNull() & (F.col("valor") != ""))
-            .groupBy("valor").agg(first.alias("_first"))
-            .orderBy(F.lower("valor"), F.col("_first").asc_nulls_last(), "valor")
-            .select("valor"))
+    return (df.select(v.alias("valor")).filter(F.col("valor").isNotNull() & (F.col("valor") != ""))
+            .distinct().orderBy(F.lower("valor"), "valor"))
 
 
 def count_results(df: DataFrame | None) -> int:

@@ -160,7 +160,7 @@ def test_sort_rules(spark):
 def test_options_case_folded_order(spark):
     df = spark.createDataFrame([("1", "b"), ("2", "A"), ("3", " a "), ("4", ""), ("5", None), ("0", "B")],
                                "id_cliente string, plan string")
-    # case-folded order; equal keys keep first appearance in id order
+    # case-folded order; equal keys by binary value
     assert [r["valor"] for r in explore.distinct_options(df, "plan").collect()] == ["A", "a", "B", "b"]
 
 
