@@ -72,8 +72,9 @@ contratos AS (
   SELECT *, CAST(CASE WHEN estado = 'activo' AND rk = 1 THEN 1 ELSE 0 END AS INTEGER) AS es_principal
   FROM (
     SELECT *, rank() OVER (PARTITION BY id_cliente, estado = 'activo'
-                           ORDER BY monto_mensual DESC, id_servicio DESC, tipo_contrato DESC,
-                                    id_contrato DESC) AS rk
+                           ORDER BY round(monto_mensual * 100) DESC, id_servicio DESC,
+                                    CAST(split_part(id_contrato, '-', 1) AS BIGINT) DESC,
+                                    CAST(split_part(id_contrato, '-', 2) AS BIGINT) DESC) AS rk
     FROM contratos_raw) x
 ),
 reclamos AS (

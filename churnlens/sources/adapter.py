@@ -76,25 +76,40 @@ def _lines_with_orders(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     return lines.join(heads, lines.l_orderkey == heads.o_orderkey)
 
 
+def principal_key(contracts: DataFrame) -> Column:
+    """Order of the principal pick as ONE exact decimal(38,0):
+    (amount in cents, service id, order key, line number), most significant first.
+
+    Field widths fit the derived contracts (cents < 1e14, service < 1e11,
+    order key < 1e12, line number < 10); with a single numeric key the
+    per-customer maximum is a hash aggregate instead of a sort-based
+    ``max(struct)``.
+    """
+    dec = "decimal(38,0)"
+    order_key = F.split(F.col("id_contrato"), "-").getItem(0).cast(dec)
+    line_no = F.split(F.col("id_contrato"), "-").getItem(1).cast(dec)
+    cents = F.round(F.col("monto_mensual") * 100).cast(dec)
+    return (cents * F.lit(Decimal(10 ** 24)).cast(dec) + F.col("id_servicio").cast(dec) * F.lit(Decimal(10 ** 13))
+            .cast(dec) + order_key * F.lit(Decimal(10)).cast(dec) + line_no)
+
+
 def mark_principal(contracts: DataFrame) -> DataFrame:
     """Flag one principal among each customer's active contracts.
 
-    The principal is the active contract with the largest
-    (monto_mensual, id_servicio, tipo_contrato, id_contrato).  The per-customer
-    maximum is a partial aggregate; joining it back on the whole tuple spreads
-    a hot customer's rows over many partitions instead of one.
+    The principal is the active contract with the largest (amount, service,
+    order key, line number).  The per-customer maximum of that packed key is
+    a partial hash aggregate; joining it back on (customer, key) spreads a hot
+    customer's rows over many partitions instead of one.
     """
-    key_cols = ["monto_mensual", "id_servicio", "tipo_contrato", "id_contrato"]
-    best = (contracts.filter(F.col("estado") == "activo")
-            .groupBy("id_cliente")
-            .agg(F.max(F.struct(*key_cols)).alias("k"))
-            .select("id_cliente", *[F.col(f"k.{c}").alias(c) for c in key_cols])
+    keyed = contracts.withColumn("_pkey", principal_key(contracts))
+    best = (keyed.filter(F.col("estado") == "activo")
+            .groupBy("id_cliente").agg(F.max("_pkey").alias("_pkey"))
             .withColumn("_principal", F.lit(1)))
-    return (contracts.join(best, ["id_cliente", *key_cols], "left")
+    return (keyed.join(best, ["id_cliente", "_pkey"], "left")
             .withColumn("es_principal",
                         F.when((F.col("estado") == "activo") & F.col("_principal").isNotNull(), 1)
                         .otherwise(0).cast("int"))
-            .drop("_principal"))
+            .drop("_principal", "_pkey"))
 
 
 def churn_tables(spark: SparkSession, sf_dir: str, persist_shared: bool = False) -> ChurnTables:
