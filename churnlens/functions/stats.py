@@ -1,4 +1,4 @@
-"""H13 safe percentage, guarded Pearson correlation, correlation direction."""
+"""H13 safe percentage and ratio, correlation direction."""
 
 from __future__ import annotations
 
@@ -18,18 +18,6 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
-def pairwise_pearson(a: Column, b: Column) -> Column:
-    """Pearson r over rows where both are non-null; constant side -> NULL.
-
-    ``corr`` raises DIVIDE_BY_ZERO under ANSI for a constant column, so the
-    ratio is built from population moments with ``try_divide``.
-    """
-    both = a.isNotNull() & b.isNotNull()
-    a2, b2 = F.when(both, a), F.when(both, b)
-    den = F.stddev_pop(a2) * F.stddev_pop(b2)
-    return F.try_divide(F.covar_pop(a2, b2), F.when(den > 0, den))
-
-
 def direction_of(r: Column, threshold: float = config.CORRELATION_THRESHOLD) -> Column:
     return (F.when(r > threshold, config.DIRECTION_POSITIVE)
             .when(r < -threshold, config.DIRECTION_NEGATIVE)

@@ -124,7 +124,3 @@ def distinct_states(df: DataFrame, state_col: str = "estado_abandono") -> DataFr
     """Number of distinct churn states (fewer than two -> not comparable)."""
     return df.agg(F.count_distinct(state_col).alias("estados"),
                   (F.count_distinct(state_col) >= 2).alias("comparable"))
-
-
-def empty_like(df: DataFrame, schema: str | T.StructType) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)

@@ -118,7 +118,3 @@ def boxplot_outliers(points: DataFrame, stats: DataFrame, variable: str) -> Data
     return (points.join(fences, "estado_abandono")
             .filter(~v.between(F.col("limite_inferior"), F.col("limite_superior")))
             .select("estado_abandono", v.alias("valor")))
-
-
-def target_state(df: DataFrame, target: str = config.TARGET_COLUMN):
-    return state_label(number(df, target))

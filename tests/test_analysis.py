@@ -174,3 +174,12 @@ def test_display_projection_and_labels(customers):
 def test_title_case_accents(spark):
     r = spark.range(1).select(title_case(F.lit("  ñuñoa   árbol-VERDE ")).alias("t")).first()
     assert r["t"] == "  Ñuñoa   Árbol-Verde "
+
+
+def test_counts_and_shape(customers):
+    from churnlens.operators import quality
+    assert explore.count_results(None) == 0 and explore.count_results(customers) == 4
+    s = quality.frame_shape(customers).first()
+    assert (s["filas"], s["columnas"]) == (4, 14)
+    assert [r["id_cliente"] for r in explore.order_by_id(customers).collect()] == [
+        "CXM0001", "CXM0002", "CXM0003", "CXM0004"]
