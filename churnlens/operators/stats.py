@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from churnlens import config
 from churnlens.functions.coerce import number
 from churnlens.functions.stats import direction_of
-from churnlens.functions.text import state_label
 from churnlens.operators.quantiles import exact_quantiles
 
 
