@@ -183,3 +183,21 @@ def test_counts_and_shape(customers):
     assert (s["filas"], s["columnas"]) == (4, 14)
     assert [r["id_cliente"] for r in explore.order_by_id(customers).collect()] == [
         "CXM0001", "CXM0002", "CXM0003", "CXM0004"]
+
+
+def test_edge_semantics(spark):
+    df = spark.createDataFrame(
+        [("1", " Santiago ", "1", "2"), ("2", "", "0", "4"), ("3", None, "x", "5"), ("4", "Santiago", "1", None),
+         ("5", "Temuco", "2", "3")],
+        "id_cliente string, ciudad string, abandono string, satisfaccion string")
+    k = metrics.kpis(df).first()
+    # total counts every row; rates use only valid targets (3 of 5); means skip NULLs
+    assert (k["total_clientes"], k["clientes_abandonaron"], k["clientes_permanecen"]) == (5, 2, 1)
+    assert k["tasa_abandono"] == pytest.approx(200 / 3)
+    assert k["satisfaccion_promedio"] == pytest.approx(3.5)
+    rows = metrics.churn_by_category(df, "ciudad").collect()
+    assert [(r["ciudad"], r["total_clientes"], r["clientes_abandonaron"]) for r in rows] == [("Santiago", 2, 2)]
+    # only one churn state present -> no difference sentences
+    only_churned = df.filter("abandono = '1'")
+    out = [r["conclusion"] for r in conclusions.difference_sentences(only_churned).collect()]
+    assert out == []
