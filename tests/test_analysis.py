@@ -201,3 +201,25 @@ def test_edge_semantics(spark):
     only_churned = df.filter("abandono = '1'")
     out = [r["conclusion"] for r in conclusions.difference_sentences(only_churned).collect()]
     assert out == []
+
+
+def _ids(df):
+    return sorted(r["id_cliente"] for r in df.collect())
+
+
+def test_analysis_filters(customers):
+    assert _ids(explore.analysis_filter(customers, cities=["Santiago"])) == ["CXM0001", "CXM0003"]
+    assert _ids(explore.analysis_filter(customers, contract_types=["Mensual"])) == ["CXM0002", "CXM0003"]
+    assert _ids(explore.analysis_filter(customers, plans=["Fibra Plus"])) == ["CXM0003", "CXM0004"]
+    assert _ids(explore.analysis_filter(customers, target=0)) == ["CXM0001", "CXM0004"]
+    assert _ids(explore.analysis_filter(customers, ["Santiago"], ["Mensual"], ["Fibra Plus"], 1)) == ["CXM0003"]
+
+
+def test_no_valid_target_no_division(customers):
+    df = customers.withColumn("abandono", F.when(F.col("id_cliente").isin("CXM0001", "CXM0003"), None)
+                              .otherwise(F.lit("x")))
+    k = metrics.kpis(df).first()
+    assert k["tasa_abandono"] == 0.0 and k["tasa_retencion"] == 0.0
+    assert metrics.churn_by_category(df, "ciudad").count() == 0
+    m = metrics.kpis(customers).first()
+    assert m["monto_mensual_promedio"] == 34490.0 and m["reclamos_promedio"] == 1.5
