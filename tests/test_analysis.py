@@ -223,3 +223,18 @@ def test_no_valid_target_no_division(customers):
     assert metrics.churn_by_category(df, "ciudad").count() == 0
     m = metrics.kpis(customers).first()
     assert m["monto_mensual_promedio"] == 34490.0 and m["reclamos_promedio"] == 1.5
+
+
+def test_customer_service_ports(customers):
+    assert [r["id_cliente"] for r in explore.search(customers, "ana").collect()] == ["CXM0001"]
+    assert [r["nombre"] for r in explore.search(customers, "cxm0002").collect()] == ["Luis Paredes"]
+    got = explore.filter_customers(customers, "CXM", ["Santiago"], ["Mensual"], ["Fibra Plus"], 1)
+    assert _ids(got) == ["CXM0003"]
+    assert explore.lookup(customers, "CXM0001").first()["nombre"] == "Ana Rojas"
+    assert explore.search(customers.limit(0), "x").count() == 0
+    assert [r["valor"] for r in explore.distinct_options(customers, "ciudad").collect()] == [
+        "Santiago", "Temuco", "Valparaiso"]
+    asc = explore.sort_customers(customers, "monto_mensual", True).collect()
+    assert [r["id_cliente"] for r in asc] == ["CXM0002", "CXM0003", "CXM0004", "CXM0001"]
+    desc = explore.sort_customers(customers, "satisfaccion", False).collect()
+    assert [r["id_cliente"] for r in desc] == ["CXM0001", "CXM0004", "CXM0002", "CXM0003"]
