@@ -147,3 +147,12 @@ def test_view_partition_independent(rel):
                               r["facturas"], r["pagos"], dt.date(2026, 6, 28))
         return sorted(map(tuple, v.collect()), key=str)
     assert run(1) == run(5)
+
+
+def test_empty_view_keeps_contract(rel):
+    from churnlens.plans.behavior import VIEW_COLUMNS
+    empty = rel["clientes"].limit(0)
+    v = customer_behavior(empty, rel["sucursales"], rel["servicios"], rel["contratos"], rel["reclamos"],
+                          rel["facturas"], rel["pagos"], dt.date(2026, 6, 28))
+    assert v.count() == 0
+    assert v.columns == [c for c in VIEW_COLUMNS if c != "edad"]
