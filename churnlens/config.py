@@ -302,3 +302,4 @@ MSG_VIEW_MISSING = "La vista de clientes no contiene columnas obligatorias: "
 
 # Spark-side tunables (ours, not the reference's)
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+MAX_DECIMAL_EXPONENT = 308  # largest decimal exponent a double-precision text parser accepts

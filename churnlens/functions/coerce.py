@@ -9,11 +9,29 @@ from pyspark.sql import types as T
 from churnlens import config
 
 
+def _decimal_exponent(t: Column) -> Column:
+    """The power of ten a pandas-style text parser scales its digits by.
+
+    Leading integer zeros are skipped, at most 17 significant digits are
+    kept (extra integer digits raise the exponent, extra fraction digits are
+    dropped) and every kept fraction digit lowers it.
+    """
+    exp = F.coalesce(F.regexp_extract(t, r"[eE]([+-]?[0-9]+)$", 1).try_cast("double"), F.lit(0.0))
+    li = F.length(F.regexp_extract(t, r"^[+-]?0*([0-9]*)", 1))
+    lf = F.length(F.regexp_extract(t, r"\.([0-9]*)", 1))
+    kept_frac = F.least(lf, F.greatest(F.lit(17) - li, F.lit(0)))
+    return exp - kept_frac + F.greatest(li - F.lit(17), F.lit(0))
+
+
 def _string_to_number(c: Column) -> Column:
     # Spark's try_cast also accepts suffixes such as '12d' / '1f'; the guard
-    # regex keeps exactly plain decimal / scientific notation.
+    # regex keeps exactly plain decimal / scientific notation.  Like the
+    # reference's parser, a decimal exponent beyond 308 or an overflow to
+    # infinity is a missing value (underflow gives 0).
     t = F.trim(c)
-    return F.when(t.rlike(config.NUMBER_PATTERN), t.try_cast("double"))
+    v = t.try_cast("double")
+    in_range = (_decimal_exponent(t) <= config.MAX_DECIMAL_EXPONENT) & (F.abs(v) != F.lit(float("inf")))
+    return F.when(t.rlike(config.NUMBER_PATTERN) & in_range, v)
 
 
 def number(df: DataFrame, name: str) -> Column:
