@@ -11,7 +11,7 @@ from churnlens.functions.coerce import number
 from churnlens.functions.formats import fixed2_text, np_round
 from churnlens.functions.text import basic_text, title_case
 
-SETTINGS = settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+SETTINGS = settings(max_examples=6, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 @SETTINGS
