@@ -30,7 +30,10 @@ def _string_to_number(c: Column) -> Column:
     # infinity is a missing value (underflow gives 0).
     t = F.trim(c)
     v = t.try_cast("double")
-    in_range = (_decimal_exponent(t) <= config.MAX_DECIMAL_EXPONENT) & (F.abs(v) != F.lit(float("inf")))
+    # only text with an exponent, or longer than any in-range plain number, can leave the range
+    may_overflow = t.contains("e") | t.contains("E") | (F.length(t) > config.MAX_DECIMAL_EXPONENT)
+    in_range = F.when(may_overflow, (_decimal_exponent(t) <= config.MAX_DECIMAL_EXPONENT)
+                      & (F.abs(v) != F.lit(float("inf")))).otherwise(F.lit(True))
     return F.when(t.rlike(config.NUMBER_PATTERN) & in_range, v)
 
 

@@ -85,12 +85,12 @@ def clean_texts(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def _not_convertible(df: DataFrame, c: str) -> Column:
+def _not_convertible(df: DataFrame, c: str, coerced: Column) -> Column:
     """Cleaner flavour of D18: non-blank after trim and not a number."""
     if isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType)):
         return F.lit(False)
     raw = F.trim(F.col(c).cast("string"))
-    return F.coalesce(raw != "", F.lit(False)) & number(df, c).isNull()
+    return F.coalesce(raw != "", F.lit(False)) & coerced.isNull()
 
 
 def _out_of_range(v: Column, lo, hi) -> Column:
@@ -123,9 +123,11 @@ def stage(df: DataFrame, order=ORDER) -> Staged:
     x = x.withColumn("_kept", ~F.col("_blank") & F.col("_first"))
     x = clean_texts(x)
     numeric = [c for c in config.CLEAN_NUMERIC_COLUMNS if c in x.columns]
-    flags = {f"_nc_{c}": _not_convertible(x, c) for c in numeric}
-    values = {c: number(x, c) for c in numeric}
-    x = x.withColumns(flags).withColumns(values)
+    # coerce each column once; the non-convertible flag reuses the coerced value
+    x = x.withColumns({f"_v_{c}": number(x, c) for c in numeric})
+    flags = {f"_nc_{c}": _not_convertible(x, c, F.col(f"_v_{c}")) for c in numeric}
+    x = (x.withColumns(flags).withColumns({c: F.col(f"_v_{c}") for c in numeric})
+         .drop(*[f"_v_{c}" for c in numeric]))
     ranged = [c for c in config.CLEAN_VALID_RANGES if c in numeric]
     oor = {f"_oor_{c}": _out_of_range(F.col(c), *config.CLEAN_VALID_RANGES[c]) for c in ranged}
     x = x.withColumns(oor).withColumns({c: F.when(~F.col(f"_oor_{c}"), F.col(c)) for c in ranged})

@@ -103,28 +103,36 @@ def quality_report(df: DataFrame, ignore=IGNORED) -> DataFrame:
     """
     cols = data_columns(df, ignore)
     present = set(cols)
+    idc, tgt = config.ID_COLUMN, config.TARGET_COLUMN
+    numeric = [c for c in config.NUMERIC_COLUMNS if c in present]
+    # every numeric column is coerced once, in a projection the aggregates share
+    x = df.select(*cols, *[number(df, c).alias(f"__n_{c}") for c in numeric])
+
+    def num(c: str):
+        return F.col(f"__n_{c}")
+
     aggs = [F.count(F.lit(1)).alias("filas")]
     for i, c in enumerate(cols):
         aggs.append(F.count_if(is_missing(df, c)).alias(f"m{i}"))
-    idc, tgt = config.ID_COLUMN, config.TARGET_COLUMN
     aggs.append(duplicate_ids(F.col(idc)).alias("dup") if idc in present else F.lit(0).cast("bigint").alias("dup"))
-    numeric = [c for c in config.NUMERIC_COLUMNS if c in present]
     for i, c in enumerate(numeric):
-        aggs.append(F.count_if(not_convertible(df, c)).alias(f"nn{i}"))
+        text_like = not isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))
+        nn = (F.col(c).isNotNull() & num(c).isNull()) if text_like else F.lit(False)
+        aggs.append(F.count_if(nn).alias(f"nn{i}"))
     if tgt in present:
-        t = number(df, tgt)
-        aggs.append(F.count_if(F.col(tgt).isNotNull() & ~F.coalesce(t.isin(*[float(v) for v in config.TARGET_VALUES]),
-                                                                    F.lit(False))).alias("badt"))
+        aggs.append(F.count_if(F.col(tgt).isNotNull()
+                               & ~F.coalesce(num(tgt).isin(*[float(v) for v in config.TARGET_VALUES]),
+                                             F.lit(False))).alias("badt"))
     nonneg = [c for c in config.NON_NEGATIVE_COLUMNS if c in present]
     for i, c in enumerate(nonneg):
-        aggs.append(F.count_if(number(df, c) < 0).alias(f"neg{i}"))
+        aggs.append(F.count_if(num(c) < 0).alias(f"neg{i}"))
     if "satisfaccion" in present:
-        s = number(df, "satisfaccion")
+        s = num("satisfaccion")
         aggs.append(F.count_if((s < config.SATISFACTION_MIN) | (s > config.SATISFACTION_MAX)).alias("sat"))
     if "edad" in present:
-        a = number(df, "edad")
+        a = num("edad")
         aggs.append(F.count_if((a < config.AGE_MIN_REASONABLE) | (a > config.AGE_MAX_REASONABLE)).alias("age"))
-    one = df.agg(*aggs)
+    one = x.agg(*aggs)
 
     rows = []
 
