@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import mixing, packing, tokencount
+from churnlens.llm import (flatgraph, htmltext, langid, mixing, packing, simhash, tokencount, topk, urlrules,
+                           wavelet)
 from churnlens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,88 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS iv FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.iv, c.iv)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op1_exact_top_k", TOPK_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_main_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+URL_SQL = r"""
+WITH u AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest,
+         CASE WHEN contains(url, '://') THEN split_part(url, '://', 1) ELSE '' END AS scheme FROM pages),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+t AS (SELECT *, rest[length(raw) + 1:] AS tail FROM h),
+p AS (SELECT page_id, scheme, tail, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(tail, '^[^?#]*') AS path FROM t),
+k AS (
+  SELECT page_id, host, path, list_sort(list_distinct(
+    ['s:' || scheme]
+    || list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x)
+    || list_transform(list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda x: x <> ''),
+                      lambda x: 'p:' || x)
+    || list_transform(list_filter(string_split(regexp_extract(tail[length(path) + 1:], '^\?([^#]*)', 1), '&'),
+                                  lambda x: x <> ''), lambda x: 'q:' || x)
+    || list_filter(['f:' || regexp_extract(tail, '#((?s:.*))$', 1)], lambda x: x <> 'f:'))) AS tokens,
+    try_cast(regexp_extract(path, '/([0-9]{1,18})(?:[./][^/]*)?$', 1) AS BIGINT) AS doc
+  FROM p),
+l AS (SELECT doc_id, bool_or(coalesce(toxic = 1, false) OR coalesce(quality = 0, false)) AS blocked FROM labels
+      WHERE doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL) GROUP BY doc_id),
+sets AS (SELECT DISTINCT tokens FROM k),
+part AS (
+  SELECT tokens, list_sort(list_filter(tokens, lambda x, i: (m >> (i - 1)::BIGINT) & 1 = 1)) AS items
+  FROM (SELECT tokens, unnest(range(1, 1::BIGINT << len(tokens))) AS m FROM sets)),
+labelled AS (SELECT k.tokens, l.blocked FROM k JOIN l ON k.doc = l.doc_id),
+freq AS (SELECT items, count(*) AS n, count(*) FILTER (blocked) AS b FROM labelled JOIN part USING (tokens) GROUP BY items),
+least AS (SELECT greatest(ceil(0.002 * count(*)), 5) AS c FROM labelled),
+rules AS (SELECT items FROM freq, least WHERE b >= c AND b::DOUBLE / n >= 0.6),
+bad AS (SELECT DISTINCT tokens FROM part JOIN rules USING (items)),
+listed(says, name, dir) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+  ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+best AS (
+  SELECT k.host, k.path, max_by(says, length(name || dir)) AS says, max_by(name || dir, length(name || dir)) AS rule
+  FROM (SELECT DISTINCT host, path FROM k) k JOIN listed
+    ON (k.host = name OR ends_with(k.host, '.' || name)) AND starts_with(k.path, dir) GROUP BY ALL)
+SELECT k.page_id, k.host, k.path, best.rule,
+       coalesce(best.says, CASE WHEN bad.tokens IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM k LEFT JOIN best ON k.host = best.host AND k.path = best.path LEFT JOIN bad ON k.tokens = bad.tokens
+"""
+
+
+@query("op4_url_rules", URL_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = urlrules.mine_rules(urlrules.labelled_urls(pages, read_table(spark, sf_dir, "labels")))
+    return urlrules.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_token_shards")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.corpus_ids(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 0)
+
+
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
@@ -39,6 +122,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2)
 
 
+@query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+COPIES_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+                   WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, e.vec_id = c.c AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = e.vec_id
+JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = e.vec_id
+"""
+
+
+@query("op9_embedding_copies", COPIES_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.near_copies(read_table(spark, sf_dir, "embeddings"))
+
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
