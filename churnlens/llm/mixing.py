@@ -31,8 +31,8 @@ def source_targets(sizes: DataFrame, budget: float = BUDGET, max_repeat: int = M
 
     Targets are weight shares of ``budget`` times all words, stopped at ``max_repeat`` times the source's words;
     the excess goes to the other sources by weight.  In ascending order of limit per weight the stopped sources
-    come first, so one running sum finds the common level.  One row per source meets in one task: a table of
-    sources is small beside the documents.
+    come first, so one running sum finds the common level: that of the first source that is not stopped.  One
+    row per source meets in one task: a table of sources is small beside the documents.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
     numbered = sizes.withColumn("source_no", F.row_number().over(
@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, budget: float = BUDGET, max_repeat: int = M
     level = ((budget * F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
              / F.sum("weight").over(after))
     at = numbered.withColumn("level", level).withColumn("stopped", F.col("most") / F.col("weight") <= F.col("level"))
-    common = F.min(F.when(~F.col("stopped"), F.col("level"))).over(whole)
+    common = F.max(F.when(~F.col("stopped"), F.col("level"))).over(whole)
     return at.select(*sizes.columns, "source_no",
                      F.when(F.col("stopped"), F.col("most")).otherwise(common * F.col("weight")).alias("target"))
 

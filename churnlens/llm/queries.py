@@ -165,7 +165,7 @@ l AS (
 t AS (
   SELECT source, source_size, no,
          CASE WHEN most / wt <= lev THEN most
-              ELSE (SELECT min(lev) FROM l WHERE most / wt > lev) * wt END AS target
+              ELSE (SELECT max(lev) FROM l WHERE most / wt > lev) * wt END AS target
   FROM l),
 c AS (
   SELECT d.doc_id, d.key, d.size, t.no, t.source_size, t.target, k.copy,
