@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from churnlens import config
 
 
+#: ASCII white space, which a numeric text parser skips on both sides.
+WHITE_SPACE = " \t\n\x0b\x0c\r"
+
+
 def _decimal_exponent(t: Column) -> Column:
     """The power of ten a pandas-style text parser scales its digits by.
 
@@ -28,7 +32,7 @@ def _string_to_number(c: Column) -> Column:
     # regex keeps exactly plain decimal / scientific notation.  Like the
     # reference's parser, a decimal exponent beyond 308 or an overflow to
     # infinity is a missing value (underflow gives 0).
-    t = F.trim(c)
+    t = F.trim(c, F.lit(WHITE_SPACE))
     v = t.try_cast("double")
     # only text with an exponent, or longer than any in-range plain number, can leave the range
     may_overflow = t.contains("e") | t.contains("E") | (F.length(t) > config.MAX_DECIMAL_EXPONENT)
@@ -59,7 +63,7 @@ def number_or_null(df: DataFrame, name: str) -> Column:
 
 def is_blank(c: Column) -> Column:
     """NULL or empty after trimming."""
-    return c.isNull() | (F.trim(c.cast("string")) == "")
+    return c.isNull() | (F.trim(c.cast("string"), F.lit(WHITE_SPACE)) == "")
 
 
 def na_tokens_to_null(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from churnlens import config
 from churnlens.functions.coerce import number
 
-IGNORED = ("_src", "_pos")
+IGNORED = ("_src", "_pos", "_sobrante")
 
 
 def data_columns(df: DataFrame, ignore=IGNORED) -> list[str]:
@@ -40,10 +40,13 @@ def not_convertible(df: DataFrame, name: str) -> Column:
     return F.col(name).isNotNull() & number(df, name).isNull()
 
 
-def duplicate_ids(id_col: Column) -> Column:
-    """Rows beyond the first per raw id; all NULL ids count as one value."""
-    return (F.count(F.lit(1)) - F.count_distinct(id_col)
-            - F.max(id_col.isNull().cast("int")).cast("bigint"))
+def duplicate_ids(df: DataFrame, name: str) -> DataFrame:
+    """One row ``dup``: rows beyond the first per raw id; all NULL ids count as one value.
+
+    A narrow aggregate of its own, so that the other counters are not shuffled per distinct id.
+    """
+    return (df.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("dup")))
 
 
 def _fmt(template: str, **kw) -> Column:
@@ -94,7 +97,7 @@ def structure_verdict(df: DataFrame, ignore=IGNORED) -> DataFrame:
 
 
 def quality_report(df: DataFrame, ignore=IGNORED) -> DataFrame:
-    """V2: the non-blocking quality report as long rows, from one aggregate.
+    """V2: the non-blocking quality report as long rows: one aggregate of counters, one of repeated ids.
 
     Rows: ``filas``, ``columnas``, ``faltantes_total``, ``duplicados_id`` always;
     ``faltantes`` per column with n > 0; warnings (``mensaje`` set) for missing
@@ -114,7 +117,6 @@ def quality_report(df: DataFrame, ignore=IGNORED) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("filas")]
     for i, c in enumerate(cols):
         aggs.append(F.count_if(is_missing(df, c)).alias(f"m{i}"))
-    aggs.append(duplicate_ids(F.col(idc)).alias("dup") if idc in present else F.lit(0).cast("bigint").alias("dup"))
     for i, c in enumerate(numeric):
         text_like = not isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))
         nn = (F.col(c).isNotNull() & num(c).isNull()) if text_like else F.lit(False)
@@ -133,6 +135,8 @@ def quality_report(df: DataFrame, ignore=IGNORED) -> DataFrame:
         a = num("edad")
         aggs.append(F.count_if((a < config.AGE_MIN_REASONABLE) | (a > config.AGE_MAX_REASONABLE)).alias("age"))
     one = x.agg(*aggs)
+    dup = duplicate_ids(df, idc).scalar() if idc in present else F.lit(0).cast("bigint")
+    one = one.withColumn("dup", dup)
 
     rows = []
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from churnlens.plans.oracle import BASE, SQL
 
 NUM = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# The customer contract's columns, ranges and fallbacks, repeated so that the SQL is independent.
 COLS = ["id_cliente", "nombre", "ciudad", "antiguedad_meses", "tipo_contrato", "plan", "monto_mensual",
         "reclamos_ultimos_6_meses", "pagos_atrasados", "dias_sin_uso", "satisfaccion", "abandono", "edad",
         "cantidad_servicios"]
@@ -36,7 +37,7 @@ intake AS (
          CAST(reclamos_ultimos_6_meses AS VARCHAR) AS reclamos_ultimos_6_meses,
          CAST(pagos_atrasados AS VARCHAR) AS pagos_atrasados, CAST(dias_sin_uso AS VARCHAR) AS dias_sin_uso,
          CAST(satisfaccion AS VARCHAR) AS satisfaccion, CAST(abandono AS VARCHAR) AS abandono,
-         CAST(NULL AS VARCHAR) AS edad, CAST(cantidad_servicios AS VARCHAR) AS cantidad_servicios,
+         CAST(edad AS VARCHAR) AS edad, CAST(cantidad_servicios AS VARCHAR) AS cantidad_servicios,
          0 AS _src, CAST(id_cliente AS BIGINT) AS _pos
   FROM behavior
   UNION ALL
@@ -54,7 +55,9 @@ intake AS (
          CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR),
          CASE WHEN event_type IN ('purchase', 'view') THEN '0' WHEN event_type = 'signup' THEN '1'
               WHEN event_type = 'click' THEN ' 1 ' ELSE 'x' END,
-         CAST(user_id AS VARCHAR),
+         CASE WHEN event_type = 'view' THEN chr(9) || CAST(user_id AS VARCHAR)
+              WHEN event_type = 'purchase' THEN CAST(user_id AS VARCHAR) || chr(13) || chr(10)
+              ELSE CAST(user_id AS VARCHAR) END,
          CAST(CAST(floor(value / 20) AS BIGINT) AS VARCHAR),
          1, CAST(event_id AS BIGINT)
   FROM events
@@ -63,7 +66,8 @@ intake AS (
 
 
 def num(x: str) -> str:
-    return f"(CASE WHEN regexp_full_match(trim({x}), '{NUM}') THEN TRY_CAST(trim({x}) AS DOUBLE) END)"
+    t = f"regexp_replace({x}, '^[[:space:]]+|[[:space:]]+$', '', 'g')"
+    return f"(CASE WHEN regexp_full_match({t}, '{NUM}') THEN TRY_CAST({t} AS DOUBLE) END)"
 
 
 def with_intake(extra: str, select: str) -> str:

@@ -9,8 +9,6 @@ gives the same values.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,25 +26,47 @@ def normalize_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[str(c).strip() for c in df.columns])
 
 
+#: Column that marks a record with more fields than the header (surplus fields make a file invalid).
+SURPLUS_COLUMN = "_sobrante"
+_CORRUPT = "_registro"
+
+
+def _plain_path(c):
+    """A path without scheme and host, whose spelling differs between a listing and the scan."""
+    return F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+
+
 def read_customer_csv(spark: SparkSession, path: str) -> DataFrame:
     """A1: header CSV, every column text, missing-value tokens -> NULL, stripped headers.
 
-    Input order is (``_src`` = index of the file in path order, ``_pos`` =
-    increasing id within the file, assigned while reading; file splits are
-    deterministic, so the ids are stable on recomputation).  The file list is
-    bounded by the number of files, so its index map is a literal expression.
+    Quoted fields may hold commas, doubled quotes and line breaks (so one file is read by one task: put large
+    inputs in many files).  Records with fewer fields than the header are filled up with NULL; one with more is
+    marked in ``_sobrante`` instead of being cut.  Input order is (``_src``, ``_pos``): the rank of the file's
+    path, joined from the file listing as data, and an id that increases within the file, assigned while reading
+    and stable on recomputation.  An empty input raises, as a reader without a header must.
     """
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("mode", "PERMISSIVE").csv(path))
-    df = na_tokens_to_null(normalize_headers(raw)).withColumn("_file", F.input_file_name())
-    # file listing metadata, no data pass; compared without the scheme prefix, whose
-    # spelling differs between the listing and input_file_name()
-    files = sorted({re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", f) for f in raw.inputFiles()})
-    file_col = F.regexp_replace(F.col("_file"), r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
-    src = F.lit(None).cast("int")
-    for i, f in enumerate(files):
-        src = F.when(file_col == f, F.lit(i)).otherwise(src)
-    return df.withColumns({"_src": src, "_pos": F.monotonically_increasing_id()}).drop("_file")
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "inferSchema": False}
+    header = spark.read.options(**options).csv(path)
+    names = header.columns
+    if not names:
+        raise ValueError(config.MSG_CSV_EMPTY)
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*names, _CORRUPT])
+    raw = (spark.read.options(**options).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+           .option("columnPruning", False).schema(schema).csv(path))
+    # a record of another length than the header is kept whole; without its quoted parts the commas count the fields
+    commas = F.regexp_count(F.regexp_replace(F.col(_CORRUPT), '"([^"]|"")*"', ""), F.lit(","))
+    rows = raw.select(*[F.col(f"`{c.replace('`', '``')}`") for c in names],
+                      F.coalesce(commas >= len(names), F.lit(False)).alias(SURPLUS_COLUMN),
+                      _plain_path(F.col("_metadata.file_path")).alias("_file"),
+                      F.monotonically_increasing_id().alias("_pos"))
+    files = sorted(header.inputFiles())  # listing metadata, no data pass
+    ranks = (spark.createDataFrame([(f, i) for i, f in enumerate(files)], "f string, _src int")
+             .select(_plain_path(F.col("f")).alias("_file"), "_src"))
+    known = rows.join(ranks, "_file", "left")
+    # a file that the listing spells differently keeps its rows, after the others and in path order of its hash
+    src = F.coalesce("_src", F.lit(len(files)) + F.pmod(F.hash("_file"), F.lit(1 << 24))).cast("int")
+    out = known.select(*[F.col(f"`{c.replace('`', '``')}`") for c in names], SURPLUS_COLUMN, src.alias("_src"), "_pos")
+    return na_tokens_to_null(normalize_headers(out))
 
 
 def _text(c):
@@ -95,7 +115,8 @@ def customer_intake(spark: SparkSession, sf_dir: str, tables=None) -> DataFrame:
                      .when(et == "signup", F.lit("1"))
                      .when(et == "click", F.lit(" 1 "))
                      .otherwise(F.lit("x"))),
-        "edad": uid,
+        "edad": F.when(et == "view", F.concat(F.lit("\t"), uid)).when(et == "purchase", F.concat(uid, F.lit("\r\n")))
+                 .otherwise(uid),
         "cantidad_servicios": _text(F.floor(val / 20)),
     }
     batch1 = ev.select(*[cols[c].alias(c) for c in INTAKE_COLUMNS],

@@ -97,8 +97,8 @@ def test_gated_publish(spark, customers):
     bad = {"es_valido": False, "errores": ["x"]}
     st = sinks.publish_intake(spark, None, bad, root, "malo.csv")
     assert st["datos_cargados"] and st["datos_preparados"]  # invalid load keeps active and cleaned data
-    assert spark.read.parquet(os.path.join(root, "activo")).count() == 4
+    assert sinks.read_live(spark, root, "activo").count() == 4
     st = sinks.publish_intake(spark, customers.limit(2), ok, root, "dos.csv")
     assert not st["datos_preparados"]  # a valid load discards stale cleaned data
-    assert spark.read.parquet(os.path.join(root, "activo")).count() == 2
+    assert sinks.read_live(spark, root, "activo").count() == 2
     assert spark.read.parquet(os.path.join(root, "cargas")).count() == 3
