@@ -82,46 +82,55 @@ def fk_orphans(tables: dict[str, DataFrame], foreign_keys=schemas.FOREIGN_KEYS)
     return reduce(DataFrame.unionByName, parts)
 
 
-def _duplicates(cols: list[str]) -> Column:
-    """Rows beyond the first per non-null key."""
-    key = cols[0] if len(cols) == 1 else F.struct(*cols)
-    k = F.col(key) if isinstance(key, str) else key
-    nonnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-    return F.count_if(nonnull) - F.count_distinct(k)
-
-
-def table_violations(name: str, df: DataFrame) -> DataFrame:
-    """C8 for one table: one aggregate, then unpivoted to (tabla, regla, violaciones)."""
-    aggs, rules = [], []
-    for rule, pred in CHECKS.get(name, []):
-        if rule_column(rule, pred) not in df.columns:
-            continue
-        rules.append(f"check_{rule}")
-        aggs.append(F.count_if(~F.coalesce(F.expr(pred), F.lit(True))).alias(rules[-1]))
-    for c in NOT_NULL.get(name, []):
-        if c in df.columns:
-            rules.append(f"not_null_{c}")
-            aggs.append(F.count_if(F.col(c).isNull()).alias(rules[-1]))
+def _count_rules(name: str, df: DataFrame) -> list[tuple[str, Column]]:
+    """Rules of a table that one pass of counters answers: CHECK, NOT NULL, primary key not null."""
+    rules = [(f"check_{rule}", F.count_if(~F.coalesce(F.expr(pred), F.lit(True))))
+             for rule, pred in CHECKS.get(name, []) if rule_column(rule, pred) in df.columns]
+    rules += [(f"not_null_{c}", F.count_if(F.col(c).isNull())) for c in NOT_NULL.get(name, []) if c in df.columns]
     pk = schemas.PRIMARY_KEYS.get(name)
     if pk and all(c in df.columns for c in pk):
-        rules.append("pk_no_nulo")
-        aggs.append(F.count_if(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk])).alias(rules[-1]))
-        rules.append("pk_unico")
-        aggs.append(_duplicates(pk).alias(rules[-1]))
-    for cols in UNIQUE.get(name, []):
-        rules.append("unico_" + "_".join(cols))
-        aggs.append(_duplicates(cols).alias(rules[-1]))
+        rules.append(("pk_no_nulo", F.count_if(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk]))))
+    return rules
+
+
+def _key_rules(name: str, df: DataFrame) -> list[tuple[str, DataFrame]]:
+    """Rules on repeated keys, each with the non-null key rows it looks at."""
+    keys = [("pk_unico", schemas.PRIMARY_KEYS.get(name) or [])]
+    keys += [("unico_" + "_".join(cols), cols) for cols in UNIQUE.get(name, [])]
+    out = [(rule, df.select(*cols).dropna()) for rule, cols in keys if cols and all(c in df.columns for c in cols)]
     if name == "contratos":
         # partial unique index: at most one active principal per customer
-        rules.append("un_principal_activo")
-        aggs.append((F.count_if(_principal_active(df))
-                     - F.count_distinct(F.when(_principal_active(df), F.col("id_cliente")))).alias(rules[-1]))
-    one = df.agg(*aggs)
+        out.append(("un_principal_activo", df.filter(_principal_active(df)).select("id_cliente")))
+    return out
+
+
+def row_violations(name: str, df: DataFrame) -> DataFrame:
+    """The row rules of C8 for one table: counters in one aggregate, as (tabla, regla, violaciones)."""
+    rules = _count_rules(name, df)
+    one = df.agg(*[c.alias(r) for r, c in rules])
     items = F.array(*[F.struct(F.lit(r).alias("regla"), F.col(r).cast("bigint").alias("violaciones"))
-                      for r in rules])
+                      for r, _ in rules])
     return one.select(F.lit(name).alias("tabla"), F.explode(items).alias("x")).select("tabla", "x.*")
 
 
+def key_violations(name: str, df: DataFrame) -> DataFrame | None:
+    """The key rules of C8 for one table: rows beyond the first of a key, one narrow aggregate per key."""
+    parts = [keys.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("n"))
+             .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("violaciones"))
+             .select(F.lit(name).alias("tabla"), F.lit(rule).alias("regla"), "violaciones")
+             for rule, keys in _key_rules(name, df)]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def table_violations(name: str, df: DataFrame) -> DataFrame:
+    """C8 for one table as (tabla, regla, violaciones); counters and key checks never share a shuffle."""
+    keys = key_violations(name, df)
+    if not _count_rules(name, df):
+        return keys
+    rows = row_violations(name, df)
+    return rows if keys is None else rows.unionByName(keys)
+
+
 def check_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """C8 over every given table."""
     return reduce(DataFrame.unionByName, [table_violations(n, df) for n, df in tables.items()
@@ -154,6 +163,17 @@ def principal_rule(clientes: DataFrame, contratos: DataFrame) -> DataFrame:
                              F.lit(post))).alias("mensaje"))
 
 
+def assert_integrity(tables: dict[str, DataFrame]) -> None:
+    """C7 and C8 as a gate over the given tables: raise with the rules that fail."""
+    bad = [f"{r['tabla']}.{r['regla']} ({r['violaciones']})"
+           for r in check_violations(tables).filter("violaciones > 0").collect()]  # a few rules
+    if any(c in tables and p in tables for c, _, p, _ in schemas.FOREIGN_KEYS):
+        bad += [f"{r['tabla']}.{r['columna']} -> {r['tabla_padre']} ({r['huerfanos']})"
+                for r in fk_orphans(tables).filter("huerfanos > 0").collect()]
+    if bad:
+        raise ValueError("integrity: " + ", ".join(bad))
+
+
 def assert_principal_rule(clientes: DataFrame, contratos: DataFrame) -> None:
     """C9 as a gate: raise with the reference message when the rule fails."""
     row = principal_rule(clientes, contratos).first()

@@ -16,14 +16,14 @@ def intake_flow(spark: SparkSession, csv_path: str, root: str) -> dict:
     df, verdict = sinks.load_and_validate_csv(spark, csv_path)
     state = sinks.publish_intake(spark, df, verdict, root, os.path.basename(csv_path))
     if df is not None:
-        active = spark.read.parquet(os.path.join(root, "activo"))
+        active = sinks.read_live(spark, root, "activo")
         rows, report = clean.prepare(active)
         sinks.publish_clean(rows, report, root)
         state["datos_preparados"] = True
     return state
 
 
-def train_flow(view: DataFrame, out_path: str, strict_features: bool = False) -> dict:
+def train_flow(view: DataFrame, out_path: str, strict_features: bool = True) -> dict:
     """K8 + A13: fit both classifiers on the view, save the served one with its metadata."""
     models = model.train(view, strict_features=strict_features)
     model.save_model(models, out_path)
@@ -32,9 +32,13 @@ def train_flow(view: DataFrame, out_path: str, strict_features: bool = False) ->
 
 
 def register_flow(view: DataFrame, model_path: str, history_root: str, replace: bool = False,
-                  version: str | None = None) -> int:
-    """A8 + A7: score every customer with the saved model and append (or replace) its history."""
+                  version: str | None = None, clientes: DataFrame | None = None) -> int:
+    """A8 + A7: score every customer with the saved model and append (or replace) its history.
+
+    ``clientes`` (default: the scored view) are the customers that predictions may refer to.
+    """
     scores, meta = model.generate_scores(model_path, view)
     name = meta.get("modelo_nombre", config.MODEL_NAME)
     ver = version or meta.get("version", config.MODEL_VERSION)
-    return sinks.write_predictions(scores, history_root, name, ver, replace=replace)
+    return sinks.write_predictions(scores, history_root, name, ver, replace=replace,
+                                   clientes=view if clientes is None else clientes)

@@ -64,7 +64,8 @@ SQL["check_violations"] = with_tables("\nUNION ALL\n".join([
     _rules("servicios", "servicios", [("precio_no_negativo", "precio_mensual >= 0")],
            ["codigo", "nombre", "precio_mensual"], "id_servicio", ["codigo"]),
     _rules("clientes", "clientes",
-           [("antiguedad_no_negativa", "antiguedad_meses IS NULL OR antiguedad_meses >= 0"),
+           [("edad_0_120", "edad IS NULL OR edad BETWEEN 0 AND 120"),
+            ("antiguedad_no_negativa", "antiguedad_meses IS NULL OR antiguedad_meses >= 0"),
             ("satisfaccion_1_5", "satisfaccion BETWEEN 1 AND 5"),
             ("dias_sin_uso_no_negativo", "dias_sin_uso IS NULL OR dias_sin_uso >= 0"),
             ("abandono_0_1", "abandono IN (0, 1)")], ["satisfaccion", "abandono"], "id_cliente"),

@@ -1,7 +1,7 @@
 """Table definitions of the churn data model as explicit Spark schemas.
 
 Constraints (PK, FK, CHECK, NOT NULL, UNIQUE) are not enforced on write;
-``churnlens.plans.integrity`` reports their violations instead.
+``churnlens.operators.integrity`` reports their violations instead.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ RECLAMOS = _schema(("id_reclamo", S, False), ("id_cliente", S, False), ("id_sucu
 INTERACCIONES = _schema(("id_interaccion", L, False), ("id_cliente", S, False), ("fecha", TS, True),
                         ("canal", S, True), ("motivo", S, True), ("duracion_min", D, True))
 PREDICCIONES = _schema(("id_cliente", S, False), ("probabilidad_churn", D, False), ("nivel_riesgo", S, False),
-                       ("modelo", S, False), ("version_modelo", S, False), ("fecha_prediccion", TS, False))
+                       ("modelo", S, False), ("version_modelo", S, False), ("fecha_prediccion", TS, False),
+                       ("corrida", S, True))
 
 TABLES = {
     "parametros": PARAMETROS, "sucursales": SUCURSALES, "servicios": SERVICIOS, "clientes": CLIENTES,
@@ -56,6 +57,7 @@ PRIMARY_KEYS = {
     "parametros": ["id"], "sucursales": ["id_sucursal"], "servicios": ["id_servicio"], "clientes": ["id_cliente"],
     "contratos": ["id_contrato"], "facturas": ["id_factura"], "pagos": ["id_pago"], "reclamos": ["id_reclamo"],
     "interacciones": ["id_interaccion"],
+    "predicciones": ["id_cliente", "modelo", "version_modelo", "corrida"],
 }
 FOREIGN_KEYS = [
     ("clientes", "id_sucursal", "sucursales", "id_sucursal"),

@@ -1,7 +1,5 @@
 """Train -> save -> score -> register, and the CSV intake flow, end to end."""
 
-import os
-
 from churnlens.plans import flows
 from churnlens.sources import sinks
 from test_segment_risk_model import _planted
@@ -13,11 +11,8 @@ def test_train_and_register(spark, tmp_path):
     assert out["arbol"]["accuracy"] > out["base"]
     hist = str(tmp_path / "hist")
     assert flows.register_flow(df, str(tmp_path / "model"), hist) == 600
-    import time
-    time.sleep(1.1)
     assert flows.register_flow(df, str(tmp_path / "model"), hist) == 600
     assert sinks.read_history(spark, hist).count() == 1200  # history kept by default
-    time.sleep(1.1)
     flows.register_flow(df, str(tmp_path / "model"), hist, replace=True)
     assert sinks.read_history(spark, hist).count() == 600
 
@@ -32,6 +27,6 @@ def test_intake_flow(spark, tmp_path):
     root = str(tmp_path / "state")
     st = flows.intake_flow(spark, str(p), root)
     assert st["datos_cargados"] and st["datos_preparados"]
-    clean_rows = spark.read.parquet(os.path.join(root, "limpio")).orderBy("id_cliente").collect()
+    clean_rows = sinks.read_live(spark, root, "limpio").orderBy("id_cliente").collect()
     assert [r["id_cliente"] for r in clean_rows] == ["C1", "C2"]
     assert clean_rows[0]["ciudad"] == "Santiago" and clean_rows[1]["antiguedad_meses"] == 12

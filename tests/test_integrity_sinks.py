@@ -74,6 +74,7 @@ def test_orphans_and_rules(rel):
     ck = {(r["tabla"], r["regla"]): r["violaciones"] for r in integrity.check_violations(rel).collect()}
     assert ck[("contratos", "un_principal_activo")] == 1
     assert ck[("clientes", "pk_unico")] == 0
+    assert [r["id_cliente"] for r in integrity.duplicate_principals(rel["contratos"]).collect()]  # a real duplicate
     rule = integrity.principal_rule(rel["clientes"], rel["contratos"]).first()
     assert (rule["sin_principal"], rule["con_mas_de_uno"], rule["valido"]) == (2, 1, False)
     assert rule["mensaje"].startswith("Integridad de contratos: 2 cliente(s)")
@@ -90,34 +91,83 @@ def test_prediction_history_append_and_replace(spark, tmp_path):
     root = str(tmp_path / "hist")
     assert sinks.write_predictions(_pred(spark, ["a", "b"]), root, "arbol", "v1") == 2
     assert sinks.write_predictions(_pred(spark, ["a", "b"]), root, "arbol", "v2") == 2
-    import time
-    time.sleep(1.1)
-    sinks.write_predictions(_pred(spark, ["a", "b"]), root, "arbol", "v1")
+    assert sinks.write_predictions(_pred(spark, ["a", "b"]), root, "arbol", "v1") == 2  # same second: own run
     h = sinks.read_history(spark, root)
     assert h.count() == 6  # appended by default
-    sinks.write_predictions(_pred(spark, ["c"]), root, "arbol", "v1", replace=True)
+    assert h.select("corrida").distinct().count() == 3
+    assert sinks.write_predictions(_pred(spark, ["c"]), root, "arbol", "v1", replace=True) == 1
     h = sinks.read_history(spark, root)
     assert h.filter("version_modelo = 'v1'").count() == 1  # only this version replaced
     assert h.filter("version_modelo = 'v2'").count() == 2
-    assert h.select("fecha_prediccion").distinct().count() >= 2
+    assert sinks.write_predictions(_pred(spark, []), root, "arbol", "v1", replace=True) == 0
+    h = sinks.read_history(spark, root)
+    assert h.filter("version_modelo = 'v1'").count() == 0  # replaced by nothing
+    assert h.filter("version_modelo = 'v2'").count() == 2
+
+
+def test_history_refuses_bad_rows(spark, tmp_path):
+    root = str(tmp_path / "hist")
+    known = spark.createDataFrame([("a",)], "id_cliente string")
+    with pytest.raises(ValueError, match="unknown customers"):
+        sinks.write_predictions(_pred(spark, ["a", "NOBODY"]), root, clientes=known)
+    with pytest.raises(ValueError, match="check_probabilidad_0_1"):
+        sinks.write_predictions(_pred(spark, ["a"], 7.5), root, clientes=known)
+    bad = _pred(spark, ["a"]).withColumn("nivel_riesgo", F.lit("zzz"))
+    with pytest.raises(ValueError, match="check_nivel_valido"):
+        sinks.write_predictions(bad, root, clientes=known)
+    with pytest.raises(ValueError, match="not_null_id_cliente"):
+        sinks.write_predictions(_pred(spark, [None]), root)
+    assert not sinks.path_exists(spark, root)
+    assert sinks.write_predictions(_pred(spark, ["a"]), root, clientes=known) == 1
 
 
 def test_operational_reload(spark, tmp_path, rel):
     root, hist = str(tmp_path / "db"), str(tmp_path / "hist")
     ok = {k: rel[k] for k in ("sucursales", "servicios", "clientes")}
+    ok["clientes"] = ok["clientes"].withColumn("id_sucursal", F.lit(None).cast("int"))
     out = sinks.publish_operational(ok, root, hist, check_principal=False)
     assert out["clientes"] == 6
-    with pytest.raises(RuntimeError, match="--reset"):
+    with pytest.raises(RuntimeError, match="reset=True"):
         sinks.publish_operational(ok, root, hist, check_principal=False)
     sinks.write_predictions(_pred(spark, ["C1", "C6"]), hist)
-    fewer = dict(ok, clientes=rel["clientes"].filter("id_cliente != 'C6'"))
+    fewer = dict(ok, clientes=ok["clientes"].filter("id_cliente != 'C6'"))
     with pytest.raises(RuntimeError, match="predicciones"):
         sinks.publish_operational(fewer, root, hist, reset=True, check_principal=False)
-    assert spark.read.parquet(os.path.join(root, "clientes")).count() == 6  # live data untouched
+    assert sinks.read_live(spark, root, "clientes").count() == 6  # live data untouched
     sinks.publish_operational(fewer, root, hist, reset=True, reset_predictions=True, check_principal=False)
-    assert spark.read.parquet(os.path.join(root, "clientes")).count() == 5
+    assert sinks.read_live(spark, root, "clientes").count() == 5
     with pytest.raises(ValueError, match="Integridad de contratos"):
-        sinks.publish_operational(dict(ok, contratos=rel["contratos"]), root, None, reset=True)
+        sinks.publish_operational(dict(ok, contratos=rel["contratos"]), root, None, reset=True, check_integrity=False)
+    with pytest.raises(ValueError, match="contratos.id_servicio"):  # a contract of an unknown service
+        sinks.publish_operational(dict(ok, contratos=rel["contratos"]), root, None, reset=True, check_principal=False)
+    strangers = rel["contratos"].withColumn("id_cliente", F.lit("nobody"))
+    with pytest.raises(ValueError, match="contratos.id_cliente"):
+        sinks.publish_operational(dict(ok, contratos=strangers), root, None, reset=True, check_principal=False)
+    assert sinks.read_live(spark, root, "clientes").count() == 5
+
+
+@pytest.mark.parametrize("step", ["stage_version", "replace_file", "_write_text"])
+def test_failed_reload_keeps_the_old_data(spark, tmp_path, rel, monkeypatch, step):
+    root = str(tmp_path / "db")
+    tables = {"clientes": rel["clientes"], "servicios": rel["servicios"]}
+    sinks.publish_operational(tables, root, check_principal=False, check_integrity=False)
+    real = getattr(sinks, step)
+
+    def fail(*args, **kwargs):
+        if step == "stage_version":  # fails after a part has been written
+            real({"clientes": args[0]["clientes"]}, args[1])
+        raise OSError("injected")
+
+    monkeypatch.setattr(sinks, step, fail)
+    with pytest.raises(OSError, match="injected"):
+        sinks.publish_operational({k: v.limit(1) for k, v in tables.items()}, root, reset=True, check_principal=False,
+                                  check_integrity=False)
+    assert sinks.read_live(spark, root, "clientes").count() == 6
+    assert sinks.read_live(spark, root, "servicios").count() == rel["servicios"].count()
+    monkeypatch.undo()
+    sinks.publish_operational({k: v.limit(1) for k, v in tables.items()}, root, reset=True, check_principal=False,
+                              check_integrity=False)
+    assert sinks.read_live(spark, root, "clientes").count() == 1
 
 
 def test_customer_table_access(spark, tmp_path):
