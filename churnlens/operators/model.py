@@ -27,29 +27,42 @@ from churnlens import config
 from churnlens.functions.stats import safe_ratio
 from churnlens.operators.risk import with_risk
 from churnlens.functions.formats import np_round
-from churnlens.operators.quantiles import exact_medians
+from churnlens.operators.quantiles import exact_medians, exact_quantiles
 
 LABEL, WEIGHT = "_label", "_weight"
 
 
 # --------------------------------------------------------------------------- K5 split
+def split_hash(seed: int = config.MODEL_SEED, id_col: str = config.ID_COLUMN) -> Column:
+    """A number from 0 to 2**32 - 1 that depends on seed and id only (md5, the same under any engine)."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), 1, 8), 16, 10
+                  ).cast("double")
+
+
 def split_flag(df: DataFrame, seed: int = config.MODEL_SEED, test_fraction: float = config.TEST_FRACTION,
-               id_col: str = config.ID_COLUMN) -> Column:
-    """K5: True for the test split: a hash of (seed, id) below the fraction.
+               id_col: str = config.ID_COLUMN, target: str = config.TARGET_COLUMN) -> Column:
+    """K5: True for the test split: the rows up to the hash's quantile ``test_fraction`` *within each class*.
 
-    Reproducible under any partitioning and engine (md5 is standard), and
-    per-class shares stay ~``test_fraction`` because the hash ignores the label.
+    Reproducible under any partitioning; each class gives its share to the row.  The quantiles (one number per
+    class) come from three light aggregates.  Rows without a valid target are not in the test split.
     """
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), 1, 8), 16, 10)
-    return h.cast("double") < F.lit(test_fraction * 16 ** 8)
+    h = split_hash(seed, id_col)
+    cls = F.col(target).cast("int")
+    limits = exact_quantiles(df, {str(v): F.when(cls == v, h) for v in config.TARGET_VALUES}, [test_fraction])
+    flag = F.lit(False)
+    for v in config.TARGET_VALUES:
+        limit = limits[str(v)][0]
+        if limit is not None:
+            flag = F.when(cls == v, h < limit + 0.5).otherwise(flag)
+    return F.coalesce(flag, F.lit(False))
 
 
 def features_of(df: DataFrame, categorical=config.MODEL_CATEGORICAL, numeric=config.MODEL_NUMERIC,
-                strict: bool = False) -> tuple[list[str], list[str]]:
+                strict: bool = True) -> tuple[list[str], list[str]]:
     """Explicit feature lists; id, name, target, segment and predictions never enter.
 
-    ``strict`` raises when a listed feature is absent (the reference's
-    behaviour); otherwise absent optional features are skipped.
+    A listed feature that is absent raises, unless ``strict`` is off; then it
+    is skipped.
     """
     missing = [c for c in categorical + numeric if c not in df.columns]
     if strict and missing:
@@ -63,14 +76,19 @@ def features_of(df: DataFrame, categorical=config.MODEL_CATEGORICAL, numeric=con
 
 
 # --------------------------------------------------------------------------- K6 preprocessing
+def most_frequent(df: DataFrame, name: str) -> str | None:
+    """The most frequent non-null value as text, ties to the smallest; a partial count, then the top one."""
+    top = (df.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("v"))
+           .agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "v").limit(1).first())
+    return top["v"] if top else None
+
+
 def fit_preprocessing(train: DataFrame, cats: list[str], nums: list[str]) -> dict:
     """Modes, exact medians and population mean/std after imputation, from one aggregate row.
 
     The row is model state (a few numbers per feature), so it is collected.
     """
     aggs = []
-    for c in cats:
-        aggs.append(F.mode(F.col(c).cast("string"), True).alias(f"mode_{c}"))
     for c in nums:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"mean_{c}"), F.stddev_pop(x).alias(f"sd_{c}")]
@@ -79,7 +97,7 @@ def fit_preprocessing(train: DataFrame, cats: list[str], nums: list[str]) -> dic
     meds = exact_medians(train, {c: F.col(c).cast("double") for c in nums}) if nums else {}
     row.update({f"med_{c}": meds[c] for c in nums})
     n = row["_n"]
-    stats = {"modes": {c: row[f"mode_{c}"] for c in cats}, "medians": {}, "means": {}, "scales": {}}
+    stats = {"modes": {c: most_frequent(train, c) for c in cats}, "medians": {}, "means": {}, "scales": {}}
     for c in nums:
         med = row[f"med_{c}"] if row[f"med_{c}"] is not None else 0.0
         k_obs = row[f"n_{c}"]
@@ -96,7 +114,8 @@ def fit_preprocessing(train: DataFrame, cats: list[str], nums: list[str]) -> dic
 
 
 def _sql_str(v) -> str:
-    return "'" + str(v).replace("'", "''") + "'"
+    """A value as a SQL string literal (backslashes and quotes escaped)."""
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def preprocessing_stages(cats: list[str], nums: list[str], stats: dict) -> list:
@@ -142,11 +161,14 @@ def _weighted(train: DataFrame, target: str) -> tuple[DataFrame, float]:
     return out, float(sum(w[r["c"]] * r["count"] for r in rows))
 
 
-def tree_classifier() -> DecisionTreeClassifier:
-    """Depth 4, min 30 rows per leaf, gini, balanced weights."""
+def tree_classifier(max_bins: int = 64) -> DecisionTreeClassifier:
+    """Depth 4, min 30 rows per leaf, gini, balanced weights.
+
+    ``max_bins`` bounds the candidate splits of a numeric feature; one-hot columns need two.
+    """
     return DecisionTreeClassifier(featuresCol="_features", labelCol=LABEL, weightCol=WEIGHT,
                                   maxDepth=config.TREE_MAX_DEPTH, minInstancesPerNode=config.TREE_MIN_LEAF,
-                                  impurity="gini", seed=config.MODEL_SEED, maxBins=64)
+                                  impurity="gini", seed=config.MODEL_SEED, maxBins=max_bins)
 
 
 def logistic_classifier(weight_sum: float) -> LogisticRegression:
@@ -202,7 +224,7 @@ class TrainedModels:
     metadata: dict = field(default_factory=dict)
 
 
-def train(view: DataFrame, strict_features: bool = False, fit_logistic: bool = True,
+def train(view: DataFrame, strict_features: bool = True, fit_logistic: bool = True,
           target: str = config.TARGET_COLUMN) -> TrainedModels:
     """K8: split, fit preprocessing + tree + logistic on the training rows, evaluate on the test rows.
 

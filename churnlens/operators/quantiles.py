@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 100_000
+#: Rows that a bracket may hold; larger inputs get a finer sketch.
+MAX_BRACKET_ROWS = 1_000_000
 
 
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], qs: list[float],
-                    accuracy: int = DEFAULT_ACCURACY) -> dict[str, list[float | None]]:
+                    accuracy: int | None = None) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles ``qs`` of every column expression (NULLs skipped)."""
     names = list(columns)
     # the three passes read only the quantile columns: project them once and keep that
@@ -41,50 +43,52 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], qs: list[float],
 
 
 def _exact_quantiles(df: DataFrame, columns: dict[str, Column], qs: list[float],
-                     accuracy: int) -> dict[str, list[float | None]]:
+                     accuracy: int | None) -> dict[str, list[float | None]]:
     names = list(columns)
+    counts = df.agg(*[F.count(columns[c]).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    n = {c: counts[f"n{i}"] for i, c in enumerate(names)}
+    out = {c: [None] * len(qs) for c in names}
+    open_ = [(c, j) for c in names if n[c] for j in range(len(qs))]
+    # the sketch is as fine as the rows need: a bracket holds about MAX_BRACKET_ROWS rows at most
+    accuracy = accuracy or min(2 ** 31 - 1, max(DEFAULT_ACCURACY, 4 * max([0, *n.values()]) // MAX_BRACKET_ROWS))
     margin = 2.0 / accuracy
-    probes = sorted({min(1.0, max(0.0, q + s * margin)) for q in qs for s in (-1.0, 1.0)})
-    first = df.agg(*[F.count(columns[c]).alias(f"n{i}") for i, c in enumerate(names)],
-                   *[F.percentile_approx(columns[c], probes, accuracy).alias(f"a{i}")
+    while open_:
+        found, missed = _bracketed(df, columns, qs, n, open_, accuracy, margin)
+        for (c, j), v in found.items():
+            out[c][j] = v
+        open_, margin = missed, 2 * margin  # a bracket that missed its rank is widened and tried again
+    return out
+
+
+def _bracketed(df: DataFrame, columns: dict[str, Column], qs: list[float], n: dict[str, int],
+               wanted: list[tuple[str, int]], accuracy: int, margin: float) -> tuple[dict, list]:
+    """Quantiles (column, index) whose bracket around the sketch's value holds their rank; and those missed."""
+    names = list(dict.fromkeys(c for c, _ in wanted))
+    probes = sorted({min(1.0, max(0.0, qs[j] + s * margin)) for _, j in wanted for s in (-1.0, 1.0)})
+    first = df.agg(*[F.percentile_approx(columns[c], probes, accuracy).alias(f"a{i}")
                      for i, c in enumerate(names)]).first()
-    brackets = {}
-    for i, c in enumerate(names):
-        if first[f"n{i}"] == 0:
-            continue
-        approx = dict(zip(probes, first[f"a{i}"]))
-        brackets[c] = [(approx[min(1.0, max(0.0, q - margin))], approx[min(1.0, max(0.0, q + margin))])
-                       for q in qs]
-    out = {c: [None] * len(qs) for c in names}
-    if not brackets:
-        return out
-    aggs = []
-    for c, bs in brackets.items():
-        x = columns[c]
-        for j, (lo, hi) in enumerate(bs):
-            aggs += [F.count_if(x < F.lit(lo)).alias(f"b_{names.index(c)}_{j}"),
-                     F.count_if(x.between(F.lit(lo), F.lit(hi))).alias(f"m_{names.index(c)}_{j}")]
+    brackets, aggs = {}, []
+    for k, (c, j) in enumerate(wanted):
+        approx = dict(zip(probes, first[f"a{names.index(c)}"]))
+        lo, hi = (approx[min(1.0, max(0.0, qs[j] + s * margin))] for s in (-1.0, 1.0))
+        brackets[c, j] = (lo, hi)
+        aggs += [F.count_if(columns[c] < F.lit(lo)).alias(f"b{k}"),
+                 F.count_if(columns[c].between(F.lit(lo), F.lit(hi))).alias(f"m{k}")]
     second = df.agg(*aggs).first()
-    third = []
-    for c, bs in brackets.items():
-        i = names.index(c)
-        n = first[f"n{i}"]
-        x = columns[c]
-        for j, (lo, hi) in enumerate(bs):
-            below, inside = second[f"b_{i}_{j}"], second[f"m_{i}_{j}"]
-            pos = (n - 1) * qs[j] - below
-            if inside >= 1 and 0 <= pos <= inside - 1:
-                frac = 0.0 if inside == 1 else min(1.0, pos / (inside - 1))
-                third.append(F.percentile(F.when(x.between(F.lit(lo), F.lit(hi)), x), F.lit(frac))
-                             .alias(f"v_{i}_{j}"))
-            else:  # bracket missed (should not happen): exact over all rows
-                third.append(F.percentile(x, F.lit(qs[j])).alias(f"v_{i}_{j}"))
-    row = df.agg(*third).first()
-    for c, bs in brackets.items():
-        i = names.index(c)
-        out[c] = [row[f"v_{i}_{j}"] for j in range(len(bs))]
-    return out
+    third, held, missed = [], [], []
+    for k, (c, j) in enumerate(wanted):
+        below, inside = second[f"b{k}"], second[f"m{k}"]
+        pos = (n[c] - 1) * qs[j] - below
+        if inside < 1 or not 0 <= pos <= inside - 1:
+            missed.append((c, j))
+            continue
+        x, (lo, hi) = columns[c], brackets[c, j]
+        frac = 0.0 if inside == 1 else min(1.0, pos / (inside - 1))
+        third.append(F.percentile(F.when(x.between(F.lit(lo), F.lit(hi)), x), F.lit(frac)).alias(f"v{len(held)}"))
+        held.append((c, j))
+    row = df.agg(*third).first() if third else []
+    return dict(zip(held, row)), missed
 
 
-def exact_medians(df: DataFrame, columns: dict[str, Column], accuracy: int = DEFAULT_ACCURACY) -> dict:
+def exact_medians(df: DataFrame, columns: dict[str, Column], accuracy: int | None = None) -> dict:
     return {c: v[0] for c, v in exact_quantiles(df, columns, [0.5], accuracy).items()}

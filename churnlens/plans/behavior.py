@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens import config
@@ -35,41 +35,51 @@ def six_month_window(c: Column, ref_date, months: int = config.WINDOW_MONTHS) ->
     return c.between(F.add_months(ref, -months), ref)
 
 
-MONEY = "decimal(38,6)"
+#: Decimals that amounts are summed with, unless a caller says otherwise.
+MONEY_SCALE = 6
 
 
-def money_sum(c: Column) -> Column:
+def money_sum(c: Column, scale: int = MONEY_SCALE) -> Column:
     """Sum of amounts in exact decimal arithmetic, returned as double.
 
     A double sum depends on the order rows meet (partitioning, engine); the
     decimal sum does not, so the result is identical on any cluster layout.
-    Amounts carry at most 6 decimals here.
+    Amounts with more than ``scale`` decimals are rounded; ``out_of_scale``
+    counts them.
     """
-    return F.sum(c.cast(MONEY)).cast("double")
+    return F.sum(c.cast(f"decimal(38,{scale})")).cast("double")
 
 
-def principal_value(principal: Column, c: Column) -> Column:
-    """MAX(CASE WHEN principal THEN c END) as a hash-aggregable expression.
+def out_of_scale(c: Column, scale: int = MONEY_SCALE) -> Column:
+    """Number of amounts that ``money_sum`` rounds or cannot hold."""
+    kept = c.try_cast(f"decimal(38,{scale})").cast("double")
+    return F.count_if(c.isNotNull() & ~F.coalesce(kept == c.cast("double"), F.lit(False)))
 
-    ``max`` of a string forces a sort-based aggregate; the set of principal
-    values per customer is tiny (one in valid data), so ``collect_set`` (hash
-    aggregate, spills to sort only under memory pressure) then ``array_max``
-    gives the same value even for a customer holding a third of all rows.
-    """
-    return F.array_max(F.collect_set(F.when(principal, c)))
+
+def _ranked(values: DataFrame, name: str) -> DataFrame:
+    """(name, rank) of the distinct non-null texts of a small domain, in their order."""
+    known = values.select(name).where(F.col(name).isNotNull()).distinct()
+    return known.withColumn(f"{name}_rk", F.row_number().over(Window.orderBy(name)))
 
 
-def contract_facts(contratos: DataFrame, servicios: DataFrame) -> DataFrame:
-    """D1 + C2: active contracts joined to their service, one row per customer."""
-    svc = servicios.select("id_servicio", F.col("nombre").alias("_plan"))
-    principal = F.col("es_principal") == 1
-    return (contratos.filter(F.col("estado") == "activo")
-            .join(svc, "id_servicio")
-            .groupBy("id_cliente")
-            .agg(money_sum(F.col("monto_mensual")).alias("monto_mensual"),
-                 F.count(F.lit(1)).alias("cantidad_servicios"),
-                 principal_value(principal, F.col("tipo_contrato")).alias("tipo_contrato"),
-                 principal_value(principal, F.col("_plan")).alias("plan")))
+def contract_facts(contratos: DataFrame, servicios: DataFrame, money_scale: int = MONEY_SCALE) -> DataFrame:
+    """D1 + C2: active contracts joined to their service, one row per customer.
+
+    Amounts and counts are a hash aggregate over all active contracts.  Type and plan come from the principal
+    rows only (one per customer in valid data); the largest text is taken by its rank in the domain, so this is
+    a hash aggregate of integers too and no aggregate falls back to sorting.
+    """
+    svc = servicios.select("id_servicio", F.col("nombre").alias("plan"))
+    active = contratos.filter(F.col("estado") == "activo").join(svc, "id_servicio")
+    totals = active.groupBy("id_cliente").agg(money_sum(F.col("monto_mensual"), money_scale).alias("monto_mensual"),
+                                              F.count(F.lit(1)).alias("cantidad_servicios"))
+    chosen = active.filter(F.col("es_principal") == 1).select("id_cliente", "tipo_contrato", "plan")
+    types, plans = _ranked(chosen, "tipo_contrato"), _ranked(svc, "plan")
+    best = (chosen.join(types, "tipo_contrato", "left").join(plans, "plan", "left").groupBy("id_cliente")
+            .agg(F.max("tipo_contrato_rk").alias("tipo_contrato_rk"), F.max("plan_rk").alias("plan_rk"))
+            .join(types, "tipo_contrato_rk", "left").join(plans, "plan_rk", "left")
+            .select("id_cliente", "tipo_contrato", "plan"))
+    return totals.join(best, "id_cliente", "left")
 
 
 def complaint_facts(reclamos: DataFrame, ref_date) -> DataFrame:
@@ -95,14 +105,14 @@ def late_payment_facts(facturas: DataFrame, pagos: DataFrame, ref_date) -> DataF
 
 def customer_behavior(clientes: DataFrame, sucursales: DataFrame, servicios: DataFrame,
                       contratos: DataFrame, reclamos: DataFrame, facturas: DataFrame,
-                      pagos: DataFrame, ref_date) -> DataFrame:
+                      pagos: DataFrame, ref_date, money_scale: int = MONEY_SCALE) -> DataFrame:
     """One behaviour row per customer (16 columns; ``edad`` only if the customer table has it).
 
     ``ref_date`` is the reference ("as of") date: a ``datetime.date``/ISO
     string (folded to a literal, pushable) or a scalar Column (e.g. read from
     a one-row parameter table with ``DataFrame.scalar()``).
     """
-    ct = contract_facts(contratos, servicios)
+    ct = contract_facts(contratos, servicios, money_scale)
     rc = complaint_facts(reclamos, ref_date)
     lp = late_payment_facts(facturas, pagos, ref_date)
     br = sucursales.select("id_sucursal", "region")

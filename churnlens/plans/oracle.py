@@ -32,7 +32,8 @@ facts AS (
   FROM o, params GROUP BY o_custkey
 ),
 clientes AS (
-  SELECT CAST(c.c_custkey AS VARCHAR) AS id_cliente, c.c_name AS nombre, n.n_name AS ciudad,
+  SELECT CAST(c.c_custkey AS VARCHAR) AS id_cliente, c.c_name AS nombre,
+         CAST(c.c_custkey % 73 + 18 AS INTEGER) AS edad, n.n_name AS ciudad,
          c.c_nationkey AS id_sucursal, c.c_mktsegment AS segmento,
          CAST(floor(datediff('day', f.first_d, params.t) / 30) AS INTEGER) AS antiguedad_meses,
          c.c_acctbal AS ingreso_mensual,
@@ -98,7 +99,7 @@ behavior AS (
          COALESCE(ct.monto_mensual, 0.0) AS monto_mensual,
          CAST(COALESCE(r.n, 0) AS BIGINT) AS reclamos_ultimos_6_meses,
          CAST(COALESCE(p.n, 0) AS BIGINT) AS pagos_atrasados,
-         c.dias_sin_uso, c.satisfaccion, c.abandono,
+         c.dias_sin_uso, c.satisfaccion, c.abandono, c.edad,
          CAST(COALESCE(ct.cantidad_servicios, 0) AS BIGINT) AS cantidad_servicios,
          s.region, c.segmento
   FROM clientes c
@@ -235,7 +236,7 @@ register("profile_card", """
 SELECT id_cliente, orden, campo, valor FROM (
   SELECT b.id_cliente, f.orden, f.campo,
          CASE f.orden
-           WHEN 0 THEN b.id_cliente WHEN 1 THEN b.nombre WHEN 2 THEN NULL WHEN 3 THEN b.ciudad
+           WHEN 0 THEN b.id_cliente WHEN 1 THEN b.nombre WHEN 2 THEN CAST(b.edad AS VARCHAR) WHEN 3 THEN b.ciudad
            WHEN 4 THEN b.region WHEN 5 THEN CAST(b.antiguedad_meses AS VARCHAR)
            WHEN 6 THEN b.tipo_contrato WHEN 7 THEN b.plan
            WHEN 8 THEN CAST(b.monto_mensual AS VARCHAR) WHEN 9 THEN CAST(b.cantidad_servicios AS VARCHAR)

@@ -6,8 +6,9 @@ from churnlens.plans.oracle import BASE, SQL
 
 EXTRA = """,
 valid AS (
-  SELECT *, CAST(('0x' || substr(md5('42:' || id_cliente), 1, 8)) AS BIGINT) < 0.2 * 4294967296 AS es_prueba
-  FROM behavior WHERE abandono IN (0, 1)
+  SELECT * EXCLUDE (h), h < quantile_cont(h, 0.2) OVER (PARTITION BY abandono) + 0.5 AS es_prueba
+  FROM (SELECT *, CAST(CAST(('0x' || substr(md5('42:' || id_cliente), 1, 8)) AS BIGINT) AS DOUBLE) AS h
+        FROM behavior WHERE abandono IN (0, 1)) x
 ),
 rates AS (
   SELECT ciudad, plan, avg(CAST(abandono AS DOUBLE)) AS p FROM behavior WHERE abandono IN (0, 1)

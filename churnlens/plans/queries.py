@@ -307,7 +307,8 @@ def q_risk_table(spark, sf_dir):
 
 @query("classification_metrics")
 def q_classification_metrics(spark, sf_dir):
-    v = _valid_target(view(spark, sf_dir)).withColumn("_test", churn_model.split_flag(view(spark, sf_dir)))
+    v = _valid_target(view(spark, sf_dir))
+    v = v.withColumn("_test", churn_model.split_flag(v))
     scores = risk.baseline_scores(v.filter("_test"), fit_on=v.filter("NOT _test"))
     pred = (scores.join(v.select("id_cliente", "abandono"), "id_cliente")
             .select(F.col("abandono").alias(churn_model.LABEL),

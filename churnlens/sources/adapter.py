@@ -76,40 +76,41 @@ def _lines_with_orders(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     return lines.join(heads, lines.l_orderkey == heads.o_orderkey)
 
 
-def principal_key(contracts: DataFrame) -> Column:
-    """Order of the principal pick as ONE exact decimal(38,0):
-    (amount in cents, service id, order key, line number), most significant first.
-
-    Field widths fit the derived contracts (cents < 1e14, service < 1e11,
-    order key < 1e12, line number < 10); with a single numeric key the
-    per-customer maximum is a hash aggregate instead of a sort-based
-    ``max(struct)``.
-    """
-    dec = "decimal(38,0)"
-    order_key = F.split(F.col("id_contrato"), "-").getItem(0).cast(dec)
-    line_no = F.split(F.col("id_contrato"), "-").getItem(1).cast(dec)
-    cents = F.round(F.col("monto_mensual") * 100).cast(dec)
-    return (cents * F.lit(Decimal(10 ** 24)).cast(dec) + F.col("id_servicio").cast(dec) * F.lit(Decimal(10 ** 13))
-            .cast(dec) + order_key * F.lit(Decimal(10)).cast(dec) + line_no)
+def _keep_largest(rows: DataFrame, value: Column) -> DataFrame:
+    """Per customer, the rows with the largest value: a partial hash aggregate joined back on (customer, value)."""
+    keyed = rows.withColumn("_v", value)
+    best = keyed.groupBy("id_cliente").agg(F.max("_v").alias("_v"))
+    return keyed.join(best, ["id_cliente", "_v"]).drop("_v")
 
 
 def mark_principal(contracts: DataFrame) -> DataFrame:
     """Flag one principal among each customer's active contracts.
 
-    The principal is the active contract with the largest (amount, service,
-    order key, line number).  The per-customer maximum of that packed key is
-    a partial hash aggregate; joining it back on (customer, key) spreads a hot
-    customer's rows over many partitions instead of one.
+    The principal is the active contract with the largest (amount in cents, service, order key, line number),
+    compared column by column: each step keeps the rows with the largest value, so no value range can run into
+    the next one, and after the first step about one row per customer is left.  Joining back on (customer, value)
+    spreads a hot customer's rows over many partitions.
     """
-    keyed = contracts.withColumn("_pkey", principal_key(contracts))
-    best = (keyed.filter(F.col("estado") == "activo")
-            .groupBy("id_cliente").agg(F.max("_pkey").alias("_pkey"))
-            .withColumn("_principal", F.lit(1)))
-    return (keyed.join(best, ["id_cliente", "_pkey"], "left")
-            .withColumn("es_principal",
-                        F.when((F.col("estado") == "activo") & F.col("_principal").isNotNull(), 1)
-                        .otherwise(0).cast("int"))
-            .drop("_principal", "_pkey"))
+    line = F.split(F.col("id_contrato"), "-")
+    cents = F.round(F.col("monto_mensual") * 100)
+    top = contracts.filter(F.col("estado") == "activo").select(
+        "id_cliente", "id_contrato", "id_servicio", cents.alias("_cents"),
+        line.getItem(0).cast("bigint").alias("_order"), line.getItem(1).cast("bigint").alias("_line"))
+    for column in ("_cents", "id_servicio", "_order", "_line"):
+        top = _keep_largest(top, F.col(column))
+    keys = ["id_cliente", "id_contrato", "id_servicio", "_cents", "estado"]
+    best = top.withColumn("estado", F.lit("activo")).select(*keys).distinct().withColumn("_principal", F.lit(1))
+    return (contracts.withColumn("_cents", cents).join(best, keys, "left")
+            .withColumn("es_principal", F.coalesce("_principal", F.lit(0)).cast("int"))
+            .select(*contracts.columns, "es_principal"))
+
+
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interactions table: the events under the model's column names."""
+    return read_driver(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id_interaccion"), F.col("user_id").cast("string").alias("id_cliente"),
+        F.col("ts").alias("fecha"), F.col("event_type").alias("canal"), F.col("props").alias("motivo"),
+        F.col("value").alias("duracion_min"))
 
 
 def churn_tables(spark: SparkSession, sf_dir: str, persist_shared: bool = False) -> ChurnTables:
@@ -125,7 +126,6 @@ def churn_tables(spark: SparkSession, sf_dir: str, persist_shared: bool = False)
     part = read_driver(spark, sf_dir, "part")
     orders = read_driver(spark, sf_dir, "orders")
     lineitem = read_driver(spark, sf_dir, "lineitem")
-    events = read_driver(spark, sf_dir, "events")
 
     T = reference_date(orders)
     d = F.to_date("o_orderdate")
@@ -144,6 +144,7 @@ def churn_tables(spark: SparkSession, sf_dir: str, persist_shared: bool = False)
                 .join(facts, customer.c_custkey == facts.o_custkey, "left")
                 .select(F.col("c_custkey").cast("string").alias("id_cliente"),
                         F.col("c_name").alias("nombre"),
+                        (F.col("c_custkey") % 73 + 18).cast("int").alias("edad"),
                         F.col("n_name").alias("ciudad"),
                         F.col("c_nationkey").alias("id_sucursal"),
                         F.col("c_mktsegment").alias("segmento"),
@@ -205,10 +206,7 @@ def churn_tables(spark: SparkSession, sf_dir: str, persist_shared: bool = False)
                       F.when(late > 0, "atrasado").otherwise("a_tiempo").alias("estado"),
                       F.greatest(late, F.lit(0)).cast("int").alias("dias_atraso"))
 
-    interacciones = events.select(F.col("event_id").alias("id_interaccion"),
-                                  F.col("user_id").cast("string").alias("id_cliente"),
-                                  F.col("ts").alias("fecha"), F.col("event_type").alias("canal"),
-                                  F.col("props").alias("motivo"), F.col("value").alias("duracion_min"))
+    interacciones = interactions(spark, sf_dir)
 
     parametros = spark.range(1).select(F.lit(1).alias("id"), T.alias("fecha_referencia"))
 

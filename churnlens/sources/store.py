@@ -8,32 +8,41 @@ every later query from the written parquet.  That also cuts the lineage:
 an executor lost later recomputes from these files, not from the raw scans
 and joins.
 
-The snapshot key hashes the input files' paths, sizes and modification
-times and the derivation code, so changed inputs or rules are re-materialised.  Publication is atomic: write
-to a private folder, then rename it into place (a concurrent writer that
-loses the race just discards its copy).
+The snapshot key hashes the paths, sizes and modification times of all input
+files (at any depth) and the compiled derivation code, so changed inputs or
+rules are re-materialised.  Publication is atomic: write to a private folder,
+then rename it to a name that must not exist yet (a concurrent writer that
+loses the race discards its copy).  Only the newest snapshots of an input
+folder are kept.  Tables that are mere renamings of an input (interactions)
+are read from the input and not stored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import marshal
 import os
+import types
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.session import ensure_checkpoint_dir, table_path
-from churnlens.sources.adapter import ChurnTables, churn_tables
+from churnlens.sources import adapter
+from churnlens.sources.adapter import ChurnTables, churn_tables, interactions
 
 DRIVER_INPUTS = ["customer", "nation", "region", "part", "orders", "lineitem", "events"]
-TABLES = ["parametros", "sucursales", "servicios", "clientes", "contratos", "facturas", "pagos", "reclamos",
-          "interacciones"]
+TABLES = ["parametros", "sucursales", "servicios", "clientes", "contratos", "facturas", "pagos", "reclamos"]
+#: Snapshots of one input folder that are kept.
+KEEP_SNAPSHOTS = 2
 INTAKE = "intake"
 # name -> (range-partition keys, sort keys).  The trailing unique id in each range key lets
 # the range partitioner split a date holding a third of all rows over many files; contracts
 # are only sorted (two states would give two partitions).
 CLUSTER_BY = {"facturas": (["fecha_emision", "id_factura"], ["fecha_emision"]),
+              "pagos": (["id_factura", "id_pago"], ["estado", "id_factura"]),
               "reclamos": (["fecha", "id_reclamo"], ["fecha"]),
               "contratos": (None, ["estado", "id_cliente"])}
 
@@ -43,14 +52,19 @@ def _fs_and_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _code_of(module) -> bytes:
+    """The compiled functions of a module: no source file is read, so a zipped package works."""
+    found = sorted((n, f) for n, f in vars(module).items()
+                   if isinstance(f, types.FunctionType) and f.__module__ == module.__name__)
+    return b"".join(n.encode() + marshal.dumps((f.__code__.co_code, [c for c in f.__code__.co_consts if isinstance(
+        c, (str, int, float, bytes, tuple)) and not isinstance(c, types.CodeType)])) for n, f in found)
+
+
 def _derivation_version() -> bytes:
     """The derivation code itself is part of the snapshot: edited rules re-materialise."""
-    here = os.path.dirname(os.path.abspath(__file__))
-    h = hashlib.sha256()
-    for name in ("adapter.py", "intake.py", "store.py"):
-        with open(os.path.join(here, name), "rb") as fh:
-            h.update(fh.read())
-    return h.digest()
+    from churnlens.sources import intake  # late: intake builds on this module's tables
+
+    return hashlib.sha256(_code_of(adapter) + _code_of(intake) + repr(CLUSTER_BY).encode()).digest()
 
 
 def snapshot_key(spark: SparkSession, sf_dir: str) -> str:
@@ -59,11 +73,18 @@ def snapshot_key(spark: SparkSession, sf_dir: str) -> str:
         fs, p = _fs_and_path(spark, table_path(sf_dir, name))
         h.update(name.encode())
         if fs.exists(p):
-            for st in fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]:
-                h.update(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}".encode())
+            files, found = fs.listFiles(p, True), []
+            while files.hasNext():
+                st = files.next()
+                found.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
+            h.update("\n".join(sorted(found)).encode())
     return h.hexdigest()[:24]
 
 
+def _input_folder(spark: SparkSession, sf_dir: str) -> str:
+    return os.path.join(store_root(spark), hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:16])
+
+
 def store_root(spark: SparkSession) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "churnlens_store")
 
@@ -77,13 +98,16 @@ def materialize(spark: SparkSession, sf_dir: str) -> str:
     """Write the churn tables and the text intake for ``sf_dir`` once; return their folder."""
     from churnlens.sources.intake import customer_intake  # late: intake builds on this module's tables
 
-    final = os.path.join(store_root(spark), snapshot_key(spark, sf_dir))
+    folder = _input_folder(spark, sf_dir)
+    final = os.path.join(folder, snapshot_key(spark, sf_dir))
     if _complete(spark, final):
         return final
     tmp = final + ".tmp-" + uuid.uuid4().hex[:12]
     t = churn_tables(spark, sf_dir, persist_shared=True)
     try:
         for name, df in t.as_dict().items():
+            if name not in TABLES:
+                continue
             if name in CLUSTER_BY:
                 # clustered by the columns the view filters on (date windows, active state), so
                 # parquet min/max statistics let those filters skip files and row groups
@@ -94,23 +118,48 @@ def materialize(spark: SparkSession, sf_dir: str) -> str:
             df.write.mode("overwrite").parquet(os.path.join(tmp, name))
     finally:
         t.release()
-    written = _read(spark, tmp)
+    written = _read(spark, tmp, sf_dir)
     customer_intake(spark, sf_dir, tables=written).write.mode("overwrite").parquet(os.path.join(tmp, INTAKE))
     fs, p = _fs_and_path(spark, os.path.join(tmp, "_COMPLETE"))
     fs.create(p, True).close()
-    fs_final, p_final = _fs_and_path(spark, final)
-    if fs_final.exists(p_final) and not _complete(spark, final):
-        fs_final.delete(p_final, True)  # leftover of an interrupted publication
-    if not fs.rename(_fs_and_path(spark, tmp)[1], p_final):
+    if not _rename_new(spark, tmp, final):
+        if not _complete(spark, final):
+            raise RuntimeError(f"{final} exists but is not complete; remove it")
         fs.delete(_fs_and_path(spark, tmp)[1], True)  # another writer published first
+    _prune(spark, folder, final)
     return final
 
 
-def _read(spark: SparkSession, folder: str) -> ChurnTables:
+def _rename_new(spark: SparkSession, src: str, dst: str) -> bool:
+    """Rename a folder to a name that must not exist; False if it does (never moved into it)."""
+    jvm = spark._jvm
+    fs, target = _fs_and_path(spark, dst)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(_fs_and_path(spark, src)[1], target, how)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in str(e.java_exception) and not fs.exists(target):
+            raise
+        return False
+    return True
+
+
+def _prune(spark: SparkSession, folder: str, current: str) -> None:
+    """Delete all but the newest complete snapshots of an input folder; the current one always stays."""
+    fs, p = _fs_and_path(spark, folder)
+    old = sorted((st for st in fs.listStatus(p) if st.getPath().getName() != os.path.basename(current)
+                  and _complete(spark, st.getPath().toString()) and ".tmp-" not in st.getPath().getName()),
+                 key=lambda st: -st.getModificationTime())
+    for st in old[KEEP_SNAPSHOTS - 1:]:
+        fs.delete(st.getPath(), True)
+
+
+def _read(spark: SparkSession, folder: str, sf_dir: str) -> ChurnTables:
     dfs = {n: spark.read.parquet(os.path.join(folder, n)) for n in TABLES}
     ref = dfs["parametros"].select(F.max("fecha_referencia")).first()[0]  # one scalar
     return ChurnTables(dfs["clientes"], dfs["sucursales"], dfs["servicios"], dfs["contratos"], dfs["facturas"],
-                       dfs["pagos"], dfs["reclamos"], dfs["interacciones"], dfs["parametros"],
+                       dfs["pagos"], dfs["reclamos"], interactions(spark, sf_dir), dfs["parametros"],
                        F.lit(ref).cast("date"))
 
 
@@ -138,7 +187,7 @@ def stored_tables(spark: SparkSession, sf_dir: str) -> ChurnTables:
     folder = materialize(spark, sf_dir)
     key = (spark.sparkContext.applicationId, folder)
     if key not in _OPENED:
-        _OPENED[key] = _read(spark, folder)
+        _OPENED[key] = _read(spark, folder, sf_dir)
     return _OPENED[key]
 
 

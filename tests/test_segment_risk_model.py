@@ -101,7 +101,8 @@ def _planted(spark, n=1200):
         (F.col("id") * 17 % 40).cast("int").alias("dias_sin_uso"),
         (F.col("id") * 29 % 1000 + 10000).cast("double").alias("monto_mensual"),
         F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("id") % 3 + 1).cast("int")).alias("ciudad"),
-        F.lit("Mensual").alias("tipo_contrato"), F.lit("Fibra").alias("plan"))
+        F.lit("Mensual").alias("tipo_contrato"), F.lit("Fibra").alias("plan"), F.lit("R").alias("region"),
+        *[F.lit(0).cast("int").alias(c) for c in ("edad", "cantidad_servicios", "pagos_atrasados")])
     score = F.col("reclamos_ultimos_6_meses") * 2 - F.col("satisfaccion") * 2 + F.col("dias_sin_uso") / 8
     return base.withColumn("abandono", (score > 1).cast("int"))
 
@@ -139,7 +140,7 @@ def test_score_rejects_missing_columns(spark):
     with pytest.raises(ValueError, match="vacio"):
         model.score(m.tree, df.limit(0))
     with pytest.raises(ValueError):
-        model.score(m.tree, df, features=m.metadata["features"] + ["edad"])
+        model.score(m.tree, df, features=m.metadata["features"] + ["not_there"])
 
 
 def test_evaluate_counts(spark):

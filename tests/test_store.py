@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from churnlens.sources import store
 
 SF = "/root/testdata/sf0.001"
@@ -12,8 +14,11 @@ def test_materialize_is_idempotent(spark):
     b = store.materialize(spark, SF)
     assert a == b
     assert store._complete(spark, a)
-    for name in store.TABLES + [store.INTAKE]:
-        assert spark.read.parquet(os.path.join(a, name)).count() >= 0
+    derived = store.churn_tables(spark, SF).as_dict()
+    for name in store.TABLES:
+        assert spark.read.parquet(os.path.join(a, name)).count() == derived[name].count() > 0
+    n = spark.read.parquet(os.path.join(SF, "events.parquet")).count() + derived["clientes"].count()
+    assert spark.read.parquet(os.path.join(a, store.INTAKE)).count() == n
     t1, t2 = store.stored_tables(spark, SF), store.stored_tables(spark, SF)
     assert t1 is t2  # opened once per session
     assert t1.clientes.count() == spark.read.parquet(os.path.join(SF, "customer.parquet")).count()
@@ -21,3 +26,39 @@ def test_materialize_is_idempotent(spark):
 
 def test_snapshot_key_depends_on_inputs(spark):
     assert store.snapshot_key(spark, SF) != store.snapshot_key(spark, "/root/testdata/sf0.01")
+
+
+def test_nested_input_files_change_the_key(spark, tmp_path):
+    for name in store.DRIVER_INPUTS:
+        source = spark.read.parquet(os.path.join(SF, f"{name}.parquet"))
+        if name == "orders":
+            source.withColumn("part", source.o_orderkey % 2).write.partitionBy("part").parquet(
+                str(tmp_path / f"{name}.parquet"))
+        else:
+            os.symlink(os.path.join(SF, f"{name}.parquet"), tmp_path / f"{name}.parquet")
+    before = store.snapshot_key(spark, str(tmp_path))
+    first = store.materialize(spark, str(tmp_path))
+    inner = next(p for p in (tmp_path / "orders.parquet" / "part=1").iterdir() if p.suffix == ".parquet")
+    os.utime(inner, (1, 1))
+    assert store.snapshot_key(spark, str(tmp_path)) != before
+    assert store.materialize(spark, str(tmp_path)) != first
+
+
+def test_rename_never_moves_into_an_existing_folder(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x").write_text(name)
+    assert not store._rename_new(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert sorted(p.name for p in (tmp_path / "b").iterdir()) == ["x"]
+    assert store._rename_new(spark, str(tmp_path / "a"), str(tmp_path / "c"))
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from churnlens.session import ensure_checkpoint_dir
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master))
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(session)
