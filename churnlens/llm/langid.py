@@ -42,7 +42,7 @@ def _letter_codes() -> np.ndarray:
 class Profiler:
     """Vectors of texts; n-gram vectors are built once per worker and kept in a bounded cache."""
 
-    def __init__(self, dims: int, ngram: int, seed: int, cache_rows: int = 20_000):
+    def __init__(self, dims: int, ngram: int, seed: int, cache_rows: int = 16_384):
         rng = np.random.default_rng(seed)
         letters = rng.choice(np.array([-1, 1], np.int8), (CODES, dims))
         self.places = [np.roll(letters, ngram - 1 - i, axis=1) for i in range(ngram)]
@@ -51,7 +51,7 @@ class Profiler:
         self.slot = np.full(CODES ** ngram, -1, np.int32)  # n-gram -> row of the cache
         self.where = np.zeros(CODES ** ngram, np.int32)  # n-gram -> its column in the batch at hand
         self.seen = np.zeros(CODES ** ngram, bool)
-        self.rows = np.empty((cache_rows, dims), np.float32)
+        self.rows = np.empty((cache_rows, dims), np.int8)
         self.used = 0
 
     def _vectors(self, grams: np.ndarray) -> np.ndarray:
@@ -60,18 +60,18 @@ class Profiler:
             self.slot[:] = -1
             self.used, new = 0, grams
             if len(new) > len(self.rows):
-                return self._bind(new)
+                return self._bind(new).astype(np.float32)
         if len(new):
             self.rows[self.used:self.used + len(new)] = self._bind(new)
             self.slot[new] = np.arange(self.used, self.used + len(new))
             self.used += len(new)
-        return self.rows[self.slot[grams]]
+        return self.rows[self.slot[grams]].astype(np.float32)
 
     def _bind(self, grams: np.ndarray) -> np.ndarray:
         bound = np.ones((len(grams), self.dims), np.int8)
         for i in range(self.ngram):
             bound *= self.places[i][grams // CODES ** (self.ngram - 1 - i) % CODES]
-        return bound.astype(np.float32)
+        return bound
 
     def grams(self, text: str) -> np.ndarray:
         """The n-grams of a text: words in lower case with one separator on each side; empty without a letter."""
@@ -103,8 +103,8 @@ class Profiler:
         self.seen[together] = True
         unique = np.flatnonzero(self.seen)
         self.seen[unique] = False
-        for a in range(0, len(unique), 4096):
-            part = unique[a:a + 4096]
+        for a in range(0, len(unique), 2048):
+            part = unique[a:a + 2048]
             counts = np.zeros((len(grams), len(part)), np.float32)
             self.where[part] = np.arange(1, len(part) + 1)
             for row, g in zip(counts, grams, strict=True):
@@ -191,6 +191,7 @@ def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, dims: int = D
                 score += np.where(known, cos.max(axis=1).clip(0, 1), 0.0).astype(np.float64).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()),
                                               pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            pa.default_memory_pool().release_unused()
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
     return docs.select(*names).mapInArrow(predict_task, f"{types}, lang_pred string, score double")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import stored, workers_find_package
-from churnlens.llm.tokens import ID_DTYPE, encoder, in_batches
+from churnlens.llm.tokens import ID_DTYPE, encoder, in_byte_batches
 
 SEQUENCE_LENGTH = 4096
 #: Open windows per task.
@@ -135,9 +135,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, length: in
         words = encoder(tokenizer_path, False)
         windows = _Windows(length, open_windows, max_gap, part << 32)
         for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_batches(texts):
-                flat, counts = words.encode(texts[a:b])
+            ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in in_byte_batches(texts):
+                flat, counts = words.encode(texts.slice(a, b - a))
                 ends = np.cumsum(counts)
                 for doc_id, stop, n in zip(ids_of[a:b], ends, counts, strict=True):
                     ids = np.empty(n + 1, ID_DTYPE)
@@ -145,6 +145,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, length: in
                     windows.add(doc_id, 0, ids, int(n) + 1)
                     if len(windows.rows) >= _FLUSH_ROWS:
                         yield _batch(windows.take_rows(), _ARROW)
+                pa.default_memory_pool().release_unused()
         windows.leave(part)
         yield _batch(windows.take_rows(), _ARROW)
 

@@ -10,7 +10,6 @@ to the library whole, so the ids are always those of the library for the whole t
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from functools import lru_cache
 
@@ -20,13 +19,15 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Bound on cached words per Python worker (about 150 bytes each).
-CACHE_WORDS = 1_000_000
+#: Bound on words per Python worker that were met again (about 200 bytes each); a third as many new ones are kept.
+CACHE_WORDS = 300_000
 #: Ids travel as unsigned 32-bit little-endian.
 ID_DTYPE = np.dtype("<u4")
 
 _BARE = "\x02"  # put before a piece that no blank precedes
-_UNSAFE = re.compile(r"\s\s|^\s|\s$|\x02")
+_BLANK = r"\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Where blanks belong to words, a text with such a place is not cut.
+_UNSAFE = f"[{_BLANK}][{_BLANK}]|^[{_BLANK}]|[{_BLANK}]$|{_BARE}"
 _LETTERS = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$"
 
 
@@ -46,84 +47,92 @@ class WordCachedEncoder:
         self.keep_space = keep_space
         self.specials = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.limit = cache_words
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # words met at least twice
+        self.fresh: dict[str, bytes] = {}  # words met once, emptied first
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _text_of(self, key: str) -> str:
-        if not self.keep_space:
+        if not self.keep_space or not key:
             return key
         return key[1:] if key[:1] == _BARE else "\n" if key == "\n" else " " + key
 
     def _ids(self, keys: list[str]) -> list[bytes]:
         """Ids of words by cache key; the library sees only words that are not cached."""
-        words = self.words
-        new = [k for k in keys if k not in words]
+        found = list(map(self.words.get, keys))
+        new = []
+        for i in [i for i, f in enumerate(found) if f is None]:
+            found[i] = b = self.fresh.pop(keys[i], None)
+            if b is None:
+                new.append(i)
+            else:
+                self.words[keys[i]] = b
+        if len(self.words) > self.limit:
+            self.words.clear()
         if new:
-            if len(words) + len(new) > self.limit:
-                words.clear()
-                new = keys
-            words.update(zip(new, self.library([self._text_of(k) for k in new]), strict=True))
-        return [words[k] for k in keys]
-
-    def _pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-        """Pieces of safe texts, and the number of pieces of each: cut before blanks and around line ends."""
-        column = pa.array(texts, pa.large_string())
+            if len(self.fresh) + len(new) > self.limit // 3:
+                self.fresh.clear()
+            for i, b in zip(new, self.library([self._text_of(keys[i]) for i in new]), strict=True):
+                found[i] = self.fresh[keys[i]] = b
+        return found
+
+    def _cuttable(self, column: pa.Array) -> np.ndarray:
+        """Which texts are sure to have the library's ids when they are cut."""
+        bad = pc.equal(pc.binary_length(column), 0)
+        for s in self.specials:
+            bad = pc.or_(bad, pc.match_substring(column, s, ignore_case=True))
+        if self.keep_space:
+            bad = pc.or_(bad, pc.match_substring_regex(column, _UNSAFE))
+        return ~pc.fill_null(bad, True).to_numpy(zero_copy_only=False)
+
+    def _pieces(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Pieces of texts, and the number of pieces of each: cut before blanks and around line ends."""
         if self.keep_space:
             column = pc.replace_substring(column, "\n", f" \n {_BARE}")
             mark, none = pa.scalar(_BARE, pa.large_string()), pa.scalar("", pa.large_string())
             column = pc.binary_join_element_wise(mark, column, none)
-        else:
-            column = pc.replace_substring(column, "\n", " ")
+        else:  # white space is dropped, and A-Z lower-cased, by the file itself as well
+            column = pc.ascii_lower(pc.replace_substring(column, "\n", " "))
         cut = pc.split_pattern(column, " ")
         return cut.flatten(), np.diff(cut.offsets.to_numpy())
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and the number of ids of each text (None: none)."""
-        fast = [i for i, t in enumerate(texts) if t and not _UNSAFE.search(t)
-                and not any(s in t for s in self.specials)]
-        known = set(fast)
-        slow = [i for i, t in enumerate(texts) if t and i not in known]
-        ids, counts = self._encode_fast([texts[i] for i in fast])
-        if not slow:
-            total = np.zeros(len(texts), np.int64)
-            total[fast] = counts
-            return ids, total
-        parts: list[np.ndarray] = [np.zeros(0, ID_DTYPE)] * len(texts)
-        for i, a, n in zip(fast, np.cumsum(counts) - counts, counts, strict=True):
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and the number of ids of each text (null: none)."""
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        fast = self._cuttable(column)
+        ids, counts = self._encode_fast(column.filter(pa.array(fast)))
+        if fast.all():
+            return ids, counts
+        parts: list[np.ndarray] = [np.zeros(0, ID_DTYPE)] * len(column)
+        for i, a, n in zip(np.flatnonzero(fast), np.cumsum(counts) - counts, counts, strict=True):
             parts[i] = ids[a:a + n]
-        for i, b in zip(slow, self.library([texts[i] for i in slow]), strict=True):
+        slow = np.flatnonzero(~fast)
+        for i, b in zip(slow, self.library([t or "" for t in column.take(pa.array(slow)).to_pylist()]), strict=True):
             parts[i] = np.frombuffer(b, ID_DTYPE)
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
-    def _encode_fast(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not texts:
+    def _encode_fast(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(column):
             return np.zeros(0, ID_DTYPE), np.zeros(0, np.int64)
-        flat, n_pieces = self._pieces(texts)
+        flat, n_pieces = self._pieces(column)
         coded = flat.dictionary_encode()
         pieces = coded.dictionary
         # a letter word with a tail of commas or stops is two words; every other piece is looked up as it is
         core = pc.ascii_rtrim(pieces, ",.")
         bare = pc.replace_substring_regex(core, f"^{_BARE}", "") if self.keep_space else core
         letters = pc.match_substring_regex(bare, _LETTERS)
-        core = pc.if_else(letters, core, pieces)
-        n_tail = (pc.binary_length(pieces).to_numpy() - pc.binary_length(core).to_numpy()).astype(np.int64)
-        tails = [""] * len(pieces)
+        core = pc.if_else(letters, core, pieces).dictionary_encode()
+        tail = pc.struct_field(pc.extract_regex(pieces, "(?P<tail>[,.]*)$"), "tail")
+        tail = pc.if_else(letters, tail, pa.scalar("", tail.type)).dictionary_encode()
+        cores, tails = core.dictionary.to_pylist(), tail.dictionary.to_pylist()
         mark = _BARE if self.keep_space else ""
-        for i, p in zip(has := np.flatnonzero(n_tail), pieces.take(pa.array(has)).to_pylist(), strict=True):
-            tails[i] = mark + p[-n_tail[i]:]
-        cores = core.dictionary_encode()
-        tail_words = sorted(set(tails) - {""})
-        blobs = [b"", *self._ids(cores.dictionary.to_pylist()), *self._ids(tail_words)]
-        place = {"": 0} | {t: 1 + len(cores.dictionary) + i for i, t in enumerate(tail_words)}
-        word_of = np.empty((len(pieces), 2), np.int64)
-        word_of[:, 0] = cores.indices.to_numpy() + 1
-        word_of[:, 1] = [place[t] for t in tails]
+        blobs = self._ids(cores + [mark + t if t else "" for t in tails])
         # ragged gather: each piece gives the ids of its word and of its tail
-        n = np.array([len(b) // 4 for b in blobs], np.int64)
+        n = np.fromiter(map(len, blobs), np.int64, len(blobs)) // ID_DTYPE.itemsize
         first = np.cumsum(n) - n
         heap = np.frombuffer(b"".join(blobs), ID_DTYPE)
+        word_of = np.stack([core.indices.to_numpy(), tail.indices.to_numpy() + len(cores)], axis=1)
         words = word_of[coded.indices.to_numpy()].ravel()
         lens = n[words]
         ends = np.cumsum(lens)
@@ -140,13 +149,22 @@ def encoder(path: str, keep_space: bool) -> WordCachedEncoder:
     return WordCachedEncoder(path, keep_space)
 
 
-def in_batches(texts: list[str | None], chars: int = 8_000_000):
+def in_batches(texts: list[str | None], chars: int = 4_000_000):
     """Slices of a list of texts with a bounded number of characters (one text at least)."""
-    start, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t) if t else 0
-        if total >= chars:
+    return _slices((len(t) if t else 0 for t in texts), chars)
+
+
+def in_byte_batches(texts: pa.Array, size: int = 3_000_000):
+    """Slices of a text column with a bounded number of bytes (one text at least)."""
+    return _slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), size)
+
+
+def _slices(sizes, most: int):
+    start, total, i = 0, 0, -1
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most:
             yield start, i + 1
             start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start <= i:
+        yield start, i + 1

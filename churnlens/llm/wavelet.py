@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import scratch, stored, workers_find_package
-from churnlens.llm.tokens import ID_DTYPE, encoder, in_batches
+from churnlens.llm.tokens import ID_DTYPE, encoder, in_byte_batches
 
 # The file format.  magic, header length (uint32), header JSON, parts at the header's offsets.
 MAGIC = b"WMX1"
@@ -227,9 +227,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
             return row
 
         for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_batches(texts):
-                flat, counts = words.encode(texts[a:b])
+            ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in in_byte_batches(texts):
+                flat, counts = words.encode(texts.slice(a, b - a))
                 ends = np.cumsum(counts)
                 full = np.insert(flat.astype(np.uint32), ends, end_id)
                 at = 0
@@ -241,6 +241,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
                     held += int(n) + 1
                     if held >= shard_tokens:
                         yield close()
+                pa.default_memory_pool().release_unused()
         if doc_ids:
             yield close()
 
