@@ -30,6 +30,8 @@ from churnlens.functions.formats import np_round
 from churnlens.operators.quantiles import exact_medians, exact_quantiles
 
 LABEL, WEIGHT = "_label", "_weight"
+#: Most distinct values of a categorical feature: its index is kept by the driver and sent to all tasks.
+MAX_CATEGORIES = 10_000
 
 
 # --------------------------------------------------------------------------- K5 split
@@ -93,7 +95,11 @@ def fit_preprocessing(train: DataFrame, cats: list[str], nums: list[str]) -> dic
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"mean_{c}"), F.stddev_pop(x).alias(f"sd_{c}")]
     aggs.append(F.count(F.lit(1)).alias("_n"))
+    aggs += [F.approx_count_distinct(F.col(c).cast("string")).alias(f"k_{c}") for c in cats]
     row = train.agg(*aggs).first().asDict()
+    wide = [c for c in cats if row[f"k_{c}"] > MAX_CATEGORIES]
+    if wide:
+        raise ValueError(f"too many categories for one-hot features: {wide}")
     meds = exact_medians(train, {c: F.col(c).cast("double") for c in nums}) if nums else {}
     row.update({f"med_{c}": meds[c] for c in nums})
     n = row["_n"]

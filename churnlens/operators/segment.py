@@ -125,14 +125,25 @@ def kmeans_labels(df: DataFrame, n_clusters: int = 3, random_state: int = 42, n_
 
 
 def segment(df: DataFrame, n_clusters: int = 3, random_state: int = 42, n_init: int = 10) -> dict:
-    """K4: labels, counts, summary, churn rate per cluster and descriptions (all DataFrames)."""
+    """K4: labels, counts, summary, churn rate per cluster and descriptions (all DataFrames).
+
+    The results share persisted frames (memory, then disk); call ``["release"]()`` when done with them.
+    """
     if df is None:
         raise ValueError("No se recibieron datos para segmentar clientes.")
-    labelled = kmeans_labels(df, n_clusters, random_state, n_init)
-    seg = labelled.withColumn("cluster", cluster_label(F.col("cluster_id")))
+    # the input and the labels are computed once for the fits and all five results
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    labelled = kmeans_labels(kept, n_clusters, random_state, n_init)
+    seg = labelled.withColumn("cluster", cluster_label(F.col("cluster_id"))).persist(StorageLevel.MEMORY_AND_DISK)
     summary = cluster_summary(seg)
+
+    def release() -> None:
+        seg.unpersist()
+        kept.unpersist()
+
     return {"clientes_segmentados": seg, "conteo_clusters": cluster_counts(seg), "resumen_clusters": summary,
-            "tasa_abandono_clusters": cluster_churn(seg), "descripciones": describe_clusters(summary)}
+            "tasa_abandono_clusters": cluster_churn(seg), "descripciones": describe_clusters(summary),
+            "release": release}
 
 
 # --------------------------------------------------------------------------- D23-D26

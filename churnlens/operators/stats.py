@@ -11,22 +11,6 @@ from churnlens.functions.stats import direction_of
 from churnlens.operators.quantiles import exact_quantiles
 
 
-def correlation_columns(df: DataFrame, variables=config.CORRELATION_VARIABLES) -> list[str]:
-    """Present correlation variables with at least one numeric value.
-
-    Which columns enter the matrix is a plan-shape decision, so it needs one
-    aggregate row (one count per column) on the driver.
-    """
-    present = [c for c in variables if c in df.columns]
-    if len(present) < 2:
-        raise ValueError("Se requieren al menos 2 variables disponibles para calcular correlaciones.")
-    counts = df.agg(*[F.count(number(df, c)).alias(c) for c in present]).first()
-    valid = [c for c in present if counts[c] > 0]
-    if len(valid) < 2:
-        raise ValueError("Se requieren al menos 2 variables numéricas válidas para calcular correlaciones.")
-    return valid
-
-
 def _pearson_sql(a: str, b: str) -> str:
     """Pairwise-complete Pearson r of columns a, b as one SQL aggregate expression.
 
@@ -42,24 +26,27 @@ def _pearson_sql(a: str, b: str) -> str:
 def correlation_long(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Long Pearson matrix (variable_x, variable_y, pos_x, pos_y, coeficiente).
 
-    One aggregate pass computes all n(n-1)/2 pairs with pairwise-complete
-    masks (plus the diagonal: NULL for a constant column); a constant column
-    yields NULL, not a division error.  The expressions are written as SQL
-    text so the plan is built in a few calls whatever the number of pairs.
+    ONE aggregate pass gives the non-null count of every column and all n(n-1)/2 pairs with pairwise-complete
+    masks (NULL for a constant column, not a division error).  Its single row is read, columns without a number
+    are left out afterwards, and the matrix (a few cells per column) is returned as rows.
     """
-    cols = columns if columns is not None else correlation_columns(df)
-    num = df.select(*[number(df, c).alias(c) for c in cols])
-    aggs = [F.expr(_pearson_sql(a, cols[j])).alias(f"r_{i}_{j}")
-            for i, a in enumerate(cols) for j in range(i, len(cols))]
-    one = num.agg(*aggs)
+    present = columns if columns is not None else [c for c in config.CORRELATION_VARIABLES if c in df.columns]
+    if len(present) < 2:
+        raise ValueError("At least two variables are needed for correlations.")
+    num = df.select(*[number(df, c).alias(c) for c in present])
+    one = num.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(present)],
+                  *[F.expr(_pearson_sql(a, present[j])).alias(f"r_{i}_{j}")
+                    for i, a in enumerate(present) for j in range(i, len(present))]).first()
+    used = [i for i in range(len(present)) if one[f"n_{i}"] > 0]
+    if len(used) < 2:
+        raise ValueError("At least two variables with numbers are needed for correlations.")
     cells = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            r = f"r_{min(i, j)}_{max(i, j)}"
-            r = f"CASE WHEN {r} IS NOT NULL THEN 1.0D END" if i == j else r
-            cells.append(f"'{a}', '{b}', {i}, {j}, {r}")
-    stack = f"stack({len(cells)}, {', '.join(cells)}) AS (variable_x, variable_y, pos_x, pos_y, coeficiente)"
-    return one.selectExpr(stack)
+    for x, i in enumerate(used):
+        for y, j in enumerate(used):
+            r = one[f"r_{min(i, j)}_{max(i, j)}"]
+            cells.append((present[i], present[j], x, y, r if i != j or r is None else 1.0))
+    return df.sparkSession.createDataFrame(
+        cells, "variable_x string, variable_y string, pos_x int, pos_y int, coeficiente double")
 
 
 def correlation_with_target(matrix: DataFrame, target: str = config.TARGET_COLUMN,

@@ -414,3 +414,124 @@ def q_churn_by_city_display(spark, sf_dir):
     t = t.withColumn("tasa_abandono", np_round(F.col("tasa_abandono"), 2))
     from churnlens import config as _c
     return explore.display_labels(t, _c.CATEGORY_TABLE_LABELS)
+
+
+# ---------------------------------------------------------------------------
+# sinks read back, table access, model features, gates
+# ---------------------------------------------------------------------------
+import os  # noqa: E402
+import uuid  # noqa: E402
+
+from churnlens.functions import formats  # noqa: E402
+from churnlens.session import ensure_checkpoint_dir  # noqa: E402
+from churnlens.sources import sinks  # noqa: E402
+from churnlens.sources.intake import INTAKE_COLUMNS, read_customer_csv  # noqa: E402
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "queries", f"{name}-{uuid.uuid4().hex}")
+
+
+@query("csv_round_trip")
+def q_csv_round_trip(spark, sf_dir):
+    """A6 + A1: the intake, with quotes, commas and line breaks in every name, written as CSV and read back."""
+    df = customer_intake(spark, sf_dir).withColumn(
+        "nombre", F.concat(F.coalesce("nombre", F.lit("")), F.lit(' "x", y\nz')))
+    path = _folder(spark, "csv")
+    sinks.write_csv(df, path, INTAKE_COLUMNS)
+    return read_customer_csv(spark, path).select(*INTAKE_COLUMNS)
+
+
+@query("prediction_history")
+def q_prediction_history(spark, sf_dir):
+    """Two runs of the same version and a replaced one, read back without their times and run ids."""
+    path, scores = _folder(spark, "history"), _baseline(spark, sf_dir)
+    known = churn_tables(spark, sf_dir).clientes
+    for version, replace in (("v1", False), ("v1", False), ("v2", False), ("v2", True)):
+        sinks.write_predictions(scores, path, "base", version, replace=replace, clientes=known)
+    return (sinks.read_history(spark, path).groupBy("id_cliente", "probabilidad_churn", "nivel_riesgo", "modelo",
+                                                    "version_modelo")
+            .agg(F.count(F.lit(1)).alias("filas"), F.count_distinct("corrida").alias("corridas")))
+
+
+@query("history_integrity")
+def q_history_integrity(spark, sf_dir):
+    """C7 + C8 on the prediction history."""
+    t = churn_tables(spark, sf_dir)
+    path = _folder(spark, "history")
+    sinks.write_predictions(_baseline(spark, sf_dir), path, "base", "v1", clientes=t.clientes)
+    tables = {"predicciones": sinks.read_history(spark, path)}
+    rules = integrity.check_violations(tables)
+    fk = integrity.fk_orphans(tables | {"clientes": t.clientes}).select(
+        F.col("tabla"), F.concat(F.lit("fk_"), "columna").alias("regla"), F.col("huerfanos").alias("violaciones"))
+    return rules.unionByName(fk)
+
+
+@query("published_customers")
+def q_published_customers(spark, sf_dir):
+    """A10 + A11: the operational tables published twice, customers read back in id order."""
+    t, root = churn_tables(spark, sf_dir), _folder(spark, "operational")
+    tables = {n: t.as_dict()[n] for n in ("sucursales", "servicios", "clientes")}
+    sinks.publish_operational(tables, root, check_principal=False, check_integrity=False)
+    sinks.publish_operational(tables, root, reset=True, check_principal=False, check_integrity=False)
+    return sinks.read_live(spark, root, "clientes").select("id_cliente", "nombre", "edad", "ciudad", "abandono") \
+        .orderBy("id_cliente")
+
+
+@query("result_counts")
+def q_result_counts(spark, sf_dir):
+    """How many customers a search, a filter and the whole view have."""
+    v = view(spark, sf_dir)
+    rows = [("todos", explore.count_results(v)), ("busqueda", explore.count_results(explore.search(v, SEARCH_TERM))),
+            ("ciudades", explore.count_results(v.filter(F.col("ciudad").isin(CITIES))))]
+    return spark.createDataFrame(rows, "consulta string, resultados long")
+
+
+@query("view_contract")
+def q_view_contract(spark, sf_dir):
+    """A4 + B13: the checked view's columns that enter the model, in order."""
+    from churnlens.plans.behavior import require_view_columns
+    cats, nums = churn_model.features_of(require_view_columns(view(spark, sf_dir)))
+    return spark.createDataFrame([(i, c, c in cats) for i, c in enumerate(cats + nums)],
+                                 "orden int, variable string, categorica boolean")
+
+
+@query("most_frequent")
+def q_most_frequent(spark, sf_dir):
+    """The most frequent value of every categorical feature."""
+    v = view(spark, sf_dir)
+    cats, _ = churn_model.features_of(v)
+    return spark.createDataFrame([(c, churn_model.most_frequent(v, c)) for c in cats], "variable string, moda string")
+
+
+@query("model_features")
+def q_model_features(spark, sf_dir):
+    """K6: imputed and standardised numeric features, statistics of the training rows applied to all customers."""
+    v = _valid_target(view(spark, sf_dir))
+    _, nums = churn_model.features_of(v)
+    stats = churn_model.fit_preprocessing(v.filter(~churn_model.split_flag(v)), [], nums)
+    return r6(v.select("id_cliente", *[
+        ((F.coalesce(F.col(c).cast("double"), F.lit(stats["medians"][c])) - F.lit(stats["means"][c]))
+         / F.lit(stats["scales"][c])).alias(f"z_{c}") for c in nums]))
+
+
+@query("kpi_texts")
+def q_kpi_texts(spark, sf_dir):
+    """The four number formats on one row of KPIs."""
+    one = view(spark, sf_dir).agg(F.count(F.lit(1)).cast("double").alias("n"),
+                                  (F.avg(F.col("abandono").cast("double")) * 100).alias("p"),
+                                  F.avg(F.col("satisfaccion").cast("double")).alias("m"),
+                                  F.round(F.sum(F.col("monto_mensual").cast("decimal(38,6)")).cast("double"), 0)
+                                  .alias("a"))
+    return one.select(formats.fmt_integer(F.col("n")).alias("entero"), formats.fmt_pct(F.col("p")).alias("porcentaje"),
+                      formats.fmt_mean(F.col("m")).alias("promedio"), formats.fmt_amount(F.col("a")).alias("monto"))
+
+
+@query("validated_intake")
+def q_validated_intake(spark, sf_dir):
+    """V3: verdict and warnings of the intake in one table."""
+    from churnlens.operators import quality
+    verdict, report = quality.validate(customer_intake(spark, sf_dir))
+    head = verdict.select(F.lit(-1).alias("orden"), F.col("es_valido").cast("string").alias("mensaje"))
+    return head if report is None else head.unionByName(
+        report.where("mensaje IS NOT NULL").select("orden", "mensaje"))

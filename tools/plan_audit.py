@@ -15,7 +15,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry  # noqa: E402
+from churnlens.plans.queries import QUERIES  # noqa: E402
 from churnlens.session import local_session  # noqa: E402
 
 WATCH = ["Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange SinglePartition", "BroadcastExchange",
@@ -29,7 +29,7 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = sys.argv[2:]
     spark = local_session(8, 8)
-    for name, fn in entry.queries().items():
+    for name, fn in QUERIES.items():
         if only and name not in only:
             continue
         plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
