@@ -28,6 +28,8 @@ _BARE = "\x02"  # put before a piece that no blank precedes
 _BLANK = r"\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Where blanks belong to words, a text with such a place is not cut.
 _UNSAFE = f"[{_BLANK}][{_BLANK}]|^[{_BLANK}]|[{_BLANK}]$|{_BARE}"
+#: Words that are encoded as one text.
+_JOINED = 1000
 _LETTERS = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$"
 
 
@@ -47,12 +49,43 @@ class WordCachedEncoder:
         self.keep_space = keep_space
         self.specials = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.limit = cache_words
+        # ids that begin (byte-level) or end (word-level) a word
+        vocabulary = self.lib.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if keep_space else t.endswith("</w>"))]] = True
         self.words: dict[str, bytes] = {}  # words met at least twice
         self.fresh: dict[str, bytes] = {}  # words met once, emptied first
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _new_ids(self, keys: list[str]) -> list[bytes]:
+        """Ids of words from the library: most of them many at a time, as one text of words behind blanks.
+
+        A word can join if its ids can be told from its neighbours': behind a blank, only the first begins with one;
+        without blanks, only the last of a word of letters ends a word.
+        """
+        out: list[bytes | None] = [None] * len(keys)
+        if self.keep_space:
+            joined = [i for i, k in enumerate(keys) if k and k[0] != _BARE and k != "\n"]
+        else:
+            joined = [i for i, k in enumerate(keys) if k.isalpha() and (k.isascii() or max(k) < "\u0100")]
+        parts = [joined[a:a + _JOINED] for a in range(0, len(joined), _JOINED)]
+        texts = ["".join([" " + keys[i] for i in part]) for part in parts]
+        for part, e in zip(parts, self.lib.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, ID_DTYPE)
+            edges = np.flatnonzero(self.edge[ids])
+            cuts = np.append(edges, len(ids)) if self.keep_space else np.append(0, edges + 1)
+            if len(edges) != len(part) or cuts[0] or cuts[-1] != len(ids):
+                continue  # not one edge a word: these words are encoded one by one
+            data, cuts = ids.tobytes(), (cuts * ID_DTYPE.itemsize).tolist()
+            for i, a, b in zip(part, cuts, cuts[1:], strict=False):
+                out[i] = data[a:b]
+        rest = [i for i, b in enumerate(out) if b is None]
+        for i, b in zip(rest, self.library([self._text_of(keys[i]) for i in rest]), strict=True):
+            out[i] = b
+        return out
+
     def _text_of(self, key: str) -> str:
         if not self.keep_space or not key:
             return key
@@ -73,7 +106,7 @@ class WordCachedEncoder:
         if new:
             if len(self.fresh) + len(new) > self.limit // 3:
                 self.fresh.clear()
-            for i, b in zip(new, self.library([self._text_of(keys[i]) for i in new]), strict=True):
+            for i, b in zip(new, self._new_ids([keys[i] for i in new]), strict=True):
                 found[i] = self.fresh[keys[i]] = b
         return found
 
@@ -81,7 +114,7 @@ class WordCachedEncoder:
         """Which texts are sure to have the library's ids when they are cut."""
         bad = pc.equal(pc.binary_length(column), 0)
         for s in self.specials:
-            bad = pc.or_(bad, pc.match_substring(column, s, ignore_case=True))
+            bad = pc.or_(bad, pc.match_substring(column, s, ignore_case=not self.keep_space))
         if self.keep_space:
             bad = pc.or_(bad, pc.match_substring_regex(column, _UNSAFE))
         return ~pc.fill_null(bad, True).to_numpy(zero_copy_only=False)
@@ -125,7 +158,7 @@ class WordCachedEncoder:
         core = pc.if_else(letters, core, pieces).dictionary_encode()
         tail = pc.struct_field(pc.extract_regex(pieces, "(?P<tail>[,.]*)$"), "tail")
         tail = pc.if_else(letters, tail, pa.scalar("", tail.type)).dictionary_encode()
-        cores, tails = core.dictionary.to_pylist(), tail.dictionary.to_pylist()
+        cores, tails = (d.dictionary.to_numpy(zero_copy_only=False).tolist() for d in (core, tail))
         mark = _BARE if self.keep_space else ""
         blobs = self._ids(cores + [mark + t if t else "" for t in tails])
         # ragged gather: each piece gives the ids of its word and of its tail

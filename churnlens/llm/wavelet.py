@@ -2,8 +2,9 @@
 
 A shard holds the ids of consecutive documents as bit planes, highest bit first; each plane orders the ids by
 the bits above it (zeros before ones), so one compressed file answers access, rank (counting) and select
-(occurrence lookup) by walking the planes.  Planes are compressed in blocks; a directory of ones before each
-block lets a look-up decompress a single block per plane.
+(occurrence lookup) by walking the planes.  The ids are cut into segments that fit a processor's cache, each a
+wavelet matrix of its own whose planes are compressed one by one: a look-up decompresses the planes of the
+segments it touches only.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from churnlens.llm.common import scratch, stored, workers_find_package
 from churnlens.llm.tokens import ID_DTYPE, encoder, in_byte_batches
 
 # The file format.  magic, header length (uint32), header JSON, parts at the header's offsets.
-MAGIC = b"WMX1"
-BLOCK_BYTES = 1 << 16
+MAGIC = b"WMX2"
+SEGMENT_TOKENS = 1 << 18
 
 #: Ids after which a shard is closed (a longer document still lies in one shard).
 SHARD_TOKENS = 3_000_000
@@ -47,29 +49,79 @@ def build_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
         size += len(parts[-1])
         return [size - len(parts[-1]), len(parts[-1]), int(raw)]
 
-    planes = []
-    rest = ids.astype(np.uint16 if width <= 16 else np.uint32)
-    for k in range(width - 1, -1, -1):
-        bit = ((rest >> rest.dtype.type(k)) & rest.dtype.type(1)).astype(bool)
-        bits = np.packbits(bit, bitorder="little").tobytes()
-        blocks, ones, before = [], [], 0
-        for at in range(0, len(bits), BLOCK_BYTES):
-            block = bits[at:at + BLOCK_BYTES]
-            blocks.append(put(block))
-            ones.append(before)
-            before += int(np.count_nonzero(bit[at * 8:(at + BLOCK_BYTES) * 8]))
-        planes.append({"zeros": len(ids) - before, "blocks": blocks, "ones": ones})
-        rest = np.concatenate([rest[~bit], rest[bit]])
+    segments = []
+    for at in range(0, len(ids), SEGMENT_TOKENS):
+        rest = ids[at:at + SEGMENT_TOKENS].astype(np.uint16 if width <= 16 else np.uint32)
+        planes = []
+        for k in range(width - 1, -1, -1):
+            bit = (rest & rest.dtype.type(1 << k)) != 0
+            zero = ~bit
+            planes.append([int(np.count_nonzero(zero)), *put(np.packbits(bit, bitorder="little").tobytes())])
+            rest = np.concatenate([rest.compress(zero), rest.compress(bit)])
+        segments.append(planes)
     known = np.array([d is not None for d in doc_ids], bool)
-    head = {"n": len(ids), "docs": len(doc_ids), "planes": planes,
+    head = {"n": len(ids), "docs": len(doc_ids), "width": width, "segments": segments,
             "doc_ids": put(np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()),
             "known": put(known.tobytes()), "lengths": put(np.array(lengths, "<i8").tobytes())}
     text = json.dumps(head).encode()
     return b"".join([MAGIC, struct.pack("<I", len(text)), text, *parts])
 
 
+class _Segment:
+    """One wavelet matrix: n ids in planes of (number of zeros, bits), the highest first."""
+
+    def __init__(self, n: int, planes: list[tuple]):
+        self.n, self.width = n, len(planes)
+        self.zeros = [z for z, _ in planes]
+        self._packed = [get for _, get in planes]
+        self._bits: list[np.ndarray | None] = [None] * self.width
+
+    def bits(self, k: int) -> np.ndarray:
+        if self._bits[k] is None:
+            data = np.frombuffer(self._packed[k](), np.uint8)
+            self._bits[k] = np.unpackbits(data, count=self.n, bitorder="little").view(bool)
+        return self._bits[k]
+
+    def decode(self) -> np.ndarray:
+        """All ids in their order: the planes undone from the lowest."""
+        ids = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
+        for k in range(self.width - 1, -1, -1):
+            bit, zeros = self.bits(k), self.zeros[k]
+            up = np.empty_like(ids)
+            up[np.flatnonzero(~bit)] = ids[:zeros]
+            up[np.flatnonzero(bit)] = ids[zeros:] | ids.dtype.type(1 << (self.width - 1 - k))
+            ids = up
+        return ids
+
+    def access(self, i: int) -> int:
+        value = 0
+        for k in range(self.width):
+            bit, ones = int(self.bits(k)[i]), int(np.count_nonzero(self.bits(k)[:i]))
+            i = self.zeros[k] + ones if bit else i - ones
+            value = value << 1 | bit
+        return value
+
+    def span(self, token: int, i: int) -> tuple[int, int]:
+        """Where the id's occurrences before position i lie behind the lowest plane."""
+        lo, hi = 0, i
+        for k in range(self.width):
+            a, b = (int(np.count_nonzero(self.bits(k)[:x])) for x in (lo, hi))
+            if token >> (self.width - 1 - k) & 1:
+                lo, hi = self.zeros[k] + a, self.zeros[k] + b
+            else:
+                lo, hi = lo - a, hi - b
+        return lo, hi
+
+    def select(self, token: int, nth: int) -> int:
+        at = self.span(token, self.n)[0] + nth
+        for k in range(self.width - 1, -1, -1):
+            one = bool(token >> (self.width - 1 - k) & 1)
+            at = int(np.flatnonzero(self.bits(k) == one)[at - self.zeros[k] if one else at])
+        return at
+
+
 class WaveletShard:
-    """Look-ups in a shard's content; only the blocks that a look-up touches are decompressed."""
+    """Look-ups in a shard's content; only the planes that a look-up touches are decompressed."""
 
     def __init__(self, content: bytes):
         if content[:4] != MAGIC:
@@ -77,9 +129,11 @@ class WaveletShard:
         n = struct.unpack_from("<I", content, 4)[0]
         self.head = json.loads(content[8:8 + n])
         self.body = memoryview(content)[8 + n:]
-        self.n, self.planes = self.head["n"], self.head["planes"]
-        self.width = len(self.planes)
-        self._last: dict[int, tuple[int, np.ndarray]] = {}
+        self.n, self.width = self.head["n"], self.head["width"]
+        self.segments = [
+            _Segment(min(SEGMENT_TOKENS, self.n - i * SEGMENT_TOKENS),
+                     [(zeros, partial(self._get, entry)) for zeros, *entry in planes])
+            for i, planes in enumerate(self.head["segments"])]
 
     def _get(self, entry: list[int]) -> bytes:
         import zstandard
@@ -98,85 +152,42 @@ class WaveletShard:
     def lengths(self) -> np.ndarray:
         return np.frombuffer(self._get(self.head["lengths"]), "<i8")
 
-    def _plane(self, k: int) -> np.ndarray:
-        bits = b"".join(self._get(b) for b in self.planes[k]["blocks"])
-        return np.unpackbits(np.frombuffer(bits, np.uint8), count=self.n, bitorder="little").view(bool)
-
     def decode(self) -> np.ndarray:
-        """All ids in their order: the planes undone from the lowest."""
-        ids = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
-        for k in range(self.width - 1, -1, -1):
-            bit, zeros = self._plane(k), self.planes[k]["zeros"]
-            one = ids.dtype.type(1 << (self.width - 1 - k))
-            up = np.empty_like(ids)
-            up[~bit] = ids[:zeros]
-            up[bit] = ids[zeros:] | one
-            ids = up
-        return ids.astype(ID_DTYPE)
-
-    def _block(self, k: int, j: int) -> np.ndarray:
-        if self._last.get(k, (-1,))[0] != j:
-            data = np.frombuffer(self._get(self.planes[k]["blocks"][j]), np.uint8)
-            self._last[k] = (j, np.unpackbits(data, bitorder="little"))
-        return self._last[k][1]
-
-    def _rank1(self, k: int, i: int) -> int:
-        """Ones of plane k before position i."""
-        j, rest = divmod(i, BLOCK_BYTES * 8)
-        ones = self.planes[k]["ones"]
-        if j >= len(ones):
-            return self.n - self.planes[k]["zeros"]
-        return ones[j] + int(self._block(k, j)[:rest].sum())
+        """All ids in their order."""
+        out = np.empty(self.n, ID_DTYPE)
+        for i, segment in enumerate(self.segments):
+            out[i * SEGMENT_TOKENS:(i + 1) * SEGMENT_TOKENS] = segment.decode()
+            segment._bits = [None] * segment.width  # planes are not kept
+        return out
 
     def access(self, i: int) -> int:
         """The id at position i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        value = 0
-        for k in range(self.width):
-            j, rest = divmod(i, BLOCK_BYTES * 8)
-            bit = int(self._block(k, j)[rest])
-            r = self._rank1(k, i)
-            i = self.planes[k]["zeros"] + r if bit else i - r
-            value = value << 1 | bit
-        return value
+        return self.segments[i // SEGMENT_TOKENS].access(i % SEGMENT_TOKENS)
 
     def rank(self, token: int, i: int) -> int:
         """Occurrences of an id before position i."""
         if token >> self.width:
             return 0
-        lo, hi = 0, min(max(i, 0), self.n)
-        for k in range(self.width):
-            a, b = self._rank1(k, lo), self._rank1(k, hi)
-            if token >> (self.width - 1 - k) & 1:
-                lo, hi = self.planes[k]["zeros"] + a, self.planes[k]["zeros"] + b
-            else:
-                lo, hi = lo - a, hi - b
-        return hi - lo
+        total, i = 0, min(max(i, 0), self.n)
+        for k, segment in enumerate(self.segments[:-(-i // SEGMENT_TOKENS)]):
+            lo, hi = segment.span(token, min(segment.n, i - k * SEGMENT_TOKENS))
+            total += hi - lo
+        return total
 
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
     def select(self, token: int, nth: int) -> int:
         """Position of the nth (from 0) occurrence of an id."""
-        if not 0 <= nth < self.count(token):
-            raise IndexError(nth)
-        lo = 0
-        for k in range(self.width):
-            a = self._rank1(k, lo)
-            lo = self.planes[k]["zeros"] + a if token >> (self.width - 1 - k) & 1 else lo - a
-        at = lo + nth
-        for k in range(self.width - 1, -1, -1):
-            one = token >> (self.width - 1 - k) & 1
-            at = self._select(k, at - self.planes[k]["zeros"] if one else at, one)
-        return at
-
-    def _select(self, k: int, nth: int, one: int) -> int:
-        """Position of the nth one or zero of plane k."""
-        ones, span = np.array(self.planes[k]["ones"], np.int64), BLOCK_BYTES * 8
-        before = ones if one else np.arange(len(ones)) * span - ones
-        j = int(np.searchsorted(before, nth, side="right")) - 1
-        return j * span + int(np.flatnonzero(self._block(k, j) == one)[nth - int(before[j])])
+        if nth >= 0 and not token >> self.width:
+            for k, segment in enumerate(self.segments):
+                lo, hi = segment.span(token, segment.n)
+                if nth < hi - lo:
+                    return k * SEGMENT_TOKENS + segment.select(token, nth)
+                nth -= hi - lo
+        raise IndexError(nth)
 
     def positions(self, token: int) -> list[int]:
         return [self.select(token, i) for i in range(self.count(token))]
@@ -214,6 +225,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         lengths: list[int] = []
         chunks: list[np.ndarray] = []
         held = 0
+        end = np.array([end_id], ID_DTYPE)
 
         def close() -> pa.RecordBatch:
             nonlocal doc_ids, lengths, chunks, held, seq
@@ -228,17 +240,14 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
 
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in in_byte_batches(texts):
+            for a, b in in_byte_batches(texts, 8_000_000):
                 flat, counts = words.encode(texts.slice(a, b - a))
-                ends = np.cumsum(counts)
-                full = np.insert(flat.astype(np.uint32), ends, end_id)
-                at = 0
-                for doc_id, n in zip(ids_of[a:b], counts, strict=True):
+                for doc_id, at, n in zip(ids_of[a:b], (np.cumsum(counts) - counts).tolist(), counts.tolist(),
+                                         strict=True):
                     doc_ids.append(doc_id)
-                    lengths.append(int(n) + 1)
-                    chunks.append(full[at:at + n + 1])
-                    at += n + 1
-                    held += int(n) + 1
+                    lengths.append(n + 1)
+                    chunks += [flat[at:at + n], end]
+                    held += n + 1
                     if held >= shard_tokens:
                         yield close()
                 pa.default_memory_pool().release_unused()
