@@ -80,19 +80,10 @@ def display_table(df: DataFrame, columns=config.TABLE_COLUMNS, target: str = con
     return df.select(*exprs)
 
 
-CARD_FIELDS = [
-    ("ID", "id_cliente"), ("Nombre", "nombre"), ("Edad", "edad"), ("Ciudad", "ciudad"), ("Región", "region"),
-    ("Antiguedad en meses", "antiguedad_meses"), ("Tipo de contrato", "tipo_contrato"), ("Plan", "plan"),
-    ("Monto mensual", "monto_mensual"), ("Cantidad de servicios", "cantidad_servicios"),
-    ("Reclamos ultimos 6 meses", "reclamos_ultimos_6_meses"), ("Pagos atrasados", "pagos_atrasados"),
-    ("Dias sin uso", "dias_sin_uso"), ("Satisfaccion", "satisfaccion"), ("Estado de abandono", "abandono"),
-]
-
-
 def profile_card(df: DataFrame, id_col: str = config.ID_COLUMN) -> DataFrame:
     """Wide -> long (id, orden, campo, valor) with NULL values dropped."""
     items = []
-    for pos, (label, col) in enumerate(CARD_FIELDS):
+    for pos, (label, col) in enumerate(config.CARD_FIELDS):
         if col == config.TARGET_COLUMN:
             value = label_of_target(F.col(col), number(df, col)) if col in df.columns else F.lit("None")
         elif col in df.columns:
@@ -113,11 +104,11 @@ def valid_target(df: DataFrame, target: str = config.TARGET_COLUMN) -> DataFrame
 def boxplot_input(df: DataFrame, variable: str, target: str = config.TARGET_COLUMN) -> DataFrame:
     """(estado_abandono, variable) for rows with both values present and target 0/1."""
     if variable not in config.BOXPLOT_VARIABLES:
-        raise ValueError(f"La variable seleccionada no esta permitida: {variable}")
+        raise ValueError(f"no box plot is offered for {variable}")
     if variable not in df.columns:
-        raise ValueError(f"La base de datos no contiene la variable seleccionada: {variable}")
+        raise ValueError(f"the input has no column {variable}")
     if target not in df.columns:
-        raise ValueError("La base de datos no contiene la columna requerida: abandono")
+        raise ValueError(f"the input has no column {target}")
     v, t = number(df, variable), number(df, target)
     return (df.select(v.alias(variable), t.alias("_t"))
             .filter(F.col(variable).isNotNull() & F.col("_t").isin(0.0, 1.0))

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlens import schemas
+from churnlens import config, schemas
 
 # CHECK rules as SQL predicates (a row violates a CHECK only when the
 # predicate is FALSE; NULL passes, as in SQL) and NOT NULL columns.
@@ -51,9 +51,6 @@ NOT_NULL = {
                      "fecha_prediccion"],
 }
 UNIQUE = {"servicios": [["codigo"]]}
-PRINCIPAL_MESSAGE = ("Integridad de contratos: {sin} cliente(s) sin contrato principal activo y {dup} con mas "
-                     "de uno. Se esperaba exactamente uno por cliente.")
-
 REPORT_SCHEMA = "tabla string, regla string, violaciones bigint"
 
 
@@ -153,7 +150,7 @@ def principal_rule(clientes: DataFrame, contratos: DataFrame) -> DataFrame:
     """One row (sin_principal, con_mas_de_uno, valido, mensaje)."""
     sin = customers_without_principal(clientes, contratos).agg(F.count(F.lit(1)).alias("sin_principal"))
     dup = duplicate_principals(contratos).agg(F.count(F.lit(1)).alias("con_mas_de_uno"))
-    pre, rest = PRINCIPAL_MESSAGE.split("{sin}")
+    pre, rest = config.PRINCIPAL_MESSAGE.split("{sin}")
     mid, post = rest.split("{dup}")
     sin_v, dup_v = sin.scalar(), dup.scalar()
     ok = (sin_v == 0) & (dup_v == 0)

@@ -68,12 +68,12 @@ def features_of(df: DataFrame, categorical=config.MODEL_CATEGORICAL, numeric=con
     """
     missing = [c for c in categorical + numeric if c not in df.columns]
     if strict and missing:
-        raise ValueError(f"La vista no expone columnas requeridas: {missing}")
+        raise ValueError(f"the view lacks model features: {missing}")
     excluded = set(config.PREDICTION_EXCLUDED) | {"segmento", "probabilidad_churn", "nivel_riesgo"}
     cats = [c for c in categorical if c in df.columns and c not in excluded]
     nums = [c for c in numeric if c in df.columns and c not in excluded]
     if not cats and not nums:
-        raise ValueError("No hay variables predictoras disponibles.")
+        raise ValueError("no feature is left for the model")
     return cats, nums
 
 
@@ -194,13 +194,13 @@ def score(model: PipelineModel, df: DataFrame, features: list[str] | None = None
           id_col: str = config.ID_COLUMN) -> DataFrame:
     """K9: (id_cliente, probabilidad_churn rounded 4, nivel_riesgo on the unrounded value)."""
     if df.isEmpty():  # one-row probe, not a count
-        raise ValueError("El DataFrame de entrada esta vacio.")
+        raise ValueError("nothing to score: the input is empty")
     if id_col not in df.columns:
-        raise ValueError("Falta la columna obligatoria 'id_cliente'.")
+        raise ValueError("the rows to score need an id_cliente")
     if features:
         missing = [c for c in features if c not in df.columns]
         if missing:
-            raise ValueError(f"Faltan columnas requeridas por el modelo: {missing}")
+            raise ValueError(f"the model was trained with columns that are absent: {missing}")
     out = model.transform(df)
     return with_risk(out.select(F.col(id_col), positive_probability(out).alias("probabilidad_churn")))
 
@@ -284,15 +284,15 @@ def load_model(path: str) -> tuple[PipelineModel, dict]:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path):
-        raise FileNotFoundError(f"No existe el modelo '{path}'. Ejecuta primero el entrenamiento.")
+        raise FileNotFoundError(f"there is no model under {path}")
     if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "pipeline"))):
-        raise ValueError("El modelo cargado no tiene la clave 'pipeline'.")
+        raise ValueError("the stored model has no pipeline")
     try:
         model = PipelineModel.load(os.path.join(path, "pipeline"))
         meta_rows = spark.read.text(os.path.join(path, "metadata")).collect()
         meta = json.loads(meta_rows[0][0]) if meta_rows else {}
     except Exception as exc:  # noqa: BLE001
-        raise ValueError(f"No se pudo cargar el modelo '{path}': {exc}") from exc
+        raise ValueError(f"the model under {path} cannot be read: {exc}") from exc
     return model, meta
 
 

@@ -55,15 +55,15 @@ def fit_scaler(df: DataFrame) -> Scaler:
     """
     missing = missing_features(df)
     if missing:
-        raise ValueError("Faltan columnas requeridas para segmentacion: " + ", ".join(missing))
+        raise ValueError("columns needed for segments are absent: " + ", ".join(missing))
     proj = df.select(*[number(df, c).alias(c) for c in FEATURES]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         first = proj.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"n_{c}") for c in FEATURES]).first()
         if first["_n"] == 0:
-            raise ValueError("No hay registros suficientes para segmentar clientes.")
+            raise ValueError("there are no customers to segment")
         for c in FEATURES:
             if first[f"n_{c}"] == 0:
-                raise ValueError("La columna requerida para segmentacion no contiene valores numericos validos: "
+                raise ValueError("a column needed for segments has no number: "
                                  + c)
         medians = {c: float(v) for c, v in exact_medians(proj, {c: F.col(c) for c in FEATURES}).items()}
         imputed = {c: F.coalesce(F.col(c), F.lit(medians[c])) for c in FEATURES}
@@ -103,8 +103,7 @@ def kmeans_labels(df: DataFrame, n_clusters: int = 3, random_state: int = 42, n_
     try:
         n = vec.count()
         if n < n_clusters:
-            raise ValueError("No hay clientes suficientes para generar "
-                             f"{n_clusters} clusters: se recibieron {n}.")
+            raise ValueError(f"{n_clusters} clusters need at least as many customers; there are {n}")
         best = None
         for i in range(n_init):
             km = KMeans(k=n_clusters, seed=random_state + i, featuresCol="_zvec", predictionCol="_raw",
@@ -130,7 +129,7 @@ def segment(df: DataFrame, n_clusters: int = 3, random_state: int = 42, n_init:
     The results share persisted frames (memory, then disk); call ``["release"]()`` when done with them.
     """
     if df is None:
-        raise ValueError("No se recibieron datos para segmentar clientes.")
+        raise ValueError("segmentation needs a DataFrame")
     # the input and the labels are computed once for the fits and all five results
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     labelled = kmeans_labels(kept, n_clusters, random_state, n_init)

@@ -1,4 +1,4 @@
-"""B, D, F, H operators on the F1 fixture (expected values from the reference's tests)."""
+"""B, D, F, H operators on the F1 fixture (expected values worked out from its rows)."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +10,9 @@ from churnlens.operators import conclusions, explore, metrics, stats
 
 def test_kpis(customers):
     k = metrics.kpis(customers).first()
-    assert (k["total_clientes"], k["clientes_permanecen"], k["clientes_abandonaron"]) == (4, 2, 2)
-    assert k["tasa_abandono"] == 50.0 and k["tasa_retencion"] == 50.0
-    assert k["satisfaccion_promedio"] == pytest.approx(3.5)
+    assert (k["total_clientes"], k["clientes_permanecen"], k["clientes_abandonaron"]) == (5, 3, 2)
+    assert k["tasa_abandono"] == 40.0 and k["tasa_retencion"] == 60.0
+    assert k["satisfaccion_promedio"] == pytest.approx(3.0)
 
 
 def test_kpis_empty_is_zero(customers):
@@ -22,12 +22,12 @@ def test_kpis_empty_is_zero(customers):
 
 def test_churn_by_category(customers):
     city = {r["ciudad"]: r for r in metrics.churn_by_category(customers, "ciudad").collect()}
-    assert (city["Santiago"]["total_clientes"], city["Santiago"]["clientes_abandonaron"],
-            city["Santiago"]["tasa_abandono"]) == (2, 1, 50.0)
+    assert (city["Puerto Norte"]["total_clientes"], city["Puerto Norte"]["clientes_abandonaron"],
+            city["Puerto Norte"]["tasa_abandono"]) == (2, 1, 50.0)
     ct = metrics.churn_by_category(customers, "tipo_contrato").collect()
-    assert ct[0]["tipo_contrato"] == "Mensual" and ct[0]["tasa_abandono"] == 100.0
+    assert ct[0]["tipo_contrato"] == "Libre" and ct[0]["tasa_abandono"] == pytest.approx(200 / 3)
     plan = {r["plan"]: r for r in metrics.churn_by_category(customers, "plan").collect()}
-    assert plan["Fibra Plus"]["tasa_abandono"] == 50.0
+    assert plan["Movil 20"]["tasa_abandono"] == 50.0
     assert metrics.churn_by_category(customers, "nombre").count() == 0  # not a grouping column
 
 
@@ -37,54 +37,54 @@ def test_churn_by_category_tie_order(spark):
 
 
 def test_search_and_filters(customers):
-    assert [r["id_cliente"] for r in explore.search(customers, "carolina").collect()] == ["CXM0003"]
-    assert explore.search(customers, "CXM000").count() == 4
-    assert explore.search(customers, "  ").count() == 4
+    assert [r["id_cliente"] for r in explore.search(customers, "elsa").collect()] == ["K-01"]
+    assert explore.search(customers, "K-0").count() == 5
+    assert explore.search(customers, "  ").count() == 5
     assert explore.search(customers, "%").count() == 0
-    got = explore.filter_customers(customers, "", ["Santiago"], ["Mensual"], None, 1).collect()
-    assert [r["id_cliente"] for r in got] == ["CXM0003"]
-    assert explore.analysis_filter(customers, [" Santiago "]).count() == 2
-    assert explore.analysis_filter(customers, ["santiago"]).count() == 0  # case-sensitive
+    got = explore.filter_customers(customers, "", ["Laguna Alta"], ["Libre"], None, 1).collect()
+    assert [r["id_cliente"] for r in got] == ["K-04"]
+    assert explore.analysis_filter(customers, [" Laguna Alta "]).count() == 2
+    assert explore.analysis_filter(customers, ["laguna alta"]).count() == 0  # case-sensitive
 
 
 def test_lookup_sort_options(customers):
-    assert explore.lookup(customers, " CXM0002 ").first()["nombre"] == "Luis Paredes"
+    assert explore.lookup(customers, " K-02 ").first()["nombre"] == "Ivo Marchetti"
     assert explore.lookup(customers, "nope").count() == 0
     ids = [r["id_cliente"] for r in explore.sort_customers(customers, "monto_mensual", False).collect()]
-    assert ids == ["CXM0001", "CXM0004", "CXM0003", "CXM0002"]
+    assert ids == ["K-02", "K-05", "K-04", "K-01", "K-03"]
     assert [r["valor"] for r in explore.distinct_options(customers, "plan").collect()] == [
-        "Basico", "Fibra Plus", "Hogar Total"]
+        "Casa 500", "Movil 20", "Movil 50"]
 
 
 def test_display_table_labels(customers):
     rows = explore.display_table(customers).orderBy("id_cliente").collect()
-    assert [r["abandono"] for r in rows] == ["Permanece", "Abandonó", "Abandonó", "Permanece"]
+    assert [r["abandono"] for r in rows] == ["Abandonó", "Permanece", "Permanece", "Abandonó", "Permanece"]
 
 
 def test_profile_card_skips_nulls(customers):
-    card = explore.profile_card(explore.lookup(customers, "CXM0001")).collect()
+    card = explore.profile_card(explore.lookup(customers, "K-01")).collect()
     fields = [r["campo"] for r in sorted(card, key=lambda r: r["orden"])]
     assert "Región" not in fields and fields[0] == "ID" and fields[-1] == "Estado de abandono"
 
 
 def test_mean_and_count_by_state(customers):
     m = {r["abandono"]: r["promedio"] for r in metrics.mean_by_state(customers, "satisfaccion").collect()}
-    assert m == {0: 4.5, 1: 2.5}
+    assert m == {0: 4.0, 1: 1.5}
     c = {r["estado_abandono"]: r["total_clientes"] for r in metrics.count_by_state(customers).collect()}
-    assert c == {"Permanece": 2, "Abandonó": 2}
+    assert c == {"Permanece": 3, "Abandonó": 2}
 
 
 def test_boxplot_input(customers):
     pts = explore.boxplot_input(customers, "satisfaccion").collect()
     assert sorted((r["estado_abandono"], r["satisfaccion"]) for r in pts) == [
-        ("Abandonó", 2.0), ("Abandonó", 3.0), ("Permanece", 4.0), ("Permanece", 5.0)]
+        ("Abandonó", 1.0), ("Abandonó", 2.0), ("Permanece", 3.0), ("Permanece", 4.0), ("Permanece", 5.0)]
     with pytest.raises(ValueError):
         explore.boxplot_input(customers, "nombre")
 
 
 def test_pearson(customers):
     m = {(r["variable_x"], r["variable_y"]): r["coeficiente"] for r in stats.correlation_long(customers).collect()}
-    assert m[("satisfaccion", "abandono")] == pytest.approx(-0.894427, rel=1e-5)
+    assert m[("satisfaccion", "abandono")] == pytest.approx(-0.866025, rel=1e-5)
     assert m[("satisfaccion", "satisfaccion")] == 1.0
     assert m[("abandono", "satisfaccion")] == m[("satisfaccion", "abandono")]
 
@@ -113,9 +113,9 @@ def test_correlation_with_target_order(spark):
 
 def test_conclusions(customers):
     out = [r["conclusion"] for r in conclusions.conclusions(customers).collect()]
-    assert out[0].startswith("En los datos analizados se observa que el contrato `Mensual`")
-    assert "(100.00%)" in out[0]
-    assert len(out) == 5 and "-2.00 puntos" in out[3]
+    assert out[0].startswith("En los datos analizados se observa que el contrato `Libre`")
+    assert "(66.67%)" in out[0]
+    assert len(out) == 5 and "-2.50 puntos" in out[3]
 
 
 def test_formats_and_title_case(spark):
@@ -178,11 +178,11 @@ def test_title_case_accents(spark):
 
 def test_counts_and_shape(customers):
     from churnlens.operators import quality
-    assert explore.count_results(None) == 0 and explore.count_results(customers) == 4
+    assert explore.count_results(None) == 0 and explore.count_results(customers) == 5
     s = quality.frame_shape(customers).first()
-    assert (s["filas"], s["columnas"]) == (4, 14)
+    assert (s["filas"], s["columnas"]) == (5, 14)
     assert [r["id_cliente"] for r in explore.order_by_id(customers).collect()] == [
-        "CXM0001", "CXM0002", "CXM0003", "CXM0004"]
+        "K-01", "K-02", "K-03", "K-04", "K-05"]
 
 
 def test_edge_semantics(spark):
@@ -208,33 +208,33 @@ def _ids(df):
 
 
 def test_analysis_filters(customers):
-    assert _ids(explore.analysis_filter(customers, cities=["Santiago"])) == ["CXM0001", "CXM0003"]
-    assert _ids(explore.analysis_filter(customers, contract_types=["Mensual"])) == ["CXM0002", "CXM0003"]
-    assert _ids(explore.analysis_filter(customers, plans=["Fibra Plus"])) == ["CXM0003", "CXM0004"]
-    assert _ids(explore.analysis_filter(customers, target=0)) == ["CXM0001", "CXM0004"]
-    assert _ids(explore.analysis_filter(customers, ["Santiago"], ["Mensual"], ["Fibra Plus"], 1)) == ["CXM0003"]
+    assert _ids(explore.analysis_filter(customers, cities=["Laguna Alta"])) == ["K-03", "K-04"]
+    assert _ids(explore.analysis_filter(customers, contract_types=["Fijo"])) == ["K-02", "K-03"]
+    assert _ids(explore.analysis_filter(customers, plans=["Casa 500"])) == ["K-02", "K-05"]
+    assert _ids(explore.analysis_filter(customers, target=0)) == ["K-02", "K-03", "K-05"]
+    assert _ids(explore.analysis_filter(customers, ["Laguna Alta"], ["Libre"], ["Movil 50"], 1)) == ["K-04"]
 
 
 def test_no_valid_target_no_division(customers):
-    df = customers.withColumn("abandono", F.when(F.col("id_cliente").isin("CXM0001", "CXM0003"), None)
+    df = customers.withColumn("abandono", F.when(F.col("id_cliente").isin("K-01", "K-03"), None)
                               .otherwise(F.lit("x")))
     k = metrics.kpis(df).first()
     assert k["tasa_abandono"] == 0.0 and k["tasa_retencion"] == 0.0
     assert metrics.churn_by_category(df, "ciudad").count() == 0
     m = metrics.kpis(customers).first()
-    assert m["monto_mensual_promedio"] == 34490.0 and m["reclamos_promedio"] == 1.5
+    assert m["monto_mensual_promedio"] == 200.0 and m["reclamos_promedio"] == pytest.approx(1.4)
 
 
 def test_customer_service_ports(customers):
-    assert [r["id_cliente"] for r in explore.search(customers, "ana").collect()] == ["CXM0001"]
-    assert [r["nombre"] for r in explore.search(customers, "cxm0002").collect()] == ["Luis Paredes"]
-    got = explore.filter_customers(customers, "CXM", ["Santiago"], ["Mensual"], ["Fibra Plus"], 1)
-    assert _ids(got) == ["CXM0003"]
-    assert explore.lookup(customers, "CXM0001").first()["nombre"] == "Ana Rojas"
+    assert [r["id_cliente"] for r in explore.search(customers, "raman").collect()] == ["K-05"]
+    assert [r["nombre"] for r in explore.search(customers, "k-03").collect()] == ["Nadia Osei"]
+    got = explore.filter_customers(customers, "K-", ["Laguna Alta"], ["Libre"], ["Movil 50"], 1)
+    assert _ids(got) == ["K-04"]
+    assert explore.lookup(customers, "K-02").first()["nombre"] == "Ivo Marchetti"
     assert explore.search(customers.limit(0), "x").count() == 0
     assert [r["valor"] for r in explore.distinct_options(customers, "ciudad").collect()] == [
-        "Santiago", "Temuco", "Valparaiso"]
+        "Laguna Alta", "Puerto Norte", "Sierra Chica"]
     asc = explore.sort_customers(customers, "monto_mensual", True).collect()
-    assert [r["id_cliente"] for r in asc] == ["CXM0002", "CXM0003", "CXM0004", "CXM0001"]
+    assert [r["id_cliente"] for r in asc] == ["K-03", "K-01", "K-04", "K-05", "K-02"]
     desc = explore.sort_customers(customers, "satisfaccion", False).collect()
-    assert [r["id_cliente"] for r in desc] == ["CXM0001", "CXM0004", "CXM0002", "CXM0003"]
+    assert [r["id_cliente"] for r in desc] == ["K-02", "K-03", "K-05", "K-04", "K-01"]

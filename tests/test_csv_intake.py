@@ -23,7 +23,7 @@ def write(tmp_path, text, name="c.csv"):
 
 
 def test_quotes_commas_and_line_breaks_like_pandas(spark, tmp_path):
-    names = ['"Ana ""La"" Rojas, X"', '"two\nlines"', '"a,b"', '""""', '" padded "', "plain", '"tab\tin"', '"crlf\r\nin"']
+    names = ['"Eva ""Li"" Prado, X"', '"two\nlines"', '"a,b"', '""""', '" padded "', "plain", '"tab\tin"', '"crlf\r\nin"']
     text = HEADER + "\n" + "\n".join(ROW.format(id=f"C{i}", name=n) for i, n in enumerate(names)) + "\n"
     want = pd.read_csv(io.StringIO(text, newline=""), dtype=str)
     got = read_customer_csv(spark, write(tmp_path, text)).orderBy("_src", "_pos")

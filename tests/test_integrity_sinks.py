@@ -187,7 +187,7 @@ def test_csv_export_sorted(spark, tmp_path, customers_df):
     sinks.write_csv(customers_df, out, ["id_cliente", "nombre"], ["id_cliente"])
     back = spark.read.option("header", True).csv(out)
     assert back.columns == ["id_cliente", "nombre"]
-    assert sorted(r[0] for r in back.collect()) == ["CXM0001", "CXM0002", "CXM0003", "CXM0004"]
+    assert sorted(r[0] for r in back.collect()) == ["K-01", "K-02", "K-03", "K-04", "K-05"]
 
 
 def test_view_partition_independent(rel):

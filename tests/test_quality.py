@@ -33,10 +33,10 @@ def test_missing_required_columns(customers):
 
 def test_duplicates_missing_and_bad_target(spark, customers):
     from pyspark.sql import functions as F
-    df = customers.withColumn("id_cliente", F.when(F.col("id_cliente") == "CXM0002", "CXM0001")
+    df = customers.withColumn("id_cliente", F.when(F.col("id_cliente") == "K-02", "K-01")
                               .otherwise(F.col("id_cliente")))
-    df = df.withColumn("nombre", F.when(F.col("id_cliente") == "CXM0003", None).otherwise(F.col("nombre")))
-    df = df.withColumn("abandono", F.when(F.col("id_cliente") == "CXM0004", 2).otherwise(F.col("abandono")))
+    df = df.withColumn("nombre", F.when(F.col("id_cliente") == "K-03", None).otherwise(F.col("nombre")))
+    df = df.withColumn("abandono", F.when(F.col("id_cliente") == "K-04", 2).otherwise(F.col("abandono")))
     rep = {(r["chequeo"], r["columna"]): r for r in quality.quality_report(df).collect()}
     assert rep[("duplicados_id", None)]["n"] == 1
     assert rep[("faltantes", "nombre")]["n"] == 1
@@ -69,8 +69,8 @@ HEADER = ("id_cliente, nombre,ciudad,antiguedad_meses,tipo_contrato,plan,monto_m
 
 
 def test_csv_load_valid_and_header_trim(spark):
-    p = _csv(HEADER + "CXM0001,Ana Rojas,Santiago,24,Anual,Fibra Plus,32990,0,0,2,5,0,34,3\n"
-             "CXM0002,Luis Paredes,Valparaiso,8,Mensual,Basico,18990,2,1,14,3,1,NA,1\n")
+    p = _csv(HEADER + "K-01,Elsa Brandt,Puerto Norte,24,Fijo,Movil 20,210,0,0,2,5,0,34,3\n"
+             "K-02,Ivo Marchetti,Laguna Alta,8,Libre,Casa 500,95,2,1,14,3,1,NA,1\n")
     df, verdict = sinks.load_and_validate_csv(spark, p)
     assert verdict["es_valido"] and df is not None
     assert "nombre" in df.columns and df.count() == 2
@@ -97,7 +97,7 @@ def test_gated_publish(spark, customers):
     bad = {"es_valido": False, "errores": ["x"]}
     st = sinks.publish_intake(spark, None, bad, root, "malo.csv")
     assert st["datos_cargados"] and st["datos_preparados"]  # invalid load keeps active and cleaned data
-    assert sinks.read_live(spark, root, "activo").count() == 4
+    assert sinks.read_live(spark, root, "activo").count() == 5
     st = sinks.publish_intake(spark, customers.limit(2), ok, root, "dos.csv")
     assert not st["datos_preparados"]  # a valid load discards stale cleaned data
     assert sinks.read_live(spark, root, "activo").count() == 2

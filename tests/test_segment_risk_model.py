@@ -137,7 +137,7 @@ def test_score_rejects_missing_columns(spark):
     m = model.train(df, fit_logistic=False)
     with pytest.raises(ValueError):
         model.score(m.tree, df.drop("id_cliente"))
-    with pytest.raises(ValueError, match="vacio"):
+    with pytest.raises(ValueError, match="empty"):
         model.score(m.tree, df.limit(0))
     with pytest.raises(ValueError):
         model.score(m.tree, df, features=m.metadata["features"] + ["not_there"])
