@@ -19,8 +19,8 @@ BUDGET = 1.5
 MAX_REPEAT = 2
 #: Weights of the sources in code point order (null last), repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Rows of a bucket of the running sums.
-BUCKET_ROWS = 20_000
+#: Rows of a bucket of the running sums, and of a range partition of the queue.
+BUCKET_ROWS, QUEUE_ROWS = 4096, 500_000
 #: Hexadecimal digits of the hash that orders the documents of a source.
 KEY_DIGITS = 15
 
@@ -103,7 +103,7 @@ def _last_taken(sizes: DataFrame, targets: DataFrame, budget: float, max_repeat:
               .select("source_no", "key", "size", "copy",
                       ((F.col("copy") * F.col("source_size") + F.col("before") + F.col("upto")) / F.col("target"))
                       .alias("finish")))
-    queue = stored(copies.repartitionByRange(max(1, -(-(n or 0) * max_repeat // bucket_rows)), "finish", "source_no",
+    queue = stored(copies.repartitionByRange(max(1, -(-(n or 0) * max_repeat // QUEUE_ROWS)), "finish", "source_no",
                                              "key", "size")
                    .sortWithinPartitions("finish", "source_no", "key", "size")
                    .withColumn("slot", F.spark_partition_id()), "mix-queue")
