@@ -234,17 +234,18 @@ def train(view: DataFrame, strict_features: bool = True, fit_logistic: bool = Tr
           target: str = config.TARGET_COLUMN) -> TrainedModels:
     """K8: split, fit preprocessing + tree + logistic on the training rows, evaluate on the test rows.
 
-    The labelled rows (features, target, split flag only) are persisted once:
+    The labelled rows (id, features and target only) are persisted once:
     the statistics, the tree and the logistic regression make many passes
     over them; they are released afterwards.
     """
     cats, nums = features_of(view, strict=strict_features)
-    keep = [c for c in dict.fromkeys(cats + nums + [target])]
-    base = (view.filter(F.col(target).isin(0, 1)).withColumn("_test", split_flag(view))
-            .select(*keep, "_test").persist(StorageLevel.MEMORY_AND_DISK))
+    keep = [c for c in dict.fromkeys([config.ID_COLUMN] + cats + nums + [target])]
+    base = view.filter(F.col(target).isin(0, 1)).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        train_df, weight_sum = _weighted(base.filter(~F.col("_test")), target)
-        test_df = base.filter(F.col("_test")).withColumn(LABEL, F.col(target).cast("double"))
+        # the split's quantiles and all fits read the persisted rows: the view is computed once
+        flagged = base.withColumn("_test", split_flag(base))
+        train_df, weight_sum = _weighted(flagged.filter(~F.col("_test")), target)
+        test_df = flagged.filter(F.col("_test")).withColumn(LABEL, F.col(target).cast("double"))
         stats = fit_preprocessing(train_df, cats, nums)
         prep = preprocessing_stages(cats, nums, stats)
         tree = Pipeline(stages=prep + [tree_classifier()]).fit(train_df)

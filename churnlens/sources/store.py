@@ -62,9 +62,11 @@ def _code_of(module) -> bytes:
 
 def _derivation_version() -> bytes:
     """The derivation code itself is part of the snapshot: edited rules re-materialise."""
+    from churnlens.plans import behavior
     from churnlens.sources import intake  # late: intake builds on this module's tables
 
-    return hashlib.sha256(_code_of(adapter) + _code_of(intake) + repr(CLUSTER_BY).encode()).digest()
+    code = b"".join(map(_code_of, (adapter, intake, behavior)))
+    return hashlib.sha256(code + repr(CLUSTER_BY).encode()).digest()
 
 
 def snapshot_key(spark: SparkSession, sf_dir: str) -> str:
