@@ -184,6 +184,22 @@ def test_mix(spark, documents, odd_docs, no_docs):
     assert mixed.count() == taken and mixed.columns == documents.columns
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_mix_takes_part_of_repeated_rows(spark, doc_id):
+    # one source of equal rows, one of rows with one id and different texts, one of plain rows
+    rows = ([(doc_id, "same words here", "a", i) for i in range(300)]
+            + [(doc_id, "w " * (1 + i % 9) + str(i), "b", i) for i in range(300)]
+            + [(1000 + i, "other words", "c", i) for i in range(900)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long").repartition(4)
+    check_mix(docs, 0.02)
+    got = mixing.mix(docs).collect()
+    assert len({(r.source, r.copies) for r in got if r.source == "b"}) > 1
+    short = [r.copies for r in got if r.source == "b" and r.size <= 3]
+    assert len(set(short)) > 1  # shuffled, not shortest first
+    everything = spark.createDataFrame([(doc_id, "a b c", "s")] * 400, "doc_id long, text string, source string")
+    assert mixing.mix(everything).agg(F.sum("copies")).first()[0] == 600
+
+
 def test_pipeline_decisions_take_effect(spark, documents):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "mix_sources", "packing"]
     empty = spark.createDataFrame([(10 ** 6, "12 34 !!", "en", "src1", 8), (10 ** 6 + 1, None, None, None, 0)],
