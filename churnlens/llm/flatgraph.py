@@ -3,9 +3,10 @@
 Vectors are dealt to overlapping cluster shards (their nearest centroid and those nearly as near).  Each shard
 builds a robust-pruned neighbour graph; the adjacency lists of a vector's shards are united.  Every vector then
 searches the united graph in each of its shards: greedily from the shard's medoid, then expanding every vertex
-found within the range until no new one appears.  Links found are verified in double precision.  A bounded
-sample is compared with all vectors to audit the recall; too low a recall repeats the work with more overlap and
-a wider beam.
+found within the range until no new one appears.  Links found are verified in double precision.  Sampled vertices
+are compared with all vectors to audit the recall, drawn until enough of them have links; too low a recall repeats
+the work with more overlap and a wider beam.  If it stays too low, or too few vertices with links are found to judge
+it, every pair that can be in range is compared: each vector meets all of every cell that may hold a partner's home.
 
 Equal vectors are one vertex.  A pair is counted in the first shard that holds both, so no pair is emitted: each
 shard passes on link counts and a spanning forest.  A shard too large for a task is split into blocks, and every
@@ -39,8 +40,10 @@ BLOCK = 3000
 DEGREE, NEAREST, RANDOM, ALPHA, BEAM = 16, 40, 16, 1.2, 16
 #: Range expansion also goes through vertices this much below the threshold.
 SLACK = 0.03
-#: Vectors of the audit, the recall it asks for, and how often the work is repeated with wider settings.
+#: Vectors the audit begins with, the recall it asks for, and how often the work is repeated with wider settings.
 AUDIT_ROWS, AUDIT_RECALL, ATTEMPTS = 64, 0.98, 3
+#: Vertices with true links that the audit needs; rounds in which it draws eight times as many vectors each.
+AUDIT_LINKED, AUDIT_ROUNDS = 256, 3
 
 
 def unit_rows(column: pa.Array | pa.ChunkedArray, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -234,14 +237,44 @@ def _search_task(threshold: float, beam: int):
             mine &= block[a] != block[b]
         a, b = a[mine], b[mine]
         links = (np.bincount(a, weight[b], len(rows)) + np.bincount(b, weight[a], len(rows))).astype(np.int64)
+        others = np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
         forest = _Forest(len(rows))
         forest.link(a, b)
-        root = forest.find(np.arange(len(rows)))
-        some = np.flatnonzero(links)
-        return pa.table({"row": rows[some], "root": rows[root[some]], "links": links[some]})
+        return _found(rows, forest, links, others)
     return search
 
 
+def _found(rows: np.ndarray, forest: _Forest, links: np.ndarray, others: np.ndarray) -> pa.Table:
+    root = forest.find(np.arange(len(rows)))
+    some = np.flatnonzero(others)
+    return pa.table({"row": rows[some], "root": rows[root[some]], "links": links[some].astype(np.int64),
+                     "others": others[some].astype(np.int64)})
+
+
+def _compare_task(threshold: float):
+    """Compare all pairs of a job; a pair counts in the home cell of its lower row."""
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row")
+        rows, v, home = table["row"].to_numpy(), _matrix(table), table["home"].to_numpy()
+        block, weight = table["mine"].to_numpy(), table["n"].to_numpy()
+        cell, lo, hi = (table[c][0].as_py() for c in ("cell", "lo", "hi"))
+        forest, n = _Forest(len(rows)), len(rows)
+        links, others = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        at_home = np.flatnonzero(home == cell)
+        for k in range(0, len(at_home), 256):
+            own = at_home[k:k + 256]
+            near = (v[own] @ v.T >= threshold) & (own[:, None] < np.arange(n)[None, :])
+            if lo < hi:
+                near &= block[own][:, None] != block[None, :]
+            i, b = np.nonzero(near)
+            a = own[i]
+            links += (np.bincount(a, weight[b], n) + np.bincount(b, weight[a], n)).astype(np.int64)
+            others += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+            forest.link(a, b)
+        return _found(rows, forest, links, others)
+    return compare
+
+
 def _shards(nodes: DataFrame, centres: np.ndarray, overlap: int, margin: float) -> DataFrame:
     """Vertices with their cells, once for every job (cell, lo, hi: two blocks of a cell) they belong to."""
     def cell_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,45 +289,104 @@ def _shards(nodes: DataFrame, centres: np.ndarray, overlap: int, margin: float)
 
     dealt = stored(nodes.select("row", "unit", "n").mapInArrow(
         cell_task, "row long, unit array<double>, n long, cells array<long>"), "graph-cells")
+    return _jobs(dealt, _cell_rows(dealt), "cells")
+
+
+def _cell_rows(dealt: DataFrame) -> dict[int, int]:
+    """Rows of every cell, one entry per centroid."""
     sizes = dealt.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("rows")).collect()
-    blocks = F.create_map(*[F.lit(x) for s in sizes for x in (s["cell"], -(-s["rows"] // BLOCK))])  # one per centroid
+    return {s["cell"]: s["rows"] for s in sizes}
+
+
+def _jobs(dealt: DataFrame, sizes: dict[int, int], kept: str) -> DataFrame:
+    blocks = F.create_map(*[F.lit(x) for cell, rows in sizes.items() for x in (cell, -(-rows // BLOCK))])
     m = dealt.withColumn("cell", F.explode("cells")).withColumn("blocks", blocks[F.col("cell")])
     m = m.withColumn("mine", F.pmod(F.xxhash64("row"), F.col("blocks")))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return m.select("row", "unit", "n", "cells", "cell", "mine", F.least("mine", "other").alias("lo"),
+    return m.select("row", "unit", "n", kept, "cell", "mine", F.least("mine", "other").alias("lo"),
                     F.greatest("mine", "other").alias("hi"))
 
 
+def _exact_links(nodes: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
+    """(row, root, links, others) of every vertex with links, once per job, by comparison of all possible pairs.
+
+    If x has its home (nearest centroid) at c and y at d, then y's products with d and c differ by at most
+    |y - x| |d - c|; so y is dealt to every cell c within that bound, with |y - x| at the threshold, and meets x
+    there.  Where so few cells are ruled out that dealing costs more than it saves, one cell holds all.
+    """
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
+
+    def dealt_to(centres: np.ndarray) -> DataFrame:
+        between = np.sqrt(np.stack([((centres - c) ** 2).sum(axis=1) for c in centres]))
+
+        def home_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                v = np.array(b.column(1).to_pylist(), np.float64).reshape(len(b), -1)
+                sims = v @ centres.T
+                home = sims.argmax(axis=1)
+                near = sims.max(axis=1)[:, None] - sims <= reach * between[home] + 1e-9
+                yield pa.record_batch([*b.columns, pa.array([np.flatnonzero(k) for k in near], pa.list_(pa.int64())),
+                                       pa.array(home, pa.int64())], ["row", "unit", "n", "cells", "home"])
+
+        return stored(nodes.select("row", "unit", "n").mapInArrow(
+            home_task, "row long, unit array<double>, n long, cells array<long>, home long"), "graph-homes")
+
+    dealt = dealt_to(centres)
+    sizes = _cell_rows(dealt)
+    n = nodes.count()
+    if sum(rows * -(-rows // BLOCK) for rows in sizes.values()) > n * -(-n // BLOCK):
+        dealt, sizes = dealt_to(centres[:1]), {0: n}
+    return stored(_jobs(dealt, sizes, "home").groupBy("cell", "lo", "hi").applyInArrow(
+        _compare_task(threshold), "row long, root long, links long, others long"), "graph-links")
+
+
 def _links(nodes: DataFrame, centres: np.ndarray, threshold: float, overlap: int, margin: float, beam: int
            ) -> DataFrame:
-    """(row, root, links) of every vertex with links, once per job."""
+    """(row, root, links, others: links to distinct vertices) of every vertex with links, once per job."""
     jobs = _shards(nodes, centres, overlap, margin)
     built = (jobs.select("row", "unit", "cell", "lo", "hi").groupBy("cell", "lo", "hi")
              .applyInArrow(_build_task, "row long, near array<long>"))
     united = stored(built.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")),
                     "graph-adjacency")
     return stored(jobs.join(united, "row").groupBy("cell", "lo", "hi")
-                  .applyInArrow(_search_task(threshold, beam), "row long, root long, links long"), "graph-links")
+                  .applyInArrow(_search_task(threshold, beam), "row long, root long, links long, others long"),
+                  "graph-links")
 
 
-def audited_recall(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of the links of a sample of vertices, by comparison with all, that ``counts`` (row, links) has."""
-    sample = nodes.orderBy(F.xxhash64("row"), "row").limit(AUDIT_ROWS).select("row", "unit").toArrow()
-    s_rows, s = sample["row"].to_numpy(), _matrix(sample)
+def audited_recall(nodes: DataFrame, counts: DataFrame, threshold: float) -> float | None:
+    """Mean share of the links of a sampled vertex, by comparison with all, that ``counts`` (row, others) has.
 
-    def audit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(s_rows), np.int64)
-        for b in batches:
-            v = np.array(b.column(1).to_pylist(), np.float64).reshape(len(b), -1)
-            near = (s @ v.T >= threshold) & (s_rows[:, None] != b.column(0).to_numpy()[None, :])
-            total += near @ b.column(2).to_numpy()
-        yield pa.record_batch([pa.array(s_rows), pa.array(total)], ["row", "truth"])
-
-    truth = (nodes.select("row", "unit", "n").mapInArrow(audit_task, "row long, truth long")
-             .groupBy("row").agg(F.sum("truth").alias("truth")))
-    got = truth.join(counts, "row", "left").agg(F.sum(F.least("truth", F.coalesce("links", F.lit(0)))),
-                                                F.sum("truth")).first()
-    return 1.0 if not got[1] else got[0] / got[1]
+    Links to distinct vertices count, and every sampled vertex with links counts alike.  Vertices are drawn until
+    AUDIT_LINKED of them have links or all are drawn; None if neither comes about in AUDIT_ROUNDS.
+    """
+    ordered = nodes.orderBy(F.xxhash64("row"), "row")
+    drawn, shares, size = 0, [], nodes.count()
+    for k in range(AUDIT_ROUNDS):
+        upto = drawn + AUDIT_ROWS * 8 ** k
+        sample = ordered.limit(upto).select("row", "unit").toArrow().slice(drawn)
+        s_rows, s = sample["row"].to_numpy(), _matrix(sample)
+
+        def audit_task(batches: Iterator[pa.RecordBatch], s_rows=s_rows, s=s) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(s_rows), np.int64)
+            for b in batches:
+                v = np.array(b.column(1).to_pylist(), np.float64).reshape(len(b), -1)
+                for i in range(0, len(s), 512):
+                    near = s[i:i + 512] @ v.T >= threshold
+                    near &= s_rows[i:i + 512, None] != b.column(0).to_numpy()[None, :]
+                    total[i:i + 512] += near.sum(axis=1)
+            some = total > 0
+            yield pa.record_batch([pa.array(s_rows[some]), pa.array(total[some])], ["row", "truth"])
+
+        truth = (nodes.select("row", "unit").mapInArrow(audit_task, "row long, truth long")
+                 .groupBy("row").agg(F.sum("truth").alias("truth")))
+        got = truth.join(counts, "row", "left").agg(
+            F.sum(F.least("truth", F.coalesce("others", F.lit(0))) / F.col("truth")), F.count("*")).first()
+        shares.append((got[0] or 0.0, got[1]))
+        drawn = upto
+        linked = sum(n for _, n in shares)
+        if linked >= AUDIT_LINKED or drawn >= size:
+            return sum(x for x, _ in shares) / linked if linked else 1.0
+    return None
 
 
 def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -326,14 +418,19 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         fit = nodes.orderBy(F.xxhash64("row"), "row").limit(FIT_ROWS).select("unit").toArrow()
         centres = fit_centroids(_matrix(fit), min(MAX_CLUSTERS, -(-size // CLUSTER_ROWS)))
         overlap, margin, beam = OVERLAP, MARGIN, BEAM
+        recall: float | None = 0.0
         for attempt in range(ATTEMPTS):
             links = _links(nodes, centres, threshold, overlap, margin, beam)
-            counts = links.groupBy("row").agg(F.sum("links").alias("links"))
+            counts = links.groupBy("row").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
             recall = audited_recall(nodes, counts, threshold)
-            log.info("recall of the audited sample: %.4f (attempt %d)", recall, attempt + 1)
-            if recall >= AUDIT_RECALL:
+            log.info("recall of the audited sample: %s (attempt %d)", recall, attempt + 1)
+            if recall is None or recall >= AUDIT_RECALL:
                 break
             overlap, margin, beam = 2 * overlap, 2 * margin, 2 * beam
+        if recall is None or recall < AUDIT_RECALL:
+            log.info("all possible pairs are compared")
+            links = _exact_links(nodes, centres, threshold)
+            counts = links.groupBy("row").agg(F.sum("links").alias("links"))
         roots = connected_components(links.select(F.col("row").alias("src"), F.col("root").alias("dst")))
         roots = roots.withColumnRenamed("node", "row")
         rooted = stored(nodes.join(roots, "row", "left").join(counts, "row", "left")

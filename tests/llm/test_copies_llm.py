@@ -132,6 +132,49 @@ def test_low_recall_repeats_with_wider_settings(spark, monkeypatch):
     assert len(seen) == 3
 
 
+@pytest.mark.parametrize("shape", ["spread", "clustered"])
+def test_low_recall_or_no_evidence_ends_in_exact_links(spark, monkeypatch, shape):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(600, 24)) if shape == "spread" else np.repeat(rng.normal(size=(6, 24)), 100, 0) * 3 + (
+        rng.normal(size=(600, 24)))
+    v = np.concatenate([base, base[:60] + rng.normal(scale=0.25, size=(60, 24)) * np.linalg.norm(
+        base[:60], axis=1, keepdims=True) / 24 ** 0.5])
+    v = np.concatenate([v, np.tile(base[599], (50, 1))])  # a hot vector
+    rows = [(i, x.tolist(), 0, "") for i, x in enumerate(v)]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.95) & ~np.eye(len(v), dtype=bool)
+    root = components(len(v), np.argwhere(np.triu(near)).tolist())
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    want = [(i, int(near[i].sum()), least[root[i]], least[root[i]] == i) for i in range(len(v))]
+    monkeypatch.setattr(flatgraph, "CLUSTER_ROWS", 30)
+    monkeypatch.setattr(flatgraph, "BLOCK", 200)
+    monkeypatch.setattr(flatgraph, "BEAM", 2)
+    monkeypatch.setattr(flatgraph, "ATTEMPTS", 1)
+    table = spark.createDataFrame(rows, VECTORS)
+    for recall in (0.5, None):
+        monkeypatch.setattr(flatgraph, "audited_recall", lambda *a: recall)
+        assert sorted(map(tuple, flatgraph.near_copies(table).collect())) == want
+
+
+def test_audit_counts_every_vertex_alike(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=8)
+    hot = hot / np.linalg.norm(hot)
+    small = rng.normal(size=(40, 8))
+    v = np.concatenate([small, small * 1.0 + 1e-3, [hot], [hot + 1e-4]])
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, x.tolist(), 10_000 if i >= 80 else 1) for i, x in enumerate(v)],
+                                  "row long, unit array<double>, n long")
+    true = ((v @ v.T >= 0.95) & ~np.eye(len(v), dtype=bool)).sum(axis=1)
+    known = spark.createDataFrame([(i, 10_000, int(true[i])) for i in (80, 81)], "row long, links long, others long")
+    assert flatgraph.audited_recall(nodes, known, 0.95) == pytest.approx(2 / 82)
+    monkeypatch.setattr(flatgraph, "AUDIT_ROWS", 1)
+    monkeypatch.setattr(flatgraph, "AUDIT_ROUNDS", 2)
+    assert flatgraph.audited_recall(nodes, known, 0.95) is None
+
+
 def test_exact_top_k(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = vector_rows(rng, 500)
