@@ -1,8 +1,9 @@
 """Main text of HTML pages by tree scoring.
 
 A tolerant tree of the page is built in one pass.  Paragraphs pass points (for length and commas) to their
-ancestors, less with distance; a container's points are discounted by its share of link text.  The best container
-is kept, with its siblings that score well enough or read like running text; what is marked as menu, header,
+ancestors, less with distance; a container's points are discounted by its share of link text.  The article around
+the best container (or else the lowest ancestor with all points) is kept whole, with its siblings that score
+well enough or read like running text and, if it has no h1 of its own, those further up; what is marked as menu, header,
 footer, sidebar, notice, advert, form, script, style or reader comment is cut before anything is scored.
 """
 
@@ -63,12 +64,12 @@ PROSE_CHARS, PROSE_LINKS = 80, 0.25
 
 
 class Node:
-    __slots__ = ("name", "cut", "parent", "children", "points", "weight", "chars", "linked")
+    __slots__ = ("name", "cut", "parent", "children", "points", "weight", "chars", "linked", "total")
 
     def __init__(self, name: str, parent: Node | None, cut: bool = False, weight: float = 0.0):
         self.name, self.parent, self.cut, self.weight = name, parent, cut, weight
         self.children: list[Node | str] = []
-        self.points = self.chars = self.linked = 0.0
+        self.points = self.chars = self.linked = self.total = 0.0
 
 
 def _in_article(node: Node | None) -> bool:
@@ -205,12 +206,14 @@ def _score(root: Node) -> list[Node]:
         own = "".join(c for c in node.children if isinstance(c, str)).strip()
         kept = [c for c in node.children if not isinstance(c, str) and not c.cut]
         node.chars += len(own) + sum(c.chars for c in kept)
+        node.total = sum(c.total for c in kept)
         node.linked += len(own) + sum(c.chars for c in kept) if node.name == "a" else sum(c.linked for c in kept)
         text = node.name in ("p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3") or bool(
             own) and node.name in BLOCKS
         if text and node.chars and not any(c.name in BLOCKS for c in kept) and node.parent is not None:
             points = (min(node.chars / 25, 1) + own.count(",") + min(node.chars / 100, 3)) * (
                 1 - node.linked / node.chars)
+            node.total += points
             up, share = (node if node.name not in ("p", "pre", "h1", "h2", "h3") and own else node.parent), 1.0
             level = 0
             while up is not None and level < 5:
@@ -224,6 +227,28 @@ def _score(root: Node) -> list[Node]:
     return holders
 
 
+def _article(best: Node, root: Node) -> Node:
+    """The outermost article around a container, or else the outermost main, or else what has all points."""
+    found: dict[str, Node] = {}
+    up: Node | None = best
+    while up is not None:
+        if up.name in ("article", "main"):
+            found[up.name] = up
+        up = up.parent
+    if found:
+        return found.get("article") or found["main"]
+    while best.parent is not None and best.total < root.total * (1 - 1e-9):
+        best = best.parent
+    return best
+
+
+def _headings(node: Node) -> list[Node]:
+    """The kept h1 elements of a part that is not another article."""
+    if node.name == "article":
+        return []
+    return [n for n, done in _walk(node) if done and n.name == "h1"]
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by line ends; empty if there are none."""
     if not html:
@@ -236,20 +261,29 @@ def main_text(html: str | None) -> str:
     best = max(holders, key=lambda h: score[id(h)])
     while best.parent is not None and best.name not in BLOCKS:
         best = best.parent
-    up = best.parent
-    if up is None:
-        return "\n".join(blocks(best))
-    top = score.get(id(best), 0.0)
-    out: list[str] = []
-    for c in up.children:
-        if c is best:
-            out += blocks(c)
-        elif not isinstance(c, str) and not c.cut and c.chars:
-            links = c.linked / c.chars
-            prose = c.name in ("p", "pre", "blockquote") and (
-                c.chars >= PROSE_CHARS and links < PROSE_LINKS or c.chars < PROSE_CHARS and not c.linked)
-            if prose or score.get(id(c), 0.0) >= max(10.0, SIBLING_SHARE * top) or c.name in ("h1", "h2") and not links:
-                out += blocks(c)
+    node = _article(best, root)
+    top = max(score.get(id(node), 0.0), score.get(id(best), 0.0))
+    titled = any(n.name == "h1" for n, _ in _walk(node))
+    out, near = blocks(node), True
+    while node.parent is not None:
+        before: list[str] = []
+        after: list[str] = []
+        side = before
+        for c in node.parent.children:
+            if c is node:
+                side = after
+            elif not isinstance(c, str) and not c.cut and c.chars:
+                links = c.linked / c.chars
+                prose = c.name in ("p", "pre", "blockquote") and (
+                    c.chars >= PROSE_CHARS and links < PROSE_LINKS or c.chars < PROSE_CHARS and not c.linked)
+                if near and (prose or score.get(id(c), 0.0) >= max(10.0, SIBLING_SHARE * top)
+                             or c.name in ("h1", "h2") and not links):
+                    side += blocks(c)
+                elif not titled:
+                    side += [text for h in _headings(c) if not h.linked for text in blocks(h)]
+        if before or after:
+            out = before + out + after
+        node, near = node.parent, False
     return "\n".join(out)
 
 

@@ -44,6 +44,25 @@ def test_odd_pages(page, text):
     assert htmltext.main_text(page) == text
 
 
+LONG = "".join(f"<p>Long one, number {i}, with commas, and with words enough to get points, many of them.</p>"
+               for i in range(40))
+PARTS = """<div><p>Lead of one paragraph.</p></div><section>%s</section><h3>Between</h3><ul><li>one</li><li>two</li></ul>
+<ol><li>three</li></ol><table><tr><td>c1</td><td>c2</td></tr></table><figure><figcaption>Figure</figcaption></figure>
+<section><p>Closing, first.</p><p>Closing, second.</p></section>""" % LONG
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div id=menu>m</div><h1>T</h1><article>%s</article><div><a href=x>more</a></div></body>",
+    "<body><main><h1>T</h1><div><article>%s</article></div></main><footer>f</footer></body>",
+    "<body><main><h1>T</h1>%s</main><div><a href=x>more</a></div></body>",
+    "<body><div><a href=x>more</a></div><div><h1>T</h1><div>%s</div></div></body>"])
+def test_whole_article_with_nested_parts(page):
+    got = htmltext.main_text(page % PARTS).split("\n")
+    assert got[:2] == ["T", "Lead of one paragraph."]
+    assert got[-9:] == ["Between", "one", "two", "three", "c1", "c2", "Figure", "Closing, first.", "Closing, second."]
+    assert len(got) == 2 + 40 + 9
+
+
 def test_hostile_pages_end_soon():
     for bad in ("<" * 50_000, "<p " * 20_000, "<!--" * 20_000, "<div>" * 50_000 + "deep, text", "<a '" * 20_000,
                 "<b>" * 20_000 + "x", "<li>" * 3000, "&" * 50_000):
