@@ -243,6 +243,15 @@ def test_pipeline_decisions_take_effect(spark, documents):
     assert per_doc == Counter({d: n * tokens[d] for d, n in mixed.items()})
 
 
+def test_short_labelled_texts_stay(spark, documents):
+    short = ["Avec.", "A.", "Oui", "Qx", "Zj.", "Xq", "kw", "Vz", "Jx.", "Yq"]
+    rows = [(10 ** 6 + i, t, "fr", "src1", len(t)) for i, t in enumerate(short)]
+    docs = documents.unionByName(spark.createDataFrame(rows, documents.schema))
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SMALL).collect()}
+    assert {r[0] for r in rows} <= kept
+    assert {r[0] for r in rows} - {r.doc_id for r in langid.identified_documents(docs, 0.05).collect()}
+
+
 def test_registry():
     assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11))
     assert set(ORACLE) <= set(QUERIES)
