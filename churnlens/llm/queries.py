@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import (flatgraph, htmltext, langid, mixing, packing, simhash, tokencount, topk, urlrules,
-                           wavelet)
+from churnlens.llm import (collocations, flatgraph, htmltext, langid, lexical, linerules, mixing, packing, simhash,
+                           tokencount, topk, urlrules, wavelet)
 from churnlens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,96 @@ LEFT JOIN n ON n.doc_id IS NOT DISTINCT FROM d.doc_id AND n.size = d.size AND n.
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"))
+
+
+PHRASES_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS pos FROM w, (VALUES (1), (2), (3), (4)) s(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, ws[pos:pos + k - 1] AS ph, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, ph, n AS a, unnest(range(1, k)) AS cut FROM f WHERE k >= 2),
+s AS (SELECT c.lang, c.ph, c.a, c.cut, x.n AS l, y.n AS r, ((2000000::HUGEINT * c.a) // (x.n + y.n))::BIGINT AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.ph = c.ph[:c.cut] JOIN f y ON y.lang = c.lang AND y.ph = c.ph[c.cut + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, cut) = 1),
+i AS (SELECT lang, n, ph, k, m, unnest(range(1, k - m + 2)) AS pos FROM f, (VALUES (2), (3)) q(m) WHERE k > m),
+sub AS (SELECT lang, ph[pos:pos + m - 1] AS ph, max(n) AS longer FROM i GROUP BY ALL),
+o AS (SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN sub ON sub.lang = b.lang AND sub.ph = b.ph
+      WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank FROM o)
+SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, total.n, k.score FROM k JOIN total ON total.lang = k.lang WHERE k.rank <= 2000
+"""
+
+
+@query("op11_collocations", PHRASES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+LINES_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+w AS (SELECT row, pos, ws[pos:pos + 2] AS win FROM (SELECT row, ws, unnest(range(1, len(ws) - 1)) AS pos FROM d)),
+h AS (SELECT row, win FROM w GROUP BY ALL HAVING count(*) > 1),
+z AS (SELECT row, count(DISTINCT pos + o)::BIGINT AS n FROM w JOIN h USING (row, win), (VALUES (0), (1), (2)) x(o) GROUP BY row),
+c AS (
+  SELECT d.row, doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(z.n, 0)::BIGINT AS n_repeat_words,
+         list_filter(ls, lambda x: NOT regexp_matches(x, '{closed}') OR len(regexp_extract_all(x, '{doubled}')) >= 3
+                     OR len(regexp_extract_all(x, '{separator}')) >= 3 OR regexp_matches(x, '{menu}')
+                     OR regexp_matches(x, '{boilerplate}')) AS bad
+  FROM d LEFT JOIN z ON z.row = d.row),
+v AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         coalesce(list_sum(list_transform(bad, lambda x: length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')))), 0)::BIGINT
+           AS lost_chars FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * lost_chars <= 30 * word_chars AS kept, len(bad)::BIGINT AS n_failed_lines, lost_chars
+FROM v
+""".format(**{n.lower(): getattr(linerules, n).replace("'", "''")
+            for n in ("CLOSED", "DOUBLED", "SEPARATOR", "MENU", "BOILERPLATE")})
+
+
+@query("op12_line_rules", LINES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+LEXICAL_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_transform(
+    regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+    lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ts
+  FROM documents WHERE text IS NOT NULL),
+e AS (SELECT * FROM d WHERE len(ts) > 0),
+g AS (SELECT count(*) AS big_n, sum(len(ts))::BIGINT AS big_l FROM e),
+q AS (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id),
+qt AS (
+  SELECT item_id, term, count(*) AS mult FROM (
+    SELECT item_id, unnest(list_transform(
+      regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+      lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM q) GROUP BY ALL),
+known AS (SELECT DISTINCT term FROM qt),
+dt AS (SELECT row, doc_id, len(ts) AS n, unnest(ts) AS term FROM e),
+tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM dt SEMI JOIN known USING (term) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (
+  SELECT qt.item_id, tf.row, tf.doc_id, sum(qt.mult * floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+           * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l))))::BIGINT AS score
+  FROM qt JOIN tf USING (term) JOIN df USING (term), g GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op13_lexical_search", LEXICAL_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                    read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
