@@ -6,11 +6,10 @@ all shorter phrases, because a phrase occurs as often as windows begin with it,
 language.  No shorter n-gram is ever exploded.
 
 Before counting, windows are shortened to what can matter: a phrase of 30 occurrences has only words and pairs of 30
-occurrences.  A table of 2^24 hashed counters (one byte each, saturated) bounds the count of every word and pair
-from above; a window ends before its first pair, and is all padding from a word, whose counter stays below the least
-count.  A shortened window still counts in all its prefixes, and what is cut off occurs fewer than 30 times, so every
-kept count is exact; collisions only leave windows longer than needed.  The table's size is fixed: with many more
-distinct pairs than counters it thins less, and the results stay the same.
+occurrences.  Words and pairs are counted by a hash of 40 bits; those hashes that reach the least count are marked in
+a table of bits, 16 bits a hash and at most 32 MB.  A window ends before its first pair, and is all padding from a
+word, that is not marked.  A shortened window still counts in all its prefixes, and what is cut off occurs fewer than
+30 times, so every kept count is exact; hashes or bits that collide only leave windows longer than needed.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +35,12 @@ KEPT = 2000
 SCALE = 2_000_000
 SUBSUMED = 80
 
-#: Hashed counters of words and pairs, and the parts that they are summed in.
-COUNTERS = 1 << 24
-PARTS = 256
+#: Bits of a word's or pair's hash; bits of the table for each frequent hash, and of the whole table at most.
+HASH_BITS = 40
+BITS_EACH = 16
+MOST_BITS = 1 << 28
+#: Parts that the table is made in.
+PARTS = 64
 
 _BREAKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 _BLANKS = np.isin(np.arange(256), np.frombuffer(b" \t", np.uint8))
@@ -52,8 +53,8 @@ def _language_hashes(langs: pa.Array) -> np.ndarray:
     return seeds[names.indices.to_numpy()]
 
 
-def _counters(words: Words, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counter of each word and of each pair (word, next), and whether a next word exists in the piece."""
+def _hashes(words: Words, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word and of each pair (word, next), and whether a next word exists in the piece."""
     if not len(words.codes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     texts = words.vocabulary.to_pylist()
@@ -61,7 +62,7 @@ def _counters(words: Words, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     next_ = np.r_[hashes[1:], np.uint64(0)]
     has_next = np.r_[words.pieces[1:] == words.pieces[:-1], False]
     lang = langs[words.rows]
-    shift = np.uint64(64 - COUNTERS.bit_length() + 1)
+    shift = np.uint64(64 - HASH_BITS)
     one = ((hashes ^ lang) * _MIX[0]) >> shift
     two = ((((hashes ^ lang) * _MIX[1]) ^ (next_ >> np.uint64(7))) * _MIX[2]) >> shift
     return one.astype(np.int64), two.astype(np.int64), has_next
@@ -73,40 +74,42 @@ def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, Words]]:
         yield langs, cut(batch.column(1).slice(a, b - a), _BLANKS, _BREAKS)
 
 
-def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(COUNTERS, np.uint8)
+def _hash_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for langs, words in _sliced(batch):
-            one, two, has_next = _counters(words, _language_hashes(langs))
-            at, times = np.unique(np.r_[one, two[has_next]], return_counts=True)
-            table[at] = np.minimum(table[at].astype(np.int64) + times, 255)
-    pack = zstandard.ZstdCompressor(level=1)
-    parts = table.reshape(PARTS, -1)
-    some = np.flatnonzero(parts.any(axis=1))
-    yield pa.record_batch([pa.array(some.astype(np.int32)),
-                           pa.array([pack.compress(parts[i].tobytes()) for i in some], pa.binary())], ["part", "counts"])
+            one, two, has_next = _hashes(words, _language_hashes(langs))
+            hashes, times = np.unique(np.r_[one, two[has_next]], return_counts=True)
+            yield pa.record_batch([pa.array(hashes), pa.array(times.astype(np.int64))], ["hash", "n"])
 
 
-def _sum_task(least: int):
+def _mark_task(size: int):
     def task(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS // PARTS, np.uint32)
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:  # one compressed part per task of the pass before, streamed
-            for c in batch.column(batch.schema.get_field_index("counts")).to_pylist():
-                total = np.minimum(total + np.frombuffer(unpack.decompress(c), np.uint8), 1 << 16).astype(np.uint32)
-        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()),
-                               pa.array([np.packbits(total >= min(least, 255)).tobytes()], pa.binary())], ["part", "bits"])
+        marked = np.zeros(size // PARTS, bool)
+        for batch in batches:
+            marked[batch.column(batch.schema.get_field_index("at")).to_numpy()] = True
+        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(marked).tobytes()], pa.binary())],
+                              ["part", "bits"])
     return task
 
 
 def _frequent_bits(docs: DataFrame, least: int) -> np.ndarray:
-    """A bit per counter: whether what it counts can occur ``least`` times (2 MB, whatever the input)."""
-    parts = docs.mapInArrow(_sketch_task, "part int, counts binary")
-    rows = parts.groupBy("part").applyInArrow(_sum_task(least), "part int, bits binary").collect()
-    bits = np.zeros((PARTS, COUNTERS // PARTS // 8), np.uint8)
+    """A bit per slot: whether a word or pair whose hash falls there may occur ``least`` times (at most 32 MB)."""
+    hashes = docs.mapInArrow(_hash_task, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    frequent = stored(hashes.select("hash"), "frequent-hashes")
+    size = max(1 << 16, min(MOST_BITS, 1 << (BITS_EACH * frequent.count()).bit_length()))
+    slot = F.col("hash") % size
+    rows = (frequent.select((slot % PARTS).cast("int").alias("part"), F.expr(f"hash % {size} div {PARTS}").alias("at"))
+            .distinct().groupBy("part").applyInArrow(_mark_task(size), "part int, bits binary").collect())
+    bits = np.zeros((PARTS, size // PARTS // 8), np.uint8)
     for r in rows:
         bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    return bits.reshape(-1)
+    drop_stored(frequent)
+    return bits
+
+
+def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at, part = np.divmod(hashes % (bits.size * 8), PARTS)
+    return (bits[part, at >> 3] >> (7 - (at & 7))) & 1 == 1
 
 
 def _unique_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,18 +127,17 @@ def _window_task(bits: np.ndarray):
             for langs, words in _sliced(batch):
                 if not len(words.codes):
                     continue
-                one, two, has_next = _counters(words, _language_hashes(langs))
-                common = (bits[one >> 3] >> (7 - (one & 7))) & 1 == 1
-                linked = has_next & ((bits[two >> 3] >> (7 - (two & 7))) & 1 == 1)
+                one, two, has_next = _hashes(words, _language_hashes(langs))
+                common, linked = _marked(bits, one), has_next & _marked(bits, two)
                 names = langs.dictionary_encode()
                 padding = len(words.vocabulary)
                 keep, leads = common, []
                 for k in range(ORDER):
                     word = np.full(len(words.codes), padding, np.int64)
-                    word[:len(word) - k] = words.codes[k:]
+                    word[:max(0, len(word) - k)] = words.codes[k:]
                     leads.append(np.where(keep, word, padding))
                     link = np.zeros(len(word), bool)
-                    link[:len(word) - k] = linked[k:]
+                    link[:max(0, len(word) - k)] = linked[k:]
                     keep = keep & link
                 first, times = _unique_rows([names.indices.to_numpy()[words.rows].astype(np.int64), *leads])
                 padded = pa.concat_arrays([words.vocabulary, pa.array([""])])
