@@ -5,11 +5,11 @@ lead columns.  Only these longest windows are counted; ``ROLLUP`` over the lead
 all shorter phrases, because a phrase occurs as often as windows begin with it, and into the number of words of a
 language.  No shorter n-gram is ever exploded.
 
-Before counting, windows are shortened to what can matter: a phrase of 30 occurrences has only words and pairs of 30
-occurrences.  Words and pairs are counted by a hash of 40 bits; those hashes that reach the least count are marked in
-a table of bits, 16 bits a hash and at most 32 MB.  A window ends before its first pair, and is all padding from a
-word, that is not marked.  A shortened window still counts in all its prefixes, and what is cut off occurs fewer than
-30 times, so every kept count is exact; hashes or bits that collide only leave windows longer than needed.
+Before counting, windows are shortened to what can matter: a phrase of 30 occurrences has only words, pairs and
+triples of 30 occurrences.  These are counted by a hash of 40 bits; hashes that reach the least count are marked in a
+table of bits, 16 bits a hash and at most 32 MB.  A window ends before its first pair or triple, and is all padding
+from a word, that is not marked.  A shortened window still counts in all its prefixes, and what is cut off occurs
+fewer than 30 times, so every kept count is exact; hashes or bits that collide only leave windows longer than needed.
 """
 
 from __future__ import annotations
@@ -53,19 +53,21 @@ def _language_hashes(langs: pa.Array) -> np.ndarray:
     return seeds[names.indices.to_numpy()]
 
 
-def _hashes(words: Words, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word and of each pair (word, next), and whether a next word exists in the piece."""
-    if not len(words.codes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    texts = words.vocabulary.to_pylist()
-    hashes = np.array([xxhash.xxh64_intdigest(x.encode()) for x in texts], np.uint64)[words.codes]
-    next_ = np.r_[hashes[1:], np.uint64(0)]
-    has_next = np.r_[words.pieces[1:] == words.pieces[:-1], False]
-    lang = langs[words.rows]
-    shift = np.uint64(64 - HASH_BITS)
-    one = ((hashes ^ lang) * _MIX[0]) >> shift
-    two = ((((hashes ^ lang) * _MIX[1]) ^ (next_ >> np.uint64(7))) * _MIX[2]) >> shift
-    return one.astype(np.int64), two.astype(np.int64), has_next
+def _hashes(words: Words, langs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For words, pairs and triples: the hash of the one that begins at each word, and whether its piece holds it."""
+    n, shift = len(words.codes), np.uint64(64 - HASH_BITS)
+    if not n:
+        return [(np.zeros(0, np.int64), np.zeros(0, bool))] * 3
+    of_word = np.array([xxhash.xxh64_intdigest(x.encode()) for x in words.vocabulary.to_pylist()], np.uint64)[words.codes]
+    state, out = of_word ^ langs[words.rows], []
+    for k, mix in enumerate(_MIX):
+        if k:
+            state[:max(0, n - k)] ^= of_word[k:] >> np.uint64(7)
+        state *= mix
+        held = np.zeros(n, bool)
+        held[:max(0, n - k)] = words.pieces[k:] == words.pieces[:max(0, n - k)]
+        out.append(((state >> shift).astype(np.int64), held))
+    return out
 
 
 def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, Words]]:
@@ -77,8 +79,8 @@ def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, Words]]:
 def _hash_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for langs, words in _sliced(batch):
-            one, two, has_next = _hashes(words, _language_hashes(langs))
-            hashes, times = np.unique(np.r_[one, two[has_next]], return_counts=True)
+            found = _hashes(words, _language_hashes(langs))
+            hashes, times = np.unique(np.concatenate([h[held] for h, held in found]), return_counts=True)
             yield pa.record_batch([pa.array(hashes), pa.array(times.astype(np.int64))], ["hash", "n"])
 
 
@@ -93,7 +95,7 @@ def _mark_task(size: int):
 
 
 def _frequent_bits(docs: DataFrame, least: int) -> np.ndarray:
-    """A bit per slot: whether a word or pair whose hash falls there may occur ``least`` times (at most 32 MB)."""
+    """A bit per slot: whether a word, pair or triple whose hash falls there may occur ``least`` times (at most 32 MB)."""
     hashes = docs.mapInArrow(_hash_task, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     frequent = stored(hashes.select("hash"), "frequent-hashes")
     size = max(1 << 16, min(MOST_BITS, 1 << (BITS_EACH * frequent.count()).bit_length()))
@@ -127,18 +129,18 @@ def _window_task(bits: np.ndarray):
             for langs, words in _sliced(batch):
                 if not len(words.codes):
                     continue
-                one, two, has_next = _hashes(words, _language_hashes(langs))
-                common, linked = _marked(bits, one), has_next & _marked(bits, two)
+                word, pair, triple = (held & _marked(bits, h) for h, held in _hashes(words, _language_hashes(langs)))
                 names = langs.dictionary_encode()
-                padding = len(words.vocabulary)
-                keep, leads = common, []
-                for k in range(ORDER):
-                    word = np.full(len(words.codes), padding, np.int64)
-                    word[:max(0, len(word) - k)] = words.codes[k:]
-                    leads.append(np.where(keep, word, padding))
-                    link = np.zeros(len(word), bool)
-                    link[:max(0, len(word) - k)] = linked[k:]
-                    keep = keep & link
+                padding, n = len(words.vocabulary), len(words.codes)
+                keep, leads = word, []
+                # the k-th word stays if the phrase that it ends, of three words at most, can be frequent
+                for k, (ends, begin) in enumerate([(word, 0), (pair, 0), (triple, 0), (triple, 1)]):
+                    held = np.zeros(n, bool)
+                    held[:max(0, n - begin)] = ends[begin:]
+                    keep = keep & held
+                    lead = np.full(n, padding, np.int64)
+                    lead[:max(0, n - k)] = words.codes[k:]
+                    leads.append(np.where(keep, lead, padding))
                 first, times = _unique_rows([names.indices.to_numpy()[words.rows].astype(np.int64), *leads])
                 padded = pa.concat_arrays([words.vocabulary, pa.array([""])])
                 yield pa.record_batch([names.dictionary.take(names.indices.take(pa.array(words.rows[first]))),
