@@ -1,11 +1,9 @@
-"""Churn classifier pipeline, evaluation, scoring and model persistence.
-
-Everything is ``pyspark.ml``: the preprocessing statistics (modes, exact
-medians, population mean/std of the imputed columns) come from ONE aggregate
-over the training split and are baked into a ``SQLTransformer`` stage as
-literals, so they persist with the ``PipelineModel`` and scoring needs no
-side table.  Categoricals use ``StringIndexer(handleInvalid='keep')`` +
-``OneHotEncoder(dropLast=True)``: an unseen value encodes to all zeros.
+"""Split, preprocessing, the two churn classifiers, evaluation, persistence and scoring.
+
+The preprocessing statistics (modes, exact medians, population mean and deviation of the imputed columns) come from
+ONE aggregate over the training split.  The tree (``operators.tree``) is exact and becomes a rule table, the logistic
+regression (``operators.logistic``) is fitted by Newton steps; both score with one generated expression, so scoring is
+a projection without a side table.  An unseen category matches no rule and adds nothing to the logistic margin.
 """
 
 from __future__ import annotations
@@ -13,18 +11,15 @@ from __future__ import annotations
 import datetime as _dt
 import json
 import os
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnlens import config
 from churnlens.functions.stats import safe_ratio
+from churnlens.operators import logistic as newton, tree as exact_tree
 from churnlens.operators.risk import with_risk
 from churnlens.functions.formats import np_round
 from churnlens.operators.quantiles import exact_medians, exact_quantiles
@@ -119,30 +114,16 @@ def fit_preprocessing(train: DataFrame, cats: list[str], nums: list[str]) -> dic
     return stats
 
 
-def _sql_str(v) -> str:
-    """A value as a SQL string literal (backslashes and quotes escaped)."""
-    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+def imputed_category(c: str, stats: dict) -> Column:
+    return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(stats["modes"][c] or ""))
 
 
-def preprocessing_stages(cats: list[str], nums: list[str], stats: dict) -> list:
-    """SQLTransformer (impute + standardise, literals) -> StringIndexer -> OneHotEncoder -> VectorAssembler."""
-    exprs = []
-    for c in cats:
-        mode = stats["modes"][c]
-        fill = "NULL" if mode is None else _sql_str(mode)
-        exprs.append(f"coalesce(CAST(`{c}` AS STRING), {fill}) AS `_cat_{c}`")
-    for c in nums:
-        exprs.append(f"(coalesce(CAST(`{c}` AS DOUBLE), {stats['medians'][c]!r}) - {stats['means'][c]!r}) "
-                     f"/ {stats['scales'][c]!r} AS `_z_{c}`")
-    stages = [SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__")]
-    if cats:
-        stages.append(StringIndexer(inputCols=[f"_cat_{c}" for c in cats], outputCols=[f"_idx_{c}" for c in cats],
-                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=[f"_idx_{c}" for c in cats], outputCols=[f"_oh_{c}" for c in cats],
-                                    dropLast=True, handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=[f"_oh_{c}" for c in cats] + [f"_z_{c}" for c in nums],
-                                  outputCol="_features", handleInvalid="keep"))
-    return stages
+def imputed_number(c: str, stats: dict) -> Column:
+    return F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(stats["medians"][c]))
+
+
+def standardised(c: str, stats: dict) -> Column:
+    return (imputed_number(c, stats) - F.lit(stats["means"][c])) / F.lit(stats["scales"][c])
 
 
 # --------------------------------------------------------------------------- K7 class weights, models
@@ -167,42 +148,47 @@ def _weighted(train: DataFrame, target: str) -> tuple[DataFrame, float]:
     return out, float(sum(w[r["c"]] * r["count"] for r in rows))
 
 
-def tree_classifier(max_bins: int = 64) -> DecisionTreeClassifier:
-    """Depth 4, min 30 rows per leaf, gini, balanced weights.
+@dataclass
+class TreeModel:
+    """The rule table of an exact tree (depth 4, 30 rows a leaf, balanced weights) and its imputation."""
 
-    ``max_bins`` bounds the candidate splits of a numeric feature; one-hot columns need two.
-    """
-    return DecisionTreeClassifier(featuresCol="_features", labelCol=LABEL, weightCol=WEIGHT,
-                                  maxDepth=config.TREE_MAX_DEPTH, minInstancesPerNode=config.TREE_MIN_LEAF,
-                                  impurity="gini", seed=config.MODEL_SEED, maxBins=max_bins)
+    rules: list[tuple]
+    stats: dict
+
+    def probability(self) -> Column:
+        return exact_tree.probability(self.rules, lambda c: imputed_category(c, self.stats) if c in self.stats["modes"]
+                                      else imputed_number(c, self.stats))
 
 
-def logistic_classifier(weight_sum: float) -> LogisticRegression:
-    """L2 with C=1 on the weighted log-loss sum -> regParam = 1 / sum(weights)."""
-    return LogisticRegression(featuresCol="_features", labelCol=LABEL, weightCol=WEIGHT,
-                              maxIter=config.LOGISTIC_MAX_ITER, regParam=1.0 / max(weight_sum, 1.0),
-                              elasticNetParam=0.0, standardization=False, family="binomial")
+@dataclass
+class LogisticModel:
+    """Coefficients over standardised numbers and one-hot categories, and the statistics behind them."""
 
+    coefficients: newton.Coefficients
+    stats: dict
 
-# --------------------------------------------------------------------------- K9 scoring, D35 evaluation
-def positive_probability(pred: DataFrame) -> Column:
-    """Probability of class 1 (label values are 0.0 / 1.0, so index 1)."""
-    return vector_to_array(F.col("probability"))[1]
+    def probability(self) -> Column:
+        return newton.logistic(self.coefficients.margin(lambda c: standardised(c, self.stats),
+                                                        lambda c: imputed_category(c, self.stats)))
 
 
-def score(model: PipelineModel, df: DataFrame, features: list[str] | None = None,
+# --------------------------------------------------------------------------- K9 scoring, D35 evaluation
+def score(model: TreeModel | LogisticModel, df: DataFrame, features: list[str] | None = None,
           id_col: str = config.ID_COLUMN) -> DataFrame:
     """K9: (id_cliente, probabilidad_churn rounded 4, nivel_riesgo on the unrounded value)."""
     if df.isEmpty():  # one-row probe, not a count
         raise ValueError("nothing to score: the input is empty")
     if id_col not in df.columns:
         raise ValueError("the rows to score need an id_cliente")
-    if features:
-        missing = [c for c in features if c not in df.columns]
-        if missing:
-            raise ValueError(f"the model was trained with columns that are absent: {missing}")
-    out = model.transform(df)
-    return with_risk(out.select(F.col(id_col), positive_probability(out).alias("probabilidad_churn")))
+    missing = [c for c in features or [*model.stats["modes"], *model.stats["medians"]] if c not in df.columns]
+    if missing:
+        raise ValueError(f"the model was trained with columns that are absent: {missing}")
+    return with_risk(df.select(F.col(id_col), model.probability().alias("probabilidad_churn")))
+
+
+def predictions(model: TreeModel | LogisticModel, df: DataFrame, target: str = config.TARGET_COLUMN) -> DataFrame:
+    """The input of ``evaluate``: label and predicted class (1 above one half)."""
+    return df.select(F.col(target).cast("double").alias(LABEL), (model.probability() > 0.5).cast("double").alias("prediction"))
 
 
 def evaluate(pred: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
@@ -225,76 +211,98 @@ def evaluate(pred: DataFrame, label: str = LABEL, prediction: str = "prediction"
 # --------------------------------------------------------------------------- K8 training orchestration
 @dataclass
 class TrainedModels:
-    tree: PipelineModel
-    logistic: PipelineModel | None
+    tree: TreeModel | None
+    logistic: LogisticModel | None
     metadata: dict = field(default_factory=dict)
 
 
-def train(view: DataFrame, strict_features: bool = True, fit_logistic: bool = True,
+def train(view: DataFrame, strict_features: bool = True, fit_logistic: bool = True, fit_tree: bool = True,
           target: str = config.TARGET_COLUMN) -> TrainedModels:
     """K8: split, fit preprocessing + tree + logistic on the training rows, evaluate on the test rows.
 
-    The labelled rows (id, features and target only) are persisted once:
-    the statistics, the tree and the logistic regression make many passes
-    over them; they are released afterwards.
+    The labelled rows (id, features and target only) are persisted once, the prepared training rows once more: the
+    statistics, the levels of the tree and the Newton steps read them; they are released afterwards.  Only the models
+    asked for are fitted.
     """
     cats, nums = features_of(view, strict=strict_features)
     keep = [c for c in dict.fromkeys([config.ID_COLUMN] + cats + nums + [target])]
     base = view.filter(F.col(target).isin(0, 1)).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = None
     try:
         # the split's quantiles and all fits read the persisted rows: the view is computed once
         flagged = base.withColumn("_test", split_flag(base))
-        train_df, weight_sum = _weighted(flagged.filter(~F.col("_test")), target)
-        test_df = flagged.filter(F.col("_test")).withColumn(LABEL, F.col(target).cast("double"))
+        train_df, _ = _weighted(flagged.filter(~F.col("_test")), target)
+        test_df = flagged.filter(F.col("_test"))
         stats = fit_preprocessing(train_df, cats, nums)
-        prep = preprocessing_stages(cats, nums, stats)
-        tree = Pipeline(stages=prep + [tree_classifier()]).fit(train_df)
-        logistic = (Pipeline(stages=prep + [logistic_classifier(weight_sum)]).fit(train_df)
-                    if fit_logistic else None)
-        m_tree = evaluate(tree.transform(test_df)).first().asDict()
-        m_log = evaluate(logistic.transform(test_df)).first().asDict() if logistic is not None else {
-            k: None for k in ("accuracy", "recall", "precision", "f1")}
+        rows = train_df.select(LABEL, WEIGHT, *[imputed_category(c, stats).alias(c) for c in cats],
+                               *[imputed_number(c, stats).alias(c) for c in nums]).persist(StorageLevel.MEMORY_AND_DISK)
+        tree = TreeModel(exact_tree.rules_of(exact_tree.grow(rows, cats, nums, LABEL)), stats) if fit_tree else None
+        logistic = LogisticModel(newton.fit(scaled_rows(rows, cats, nums, stats), cats, nums, LABEL, WEIGHT), stats) \
+            if fit_logistic else None
+        # one pass over the test rows for both models
+        none = {k: None for k in ("accuracy", "recall", "precision", "f1", "linea_base")}
+        m_tree, m_log = (evaluate(predictions(m, test_df, target)).first().asDict() if m is not None else none
+                         for m in (tree, logistic))
     finally:
         base.unpersist()
+        if rows is not None:
+            rows.unpersist()
     meta = {
         "modelo_nombre": config.MODEL_NAME, "version": config.MODEL_VERSION,
         "features": cats + nums, "categoricas": cats, "clase_positiva": 1, "indice_clase_positiva": 1,
         "clases": [0, 1], "fecha_entrenamiento": _dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S"),
         "metricas": {"arbol": {k: m_tree[k] for k in ("accuracy", "recall", "precision", "f1")},
                      "regresion_logistica": {k: m_log[k] for k in ("accuracy", "recall", "precision", "f1")},
-                     "linea_base": m_tree["linea_base"]},
+                     "linea_base": m_tree["linea_base"] if tree is not None else m_log["linea_base"]},
         "preprocesamiento": stats,
     }
     return TrainedModels(tree, logistic, meta)
 
 
+def scaled_rows(rows: DataFrame, cats: list[str], nums: list[str], stats: dict) -> DataFrame:
+    """Label, weight, categories and standardised numbers of imputed training rows."""
+    return rows.select(LABEL, WEIGHT, *[F.col(f"`{c}`") for c in cats], *[standardised(c, stats).alias(c) for c in nums])
+
+
 # --------------------------------------------------------------------------- A13 persistence
 def save_model(models: TrainedModels, path: str) -> None:
-    """The served (tree) pipeline plus a metadata JSON next to it."""
-    models.tree.write().overwrite().save(os.path.join(path, "pipeline"))
-    if models.logistic is not None:
-        models.logistic.write().overwrite().save(os.path.join(path, "pipeline_logistica"))
-    meta = json.dumps(models.metadata, ensure_ascii=False, default=str)
-    SparkSession.getActiveSession().createDataFrame([(meta,)], "metadata string") \
+    """The served tree as a rule table, and a JSON of metadata, statistics and logistic coefficients beside it."""
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame(models.tree.rules, exact_tree.RULE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
+        os.path.join(path, "rules"))
+    meta = models.metadata | {"coeficientes": asdict(models.logistic.coefficients) if models.logistic else None}
+    spark.createDataFrame([(json.dumps(meta, ensure_ascii=False, default=str),)], "metadata string") \
         .coalesce(1).write.mode("overwrite").text(os.path.join(path, "metadata"))
 
 
-def load_model(path: str) -> tuple[PipelineModel, dict]:
-    """Missing model -> FileNotFoundError; unreadable or without a pipeline -> ValueError."""
+def load_model(path: str) -> tuple[TreeModel, dict]:
+    """Missing model -> FileNotFoundError; unreadable, without rules or statistics, or with other columns -> ValueError."""
     spark = SparkSession.getActiveSession()
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path):
         raise FileNotFoundError(f"there is no model under {path}")
-    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "pipeline"))):
-        raise ValueError("the stored model has no pipeline")
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "rules"))):
+        raise ValueError("the stored model has no rules")
     try:
-        model = PipelineModel.load(os.path.join(path, "pipeline"))
-        meta_rows = spark.read.text(os.path.join(path, "metadata")).collect()
-        meta = json.loads(meta_rows[0][0]) if meta_rows else {}
+        columns = [c.split()[0] for c in exact_tree.RULE_SCHEMA.replace("array<string>", "list").split(", ")]
+        rules = [tuple(r) for r in spark.read.parquet(os.path.join(path, "rules")).select(*columns).collect()]  # 16 leaves
+        meta = json.loads(spark.read.text(os.path.join(path, "metadata")).first()[0])
+        stats = meta["preprocesamiento"]
+        lacking = {r[1] for r in rules if r[1] is not None} - {*stats["modes"], *stats["medians"]}
+        if not rules or lacking:
+            raise ValueError(f"rules are missing, or features without statistics: {lacking}")
     except Exception as exc:  # noqa: BLE001
         raise ValueError(f"the model under {path} cannot be read: {exc}") from exc
-    return model, meta
+    return TreeModel(rules, stats), meta
+
+
+def load_logistic(path: str) -> LogisticModel:
+    """The logistic regression stored beside the served tree; ValueError if none was fitted."""
+    _, meta = load_model(path)
+    if not meta.get("coeficientes"):
+        raise ValueError("the stored model has no logistic regression")
+    return LogisticModel(newton.Coefficients(**meta["coeficientes"]), meta["preprocesamiento"])
 
 
 def generate_scores(model_path: str, view: DataFrame) -> tuple[DataFrame, dict]:

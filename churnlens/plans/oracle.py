@@ -381,4 +381,4 @@ FROM (SELECT trim(ciudad) AS ciudad, count(*) AS total_clientes, CAST(sum(abando
       FROM behavior WHERE ciudad IS NOT NULL AND trim(ciudad) <> '' AND abandono IN (0, 1)
       GROUP BY trim(ciudad)) x
 """)
-from churnlens.plans import oracle_flows  # noqa: E402,F401
+from churnlens.plans import oracle_flows, oracle_tree  # noqa: E402,F401

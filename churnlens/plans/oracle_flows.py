@@ -44,9 +44,9 @@ UNION ALL SELECT 'ciudades', count(*) FROM behavior
   WHERE ciudad IN ('NATION_1', 'NATION_7', 'NATION_13', 'NATION_21')
 """)
 
-SQL["view_contract"] = "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, '{c}', {str(c in CATEGORICAL).upper()})" for i, c in enumerate(CATEGORICAL + NUMERIC)
-) + ") t(orden, variable, categorica)"
+SQL["view_contract"] = with_base("\nUNION ALL\n".join(
+    f"SELECT {i} AS orden, '{c}' AS variable, {str(c in CATEGORICAL).upper()} AS categorica, count({c}) AS con_valor, "
+    f"count(DISTINCT {c}) AS distintos, 0::BIGINT AS no_numericos FROM behavior" for i, c in enumerate(CATEGORICAL + NUMERIC)))
 
 SQL["most_frequent"] = with_base("\nUNION ALL\n".join(
     f"SELECT '{c}' AS variable, (SELECT CAST({c} AS VARCHAR) FROM behavior WHERE {c} IS NOT NULL GROUP BY 1 "

@@ -262,7 +262,7 @@ def q_principal_rule(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # churn model and risk
 # ---------------------------------------------------------------------------
-from churnlens.operators import model as churn_model, risk  # noqa: E402
+from churnlens.operators import logistic as newton, model as churn_model, risk, tree as exact_tree  # noqa: E402
 
 
 def _valid_target(v: DataFrame) -> DataFrame:
@@ -322,10 +322,53 @@ def q_tree_scores(spark, sf_dir):
     return churn_model.score(churn_model.train(v, fit_logistic=False).tree, v)
 
 
+@query("tree_rules")
+def q_tree_rules(spark, sf_dir):
+    """The rule table of the tree, a row per leaf."""
+    rules = churn_model.train(view(spark, sf_dir), fit_logistic=False).tree.rules
+    return (spark.createDataFrame(rules, exact_tree.RULE_SCHEMA).groupBy("hoja", "filas", "positivos")
+            .agg(F.round(F.max("probabilidad"), 9).alias("probabilidad")))
+
+
+@query("model_metrics")
+def q_model_metrics(spark, sf_dir):
+    """K8: the tree's figures on the test rows, as training reports them."""
+    m = churn_model.train(view(spark, sf_dir), fit_logistic=False).metadata["metricas"]
+    return spark.createDataFrame([(*(m["arbol"][k] for k in ("accuracy", "recall", "precision", "f1")), m["linea_base"])],
+                                 "accuracy double, recall double, precision double, f1 double, linea_base double")
+
+
+@query("registered_scores")
+def q_registered_scores(spark, sf_dir):
+    """Train and save, load, score every customer, register the run and read the history back."""
+    v, path = view(spark, sf_dir), _folder(spark, "model")
+    flows.train_flow(v, os.path.join(path, "model"))
+    flows.register_flow(v, os.path.join(path, "model"), os.path.join(path, "history"),
+                        clientes=churn_tables(spark, sf_dir).clientes)
+    return sinks.read_history(spark, os.path.join(path, "history")).select(
+        "id_cliente", "probabilidad_churn", "nivel_riesgo", "modelo", "version_modelo")
+
+
 @query("logistic_scores")
 def q_logistic_scores(spark, sf_dir):
     v = view(spark, sf_dir)
-    return churn_model.score(churn_model.train(v).logistic, v)
+    return churn_model.score(churn_model.train(v, fit_tree=False).logistic, v)
+
+
+@query("logistic_gradient")
+def q_logistic_gradient(spark, sf_dir):
+    """The penalised gradient at the fitted coefficients, which is 0 at the optimum."""
+    v = view(spark, sf_dir)
+    fitted = churn_model.train(v, fit_tree=False).logistic
+    cats, nums = churn_model.features_of(v)
+    rows = _valid_target(v)
+    rows, _ = churn_model._weighted(rows.filter(~churn_model.split_flag(rows)), "abandono")
+    prepared = rows.select(churn_model.LABEL, churn_model.WEIGHT,
+                           *[churn_model.imputed_category(c, fitted.stats).alias(c) for c in cats],
+                           *[churn_model.imputed_number(c, fitted.stats).alias(c) for c in nums])
+    found = newton.gradient(churn_model.scaled_rows(prepared, cats, nums, fitted.stats), fitted.coefficients,
+                            churn_model.LABEL, churn_model.WEIGHT)
+    return found.withColumn("gradiente", F.abs(F.round("gradiente", 7)))
 
 
 # ---------------------------------------------------------------------------
@@ -423,6 +466,7 @@ import os  # noqa: E402
 import uuid  # noqa: E402
 
 from churnlens.functions import formats  # noqa: E402
+from churnlens.plans import flows  # noqa: E402
 from churnlens.session import ensure_checkpoint_dir  # noqa: E402
 from churnlens.sources import sinks  # noqa: E402
 from churnlens.sources.intake import INTAKE_COLUMNS, read_customer_csv  # noqa: E402
@@ -489,11 +533,21 @@ def q_result_counts(spark, sf_dir):
 
 @query("view_contract")
 def q_view_contract(spark, sf_dir):
-    """A4 + B13: the checked view's columns that enter the model, in order."""
+    """A4 + B13: the checked view's columns that enter the model, in order, with what their rows hold.
+
+    One aggregate over (column, value as text): rows with a value, rows of a numeric column that are no number.
+    """
     from churnlens.plans.behavior import require_view_columns
-    cats, nums = churn_model.features_of(require_view_columns(view(spark, sf_dir)))
-    return spark.createDataFrame([(i, c, c in cats) for i, c in enumerate(cats + nums)],
-                                 "orden int, variable string, categorica boolean")
+    v = require_view_columns(view(spark, sf_dir))
+    cats, nums = churn_model.features_of(v)
+    cells = F.array(*[F.struct(F.lit(i).alias("orden"), F.lit(c).alias("variable"), F.lit(c in cats).alias("categorica"),
+                               F.col(c).cast("string").alias("x")) for i, c in enumerate(cats + nums)])
+    values = (v.select(F.explode(cells).alias("c")).groupBy("c.orden", "c.variable", "c.categorica", "c.x")
+              .agg(F.count(F.lit(1)).alias("n")))
+    bad = F.col("x").isNotNull() & ~F.col("categorica") & F.expr("try_cast(x AS double)").isNull()
+    return values.groupBy("orden", "variable", "categorica").agg(
+        F.sum(F.when(F.col("x").isNotNull(), F.col("n")).otherwise(0)).alias("con_valor"),
+        F.count("x").alias("distintos"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("no_numericos"))
 
 
 @query("most_frequent")
