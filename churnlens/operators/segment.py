@@ -3,9 +3,9 @@
 * K1/K2: coercion, exact-median imputation and population z-scores; the
   per-feature statistics (a handful of numbers) come from two aggregate rows
   and are applied as literals.
-* K3: ``pyspark.ml.clustering.KMeans`` for ``n_init`` seeds over one
-  persisted vector frame, keeping the lowest training cost; labels are then
-  made canonical by sorting the centres (first coordinate, then the next).
+* K3: Lloyd's passes for all starts at once, one aggregate of (start, cluster)
+  sums a pass over one persisted frame; the start of least cost is kept; labels
+  are made canonical by sorting the centres (first coordinate, then the next).
 * D23-D26, E2, H22 work on any frame with a ``cluster_id`` column; the
   summaries have one row per cluster, so the trait ranking windows span k rows.
 """
@@ -15,8 +15,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,34 +91,93 @@ def scaled_features(df: DataFrame, sc: Scaler | None = None, id_col: str = confi
 
 
 # --------------------------------------------------------------------------- K3, K4
+def _first_centres(points: DataFrame, k: int, seed: int, n_init: int) -> dict[int, list[list[float]]]:
+    """For every start the points of the k smallest hashes of (seed + start, id): the same on any layout of the rows."""
+    starts = points.selectExpr("*", f"explode(sequence(0, {n_init - 1})) AS start").withColumn(
+        "h", F.md5(F.concat((F.col("start") + seed).cast("string"), F.lit(":"), "key")))
+    z = [c for c in points.columns if c.startswith("_z")]
+    order = Window.partitionBy("start").orderBy("h", "key", *z)  # cut to k rows a task before the shuffle
+    rows = starts.withColumn("no", F.row_number().over(order)).where(F.col("no") <= k).orderBy("start", "no").collect()
+    out: dict[int, list[list[float]]] = {}
+    for r in rows:
+        out.setdefault(r["start"], []).append([r[c] for c in z])
+    return out
+
+
+def _distances(k: int, width: int) -> list[str]:
+    """Squared distances of a point (_z0, _z1 ...) to the k centres in the array ``c``."""
+    return [" + ".join(f"(_z{i} - c[{j * width + i}]) * (_z{i} - c[{j * width + i}])" for i in range(width)) for j in range(k)]
+
+
+def _nearest(k: int) -> str:
+    """The nearest centre by _d0, _d1 ..., ties to the first."""
+    return "CASE " + " ".join(f"WHEN _d{j} <= _least THEN {j}" for j in range(k)) + " END"
+
+
+def _array(values: list[list[float]]) -> str:
+    return "array(" + ", ".join(f"{float(x)!r}D" for v in values for x in v) + ")"
+
+
+def _assigned(points: DataFrame, centres: dict[int, list[list[float]]], k: int, width: int) -> DataFrame:
+    """Every point once for each start, with its nearest centre and the squared distance."""
+    starts = "array(" + ", ".join(f"struct({s} AS start, {_array(c)} AS c)" for s, c in centres.items()) + ")"
+    met = points.selectExpr("*", f"inline({starts})").selectExpr(
+        "*", *[f"{d} AS _d{j}" for j, d in enumerate(_distances(k, width))])
+    least = "_d0" if k == 1 else "least(" + ", ".join(f"_d{j}" for j in range(k)) + ")"
+    return met.selectExpr("*", f"{least} AS _least").selectExpr("*", f"{_nearest(k)} AS _cluster")
+
+
+def lloyd(points: DataFrame, k: int, seed: int, n_init: int, max_iter: int, tol: float) -> list[list[float]]:
+    """K-Means centres of (key, _z0, _z1 ...): all starts advance together, the one of least cost is returned.
+
+    A pass is one aggregate of (start, cluster) sums, a few rows a task; starts whose centres moved by at most ``tol``
+    (squared) rest.  A cluster that lost all points keeps its centre.
+    """
+    width = sum(c.startswith("_z") for c in points.columns)
+    centres = _first_centres(points, k, seed, n_init)
+    sums = [F.expr(f"avg(_z{i})").alias(f"m{i}") for i in range(width)]
+    moving = set(centres)
+    for _ in range(max_iter):
+        now = {s: centres[s] for s in sorted(moving)}
+        new = {s: [list(c) for c in v] for s, v in now.items()}
+        for r in _assigned(points, now, k, width).groupBy("start", "_cluster").agg(*sums).collect():
+            new[r["start"]][r["_cluster"]] = [r[f"m{i}"] for i in range(width)]
+        for s, v in new.items():
+            if sum((a - b) ** 2 for x, y in zip(v, centres[s], strict=True) for a, b in zip(x, y, strict=True)) <= tol:
+                moving.discard(s)
+            centres[s] = v
+        if not moving:
+            break
+    cost = {r["start"]: r["cost"] for r in
+            _assigned(points, centres, k, width).groupBy("start").agg(F.sum("_least").alias("cost")).collect()}
+    return centres[min(cost, key=lambda s: (cost[s], s))]
+
+
 def kmeans_labels(df: DataFrame, n_clusters: int = 3, random_state: int = 42, n_init: int = 10,
-                  sc: Scaler | None = None, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
-    """K3: ``df`` plus ``cluster_id`` (0..k-1, canonical order) from the best of ``n_init`` runs."""
+                  sc: Scaler | None = None, max_iter: int = 300, tol: float = 1e-4,
+                  id_col: str = config.ID_COLUMN) -> DataFrame:
+    """K3: ``df`` plus ``cluster_id`` (0..k-1, in the order of the centres) from the best of ``n_init`` starts.
+
+    The first centres depend on ids and ``random_state`` only, so a repeated call gives the same labels.
+    """
     sc = sc or fit_scaler(df)
     z = scaled_columns(df, sc)
-    assembled = VectorAssembler(inputCols=list(z), outputCol="_zvec").transform(df.withColumns(z))
-    vec = assembled.select("_zvec").persist()  # n_init fits x many passes each
+    key = F.col(id_col).cast("string") if id_col in df.columns else F.lit("")
+    points = df.select(F.coalesce(key, F.lit("")).alias("key"), *[e.alias(f"_z{i}") for i, e in enumerate(z.values())])
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)  # every pass reads it
     try:
-        n = vec.count()
+        n = points.count()
         if n < n_clusters:
             raise ValueError(f"{n_clusters} clusters need at least as many customers; there are {n}")
-        best = None
-        for i in range(n_init):
-            km = KMeans(k=n_clusters, seed=random_state + i, featuresCol="_zvec", predictionCol="_raw",
-                        maxIter=max_iter, tol=tol)
-            m = km.fit(vec)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, m)
+        centres = sorted(lloyd(points, n_clusters, random_state, n_init, max_iter, tol))
     finally:
-        vec.unpersist()
-    model = best[1]
-    centers = [list(map(float, c)) for c in model.clusterCenters()]
-    order = sorted(range(len(centers)), key=lambda i: centers[i])
-    relabel = F.lit(None).cast("int")
-    for new, old in enumerate(order):
-        relabel = F.when(F.col("_raw") == old, F.lit(new)).otherwise(relabel)
-    return model.transform(assembled).withColumn("cluster_id", relabel).drop("_raw", "_zvec", *z.keys())
+        points.unpersist()
+    # the label is one expression over z-scores that live in a struct, so no column of df can clash
+    zs = F.struct(*[e.alias(f"z{i}") for i, e in enumerate(z.values())])
+    out = df.withColumn("cluster_id", zs)
+    far = [" + ".join(f"(cluster_id.z{i} - {c!r}D) * (cluster_id.z{i} - {c!r}D)" for i, c in enumerate(v)) for v in centres]
+    out = out.withColumn("cluster_id", F.expr("array(" + ", ".join(far) + ")"))
+    return out.withColumn("cluster_id", F.expr("cast(array_position(cluster_id, array_min(cluster_id)) - 1 AS int)"))
 
 
 def segment(df: DataFrame, n_clusters: int = 3, random_state: int = 42, n_init: int = 10) -> dict:

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,13 +58,14 @@ def node_column(nodes: dict[int, Node], node: int = 1) -> Column:
     return F.when(split.right(), node_column(nodes, 2 * node + 1)).otherwise(node_column(nodes, 2 * node))
 
 
-def _edges(rows: DataFrame, numeric: list[str], n: int) -> dict[str, list[float]]:
+def _edges(rows: DataFrame, numeric: list[str], first: int, n: int) -> dict[int, list[float]]:
+    """Edges of the ranges of every numeric feature, by the feature's number."""
     ranges = math.ceil(n / RANGE_ROWS)
     if ranges < 2 or not numeric:
-        return {c: [] for c in numeric}
+        return {}
     at = [i / ranges for i in range(1, ranges)]
-    first = rows.agg(*[F.percentile_approx(F.col(f"`{c}`"), at, 10 * ranges).alias(f"e{i}") for i, c in enumerate(numeric)]).first()
-    return {c: sorted(set(first[f"e{i}"])) for i, c in enumerate(numeric)}
+    found = rows.agg(*[F.percentile_approx(F.col(f"`{c}`"), at, 10 * ranges).alias(f"e{i}") for i, c in enumerate(numeric)]).first()
+    return {first + i: sorted(set(found[f"e{i}"])) for i, c in enumerate(numeric)}
 
 
 def _side(rows: Column, positives: Column, n0: int, n1: int) -> Column:
@@ -74,41 +74,42 @@ def _side(rows: Column, positives: Column, n0: int, n1: int) -> Column:
     return (a0 * a0 + a1 * a1) / (a0 + a1)
 
 
-def _numeric_candidates(open_rows: DataFrame, numeric: list[str], first: int, edges: dict[str, list[float]]) -> DataFrame:
-    """(node, feature, threshold, rows and positives to its left) for every midpoint between neighbouring values."""
-    pairs = F.array(*[F.struct(F.lit(first + i).alias("feature"), F.col(f"`{c}`").alias("x")) for i, c in enumerate(numeric)])
-    sums = (open_rows.select("_node", "_y", F.explode(pairs).alias("p")).groupBy("_node", "p.feature", "p.x")
+def _value_sums(open_rows: DataFrame, categorical: list[str], numeric: list[str]) -> DataFrame:
+    """(node, feature, x or cat, rows, pos): the counts of every value of every feature in every open node."""
+    cells = [F.struct(F.lit(i).alias("feature"), F.lit(None).cast("double").alias("x"), F.col(f"`{c}`").alias("cat"))
+             for i, c in enumerate(categorical)]
+    cells += [F.struct(F.lit(i).alias("feature"), F.col(f"`{c}`").alias("x"), F.lit(None).cast("string").alias("cat"))
+              for i, c in enumerate(numeric, len(categorical))]
+    long = open_rows.select("_node", "_y", F.explode(F.array(*cells)).alias("p")).where("p.x IS NOT NULL OR p.cat IS NOT NULL")
+    return (long.groupBy("_node", "p.feature", "p.x", "p.cat")
             .agg(F.count(F.lit(1)).alias("rows"), F.sum("_y").alias("pos")))
+
+
+def _scanned(sums: DataFrame, edges: dict[int, list[float]]) -> DataFrame:
+    """Adds the counts up to each value (r, p) and the next value of its feature in its node.
+
+    With edges the scan has two steps, so that a task sorts one range of a feature; without, one range holds all.
+    """
+    if not any(edges.values()):
+        inside = Window.partitionBy("_node", "feature").orderBy("x", "cat")
+        upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+        return sums.withColumns({"r": F.sum("rows").over(upto), "p": F.sum("pos").over(upto), "next": F.lead("x").over(inside)})
     span = F.lit(0)
-    for i, c in enumerate(numeric):
-        if edges[c]:
-            span = F.when(F.col("feature") == first + i,
-                          F.size(F.filter(F.lit(edges[c]), lambda e: e < F.col("x")))).otherwise(span)
+    for i, e in edges.items():
+        if e:
+            span = F.when(F.col("feature") == i, F.size(F.filter(F.lit(e), lambda y: y < F.col("x")))).otherwise(span)
     sums = sums.withColumn("span", span)
     in_order = Window.partitionBy("_node", "feature").orderBy("span")  # a row per range
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    spans = (sums.groupBy("_node", "feature", "span")
-             .agg(F.sum("rows").alias("r"), F.sum("pos").alias("p"), F.min("x").alias("least"))
-             .select("_node", "feature", "span", F.coalesce(F.sum("r").over(before), F.lit(0)).alias("rows_before"),
-                     F.coalesce(F.sum("p").over(before), F.lit(0)).alias("pos_before"),
+    spans = (sums.groupBy("_node", "feature", "span").agg(F.sum("rows").alias("a"), F.sum("pos").alias("b"), F.min("x").alias("least"))
+             .select("_node", "feature", "span", F.coalesce(F.sum("a").over(before), F.lit(0)).alias("rows_before"),
+                     F.coalesce(F.sum("b").over(before), F.lit(0)).alias("pos_before"),
                      F.lead("least").over(in_order).alias("next_span")))
-    inside = Window.partitionBy("_node", "feature", "span").orderBy("x")
+    inside = Window.partitionBy("_node", "feature", "span").orderBy("x", "cat")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    scan = (sums.select("_node", "feature", "span", "x", F.sum("rows").over(upto).alias("r"), F.sum("pos").over(upto).alias("p"),
-                        F.lead("x").over(inside).alias("next"))
-            .join(spans, ["_node", "feature", "span"])
-            .withColumn("next", F.coalesce("next", "next_span")).where("next IS NOT NULL"))
-    middle = (F.col("x") + F.col("next")) / 2
-    return scan.select("_node", "feature", F.when(middle >= F.col("next"), F.col("x")).otherwise(middle).alias("threshold"),
-                       F.lit(None).cast("string").alias("category"), (F.col("r") + F.col("rows_before")).alias("left_rows"),
-                       (F.col("p") + F.col("pos_before")).alias("left_pos"))
-
-
-def _category_sums(open_rows: DataFrame, categorical: list[str]) -> DataFrame:
-    """(node, feature, x, rows, pos): every category's counts in every open node."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"`{c}`").alias("x")) for i, c in enumerate(categorical)])
-    return (open_rows.select("_node", "_y", F.explode(pairs).alias("p")).where("p.x IS NOT NULL")
-            .groupBy("_node", "p.feature", "p.x").agg(F.count(F.lit(1)).alias("rows"), F.sum("_y").alias("pos")))
+    scan = sums.withColumns({"r": F.sum("rows").over(upto), "p": F.sum("pos").over(upto), "next": F.lead("x").over(inside)})
+    return scan.join(spans, ["_node", "feature", "span"]).withColumns({
+        "r": F.col("r") + F.col("rows_before"), "p": F.col("p") + F.col("pos_before"), "next": F.coalesce("next", "next_span")})
 
 
 def grow(train: DataFrame, categorical: list[str], numeric: list[str], label: str,
@@ -119,29 +120,28 @@ def grow(train: DataFrame, categorical: list[str], numeric: list[str], label: st
                         *[F.col(f"`{c}`").cast("double").alias(c) for c in numeric])
     n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
     nodes = {1: Node(n, n1)}
-    edges = _edges(rows, numeric, n)
+    edges = _edges(rows, numeric, len(categorical), n)
     features = categorical + numeric
     for level in range(depth):
         open_ = [k for k in nodes if k >= 1 << level and 0 < nodes[k].positives < nodes[k].rows and nodes[k].rows >= 2 * min_leaf]
         if not open_:
             break
-        counts = F.broadcast(spark.createDataFrame([(k, nodes[k].rows, nodes[k].positives) for k in open_],
-                                                   "_node int, _rows long, _pos long"))  # 2^level rows
         reached = rows.withColumn("_node", node_column(nodes)).where(F.col("_node").isin(open_))
-        found = []
-        if numeric:
-            found.append(_numeric_candidates(reached, numeric, len(categorical), edges).join(counts, "_node"))
-        if categorical:
-            found.append(_category_sums(reached, categorical).join(counts, "_node").select(
-                "_node", "feature", F.lit(None).cast("double").alias("threshold"), F.col("x").alias("category"),
-                (F.col("_rows") - F.col("rows")).alias("left_rows"), (F.col("_pos") - F.col("pos")).alias("left_pos"), "_rows", "_pos"))
+        all_rows, all_pos = (F.element_at(F.create_map(*[F.lit(x) for k in open_ for x in (k, getattr(nodes[k], part))]), F.col("_node"))
+                             for part in ("rows", "positives"))  # 2^level entries
+        is_text, middle = F.col("cat").isNotNull(), (F.col("x") + F.col("next")) / 2
+        splits = _scanned(_value_sums(reached, categorical, numeric), edges).where(is_text | F.col("next").isNotNull()).select(
+            "_node", "feature", "cat", F.when(middle >= F.col("next"), F.col("x")).otherwise(middle).alias("threshold"),
+            F.when(is_text, all_rows - F.col("rows")).otherwise(F.col("r")).alias("left_rows"),
+            F.when(is_text, all_pos - F.col("pos")).otherwise(F.col("p")).alias("left_pos"),
+            all_rows.alias("_rows"), all_pos.alias("_pos"))
         right_rows, right_pos = F.col("_rows") - F.col("left_rows"), F.col("_pos") - F.col("left_pos")
-        scored = (reduce(DataFrame.unionByName, found).where((F.col("left_rows") >= min_leaf) & (right_rows >= min_leaf))
+        scored = (splits.where((F.col("left_rows") >= min_leaf) & (right_rows >= min_leaf))
                   .withColumn("score", _side(F.col("left_rows"), F.col("left_pos"), n - n1, n1) + _side(right_rows, right_pos, n - n1, n1)))
-        best = Window.partitionBy("_node").orderBy(F.col("score").desc(), "feature", "threshold", "category")  # cut to a row a task
+        best = Window.partitionBy("_node").orderBy(F.col("score").desc(), "feature", "threshold", "cat")  # cut to a row a task
         for r in scored.withColumn("_no", F.row_number().over(best)).where("_no = 1").collect():
             k = r["_node"]
-            nodes[k].split = Split(features[r["feature"]], r["threshold"], r["category"])
+            nodes[k].split = Split(features[r["feature"]], r["threshold"], r["cat"])
             nodes[2 * k] = Node(r["left_rows"], r["left_pos"])
             nodes[2 * k + 1] = Node(nodes[k].rows - r["left_rows"], nodes[k].positives - r["left_pos"])
     return nodes

@@ -91,3 +91,42 @@ SELECT i.id_cliente, {z} FROM imp i, mom s
 
 
 SQL["scaled_features"] = _scaled()
+
+
+def _kmeans(select: str) -> str:
+    """Lloyd's passes from the same first centres: a recursion whose row is one start with its three centres."""
+    scaled = SQL["scaled_features"]
+    head, tail = scaled[len("WITH "):].rsplit("\nSELECT i.id_cliente, ", 1)
+    cells = ", ".join(f"CASE WHEN s.sd_{c} > 0 THEN (i.{c} - s.mean_{c}) / s.sd_{c} ELSE 0.0 END" for c in FEATS)
+    means = ", ".join(f"avg(z[{i + 1}])" for i in range(len(FEATS)))
+    near = "list_transform(cs, lambda x: list_distance(x, z))"
+    return f"""WITH RECURSIVE {head},
+pts AS MATERIALIZED (SELECT i.id_cliente, [{cells}]::DOUBLE[] AS z FROM imp i, mom s),
+first AS (
+  SELECT s, z, row_number() OVER (PARTITION BY s ORDER BY md5((42 + s)::VARCHAR || ':' || id_cliente), id_cliente) AS no
+  FROM pts, range(10) starts(s)),
+rec(it, s, cs, shift) AS (
+  SELECT 0, s, list(z ORDER BY no), 1e9::DOUBLE FROM first WHERE no <= 3 GROUP BY s
+  UNION ALL
+  SELECT it + 1, s, ncs, list_sum(list_transform([1, 2, 3], lambda c: list_distance(cs[c], ncs[c]) ** 2))
+  FROM (
+    SELECT it, s, cs, [coalesce(any_value(m) FILTER (c = 1), cs[1]), coalesce(any_value(m) FILTER (c = 2), cs[2]),
+                       coalesce(any_value(m) FILTER (c = 3), cs[3])] AS ncs
+    FROM (
+      SELECT it, s, cs, c, [{means}] AS m
+      FROM (SELECT it, s, cs, z, list_position({near}, list_min({near})) AS c FROM rec, pts WHERE shift > 1e-4 AND it < 300) a
+      GROUP BY it, s, cs, c) g
+    GROUP BY it, s, cs) h),
+ended AS (SELECT s, arg_max(cs, it) AS cs FROM rec GROUP BY s),
+cost AS (SELECT s, any_value(cs) AS cs, sum(list_min({near}) ** 2) AS cost FROM ended, pts GROUP BY s),
+best AS (SELECT list_sort(arg_min(cs, cost)) AS cs FROM cost),
+labels AS (SELECT id_cliente, (list_position({near}, list_min({near})) - 1)::INT AS cluster_id FROM pts, best)
+""" + select
+
+
+SQL["kmeans_segments"] = _kmeans(
+    "SELECT id_cliente, cluster_id, 'Clúster ' || CAST(cluster_id + 1 AS VARCHAR) AS cluster FROM labels")
+SQL["kmeans_cluster_summary"] = _kmeans(
+    "SELECT cluster_id, 'Clúster ' || CAST(cluster_id + 1 AS VARCHAR) AS cluster, count(*) AS total_clientes, "
+    + ", ".join(f"ROUND(avg(CAST({c} AS DOUBLE)), 6) AS {c}" for c in FEATS)
+    + " FROM behavior JOIN labels USING (id_cliente) GROUP BY cluster_id")
