@@ -1,116 +1,141 @@
-"""V4/V5, E1, H1-H12 on the F2/F3 fixtures (expected values worked out from their rows)."""
+"""The cleaning pipeline against a plain-Python cleaner on generated rows, and its invariants."""
 
+import math
+import random
+import re
+import statistics
+
+import pytest
 from pyspark.sql import functions as F
 
+from churnlens import config
+from churnlens.functions import bins
 from churnlens.operators import clean
 
-
-def _report(rep):
-    out = {}
-    for r in rep.collect():
-        if r["columna"] is None:
-            out[r["metrica"]] = r["valor"]
-        else:
-            out.setdefault(r["metrica"], {})[r["columna"]] = r["valor"]
-    return out
-
-
-def test_blank_and_duplicate_ids(dirty):
-    rows, rep = clean.prepare(dirty)
-    r = _report(rep)
-    assert r["ids_vacios_eliminados"] == 1
-    assert r["duplicados_eliminados"] == 1
-    ids = [x["id_cliente"] for x in rows.collect()]
-    assert "" not in ids and ids.count("Q8") == 1
-
-
-def test_text_normalisation(dirty):
-    rows, _ = clean.prepare(dirty)
-    c1 = rows.filter("id_cliente = 'Q7'").first()
-    assert (c1["nombre"], c1["ciudad"], c1["tipo_contrato"], c1["plan"]) == ("Elsa Brandt", "Puerto Norte", "Libre",
-                                                                              "Movil 20")
-    c2 = rows.filter("id_cliente = 'Q8'").first()
-    assert c2["nombre"] == "Cliente sin nombre"
-    assert (c2["ciudad"], c2["tipo_contrato"], c2["plan"]) == ("No informado",) * 3
-
-
-def test_coercion_ranges_imputation(dirty):
-    rows, rep = clean.prepare(dirty)
-    r = _report(rep)
-    assert r["valores_no_convertibles"]["monto_mensual"] == 1
-    assert r["valores_no_convertibles"]["edad"] == 1
-    assert r["valores_fuera_de_rango"]["edad"] == 1
-    assert r["valores_fuera_de_rango"]["satisfaccion"] == 1
-    assert r["valores_fuera_de_rango"]["monto_mensual"] == 1
-    assert r["valores_fuera_de_rango"]["pagos_atrasados"] == 1
-    assert r["abandono_invalido_eliminado"] == 1
-    c1 = rows.filter("id_cliente = 'Q7'").first()
-    assert c1["monto_mensual"] == 250.0
-    c2 = rows.filter("id_cliente = 'Q8'").first()
-    assert (c2["edad"], c2["antiguedad_meses"], c2["monto_mensual"]) == (41, 30, 250.0)
-    assert (c2["reclamos_ultimos_6_meses"], c2["pagos_atrasados"]) == (0, 0)
-    assert r["valores_imputados"]["edad"] >= 1
-    assert r["valores_imputados"]["reclamos_ultimos_6_meses"] >= 1
-    assert {x["abandono"] for x in rows.collect()} <= {0, 1}
-
-
-def test_final_types_and_report_invariant(dirty):
-    rows, rep = clean.prepare(dirty)
-    types = dict(rows.dtypes)
-    for c in ["edad", "antiguedad_meses", "cantidad_servicios", "reclamos_ultimos_6_meses", "pagos_atrasados",
-              "dias_sin_uso", "abandono"]:
-        assert types[c] == "bigint"
-    assert types["monto_mensual"] == "double" and types["satisfaccion"] == "double"
-    r = _report(rep)
-    assert r["filas_iniciales"] == 5
-    assert r["filas_iniciales"] == r["filas_finales"] + r["filas_eliminadas"]
-    assert list(r["columnas_derivadas"]) == ["grupo_edad", "grupo_antiguedad", "nivel_satisfaccion",
-                                             "tiene_morosidad", "tiene_reclamos"]
-
-
-def test_first_occurrence_wins_even_with_bad_target(spark):
-    # a duplicate that comes first with an invalid target removes the customer altogether
-    df = spark.createDataFrame([("C9", "9", 0, 0), ("C9", "1", 0, 1)],
-                               "id_cliente string, abandono string, _src int, _pos long")
-    rows, rep = clean.prepare(df)
-    assert rows.count() == 0
-    assert _report(rep)["abandono_invalido_eliminado"] == 1
-
-
-def test_bins_and_flags(spark):
-    df = spark.createDataFrame(
-        [("A", "18", "6", "1", "0", "0", "0"), ("B", "30", "18", "3", "1", "1", "0"),
-         ("C", "45", "36", "4", "0", "0", "0"), ("D", "60", "60", "5", "2", "2", "1")],
-        "id_cliente string, edad string, antiguedad_meses string, satisfaccion string, pagos_atrasados string, "
-        "reclamos_ultimos_6_meses string, abandono string").withColumns(
-        {"_src": F.lit(0), "_pos": F.monotonically_increasing_id()})
-    rows = clean.prepare(df)[0].orderBy("id_cliente").collect()
-    assert [r["grupo_edad"] for r in rows] == ["18-29", "30-44", "45-59", "60 o más"]
-    assert [r["grupo_antiguedad"] for r in rows] == ["0-12 meses", "13-24 meses", "25-48 meses", "49 meses o más"]
-    assert [r["nivel_satisfaccion"] for r in rows] == ["Baja", "Media", "Alta", "Alta"]
-    assert [r["tiene_morosidad"] for r in rows] == [0, 1, 0, 1]
-    assert [r["tiene_reclamos"] for r in rows] == [0, 1, 0, 1]
-
-
-def test_imputed_half_satisfaction_is_high(spark):
-    # median 2.5 is imputed and classified 'Alta' (only exactly 3 is 'Media')
-    df = spark.createDataFrame([("A", "2", "0"), ("B", "3", "0"), ("C", None, "1")],
-                               "id_cliente string, satisfaccion string, abandono string").withColumns(
-        {"_src": F.lit(0), "_pos": F.monotonically_increasing_id()})
-    c = clean.prepare(df)[0].filter("id_cliente = 'C'").first()
-    assert c["satisfaccion"] == 2.5 and c["nivel_satisfaccion"] == "Alta"
-
-
-def test_partition_independence(dirty):
-    a = sorted(map(tuple, clean.prepare(dirty.repartition(1))[0].collect()))
-    b = sorted(map(tuple, clean.prepare(dirty.repartition(7))[0].collect()))
-    assert a == b
-
-
-def test_fallback_when_no_valid_value(spark):
-    df = spark.createDataFrame([("A", "x", "0"), ("B", None, "1")],
-                               "id_cliente string, edad string, abandono string").withColumns(
-        {"_src": F.lit(0), "_pos": F.monotonically_increasing_id()})
-    rows, rep = clean.prepare(df)
-    assert {r["edad"] for r in rows.collect()} == {18}
-    assert _report(rep)["valores_respaldo_usados"]["edad"] == 18.0
+TEXTS = ["nombre", *config.CLEAN_TEXT_COLUMNS]
+COLUMNS = [config.ID_COLUMN, *TEXTS, *config.CLEAN_NUMERIC_COLUMNS]
+NUMBERS = ["0", "1", "2", "3", "4", "5", "2.5", "17", "18", "30", "61", "100", "101", "-4", " 7 ", "1e2", "many", "", None, "1,5", "NaN"]
+WORDS = ["rio   seco", " san-juan", "LA PAZ", "\tona ", "", "   ", None, "o'higgins 3er", "ñandú"]
+
+
+def generated(seed: int, n: int = 60) -> list[tuple]:
+    rnd = random.Random(seed)
+    ids = [f"{' ' * rnd.randrange(2)}c{rnd.randrange(n // 2)}{' ' * rnd.randrange(2)}" for _ in range(n - 6)] + ["", None, "  "] * 2
+    rnd.shuffle(ids)
+    return [(i, *(rnd.choice(WORDS) for _ in TEXTS), *(rnd.choice(NUMBERS) for _ in config.CLEAN_NUMERIC_COLUMNS[:-1]),
+             rnd.choice(["0", "1", "1", "0", "2", "x", None])) for i in ids]
+
+
+def frame(spark, rows: list[tuple], columns=COLUMNS):
+    schema = ", ".join(f"{c} string" for c in columns) + ", _src int, _pos long"
+    return spark.createDataFrame([(*r, 0, k) for k, r in enumerate(rows)], schema)
+
+
+def as_number(text):
+    t = None if text is None else text.strip()
+    return float(t) if t and re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", t) else None
+
+
+def plain_clean(rows: list[tuple]) -> tuple[list[dict], dict]:
+    """The survey's rules one row at a time: rows, and the report as {(metric, column): value}."""
+    report = {("filas_iniciales", None): len(rows)}
+    seen, kept, blank = set(), [], 0
+    for r in rows:
+        row = dict(zip(COLUMNS, r, strict=True))
+        row["id_cliente"] = " ".join((row["id_cliente"] or "").split())
+        blank += row["id_cliente"] == ""
+        if row["id_cliente"] and row["id_cliente"] not in seen:
+            seen.add(row["id_cliente"])
+            kept.append(row)
+    report["ids_vacios_eliminados", None] = blank
+    report["duplicados_eliminados", None] = len(rows) - blank - len(kept)
+    for c in config.CLEAN_NUMERIC_COLUMNS:
+        values = [as_number(r[c]) for r in kept]
+        report["valores_no_convertibles", c] = sum(v is None and (r[c] or "").strip() != "" for v, r in zip(values, kept, strict=True))
+        low, high = config.CLEAN_VALID_RANGES.get(c, (None, None))
+        outside = [v is not None and (low is not None and v < low or high is not None and v > high) for v in values]
+        if c in config.CLEAN_VALID_RANGES:
+            report["valores_fuera_de_rango", c] = sum(outside)
+        for r, v, out in zip(kept, values, outside, strict=True):
+            r[c] = None if out else v
+    left = [r for r in kept if r["abandono"] in (0.0, 1.0)]
+    report["abandono_invalido_eliminado", None] = len(kept) - len(left)
+    report["filas_finales", None], report["filas_eliminadas", None] = len(left), len(rows) - len(left)
+    for c in config.CLEAN_MEDIAN_COLUMNS + config.CLEAN_ZERO_COLUMNS:
+        known = [r[c] for r in left if r[c] is not None]
+        report["valores_imputados", c] = len(left) - len(known)
+        fill = 0.0 if c in config.CLEAN_ZERO_COLUMNS else statistics.median(known) if known else float(config.CLEAN_FALLBACKS[c])
+        for r in left:
+            r[c] = fill if r[c] is None else r[c]
+    for r in left:
+        r["nombre"] = " ".join((r["nombre"] or "").split()) or config.DEFAULT_NAME
+        for c in config.CLEAN_TEXT_COLUMNS:
+            r[c] = " ".join((r[c] or "").split()).title() or config.DEFAULT_CATEGORY
+        for c in config.CLEAN_INTEGER_COLUMNS:
+            r[c] = round(r[c])
+    return left, report
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rows_and_report_equal_a_plain_cleaner(spark, seed):
+    rows = generated(seed)
+    cleaned, report = clean.prepare(frame(spark, rows).repartition(1 + 2 * seed))
+    expected, figures = plain_clean(rows)
+    got = [{c: r[c] for c in COLUMNS} for r in cleaned.collect()]
+    assert sorted(got, key=lambda r: r["id_cliente"]) == sorted(expected, key=lambda r: r["id_cliente"])
+    found = {(r["metrica"], r["columna"]): r["valor"] for r in report.collect()}
+    assert {k: found[k] for k in figures} == figures
+    assert found["filas_iniciales", None] == found["filas_finales", None] + found["filas_eliminadas", None]
+    assert [c for m, c in found if m == "columnas_derivadas"] == config.DERIVED_COLUMNS
+
+
+def test_clean_rows_are_a_fixed_point(spark):
+    # the texts but for the default category, which title case would change
+    keep = ["id_cliente", "nombre", *config.CLEAN_NUMERIC_COLUMNS]
+    once = clean.prepare(frame(spark, generated(11)))[0].select(*keep)
+    again, report = clean.prepare(once.withColumns({"_src": F.lit(0), "_pos": F.monotonically_increasing_id()}))
+    assert sorted(map(tuple, again.select(*keep).collect())) == sorted(map(tuple, once.collect()))
+    assert sum(r["valor"] for r in report.collect() if r["metrica"] in (
+        "filas_eliminadas", "valores_imputados", "valores_fuera_de_rango", "valores_no_convertibles")) == 0
+
+
+@pytest.mark.parametrize("function,edges,last", [(bins.age_group, config.AGE_BINS, config.AGE_BIN_LAST),
+                                                 (bins.tenure_group, config.TENURE_BINS, config.TENURE_BIN_LAST)])
+def test_every_bin_ends_where_the_next_begins(spark, function, edges, last):
+    labels = [label for _, label in edges] + [last]
+    probes = [(float(upper) + d, labels[i + (d > 0)]) for i, (upper, _) in enumerate(edges) for d in (0, 0.5, 1)]
+    df = spark.createDataFrame(probes, "x double, label string")
+    assert df.where(function(F.col("x")) != F.col("label")).count() == 0
+
+
+def test_satisfaction_levels_and_flags(spark):
+    df = spark.createDataFrame([(x / 4,) for x in range(4, 21)], "x double")
+    for x, level, flag in df.select("x", bins.satisfaction_level(F.col("x")), bins.flag_positive(F.col("x") - 3)).collect():
+        assert level == (config.SATISFACTION_LOW if x <= 2 else config.SATISFACTION_MID if x == 3 else config.SATISFACTION_HIGH)
+        assert flag == (x > 3)
+
+
+def test_types_of_the_result(spark):
+    types = dict(clean.prepare(frame(spark, generated(5)))[0].dtypes)
+    assert all(types[c] == "bigint" for c in config.CLEAN_INTEGER_COLUMNS)
+    assert types["monto_mensual"] == types["satisfaccion"] == "double"
+
+
+def test_an_invalid_first_row_removes_its_customer(spark):
+    # the first row of an id decides, whatever its target; later ones are duplicates
+    for targets, left in ((("9", "1"), 0), (("1", "9"), 1), ((None, "0", "0"), 0)):
+        df = frame(spark, [(" z ", t) for t in targets], ["id_cliente", "abandono"])
+        assert clean.prepare(df)[0].count() == left
+
+
+def test_fallbacks_fill_columns_without_a_number(spark):
+    columns = ["id_cliente", *config.CLEAN_FALLBACKS, "abandono"]
+    rows, report = clean.prepare(frame(spark, [(f"k{i}", *["?"] * len(config.CLEAN_FALLBACKS), "1") for i in range(3)], columns))
+    assert all(r[c] == v for r in rows.collect() for c, v in config.CLEAN_FALLBACKS.items())
+    used = {r["columna"]: r["valor"] for r in report.collect() if r["metrica"] == "valores_respaldo_usados"}
+    assert used == {c: float(v) for c, v in config.CLEAN_FALLBACKS.items()} and not any(map(math.isnan, used.values()))
+
+
+def test_empty_frame(spark):
+    rows, report = clean.prepare(frame(spark, []))
+    assert rows.count() == 0 and {r["valor"] for r in report.collect()} == {0.0}
