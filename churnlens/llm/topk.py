@@ -1,13 +1,16 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Every vector's distances to many pivots are computed once.  For a query q and a candidate x the triangle
-inequality gives max over pivots |d(q, p) - d(x, p)| <= d(q, x), and with the exact norms an upper bound of the
-inner product (|q|^2 + |x|^2 - d(q, x)^2) / 2.  Candidates are evaluated in the order of their bounds until the
-next bound is below the k-th score found; a bound equal to it is still evaluated, so ties are exact.
+Every vector's distances to many pivots are computed once.  For a query q and a candidate x every pivot gives
+|d(q, p) - d(x, p)| <= d(q, x).  All pivots together give the greatest lower bound that these distances allow: the
+pivots are placed as a simplex, q and x by their distances to it, with the height that remains above it, and the distance
+of the two placed points is at most d(q, x) and at least every single pivot's bound.  With the exact norms it gives an
+upper bound of the inner product, (|q|^2 + |x|^2 - d(q, x)^2) / 2.  Candidates are evaluated in the order of their
+bounds until the next bound is below the k-th score found; a bound equal to it is still evaluated, so ties are
+exact.
 
 Candidates lie in shards of vectors near the same pivot (large cells are split), and a shard is only sent the
 queries whose best bound there, from the shard's distance intervals, can still reach the score that a bounded
-sample has already given them.
+sample has already given them.  Bounds of a block of queries with a shard are one matrix product.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from pyspark.sql import functions as F
 
 from churnlens.llm.common import stored, workers_find_package
 
-PIVOTS = 24
+#: At most; a sample of vectors that spans fewer directions gives fewer.
+PIVOTS = 56
 #: Vectors, by hash, that pivots are chosen from and that give every query its first scores.
 SAMPLE = 2048
 SHARD_ROWS = 8192
@@ -29,7 +33,9 @@ SHARD_ROWS = 8192
 ROUTED_SHARDS = 20_000
 #: Queries that meet a shard in one task.
 QUERY_BLOCK = 32_768
-_EVALUATE = 256
+#: Queries whose bounds are computed at once, and candidates that a query evaluates first (then twice as many, and so on).
+_QUERIES = 128
+_EVALUATE = 64
 
 
 def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -62,28 +68,47 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     v, pivots = _match(v, pivots)
     v, p = v.astype(np.float64), pivots.astype(np.float64)
-    return np.stack([np.sqrt(((v - row) ** 2).sum(axis=1)) for row in p], axis=1) if len(p) else np.zeros((len(v), 0))
+    return np.sqrt(np.maximum((v ** 2).sum(axis=1)[:, None] + (p ** 2).sum(axis=1) - 2 * (v @ p.T), 0))
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
-    """Farthest-first pivots of a sample."""
+    """Pivots of a sample, each the farthest from what the pivots before it span."""
     if not len(sample):
         return sample
-    chosen = [0]
-    near = _distances(sample, sample[:1])[:, 0]
-    while len(chosen) < min(n, len(sample)) and near.max() > 0:
-        chosen.append(int(near.argmax()))
-        near = np.minimum(near, _distances(sample, sample[chosen[-1:]])[:, 0])
+    left = sample.astype(np.float64) - sample[0]
+    chosen, least = [0], 1e-3 * np.sqrt((left ** 2).sum(axis=1).max())
+    while len(chosen) < min(n, len(sample)):
+        far = np.sqrt((left ** 2).sum(axis=1))
+        if far.max() <= least:
+            break
+        chosen.append(int(far.argmax()))
+        axis = left[chosen[-1]] / far.max()
+        left -= np.outer(left @ axis, axis)
     return sample[chosen]
 
 
-def _upper(q_sq: np.ndarray, q_far: np.ndarray, x_sq: np.ndarray, x_far: np.ndarray) -> np.ndarray:
-    """Upper bounds of the inner products of queries (rows) with candidates (columns)."""
-    low = np.zeros((len(q_sq), len(x_sq)))
-    for p in range(q_far.shape[1]):
-        np.maximum(low, np.abs(q_far[:, p, None] - x_far[None, :, p]), out=low)
-    scale = q_sq[:, None] + x_sq[None, :]
-    return (scale - low * low) / 2 + 1e-9 * scale + 1e-3  # slack for rounding
+class Simplex:
+    """Places points by their distances to the pivots: coordinates along the simplex, and the height above it."""
+
+    def __init__(self, pivots: np.ndarray):
+        edges = pivots[1:].astype(np.float64) - pivots[0] if len(pivots) else np.zeros((0, 0))
+        self.sq = (edges ** 2).sum(axis=1)
+        self.turn = np.linalg.inv(np.linalg.cholesky(edges @ edges.T)).T if len(edges) else np.zeros((0, 0))
+
+    def place(self, far: np.ndarray) -> np.ndarray:
+        if not far.shape[1]:
+            return np.zeros((len(far), 1))
+        square = far ** 2
+        along = ((square[:, :1] + self.sq - square[:, 1:]) / 2) @ self.turn
+        height = np.sqrt(np.maximum(square[:, 0] - (along ** 2).sum(axis=1), 0))
+        return np.concatenate([along, height[:, None]], axis=1)
+
+
+def _upper(q_sq: np.ndarray, q_at: np.ndarray, x_sq: np.ndarray, x_at: np.ndarray) -> np.ndarray:
+    """Upper bounds of the inner products of queries (rows) with candidates (columns), from their places."""
+    q_rest, x_rest = q_sq - (q_at ** 2).sum(axis=1), x_sq - (x_at ** 2).sum(axis=1)
+    slack = 1e-6 * (q_sq.max(initial=0) + x_sq.max(initial=0)) + 1e-2  # for rounding
+    return q_at @ x_at.T + (q_rest[:, None] + x_rest[None, :]) / 2 + slack
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -91,27 +116,39 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_shard(q: dict, x: dict, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search_shard(q: dict, x: dict, k: int, simplex: Simplex) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query row, candidate ids, scores): the k best of a shard that can be among a query's k best overall."""
-    for a in range(0, len(q["id"]), 128):
-        part = slice(a, a + 128)
-        bounds = _upper(q["sq"][part], q["far"][part], x["sq"], x["far"])
-        floor = q["floor"][part]
-        for i in range(len(bounds)):
-            open_ = np.flatnonzero((bounds[i] >= floor[i]) & (x["id"] != q["id"][a + i]))
-            order = open_[np.argsort(-bounds[i][open_], kind="stable")]
-            scores, ids, least = np.zeros(0, np.int64), np.zeros(0, np.int64), floor[i]
-            for at in range(0, len(order), _EVALUATE):
-                now = order[at:at + _EVALUATE]
-                if bounds[i][now[0]] < least:
-                    break  # no later candidate can reach the k-th score
-                scores = np.r_[scores, _dot(q["v"][a + i:a + i + 1], x["v"][now])[0]]
-                ids = np.r_[ids, x["id"][now]]
+    q_v, x_v = _match(q["v"], x["v"])
+    most = float(np.abs(q_v).max(initial=0)) * float(np.abs(x_v).max(initial=0)) * max(1, x_v.shape[1])
+    if most < 2 ** 53:  # products are exact in doubles
+        q_v, x_v = q_v.astype(np.float64), x_v.astype(np.float64)
+    q_at, x_at = simplex.place(q["far"]), simplex.place(x["far"])
+    for a in range(0, len(q["id"]), _QUERIES):
+        part = slice(a, a + _QUERIES)
+        bounds = _upper(q["sq"][part], q_at[part], x["sq"], x_at)
+        bounds[q["id"][part, None] == x["id"][None, :]] = -np.inf
+        for i, bound in enumerate(bounds):
+            floor = q["floor"][a + i]
+            scores, ids, least, step = np.zeros(0, np.int64), np.zeros(0, np.int64), floor, _EVALUATE
+            open_ = np.flatnonzero((bound >= floor) & (bound > -np.inf))
+            while len(open_):
+                if len(open_) > step:  # the step highest bounds; the others wait
+                    first = np.argpartition(-bound[open_], step - 1)
+                    now, open_ = open_[first[:step]], open_[first[step:]]
+                else:
+                    now, open_ = open_, open_[:0]
+                if x_v.dtype == np.float64:
+                    got = np.rint(x_v[now] @ q_v[a + i]).astype(np.int64)
+                else:
+                    got = _dot(q_v[a + i:a + i + 1], x_v[now])[0]
+                scores, ids = np.r_[scores, got], np.r_[ids, x["id"][now]]
                 top = _best(scores, ids, k)
                 scores, ids = scores[top], ids[top]
                 if len(scores) == k:
                     least = max(least, float(scores[-1]))
-            keep = scores >= floor[i]
+                open_ = open_[bound[open_] >= least]  # none left: no other candidate can reach the k-th score
+                step *= 2
+            keep = scores >= floor
             yield a + i, ids[keep], scores[keep]
 
 
@@ -140,6 +177,7 @@ def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: i
     first = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).toArrow()
     s_ids, s_v = first["vec_id"].to_numpy(), _vectors(first["v"])
     pivot = choose_pivots(s_v, pivots)
+    simplex = Simplex(pivot)
 
     def table_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,14 +210,17 @@ def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: i
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     asked = (_routed(candidates, queries, -(-shards // ROUTED_SHARDS))
              .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))))
-    blocked = candidates.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-                                .alias("block"), "vec_id", "v", "sq", "far")
+    if blocks == 1:
+        blocked = candidates.withColumn("block", F.lit(0).cast("long"))
+    else:  # a shard's candidates go to the blocks that ask for it
+        blocked = candidates.join(stored(asked.select("shard", "block").distinct(), "asked-shards"), "shard")
+    blocked = blocked.select("shard", "block", "vec_id", "v", "sq", "far")
 
     def shard_task(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
         if len(left) and len(right):
             q = _columns(left) | {"floor": left["floor"].to_numpy()}
-            for i, ids, scores in search_shard(q, _columns(right), k):
+            for i, ids, scores in search_shard(q, _columns(right), k, simplex):
                 for o, c in zip(out, (np.full(len(ids), q["id"][i]), ids, scores), strict=True):
                     o.append(c)
         return pa.table({n: np.concatenate([*o, np.zeros(0, np.int64)])
@@ -221,7 +262,7 @@ def _router(spans: pa.Table):
             for j, name in enumerate(names):
                 low = np.maximum(np.maximum(lo[j] - far, far - hi[j]).max(axis=1, initial=0), 0)
                 total = q_sq + sq[j]
-                go = np.flatnonzero((total - low * low) / 2 + 1e-9 * total + 1e-3 >= floor)
+                go = np.flatnonzero((total - low * low) / 2 + 1e-6 * total + 1e-2 >= floor)
                 if len(go):
                     rows = batch.take(pa.array(go))
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(go), pa.string()), *rows.columns],
