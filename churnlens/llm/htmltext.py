@@ -10,6 +10,7 @@ footer, sidebar, notice, advert, form, script, style or reader comment is cut be
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -46,6 +47,13 @@ UNWANTED = re.compile(r"""(?:^|[\s_-])(?:
     respond|replies|disqus|cookie|cookies|consent|gdpr|notice|notices|notification|disclaimer|popup|popover|modal|
     overlay|lightbox|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|
     toolbar|skip|tags|hidden|print-only)(?:$|[\s_-])""", re.X | re.I)
+#: Of these, words that are also common in an article's own names (share-price, notice-period, side-effects): they
+#: count alone, or beside nothing but words of page parts (share-buttons, side-bar).
+AMBIGUOUS = frozenset("""foot notice notices notification promotion promotions rail related share sharing side skip social
+subscription tags recommended disclaimer overlay login""".split())
+PART = frozenset("""actions area articles bar bars block box button buttons center col column container content count
+counts icon icons inner item items left link links list menu message messages module nav outer panel pane posts right
+row section sections stories text to top bottom toggle widget widgets wrap wrapper""".split())
 #: Layout names that only mention a part: no-sidebar, content-sidebar-wrap.
 LAYOUT = re.compile(r"^(?:no|has|with|without)[_-]|content.*sidebar|sidebar.*content", re.I)
 #: Elements of a page's head.
@@ -61,6 +69,10 @@ _SPACE = re.compile(r"\s+")
 SIBLING_SHARE = 0.2
 #: Running text that is kept beside the best container: characters, and most link text.
 PROSE_CHARS, PROSE_LINKS = 80, 0.25
+#: Characters of running text from which a form is more than fields and labels.
+FORM_PROSE = 140
+#: Open elements that an end tag or an implied end looks through.
+LOOK = 256
 
 
 class Node:
@@ -72,6 +84,15 @@ class Node:
         self.points = self.chars = self.linked = self.total = 0.0
 
 
+def _unwanted(name: str) -> bool:
+    """Whether a class or id names what is not the article."""
+    if not UNWANTED.search(name) or LAYOUT.search(name):
+        return False
+    parts = [x for x in re.split(r"[_-]", name.lower()) if x and not x.isdigit()]
+    strong = [x for x in parts if x not in AMBIGUOUS]
+    return any(UNWANTED.search(x) for x in strong) or name.lower().endswith("print-only") or all(x in PART for x in strong)
+
+
 def _in_article(node: Node | None) -> bool:
     while node is not None and node.name != "article":
         node = node.parent
@@ -79,15 +100,14 @@ def _in_article(node: Node | None) -> bool:
 
 
 def _node(name: str, attrs: str, parent: Node) -> Node:
-    cut, weight = name in CUT, 0.0
+    cut, weight = name in CUT and name != "form", 0.0  # a form is judged when the page is read
     if name == "header":
         cut = not _in_article(parent)
     if attrs.strip():
         a = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
         mark = f"{a.get('class', '')} {a.get('id', '')}"
         if name not in ("html", "body", "article", "main"):
-            cut = cut or any(UNWANTED.search(m) and not LAYOUT.search(m) and not (
-                m.lower().endswith("header") and _in_article(parent)) for m in mark.split())
+            cut = cut or any(_unwanted(m) and not (m.lower().endswith("header") and _in_article(parent)) for m in mark.split())
         elif name == "article":  # a reader's comment may be an article of its own
             cut = cut or bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", mark, re.I))
         cut = cut or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(
@@ -98,10 +118,44 @@ def _node(name: str, attrs: str, parent: Node) -> Node:
     return Node(name, parent, cut, weight)
 
 
+def _cut_forms(forms: list[Node]) -> None:
+    """Cut the forms that hold fields and labels only; one with a heading, an article or running text stays."""
+    for form in reversed(forms):  # inner ones first
+        prose, stack = 0.0, list(form.children)
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str) or x.cut:
+                continue
+            if x.name == "form":
+                prose += FORM_PROSE  # it stays
+            elif x.name in ("article", "main", "h1"):
+                prose += FORM_PROSE
+            elif x.name in ("p", "pre", "blockquote", "td", "li", "dd"):
+                prose += sum(len(c.strip()) for c in x.children if isinstance(c, str))
+            if x.name not in ("form", "a"):
+                stack += x.children
+        form.cut = prose < FORM_PROSE
+
+
 def parse(html: str) -> Node:
-    """The tree of a page; unclosed, crossed and stray tags are put right as browsers mostly do."""
+    """The tree of a page; unclosed, crossed and stray tags are put right as browsers mostly do.
+
+    The names of open elements are counted, so a tag that has nothing to end costs no walk; a walk that does not end
+    looks at the ``LOOK`` innermost elements.
+    """
     root = at = Node("html", None)
+    open_: Counter[str] = Counter()
+    forms: list[Node] = []
     pos, n = 0, len(html)
+
+    def leave(to: Node) -> Node:
+        """Close the open elements below ``to``."""
+        x = at
+        while x is not to:
+            open_[x.name] -= 1
+            x = x.parent
+        return to
+
     while pos < n:
         tag = html.find("<", pos)
         if tag < 0:
@@ -119,31 +173,35 @@ def parse(html: str) -> Node:
             continue
         name = m["name"].lower()
         if m["end"]:
-            up = at
+            up, looked = at if open_[name] else None, 0
             while up is not None and up.name != name:
-                if up.name in WALLS and name not in WALLS:
+                looked += 1
+                if up.name in WALLS and name not in WALLS or looked > LOOK and name not in WALLS:
                     up = None
                     break
                 up = up.parent
             if up is not None and up.parent is not None:
-                at = up.parent
+                at = leave(up.parent)
             continue
         if at.name == "head" and name not in HEAD_ONLY:
-            at = at.parent  # the head's end tag is missing
+            at = leave(at.parent)  # the head's end tag is missing
         if name in ("html", "body"):
             continue
-        if name in ENDS_P:
-            up = at
-            while up is not None and up.name not in WALLS:
+        if name in ENDS_P and open_["p"]:
+            up, looked = at, 0
+            while up is not None and up.name not in WALLS and looked <= LOOK:
                 if up.name == "p":
-                    at = up.parent
+                    at = leave(up.parent)
                     break
-                up = up.parent
-        group, up = SIBLING.get(name), at
-        while group and up is not None and up.name not in WALLS - group:
-            if up.name in group:
-                at = up.parent
-            up = up.parent
+                up, looked = up.parent, looked + 1
+        group, up, looked = SIBLING.get(name), at, 0
+        if group and any(open_[g] for g in group):
+            walls = WALLS - group
+            while up is not None and up.name not in walls and looked <= LOOK:
+                above = up.parent
+                if up.name in group:
+                    at = leave(above)
+                up, looked = above, looked + 1
         node = _node(name, m["attrs"], at)
         at.children.append(node)
         if name in RAW:
@@ -154,6 +212,10 @@ def parse(html: str) -> Node:
             pos = close.end() if close else n
         elif name not in VOID:
             at = node
+            open_[name] += 1
+            if name == "form" and not node.cut:
+                forms.append(node)
+    _cut_forms(forms)
     return root
 
 

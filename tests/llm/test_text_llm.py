@@ -3,6 +3,7 @@
 import html
 import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -65,8 +66,29 @@ def test_whole_article_with_nested_parts(page):
 
 def test_hostile_pages_end_soon():
     for bad in ("<" * 50_000, "<p " * 20_000, "<!--" * 20_000, "<div>" * 50_000 + "deep, text", "<a '" * 20_000,
-                "<b>" * 20_000 + "x", "<li>" * 3000, "&" * 50_000):
+                "<b>" * 20_000 + "x", "<li>" * 3000, "&" * 50_000, "<b>" * 20_000 + "</i>" * 20_000,
+                "<span>" * 5000 + "<li>" * 5000, "<i><table>" + "<b>" * 10_000 + "</i>" * 10_000, "<form>" * 10_000 + "x"):
+        start = time.process_time()
         htmltext.main_text(bad)
+        assert time.process_time() - start < 5
+
+
+SAID = "".join(f"<p>Paragraph {i} of the text, which says something, and goes on about it, for a while.</p>" for i in range(4))
+
+
+def test_page_in_one_form():
+    said = [f"Paragraph {i} of the text, which says something, and goes on about it, for a while." for i in range(4)]
+    page = "<body><form action=x><div id=menu><a href=a>A</a></div><div class=content>%s<form><input> go <p>Mail, please</p></form></div></form>"
+    assert htmltext.main_text(page % SAID).split("\n") == said
+    assert htmltext.main_text("<body><div>%s</div><form><p>Your name</p><input><label>Mail</label></form>" % SAID).split("\n") == said
+
+
+@pytest.mark.parametrize("name,kept", [("share-price", True), ("notice-period", True), ("side-effects", True), ("share", False),
+                                       ("share-buttons", False), ("side-bar", False), ("cookie-notice", False), ("comment-text", False),
+                                       ("related-posts", False), ("social_history", True), ("top-nav", False)])
+def test_names_inside_an_article(name, kept):
+    got = htmltext.main_text(f"<body><article>{SAID}<div class='{name}'><p>Named part, of some length.</p></div>{SAID}</article>")
+    assert ("Named part, of some length." in got.split("\n")) is kept and got.count("Paragraph") == 8
 
 
 def test_extracted_pages(spark):
