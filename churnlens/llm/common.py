@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,24 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def quoted(name: str) -> str:
+    """A column name as a quoted identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_columns_apart(docs: DataFrame, used: list[str], work: Callable[[DataFrame], DataFrame],
+                      added: tuple[str, ...] = ()) -> DataFrame:
+    """``work(docs)`` with the columns it does not use under names that cannot clash with its own ones.
+
+    Returns the columns of ``docs`` unchanged, then ``added``; a column of ``docs`` named like an added one is
+    replaced.
+    """
+    token = uuid.uuid4().hex
+    names = {c: c if c in used else f"own_{token}_{i}" for i, c in enumerate(docs.columns) if c not in added}
+    out = work(docs.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()]))
+    return out.select(*[F.col(quoted(n)).alias(c) for c, n in names.items()], *added)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

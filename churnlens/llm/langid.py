@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import workers_find_package
+from churnlens.llm.common import own_columns_apart, workers_find_package
 from churnlens.llm.tokens import in_batches
 
 DIMENSIONS = 1024
@@ -213,5 +213,5 @@ def identified_documents(docs: DataFrame, least_score: float = 0.0) -> DataFrame
     """The documents whose language is identified, with their own columns; rejects ``und`` and lower scores."""
     held = F.coalesce(fold("doc_id") == 0, F.lit(False))
     langs, protos = train(docs.where(~held).select("text", "lang"))
-    return (predict(docs, langs, protos).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-            .select(*docs.columns))
+    return own_columns_apart(docs, ["text"], lambda own: predict(own, langs, protos).where(
+        (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import WORD
+from churnlens.llm.common import WORD, quoted
 
 #: Least words, and most per cent of words in repeated windows (fixed by the operator's contract).
 LEAST_WORDS = 50
@@ -101,7 +101,7 @@ def cleaned(docs: DataFrame, most_lost: int = MOST_LOST) -> DataFrame:
     The other columns come back unchanged, whatever their names: they travel in one struct.
     """
     text = F.coalesce("own.text", F.lit(""))
-    verdicts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    verdicts = docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]).alias("own"))
     judged = judge_columns(verdicts, text, most_lost)
     clean = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.rlike(x, F.lit(WORD)) | ~line_fails(x)), "\n")
     kept = judged.where("kept").select("own", clean.alias("clean"))

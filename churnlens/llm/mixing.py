@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import stored, word_count
+from churnlens.llm.common import own_columns_apart, stored, word_count
 
 #: Share of all words that the mix takes.
 BUDGET = 1.5
@@ -70,8 +70,13 @@ def mix(docs: DataFrame, budget: float = BUDGET, max_repeat: int = MAX_REPEAT,
     follow from a last place per source and copy: the documents themselves are read again and not shuffled.  Only
     where the cut parts equal rows are these rows stored and numbered.
     """
-    added = ["size", "source_size", "target", "copies", "taken"]
-    own = [c for c in docs.columns if c not in added]
+    return own_columns_apart(docs, ["doc_id", "text", "source"], lambda own: _mixed(
+        own, budget, max_repeat, weights, seed, bucket_rows), ("size", "source_size", "target", "copies", "taken"))
+
+
+def _mixed(docs: DataFrame, budget: float, max_repeat: int, weights: tuple[float, ...], seed: str, bucket_rows: int) -> DataFrame:
+    """``mix`` of documents whose other columns have names that cannot clash."""
+    own = docs.columns
     key = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
                              1, KEY_DIGITS), 16, 10).cast("long")
     text = F.xxhash64(F.lit(seed), F.col("text").cast("string"))
@@ -168,5 +173,5 @@ def _last_taken(sizes: DataFrame, targets: DataFrame, budget: float, max_repeat:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents the mix takes, each as often as it takes it, with the columns of ``docs``."""
-    return (mix(docs, **options).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
-            .select(*docs.columns))
+    return own_columns_apart(docs, ["doc_id", "text", "source"], lambda own: mix(own, **options).withColumn(
+        "_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import stored, workers_find_package
+from churnlens.llm.common import own_columns_apart, stored, workers_find_package
 from churnlens.llm.graph import connected_components
 
 SHINGLE_WORDS = 3
@@ -232,6 +232,6 @@ def without_near_copies(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int
     groups = simhash_groups(docs, words, radius)
     keep = (groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
             .select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")))
-    hashed = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_h"])
     same = F.col("_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_h") == F.col("_hash"))
-    return hashed.join(keep, same, "left_semi").select(*docs.columns)
+    return own_columns_apart(docs, ["doc_id", "text"], lambda own: own.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+                             .dropDuplicates(["doc_id", "_h"]).join(keep, same, "left_semi"))

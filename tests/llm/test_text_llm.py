@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from churnlens.llm import htmltext, langid, mixing, urlrules
+from churnlens.llm.common import quoted
 from churnlens.llm.queries import ORACLE, QUERIES
 
 from .conftest import SMALL
@@ -277,3 +278,18 @@ def test_short_labelled_texts_stay(spark, documents):
 def test_registry():
     assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11))
     assert set(ORACLE) <= set(QUERIES)
+
+
+CLASHING = ["_id", "_hash", "_h", "source_no", "_key", "lasts", "score", "lang_pred", "size", "target", "copies", "taken", "_copy",
+            "row", "key", "words_hash", "_s", "_n", "_t", "_size", "_parts", "part", "whole", "group", "fp", "a`b"]
+
+
+def test_stages_return_clashing_columns_unchanged(spark, documents):
+    own = [F.concat(F.lit(f"{c}:"), F.col("doc_id")).alias(c) for c in CLASHING]
+    docs = documents.select("*", *own)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+        assert docs.columns == [*documents.columns, *CLASHING]
+        wrong = [F.col(quoted(c)) != F.concat(F.lit(f"{c}:"), F.col("doc_id")) for c in CLASHING]
+        counts = docs.agg(F.count("*").alias("n"), *[F.count_if(w).alias(f"w{i}") for i, w in enumerate(wrong)]).first()
+        assert counts["n"] > 100 and not any(counts[1:])
