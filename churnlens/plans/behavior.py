@@ -74,12 +74,16 @@ def contract_facts(contratos: DataFrame, servicios: DataFrame, money_scale: int
     totals = active.groupBy("id_cliente").agg(money_sum(F.col("monto_mensual"), money_scale).alias("monto_mensual"),
                                               F.count(F.lit(1)).alias("cantidad_servicios"))
     chosen = active.filter(F.col("es_principal") == 1).select("id_cliente", "tipo_contrato", "plan")
+    return totals.join(principal_texts(chosen, svc), "id_cliente", "left")
+
+
+def principal_texts(chosen: DataFrame, svc: DataFrame) -> DataFrame:
+    """Largest type and plan per customer of the principal rows (id_cliente, tipo_contrato, plan), by rank."""
     types, plans = _ranked(chosen, "tipo_contrato"), _ranked(svc, "plan")
-    best = (chosen.join(types, "tipo_contrato", "left").join(plans, "plan", "left").groupBy("id_cliente")
+    return (chosen.join(types, "tipo_contrato", "left").join(plans, "plan", "left").groupBy("id_cliente")
             .agg(F.max("tipo_contrato_rk").alias("tipo_contrato_rk"), F.max("plan_rk").alias("plan_rk"))
             .join(types, "tipo_contrato_rk", "left").join(plans, "plan_rk", "left")
             .select("id_cliente", "tipo_contrato", "plan"))
-    return totals.join(best, "id_cliente", "left")
 
 
 def complaint_facts(reclamos: DataFrame, ref_date) -> DataFrame:
@@ -113,12 +117,17 @@ def customer_behavior(clientes: DataFrame, sucursales: DataFrame, servicios: Dat
     ct = contract_facts(contratos, servicios, money_scale)
     rc = complaint_facts(reclamos, ref_date)
     lp = late_payment_facts(facturas, pagos, ref_date)
+    return view_rows(clientes, sucursales, ct, [rc, lp])
+
+
+def view_rows(clientes: DataFrame, sucursales: DataFrame, ct: DataFrame, windowed: list[DataFrame]) -> DataFrame:
+    """C4: the view's columns from the customers and their facts (at most one row per customer in each)."""
     br = sucursales.select("id_sucursal", "region")
     c = clientes.alias("c")
     v = (c.join(br, "id_sucursal", "left")
-         .join(ct.alias("ct"), "id_cliente", "left")
-         .join(rc, "id_cliente", "left")
-         .join(lp, "id_cliente", "left"))
+         .join(ct.alias("ct"), "id_cliente", "left"))
+    for facts in windowed:
+        v = v.join(facts, "id_cliente", "left")
     zero = F.lit(0).cast("bigint")
     cols = {
         "id_cliente": F.col("id_cliente"),

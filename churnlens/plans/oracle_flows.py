@@ -74,3 +74,6 @@ FROM behavior
 
 SQL["validated_intake"] = ("SELECT -1 AS orden, 'true' AS mensaje UNION ALL SELECT orden, mensaje FROM (\n"
                            + SQL["quality_report"] + "\n) q WHERE mensaje IS NOT NULL")
+
+# two batches and a moved reference date end where the full derivation does
+SQL["merged_behavior"] = with_base("SELECT * FROM behavior")

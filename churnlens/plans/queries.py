@@ -462,6 +462,7 @@ def q_churn_by_city_display(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # sinks read back, table access, model features, gates
 # ---------------------------------------------------------------------------
+import datetime as _dt  # noqa: E402
 import os  # noqa: E402
 import uuid  # noqa: E402
 
@@ -589,3 +590,32 @@ def q_validated_intake(spark, sf_dir):
     head = verdict.select(F.lit(-1).alias("orden"), F.col("es_valido").cast("string").alias("mensaje"))
     return head if report is None else head.unionByName(
         report.where("mensaje IS NOT NULL").select("orden", "mensaje"))
+
+
+@query("merged_behavior")
+def q_merged_behavior(spark, sf_dir):
+    """C1-C4, D1-D4 kept current: the view after two batches of facts and a moved reference date.
+
+    The first batch is what was known 90 days before the reference date (contracts that ended since are still
+    active in it), the second takes those back and brings all the rest.
+    """
+    from churnlens.plans import incremental
+    t, root = churn_tables(spark, sf_dir), _folder(spark, "behavior")
+    ref = t.parametros.select(F.max("fecha_referencia")).first()[0]
+    cut = F.lit(ref - _dt.timedelta(days=90)).cast("date")
+
+    def split(df, day):
+        known = F.coalesce(F.col(day) <= cut, F.lit(True))
+        return df.where(known), df.where(~known)
+
+    (c1, c2), (r1, r2) = split(t.contratos, "fecha_inicio"), split(t.reclamos, "fecha")
+    (f1, f2), (p1, p2) = split(t.facturas, "fecha_emision"), split(t.pagos, "fecha_pago")
+    ended = c1.where((F.col("estado") == "inactivo") & (F.col("fecha_fin") > cut))
+    was = ended.withColumn("estado", F.lit("activo"))
+    first = c1.where(~((F.col("estado") == "inactivo") & F.coalesce(F.col("fecha_fin") > cut, F.lit(False))))
+    incremental.apply_batch(spark, root, incremental.FactBatch(first.unionByName(was), r1, f1, p1), t.servicios,
+                            ref - _dt.timedelta(days=90))
+    rest = (c2.unionByName(ended).withColumn("signo", F.lit(1))
+            .unionByName(was.withColumn("signo", F.lit(-1))))
+    incremental.apply_batch(spark, root, incremental.FactBatch(rest, r2, f2, p2), t.servicios, ref)
+    return incremental.current_view(spark, root, t.clientes, t.sucursales)
