@@ -3,8 +3,9 @@
 A shard holds the ids of consecutive documents as bit planes, highest bit first; each plane orders the ids by
 the bits above it (zeros before ones), so one compressed file answers access, rank (counting) and select
 (occurrence lookup) by walking the planes.  The ids are cut into segments that fit a processor's cache, each a
-wavelet matrix of its own whose planes are compressed one by one: a look-up decompresses the planes of the
-segments it touches only.
+wavelet matrix of its own.  A plane is compressed in chunks of 4 KB; beside it lies its directory, the ones before
+every block of 512 bits.  A look-up takes the count from the directory and counts or searches the packed bits of
+one block, so it decompresses one chunk of a plane, never a whole plane.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,21 @@ from churnlens.llm.common import scratch, stored, workers_find_package
 from churnlens.llm.tokens import ID_DTYPE, encoder, in_byte_batches
 
 # The file format.  magic, header length (uint32), header JSON, parts at the header's offsets.
-MAGIC = b"WMX2"
+MAGIC = b"WMX3"
 SEGMENT_TOKENS = 1 << 18
+#: Bytes of a block (one count in the directory) and of a chunk (compressed at once) of a plane.
+BLOCK, CHUNK = 64, 4096
 
 #: Ids after which a shard is closed (a longer document still lies in one shard).
 SHARD_TOKENS = 3_000_000
 
 
+def _directory(plane: np.ndarray) -> bytes:
+    """The ones before each block of a plane, and in all of it."""
+    ones = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), BLOCK), dtype="<u4")
+    return np.concatenate([np.zeros(1, "<u4"), np.cumsum(ones, dtype="<u4")]).tobytes()
+
+
 def build_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """File content of a shard: ``ids`` of the documents one after the other."""
     import zstandard
@@ -56,7 +65,10 @@ def build_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
         for k in range(width - 1, -1, -1):
             bit = (rest & rest.dtype.type(1 << k)) != 0
             zero = ~bit
-            planes.append([int(np.count_nonzero(zero)), *put(np.packbits(bit, bitorder="little").tobytes())])
+            plane = np.packbits(bit, bitorder="little")
+            data = plane.tobytes()
+            planes.append([int(np.count_nonzero(zero)), put(_directory(plane)),
+                           [put(data[i:i + CHUNK]) for i in range(0, len(data), CHUNK)]])
             rest = np.concatenate([rest.compress(zero), rest.compress(bit)])
         segments.append(planes)
     known = np.array([d is not None for d in doc_ids], bool)
@@ -68,25 +80,49 @@ def build_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
 
 
 class _Segment:
-    """One wavelet matrix: n ids in planes of (number of zeros, bits), the highest first."""
-
-    def __init__(self, n: int, planes: list[tuple]):
-        self.n, self.width = n, len(planes)
-        self.zeros = [z for z, _ in planes]
-        self._packed = [get for _, get in planes]
-        self._bits: list[np.ndarray | None] = [None] * self.width
-
-    def bits(self, k: int) -> np.ndarray:
-        if self._bits[k] is None:
-            data = np.frombuffer(self._packed[k](), np.uint8)
-            self._bits[k] = np.unpackbits(data, count=self.n, bitorder="little").view(bool)
-        return self._bits[k]
+    """One wavelet matrix: n ids in planes of (number of zeros, directory, chunks), the highest first."""
+
+    def __init__(self, n: int, planes: list, get):
+        self.n, self.width, self._planes, self._get = n, len(planes), planes, get
+        self.zeros = [p[0] for p in planes]
+        self._counts: dict[int, np.ndarray] = {}
+
+    def _before(self, k: int) -> np.ndarray:
+        """Ones before each block of plane k, by the directory."""
+        if k not in self._counts:
+            self._counts[k] = np.frombuffer(self._get(self._planes[k][1]), "<u4")
+        return self._counts[k]
+
+    def _block(self, k: int, block: int) -> np.ndarray:
+        """The packed bits of one block of plane k."""
+        chunk, at = divmod(block * BLOCK, CHUNK)
+        return np.frombuffer(self._get(self._planes[k][2][chunk]), np.uint8)[at:at + BLOCK]
+
+    def _ones(self, k: int, i: int) -> int:
+        """Ones of plane k before position i."""
+        block, rest = divmod(i, 8 * BLOCK)
+        before = int(self._before(k)[block])
+        if not rest:
+            return before
+        bits = self._block(k, block)
+        last = int(bits[rest // 8]) & ((1 << rest % 8) - 1) if rest % 8 else 0
+        return before + int(np.bitwise_count(bits[:rest // 8]).sum(dtype=np.int64)) + last.bit_count()
+
+    def _find(self, k: int, one: bool, nth: int) -> int:
+        """Position in plane k of the nth (from 0) one or zero."""
+        before = self._before(k).astype(np.int64)
+        if not one:
+            before = np.arange(len(before)) * 8 * BLOCK - before
+        block = int(np.searchsorted(before[:-1], nth, "right")) - 1
+        bits = np.unpackbits(self._block(k, block), bitorder="little")
+        return block * 8 * BLOCK + int(np.flatnonzero(bits == one)[nth - before[block]])
 
     def decode(self) -> np.ndarray:
         """All ids in their order: the planes undone from the lowest."""
         ids = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for k in range(self.width - 1, -1, -1):
-            bit, zeros = self.bits(k), self.zeros[k]
+            packed = np.frombuffer(b"".join(map(self._get, self._planes[k][2])), np.uint8)
+            bit, zeros = np.unpackbits(packed, count=self.n, bitorder="little").view(bool), self.zeros[k]
             up = np.empty_like(ids)
             up[np.flatnonzero(~bit)] = ids[:zeros]
             up[np.flatnonzero(bit)] = ids[zeros:] | ids.dtype.type(1 << (self.width - 1 - k))
@@ -96,7 +132,8 @@ class _Segment:
     def access(self, i: int) -> int:
         value = 0
         for k in range(self.width):
-            bit, ones = int(self.bits(k)[i]), int(np.count_nonzero(self.bits(k)[:i]))
+            ones = self._ones(k, i)
+            bit = self._ones(k, i + 1) - ones
             i = self.zeros[k] + ones if bit else i - ones
             value = value << 1 | bit
         return value
@@ -105,7 +142,7 @@ class _Segment:
         """Where the id's occurrences before position i lie behind the lowest plane."""
         lo, hi = 0, i
         for k in range(self.width):
-            a, b = (int(np.count_nonzero(self.bits(k)[:x])) for x in (lo, hi))
+            a, b = self._ones(k, lo), self._ones(k, hi)
             if token >> (self.width - 1 - k) & 1:
                 lo, hi = self.zeros[k] + a, self.zeros[k] + b
             else:
@@ -116,12 +153,15 @@ class _Segment:
         at = self.span(token, self.n)[0] + nth
         for k in range(self.width - 1, -1, -1):
             one = bool(token >> (self.width - 1 - k) & 1)
-            at = int(np.flatnonzero(self.bits(k) == one)[at - self.zeros[k] if one else at])
+            at = self._find(k, one, at - self.zeros[k] if one else at)
         return at
 
 
 class WaveletShard:
-    """Look-ups in a shard's content; only the planes that a look-up touches are decompressed."""
+    """Look-ups in a shard's content; a look-up decompresses directories and single chunks, the last ones are kept."""
+
+    #: Decompressed parts that are kept for the next look-ups.
+    KEEP_PARTS = 256
 
     def __init__(self, content: bytes):
         if content[:4] != MAGIC:
@@ -130,15 +170,18 @@ class WaveletShard:
         self.head = json.loads(content[8:8 + n])
         self.body = memoryview(content)[8 + n:]
         self.n, self.width = self.head["n"], self.head["width"]
-        self.segments = [
-            _Segment(min(SEGMENT_TOKENS, self.n - i * SEGMENT_TOKENS),
-                     [(zeros, partial(self._get, entry)) for zeros, *entry in planes])
-            for i, planes in enumerate(self.head["segments"])]
+        self.chunks_read = 0
+        self._kept = lru_cache(self.KEEP_PARTS)(self._unpack)
+        self.segments = [_Segment(min(SEGMENT_TOKENS, self.n - i * SEGMENT_TOKENS), planes, lambda e: self._kept(*e))
+                         for i, planes in enumerate(self.head["segments"])]
 
     def _get(self, entry: list[int]) -> bytes:
+        return self._unpack(*entry)
+
+    def _unpack(self, at: int, size: int, raw: int) -> bytes:
         import zstandard
 
-        at, size, raw = entry
+        self.chunks_read += 1
         data = self.body[at:at + size]
         return bytes(data) if raw else zstandard.ZstdDecompressor().decompress(data)
 
@@ -157,7 +200,6 @@ class WaveletShard:
         out = np.empty(self.n, ID_DTYPE)
         for i, segment in enumerate(self.segments):
             out[i * SEGMENT_TOKENS:(i + 1) * SEGMENT_TOKENS] = segment.decode()
-            segment._bits = [None] * segment.width  # planes are not kept
         return out
 
     def access(self, i: int) -> int:
@@ -205,8 +247,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     """Encode (doc_id, text) and write shard files in ascending doc_id order; the stored list of the files.
 
     A null doc_id comes first, ties are ordered by a hash of the text, null and empty texts have the end id only,
-    repeated rows are written once each, other columns are ignored; an empty table gives no file.  The list has
-    file, part, seq (their order) and n_tokens.  A repeated task writes files of new names, and only the files of
+    repeated rows are written once each, other columns are ignored; an empty table gives no file.  Rows that are
+    equal in both are dealt to ranges by a hash of their place in the input, so they spread over tasks (``docs`` has
+    to be read from files: their rows keep their places when a task is repeated).  The list has file, part, seq
+    (their order) and n_tokens.  A repeated task writes files of new names, and only the files of
     the attempt that succeeded are in the list.
     """
     spark = docs.sparkSession
@@ -255,8 +299,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
             yield close()
 
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-               .withColumn("h", F.xxhash64("text"))
-               .repartitionByRange(F.col("doc_id").asc_nulls_first(), "h")
+               .select("doc_id", "text", F.xxhash64("text").alias("h"),
+                       F.xxhash64(F.monotonically_increasing_id()).alias("place"))
+               .repartitionByRange(F.col("doc_id").asc_nulls_first(), "h", "place")
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h"))
     return stored(ordered.select("doc_id", "text").mapInArrow(
         write_task, "file string, part long, seq long, n_tokens long"), "shard-list")

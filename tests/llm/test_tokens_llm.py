@@ -137,3 +137,33 @@ def test_only_listed_files_are_read(spark, documents, byte_bpe):
     first = wavelet.write_shards(documents.limit(5), byte_bpe, 0, folder)
     wavelet.write_shards(documents, byte_bpe, 0, folder)  # files that the list does not name
     assert wavelet.read_shards(spark, folder, first).count() == 5
+
+
+def test_lookups_read_single_chunks():
+    ids = np.random.default_rng(8).integers(0, 50_000, wavelet.SEGMENT_TOKENS).astype(np.uint32)
+    content = wavelet.build_shard([1], [len(ids)], ids)
+    plane_chunks = wavelet.SEGMENT_TOKENS // 8 // wavelet.CHUNK
+
+    def parts(look):
+        shard = wavelet.WaveletShard(content)
+        look(shard)
+        return shard.chunks_read
+
+    assert plane_chunks == 8
+    assert parts(lambda s: s.access(100_000)) <= 16 * 2  # a directory and a chunk a plane
+    assert parts(lambda s: s.rank(int(ids[0]), 200_000)) <= 16 * 3
+    assert parts(lambda s: s.select(int(ids[0]), 0)) <= 16 * 4
+    assert parts(lambda s: s.decode()) >= 16 * plane_chunks
+
+
+def test_equal_rows_spread_over_shards(spark, byte_bpe):
+    same = spark.range(0, 3000, 1, 6).selectExpr("CAST(NULL AS LONG) AS doc_id", "'the same text' AS text")
+    folder = scratch(spark, "same")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else such small ranges become one
+    try:
+        files = wavelet.write_shards(same, byte_bpe, 0, folder).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len({f["part"] for f in files}) > 2
+    assert max(f["n_tokens"] for f in files) < sum(f["n_tokens"] for f in files) / 2
+    assert wavelet.read_shards(spark, folder, spark.createDataFrame(files)).count() == 3000
