@@ -75,7 +75,7 @@ k AS (
     || list_transform(list_filter(string_split(regexp_extract(tail[length(path) + 1:], '^\?([^#]*)', 1), '&'),
                                   lambda x: x <> ''), lambda x: 'q:' || x)
     || list_filter(['f:' || regexp_extract(tail, '#((?s:.*))$', 1)], lambda x: x <> 'f:'))) AS tokens,
-    try_cast(regexp_extract(path, '/([0-9]{1,18})(?:[./][^/]*)?$', 1) AS BIGINT) AS doc
+    try_cast(regexp_extract(path, '/([0-9]+)(?:[./][^/]*)?$', 1) AS BIGINT) AS doc
   FROM p),
 l AS (SELECT doc_id, bool_or(coalesce(toxic = 1, false) OR coalesce(quality = 0, false)) AS blocked FROM labels
       WHERE doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL) GROUP BY doc_id),
@@ -85,8 +85,11 @@ part AS (
   FROM (SELECT tokens, unnest(range(1, 1::BIGINT << len(tokens))) AS m FROM sets)),
 labelled AS (SELECT k.tokens, l.blocked FROM k JOIN l ON k.doc = l.doc_id),
 freq AS (SELECT items, count(*) AS n, count(*) FILTER (blocked) AS b FROM labelled JOIN part USING (tokens) GROUP BY items),
-least AS (SELECT greatest(ceil(0.002 * count(*)), 5) AS c FROM labelled),
-rules AS (SELECT items FROM freq, least WHERE b >= c AND b::DOUBLE / n >= 0.6),
+base AS (SELECT count(*) FILTER (blocked) / count(*)::DOUBLE AS p0 FROM labelled),
+rules AS (
+  SELECT items FROM (SELECT items, b, n::DOUBLE AS n, b / n::DOUBLE AS p FROM freq), base
+  WHERE b >= 5 AND p >= 0.6
+    AND (p + 16 / (2 * n) - 4 * sqrt(p * (1 - p) / n + 16 / (4 * n * n))) / (1 + 16 / n) > p0),
 bad AS (SELECT DISTINCT tokens FROM part JOIN rules USING (items)),
 listed(says, name, dir) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
   ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),

@@ -2,7 +2,8 @@
 
 A URL is the set of its tokens (scheme, host labels, path segments with numbers masked, query parts, fragment).
 FP-growth finds the token combinations that labelled URLs share; those that imply "block" with enough support
-and confidence are the rules, less every rule that contains a shorter one.  Each rule is filed under its rarest
+and confidence, and by a rate whose lower confidence limit lies above the rate of all labelled URLs, are the rules,
+less every rule that contains a shorter one.  Each rule is filed under its rarest
 token, so a URL only meets the rules filed under a token it has.  DataFrame functions only.
 """
 
@@ -19,11 +20,12 @@ from churnlens.llm.common import stored
 # The listed rules (verdict, host and path prefix), from the query's contract.
 LISTED = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
           ("block", "net/fr/"))
-#: Least share of the labelled URLs, and least number of them, that a rule's tokens and "block" share.
-MIN_SUPPORT = 0.002
+#: Least number of labelled URLs that a rule's tokens and "block" share, whatever the size of the input.
 MIN_COUNT = 5
 #: Least share of blocked URLs among those that have a rule's tokens.
 MIN_CONFIDENCE = 0.6
+#: Standard errors of the lower confidence limit (Wilson) of that share; many combinations are tried, so it is far out.
+DEVIATIONS = 4.0
 _BLOCK = "!block"
 
 
@@ -70,10 +72,20 @@ def _holding(sets: DataFrame, rules: DataFrame) -> DataFrame:
             .where(F.size(F.array_except("antecedent", "tokens")) == 0))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT,
-               min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def lower_limit(hits: Column, tries: Column, deviations: float = DEVIATIONS) -> Column:
+    """Lower limit (Wilson) of the rate behind ``hits`` of ``tries``."""
+    rate, z2 = hits / tries, deviations * deviations
+    spread = deviations * F.sqrt(rate * (1 - rate) / tries + z2 / (4 * tries * tries))
+    return (rate + z2 / (2 * tries) - spread) / (1 + z2 / tries)
+
+
+def mine_rules(labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE,
+               deviations: float = DEVIATIONS) -> DataFrame:
     """(url, blocked boolean) -> antecedent (sorted tokens), anchor, support, confidence of the shortest rules.
 
+    A rule needs ``min_count`` blocked rows, ``min_confidence`` and a lower limit of its rate above the rate of all
+    rows: combinations that are blocked as often as chance has it are no rules.
+
     All labelled rows count, repeated ones too; rows with a null label are left out; without rows no rules.
     """
     spark = labelled.sparkSession
@@ -81,15 +93,17 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count:
         url_tokens(F.col("url")).alias("tokens"), "blocked").select(
         F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(_BLOCK)))).otherwise(F.col("tokens"))
         .alias("items")), "url-baskets")
-    n = rows.count()
+    n, blocked = rows.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", _BLOCK))).first()
     if not n:
         return spark.createDataFrame([], "antecedent array<string>, anchor string, support double, confidence double")
-    share = max(min_support, (min_count - 0.5) / n)
+    share = (min_count - 0.5) / n
     sets = stored(FPGrowth(itemsCol="items", minSupport=min(1.0, share)).fit(rows).freqItemsets
                   .select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
     both = (sets.where(F.array_contains("items", _BLOCK) & (F.size("items") > 1))
             .select(F.array_remove("items", _BLOCK).alias("items"), F.col("freq").alias("both")))
-    rules = stored(sets.join(both, "items").where(F.col("both") / F.col("freq") >= min_confidence)
+    hits, tries = F.col("both").cast("double"), F.col("freq").cast("double")
+    rules = stored(sets.join(both, "items").where(
+        (hits / tries >= min_confidence) & (lower_limit(hits, tries, deviations) > blocked / n))
                    .select(F.col("items").alias("antecedent"), (F.col("both") / n).alias("support"),
                            (F.col("both") / F.col("freq")).alias("confidence")), "url-rules")
     single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq").alias("uses"))
@@ -129,10 +143,11 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(url, blocked): pages whose path ends in the number of a labelled document.
 
     A document is to be blocked if a label calls it toxic (1) or of low quality (0); labels with neither are left out.
+    A number that no 64-bit integer holds names no document.
     """
     bad = F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))
     docs = stored(labels.where("doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL)")
                   .groupBy("doc_id").agg(F.max(bad).alias("blocked")), "url-labels")
-    number = F.regexp_extract(url_parts(F.col("url"))["path"], r"/([0-9]{1,18})(?:[./][^/]*)?$", 1)
-    return (pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id"))
+    number = F.regexp_extract(url_parts(F.col("url"))["path"], r"/([0-9]+)(?:[./][^/]*)?$", 1)
+    return (pages.select("url", number.try_cast("long").alias("doc_id"))
             .where("doc_id IS NOT NULL").join(docs, "doc_id").select("url", "blocked"))

@@ -2,6 +2,7 @@
 
 import html
 import os
+import random
 import re
 import time
 import zlib
@@ -170,7 +171,7 @@ def test_mined_rules_block_planted_combinations(spark):
         host, lang = ("cheap", "shop", "news")[i % 3], ("en", "de")[i % 2]
         rows.append((f"http://{host}.example.org/{lang}/{i}", host == "cheap" and lang == "de" or i % 40 == 0))
     rows += [("http://none.org/x/1", None)]
-    rules = urlrules.mine_rules(spark.createDataFrame(rows, "url string, blocked boolean"), 0.01, 5, 0.9).collect()
+    rules = urlrules.mine_rules(spark.createDataFrame(rows, "url string, blocked boolean"), 5, 0.9).collect()
     assert sorted(map(sorted, (r.antecedent for r in rules))) == [["h:cheap", "p:de"]]
     assert rules[0].confidence == 1.0
     pages = spark.createDataFrame([(1, "http://cheap.example.org/de/9?q=1"), (2, "http://cheap.example.org/en/9"),
@@ -293,3 +294,30 @@ def test_stages_return_clashing_columns_unchanged(spark, documents):
         wrong = [F.col(quoted(c)) != F.concat(F.lit(f"{c}:"), F.col("doc_id")) for c in CLASHING]
         counts = docs.agg(F.count("*").alias("n"), *[F.count_if(w).alias(f"w{i}") for i, w in enumerate(wrong)]).first()
         assert counts["n"] > 100 and not any(counts[1:])
+
+
+def test_url_rules_need_more_than_chance(spark):
+    """A planted combination is found; the same URLs with shuffled labels give (nearly) no rule."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(1500):
+        host, a, b = rng.choice(["aa.org", "bb.org", "cc.info"]), rng.choice(words), rng.choice(words)
+        spam = host == "cc.info" and i % 5 == 0
+        rows.append((f"https://{host}/{'casino' if spam else a}/{b}/{i}", spam or rng.random() < 0.2))
+    fields = "url string, blocked boolean"
+    found = urlrules.mine_rules(spark.createDataFrame(rows, fields)).collect()
+    assert [r.antecedent for r in found] == [["p:casino"]]
+    labels = [b for _, b in rows]
+    rng.shuffle(labels)
+    mixed = [(u, b) for (u, _), b in zip(rows, labels, strict=True)]
+    assert urlrules.mine_rules(spark.createDataFrame(mixed, fields)).count() <= 1
+
+
+def test_label_numbers_of_any_length(spark):
+    big = 2 ** 63 - 1
+    pages = spark.createDataFrame([(f"http://a/{big}",), (f"http://a/{big + 1}",), ("http://a/7.html",), (None,)],
+                                  "url string")
+    labels = spark.createDataFrame([(big, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, urlrules.labelled_urls(pages, labels).collect())) == [
+        ("http://a/7.html", False), (f"http://a/{big}", True)]
