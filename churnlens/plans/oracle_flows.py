@@ -77,3 +77,5 @@ SQL["validated_intake"] = ("SELECT -1 AS orden, 'true' AS mensaje UNION ALL SELE
 
 # two batches and a moved reference date end where the full derivation does
 SQL["merged_behavior"] = with_base("SELECT * FROM behavior")
+
+SQL["csv_by_splits"] = SQL["csv_round_trip"]

@@ -619,3 +619,13 @@ def q_merged_behavior(spark, sf_dir):
             .unionByName(was.withColumn("signo", F.lit(-1))))
     incremental.apply_batch(spark, root, incremental.FactBatch(rest, r2, f2, p2), t.servicios, ref)
     return incremental.current_view(spark, root, t.clientes, t.sucursales)
+
+
+@query("csv_by_splits")
+def q_csv_by_splits(spark, sf_dir):
+    """A6 + A1: the same files as ``csv_round_trip`` read by splits, as large files are."""
+    df = customer_intake(spark, sf_dir).withColumn(
+        "nombre", F.concat(F.coalesce("nombre", F.lit("")), F.lit(' "x", y\nz')))
+    path = _folder(spark, "csv")
+    sinks.write_csv(df, path, INTAKE_COLUMNS)
+    return read_customer_csv(spark, path, by_splits=True).select(*INTAKE_COLUMNS)

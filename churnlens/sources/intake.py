@@ -16,6 +16,7 @@ from churnlens import config
 from churnlens.functions.coerce import na_tokens_to_null
 from churnlens.plans.behavior import behavior_from_tables
 from churnlens.sources.adapter import churn_tables, read_driver
+from churnlens.sources.csv_splits import csv_records
 
 ORDER_COLUMNS = ["_src", "_pos"]
 INTAKE_COLUMNS = config.REQUIRED_COLUMNS + config.OPTIONAL_COLUMNS
@@ -36,36 +37,53 @@ def _plain_path(c):
     return F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
 
 
-def read_customer_csv(spark: SparkSession, path: str) -> DataFrame:
+_CSV = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+
+
+def _has_large_file(spark: SparkSession, path: str) -> bool:
+    """Whether a file is larger than a scan's task is meant to read (listing metadata only)."""
+    limit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    longest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    return (longest or 0) > limit
+
+
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def read_customer_csv(spark: SparkSession, path: str, by_splits: bool | None = None) -> DataFrame:
     """A1: header CSV, every column text, missing-value tokens -> NULL, stripped headers.
 
-    Quoted fields may hold commas, doubled quotes and line breaks (so one file is read by one task: put large
-    inputs in many files).  Records with fewer fields than the header are filled up with NULL; one with more is
-    marked in ``_sobrante`` instead of being cut.  Input order is (``_src``, ``_pos``): the rank of the file's
-    path, joined from the file listing as data, and an id that increases within the file, assigned while reading
-    and stable on recomputation.  An empty input raises, as a reader without a header must.
+    Quoted fields may hold commas, doubled quotes and line breaks.  Files up to the size of a scan's task are read
+    whole, one task a file; larger ones by splits (``csv_splits``; ``by_splits`` decides otherwise).  Records with
+    fewer fields than the header are filled up with NULL; one with more is marked in ``_sobrante`` instead of being
+    cut.  Input order is (``_src``, ``_pos``): the rank of the file's path, joined from the file listing as data, and
+    a number that increases within the file, assigned while reading and stable on recomputation.  An empty input
+    raises, as a reader without a header must.
     """
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "inferSchema": False}
-    header = spark.read.options(**options).csv(path)
+    header = spark.read.options(header=True, multiLine=True, inferSchema=False, quote='"', escape='"').csv(path)
     names = header.columns
     if not names:
         raise ValueError(config.MSG_CSV_EMPTY)
-    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*names, _CORRUPT])
-    raw = (spark.read.options(**options).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
-           .option("columnPruning", False).schema(schema).csv(path))
+    schema = ", ".join(f"{_quoted(c)} string" for c in [*names, _CORRUPT])
+    if _has_large_file(spark, path) if by_splits is None else by_splits:
+        raw = (csv_records(spark, path).select(F.from_csv("record", schema, _CSV).alias("r"), "file", "pos")
+               .select("r.*", _plain_path(F.col("file")).alias("_file"), F.col("pos").alias("_pos")))
+    else:
+        raw = (spark.read.options(header=True, multiLine=True, columnPruning=False, **_CSV).schema(schema).csv(path)
+               .select("*", _plain_path(F.col("_metadata.file_path")).alias("_file"),
+                       F.monotonically_increasing_id().alias("_pos")))
     # a record of another length than the header is kept whole; without its quoted parts the commas count the fields
     commas = F.regexp_count(F.regexp_replace(F.col(_CORRUPT), '"([^"]|"")*"', ""), F.lit(","))
-    rows = raw.select(*[F.col(f"`{c.replace('`', '``')}`") for c in names],
-                      F.coalesce(commas >= len(names), F.lit(False)).alias(SURPLUS_COLUMN),
-                      _plain_path(F.col("_metadata.file_path")).alias("_file"),
-                      F.monotonically_increasing_id().alias("_pos"))
+    rows = raw.select(*[F.col(_quoted(c)) for c in names],
+                      F.coalesce(commas >= len(names), F.lit(False)).alias(SURPLUS_COLUMN), "_file", "_pos")
     files = sorted(header.inputFiles())  # listing metadata, no data pass
     ranks = (spark.createDataFrame([(f, i) for i, f in enumerate(files)], "f string, _src int")
              .select(_plain_path(F.col("f")).alias("_file"), "_src"))
     known = rows.join(ranks, "_file", "left")
     # a file that the listing spells differently keeps its rows, after the others and in path order of its hash
     src = F.coalesce("_src", F.lit(len(files)) + F.pmod(F.hash("_file"), F.lit(1 << 24))).cast("int")
-    out = known.select(*[F.col(f"`{c.replace('`', '``')}`") for c in names], SURPLUS_COLUMN, src.alias("_src"), "_pos")
+    out = known.select(*[F.col(_quoted(c)) for c in names], SURPLUS_COLUMN, src.alias("_src"), "_pos")
     return na_tokens_to_null(normalize_headers(out))
 
 
