@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens import config, schemas
+from churnlens.session import ensure_checkpoint_dir
 
 # CHECK rules as SQL predicates (a row violates a CHECK only when the
 # predicate is FALSE; NULL passes, as in SQL) and NOT NULL columns.
@@ -160,6 +161,50 @@ def principal_rule(clientes: DataFrame, contratos: DataFrame) -> DataFrame:
                              F.lit(post))).alias("mensaje"))
 
 
+def _keeping_rules(name: str, df: DataFrame) -> DataFrame:
+    """The rows of a table that break no row rule and share no key with another row."""
+    preds = [F.coalesce(F.expr(pred), F.lit(True)) for rule, pred in CHECKS.get(name, [])
+             if rule_column(rule, pred) in df.columns]
+    filled = set(NOT_NULL.get(name, [])) | set(schemas.PRIMARY_KEYS.get(name, []))
+    preds += [F.col(c).isNotNull() for c in sorted(filled) if c in df.columns]
+    rows = df.where(reduce(lambda a, b: a & b, preds)) if preds else df
+    for rule, keys in _key_rules(name, df):
+        if rule != "un_principal_activo":  # ``admissible`` looks at the customer for that
+            again = keys.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+            rows = rows.join(again, keys.columns, "left_anti")
+    return rows
+
+
+def admissible(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The rows that a reload's gates (C7, C8, C9) let pass; the rest is what has to be set aside.
+
+    Rows that break a rule or repeat a key go (all rows of that key, as none is known to be the right one), then
+    rows that refer to rows that are gone, customers without exactly one active principal contract, and what refers
+    to those.  Nothing is repaired.  Tables that others refer to are checkpointed (``spark.checkpoint.dir``).
+    """
+    ensure_checkpoint_dir(next(iter(tables.values())).sparkSession)
+    out = {n: _keeping_rules(n, df) for n, df in tables.items()}
+
+    def refer(parents) -> None:
+        for child, col, parent, key in schemas.FOREIGN_KEYS:
+            if parent in parents and child in out and parent in out and col in out[child].columns:
+                there = out[parent].select(F.col(key).alias("_k"))
+                fits = out[child].join(there, F.col(col) == F.col("_k"), "left_semi")
+                out[child] = fits.unionByName(out[child].where(F.col(col).isNull()))
+
+    refer(("sucursales", "servicios"))
+    if "clientes" in out and "contratos" in out:
+        out["contratos"] = out["contratos"].checkpoint()  # read by the rule, the customers and all that refer to them
+        one = (out["contratos"].filter(_principal_active(out["contratos"])).groupBy("id_cliente")
+               .agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("id_cliente"))
+        out["clientes"] = out["clientes"].join(one, "id_cliente", "left_semi").checkpoint()
+    refer(("clientes",))
+    if "facturas" in out and "pagos" in out:
+        out["facturas"] = out["facturas"].checkpoint()
+    refer(("facturas",))
+    return out
+
+
 def assert_integrity(tables: dict[str, DataFrame]) -> None:
     """C7 and C8 as a gate over the given tables: raise with the rules that fail."""
     bad = [f"{r['tabla']}.{r['regla']} ({r['violaciones']})"

@@ -79,3 +79,23 @@ SQL["validated_intake"] = ("SELECT -1 AS orden, 'true' AS mensaje UNION ALL SELE
 SQL["merged_behavior"] = with_base("SELECT * FROM behavior")
 
 SQL["csv_by_splits"] = SQL["csv_round_trip"]
+
+# customers, contracts and payments as the gates' rules let them pass
+SQL["published_operational"] = with_base("""
+, k AS (SELECT * FROM contratos WHERE id_servicio IN (SELECT id_servicio FROM servicios)
+        QUALIFY count(*) OVER (PARTITION BY id_contrato) = 1),
+one AS (SELECT id_cliente FROM k WHERE estado = 'activo' AND es_principal = 1 GROUP BY 1 HAVING count(*) = 1),
+c AS (SELECT * FROM clientes SEMI JOIN one USING (id_cliente) WHERE satisfaccion IS NOT NULL),
+f AS (SELECT * FROM facturas QUALIFY count(*) OVER (PARTITION BY id_factura) = 1),
+p AS (SELECT * FROM pagos QUALIFY count(*) OVER (PARTITION BY id_pago) = 1),
+e AS (SELECT user_id::VARCHAR AS id_cliente FROM events QUALIFY count(*) OVER (PARTITION BY event_id) = 1)
+SELECT id_cliente, nombre, edad, ciudad, abandono,
+       (SELECT count(*) FROM k WHERE k.id_cliente = c.id_cliente) AS contratos,
+       (SELECT count(*) FROM f WHERE f.id_cliente = c.id_cliente) AS facturas,
+       (SELECT count(*) FROM p JOIN f USING (id_factura) WHERE f.id_cliente = c.id_cliente) AS pagos,
+       (SELECT count(*) FROM e WHERE e.id_cliente = c.id_cliente) AS interacciones
+FROM c
+""")
+
+# CSV and publication change nothing: the cleaned rows of the intake
+SQL["published_intake"] = SQL["clean_rows"]

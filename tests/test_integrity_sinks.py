@@ -206,3 +206,33 @@ def test_empty_view_keeps_contract(rel):
                           rel["facturas"], rel["pagos"], dt.date(2026, 6, 28))
     assert v.count() == 0
     assert v.columns == [c for c in VIEW_COLUMNS if c != "edad"]
+
+
+def test_admissible_rows_pass_the_gates(spark, tmp_path):
+    """A bad row of each kind goes, with what refers to it; what is left is published with all checks."""
+    def frame(rows, fields):
+        return spark.createDataFrame(rows, fields)
+
+    tables = {
+        "servicios": frame([(1, "S1", "uno", 5.0), (2, "S2", "dos", -1.0)],
+                           "id_servicio long, codigo string, nombre string, precio_mensual double"),
+        "clientes": frame([("a", 3, 0), ("b", 9, 0), ("c", 4, 1), ("d", 4, 1), ("d", 2, 1), ("e", 1, 0), ("f", 2, 0)],
+                          "id_cliente string, satisfaccion int, abandono int"),
+        "contratos": frame([("k1", "a", 1, "activo", 9.0, 1), ("k2", "c", 2, "activo", 9.0, 1),
+                            ("k3", "e", 1, "activo", 1.0, 1), ("k4", "e", 1, "activo", 1.0, 1),
+                            ("k5", "b", 1, "activo", 1.0, 1), ("k6", "f", 1, "inactivo", 1.0, 1),
+                            ("k7", "d", 1, "activo", 1.0, 1)],
+                           "id_contrato string, id_cliente string, id_servicio long, estado string, "
+                           "monto_mensual double, es_principal int"),
+        "facturas": frame([(1, "a"), (2, "b"), (3, "a"), (3, "a")], "id_factura long, id_cliente string"),
+        "pagos": frame([("p1", 1), ("p2", 2), ("p3", 3), ("p4", None)], "id_pago string, id_factura long"),
+    }
+    with pytest.raises(ValueError, match="integrity"):
+        sinks.publish_operational(tables, str(tmp_path / "no"))
+    kept = integrity.admissible(tables)
+    assert {n: sorted(r[0] for r in df.collect()) for n, df in kept.items()} == {
+        "servicios": [1], "clientes": ["a"], "contratos": ["k1"], "facturas": [1], "pagos": ["p1"]}
+    root = str(tmp_path / "yes")
+    assert sinks.publish_operational(kept, root)["clientes"] == 1
+    empty = {n: df.limit(0) for n, df in tables.items()}
+    assert all(df.count() == 0 for df in integrity.admissible(empty).values())
