@@ -172,7 +172,7 @@ def _keeping_rules(name: str, df: DataFrame) -> DataFrame:
         if rule != "un_principal_activo":  # ``admissible`` looks at the customer for that
             again = keys.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
             rows = rows.join(again, keys.columns, "left_anti")
-    return rows
+    return rows.select(*df.columns)
 
 
 def admissible(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -197,7 +197,8 @@ def admissible(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         out["contratos"] = out["contratos"].checkpoint()  # read by the rule, the customers and all that refer to them
         one = (out["contratos"].filter(_principal_active(out["contratos"])).groupBy("id_cliente")
                .agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("id_cliente"))
-        out["clientes"] = out["clientes"].join(one, "id_cliente", "left_semi").checkpoint()
+        out["clientes"] = (out["clientes"].join(one, "id_cliente", "left_semi")
+                           .select(*tables["clientes"].columns).checkpoint())
     refer(("clientes",))
     if "facturas" in out and "pagos" in out:
         out["facturas"] = out["facturas"].checkpoint()
