@@ -3,10 +3,14 @@
 Vectors are dealt to overlapping cluster shards (their nearest centroid and those nearly as near).  Each shard
 builds a robust-pruned neighbour graph; the adjacency lists of a vector's shards are united.  Every vector then
 searches the united graph in each of its shards: greedily from the shard's medoid, then expanding every vertex
-found within the range until no new one appears.  Links found are verified in double precision.  Sampled vertices
-are compared with all vectors to audit the recall, drawn until enough of them have links; too low a recall repeats
-the work with more overlap and a wider beam.  If it stays too low, or too few vertices with links are found to judge
-it, every pair that can be in range is compared: each vector meets all of every cell that may hold a partner's home.
+found within the range until no new one appears.  Links found are verified in double precision.  The number of
+cells grows with the vectors: beyond a level of centroids, further levels are fitted on what the last one leaves.
+
+Sampled vertices are compared with all vectors to audit the recall, drawn until enough of them have links.  Where
+links are too rare for that, planted partners judge it: before the search, vectors turned away from sampled ones by
+a known angle within the range join the table (they never count as links), and the search must find their origins.
+Too low a recall repeats the work with more overlap and a wider beam.  If it stays too low, every pair that can be
+in range is compared: each vector meets all of every cell that may hold a partner's home.
 
 Equal vectors are one vertex.  A pair is counted in the first shard that holds both, so no pair is emitted: each
 shard passes on link counts and a spanning forest.  A shard too large for a task is split into blocks, and every
@@ -30,9 +34,10 @@ from churnlens.llm.simhash import _Forest
 log = logging.getLogger(__name__)
 
 THRESHOLD = 0.95
-#: Mean vectors of a cluster before overlap, most clusters, and vectors that centroids are fitted on (by hash).
-CLUSTER_ROWS, MAX_CLUSTERS, FIT_ROWS = 700, 1024, 8192
-#: Most shards of a vector, and how much lower than the best its cosine with their centroids may be.
+#: Mean vectors of a cluster before overlap, centroids of a level, and vectors they are fitted on (by hash).
+CLUSTER_ROWS, LEVEL_CENTROIDS, FIT_ROWS = 700, 1024, 8192
+#: Most shards of a vector, and how much lower than the best its nearness to their centroids may be (on the first
+#: level the cosine).
 OVERLAP, MARGIN = 3, 0.12
 #: Vertices of a block; larger shards are split.
 BLOCK = 3000
@@ -44,6 +49,8 @@ SLACK = 0.03
 AUDIT_ROWS, AUDIT_RECALL, ATTEMPTS = 64, 0.98, 3
 #: Vertices with true links that the audit needs; rounds in which it draws eight times as many vectors each.
 AUDIT_LINKED, AUDIT_ROUNDS = 256, 3
+#: Vectors that get a planted partner; its cosine lies in the lower half of the range, where links are hardest to find.
+PLANTED = 1024
 
 
 def unit_rows(column: pa.Array | pa.ChunkedArray, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -63,20 +70,80 @@ def unit_rows(column: pa.Array | pa.ChunkedArray, width: int | None = None) -> t
     return out, good
 
 
-def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means of unit vectors from evenly spread starts."""
+def _nearness(v: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """(1 + |v|^2 - |v - c|^2) / 2 of every vector and centre: the cosine of two unit vectors."""
+    return v @ centre.T + (1 - (centre * centre).sum(axis=1)) / 2
+
+
+def fit_centroids(sample: np.ndarray, k: int, unit: bool = True, rounds: int = 8) -> np.ndarray:
+    """K-means from evenly spread starts; with ``unit`` the centres are unit vectors."""
     if k <= 1 or len(sample) <= 1:
         return sample[:1]
     centre = sample[np.linspace(0, len(sample) - 1, min(k, len(sample))).astype(int)]
     for _ in range(rounds):
-        own = (sample @ centre.T).argmax(axis=1)
+        own = _nearness(sample, centre).argmax(axis=1)
         total = np.zeros_like(centre)
         np.add.at(total, own, sample)
-        norm = np.sqrt((total * total).sum(axis=1))
-        centre = np.where(norm[:, None] > 0, total / np.where(norm > 0, norm, 1)[:, None], centre)
+        by = np.sqrt((total * total).sum(axis=1)) if unit else np.bincount(own, minlength=len(centre))
+        centre = np.where(by[:, None] > 0, total / np.where(by > 0, by, 1)[:, None], centre)
     return centre
 
 
+def fit_levels(sample: np.ndarray, cells: int) -> list[np.ndarray]:
+    """Centroids of as many levels as ``cells`` take; a level is fitted on the differences from the last one's."""
+    levels: list[np.ndarray] = []
+    while not levels or (cells > 1 and len(levels[-1]) > 1):
+        centre = fit_centroids(sample, min(LEVEL_CENTROIDS, cells), not levels)
+        levels.append(centre)
+        if len(centre):
+            sample = sample - centre[_nearness(sample, centre).argmax(axis=1)]
+        cells = -(-cells // max(1, len(centre)))
+    return levels
+
+
+def nearest_cells(v: np.ndarray, levels: list[np.ndarray], overlap: int, margin: float) -> list[np.ndarray]:
+    """The cells of every vector: those whose sums of centroids are nearest, at most ``overlap``, within ``margin``."""
+    path = np.zeros((len(v), 1), np.int64)
+    sums = np.zeros((len(v), 1, v.shape[1]))
+    score = np.ones((len(v), 1))
+    for centre in levels:
+        # nearness to path + centre, by the parts of its square that change
+        each = np.stack([v @ centre.T - sums[:, i] @ centre.T - (centre * centre).sum(axis=1) / 2
+                         for i in range(sums.shape[1])], axis=1)
+        base = np.einsum("ij,ikj->ik", v, sums) + (1 - (sums * sums).sum(axis=2)) / 2
+        each = np.where(np.isfinite(score)[:, :, None], each + base[:, :, None], -np.inf).reshape(len(v), -1)
+        top = np.argsort(-each, axis=1, kind="stable")[:, :overlap]
+        score = np.take_along_axis(each, top, axis=1)
+        score = np.where(score >= score[:, :1] - margin, score, -np.inf)
+        last, own = top // len(centre), top % len(centre)
+        path = np.take_along_axis(path, last, axis=1) * len(centre) + own
+        sums = np.take_along_axis(sums, last[:, :, None], axis=1) + centre[own]
+    return [np.sort(p[np.isfinite(k)]) for p, k in zip(path, score, strict=True)]
+
+
+def planted_partners(nodes: DataFrame, threshold: float, n: int = PLANTED) -> DataFrame:
+    """(row, unit, n) of a partner in range for each of ``n`` vertices drawn by hash.
+
+    Row -1 - r is the partner of vertex r, turned from it in a random direction; its weight n is 0.
+    """
+    def turn_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, v = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), np.float64).reshape(len(b), -1)
+            out = np.empty_like(v)
+            for i, (row, u) in enumerate(zip(rows, v, strict=True)):
+                rng = np.random.default_rng(int(row))
+                aside = rng.normal(size=len(u))
+                aside -= (aside @ u) * u
+                norm = np.sqrt(aside @ aside)
+                cosine = threshold + (1 - threshold) * rng.uniform(1e-6, 0.5)
+                out[i] = cosine * u + np.sqrt(max(0.0, 1 - cosine ** 2)) * aside / norm if norm > 1e-9 else u
+            yield pa.record_batch([pa.array(-1 - rows), pa.array(list(out), pa.list_(pa.float64())),
+                                   pa.array(np.zeros(len(b), np.int64))], ["row", "unit", "n"])
+
+    return (nodes.select("row", "unit").orderBy(F.xxhash64("row", F.lit(PLANTED)), "row").limit(n)
+            .mapInArrow(turn_task, "row long, unit array<double>, n long"))
+
+
 def robust_graph(v: np.ndarray, degree: int = DEGREE, seed: int = 1) -> list[np.ndarray]:
     """Neighbour lists of unit vectors: robust-pruned from the nearest and some random vertices, both ways."""
     n = len(v)
@@ -236,11 +303,17 @@ def _search_task(threshold: float, beam: int):
         if lo < hi:
             mine &= block[a] != block[b]
         a, b = a[mine], b[mine]
+        origin = a[rows[a] == -1 - rows[b]]  # planted partners (negative rows) that found their origin
+        real = rows[a] >= 0
+        a, b = a[real], b[real]
         links = (np.bincount(a, weight[b], len(rows)) + np.bincount(b, weight[a], len(rows))).astype(np.int64)
         others = np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
         forest = _Forest(len(rows))
         forest.link(a, b)
-        return _found(rows, forest, links, others)
+        found = _found(rows, forest, links, others)
+        none = np.zeros(len(origin), np.int64)
+        return pa.concat_tables([found, pa.table({"row": rows[origin], "root": rows[origin], "links": none,
+                                                  "others": none})])
     return search
 
 
@@ -275,16 +348,12 @@ def _compare_task(threshold: float):
     return compare
 
 
-def _shards(nodes: DataFrame, centres: np.ndarray, overlap: int, margin: float) -> DataFrame:
+def _shards(nodes: DataFrame, levels: list[np.ndarray], overlap: int, margin: float) -> DataFrame:
     """Vertices with their cells, once for every job (cell, lo, hi: two blocks of a cell) they belong to."""
     def cell_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = np.array(b.column(1).to_pylist(), np.float64).reshape(len(b), -1)
-            sims = v @ centres.T
-            order = np.argsort(-sims, axis=1)[:, :overlap]
-            best = np.take_along_axis(sims, order, axis=1)
-            near = best >= best[:, :1] - margin
-            cells = [np.sort(o[k]) for o, k in zip(order, near, strict=True)]
+            cells = [c for i in range(0, len(v), 512) for c in nearest_cells(v[i:i + 512], levels, overlap, margin)]
             yield pa.record_batch([*b.columns, pa.array(cells, pa.list_(pa.int64()))], ["row", "unit", "n", "cells"])
 
     dealt = stored(nodes.select("row", "unit", "n").mapInArrow(
@@ -292,15 +361,15 @@ def _shards(nodes: DataFrame, centres: np.ndarray, overlap: int, margin: float)
     return _jobs(dealt, _cell_rows(dealt), "cells")
 
 
-def _cell_rows(dealt: DataFrame) -> dict[int, int]:
-    """Rows of every cell, one entry per centroid."""
-    sizes = dealt.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("rows")).collect()
-    return {s["cell"]: s["rows"] for s in sizes}
+def _cell_rows(dealt: DataFrame) -> DataFrame:
+    """(cell, rows) of every cell that holds some."""
+    return stored(dealt.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("rows")),
+                  "graph-sizes")
 
 
-def _jobs(dealt: DataFrame, sizes: dict[int, int], kept: str) -> DataFrame:
-    blocks = F.create_map(*[F.lit(x) for cell, rows in sizes.items() for x in (cell, -(-rows // BLOCK))])
-    m = dealt.withColumn("cell", F.explode("cells")).withColumn("blocks", blocks[F.col("cell")])
+def _jobs(dealt: DataFrame, sizes: DataFrame, kept: str) -> DataFrame:
+    blocks = sizes.select("cell", F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks"))
+    m = dealt.withColumn("cell", F.explode("cells")).join(blocks, "cell")
     m = m.withColumn("mine", F.pmod(F.xxhash64("row"), F.col("blocks")))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return m.select("row", "unit", "n", kept, "cell", "mine", F.least("mine", "other").alias("lo"),
@@ -334,16 +403,20 @@ def _exact_links(nodes: DataFrame, centres: np.ndarray, threshold: float) -> Dat
     dealt = dealt_to(centres)
     sizes = _cell_rows(dealt)
     n = nodes.count()
-    if sum(rows * -(-rows // BLOCK) for rows in sizes.values()) > n * -(-n // BLOCK):
-        dealt, sizes = dealt_to(centres[:1]), {0: n}
+    if sizes.agg(F.sum(F.col("rows") * F.ceil(F.col("rows") / BLOCK))).first()[0] > n * -(-n // BLOCK):
+        dealt = dealt_to(centres[:1])
+        sizes = _cell_rows(dealt)
     return stored(_jobs(dealt, sizes, "home").groupBy("cell", "lo", "hi").applyInArrow(
         _compare_task(threshold), "row long, root long, links long, others long"), "graph-links")
 
 
-def _links(nodes: DataFrame, centres: np.ndarray, threshold: float, overlap: int, margin: float, beam: int
+def _links(nodes: DataFrame, levels: list[np.ndarray], threshold: float, overlap: int, margin: float, beam: int
            ) -> DataFrame:
-    """(row, root, links, others: links to distinct vertices) of every vertex with links, once per job."""
-    jobs = _shards(nodes, centres, overlap, margin)
+    """(row, root, links, others: links to distinct vertices) of every vertex with links, once per job.
+
+    Planted partners among ``nodes`` are no links of others; each has a row of its own if its origin was found.
+    """
+    jobs = _shards(nodes, levels, overlap, margin)
     built = (jobs.select("row", "unit", "cell", "lo", "hi").groupBy("cell", "lo", "hi")
              .applyInArrow(_build_task, "row long, near array<long>"))
     united = stored(built.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")),
@@ -353,11 +426,13 @@ def _links(nodes: DataFrame, centres: np.ndarray, threshold: float, overlap: int
                   "graph-links")
 
 
-def audited_recall(nodes: DataFrame, counts: DataFrame, threshold: float) -> float | None:
+def audited_recall(nodes: DataFrame, counts: DataFrame, threshold: float, planted: tuple[int, int] | None = None
+                   ) -> float | None:
     """Mean share of the links of a sampled vertex, by comparison with all, that ``counts`` (row, others) has.
 
     Links to distinct vertices count, and every sampled vertex with links counts alike.  Vertices are drawn until
-    AUDIT_LINKED of them have links or all are drawn; None if neither comes about in AUDIT_ROUNDS.
+    AUDIT_LINKED of them have links or all are drawn.  If neither comes about in AUDIT_ROUNDS, the planted partners
+    (how many were found, of how many) count beside the vertices with links; None without any.
     """
     ordered = nodes.orderBy(F.xxhash64("row"), "row")
     drawn, shares, size = 0, [], nodes.count()
@@ -386,7 +461,12 @@ def audited_recall(nodes: DataFrame, counts: DataFrame, threshold: float) -> flo
         linked = sum(n for _, n in shares)
         if linked >= AUDIT_LINKED or drawn >= size:
             return sum(x for x, _ in shares) / linked if linked else 1.0
-    return None
+    return (sum(x for x, _ in shares) + planted[0]) / (linked + planted[1]) if planted and planted[1] else None
+
+
+def planted_found(searched: DataFrame, found: DataFrame) -> tuple[int, int]:
+    """How many of the planted partners among ``searched`` found their origin, and how many there are."""
+    return found.where("row < 0").select("row").distinct().count(), searched.where("row < 0").count()
 
 
 def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -416,20 +496,23 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     size = nodes.count()
     if size:
         fit = nodes.orderBy(F.xxhash64("row"), "row").limit(FIT_ROWS).select("unit").toArrow()
-        centres = fit_centroids(_matrix(fit), min(MAX_CLUSTERS, -(-size // CLUSTER_ROWS)))
+        levels = fit_levels(_matrix(fit), -(-size // CLUSTER_ROWS))
+        searched = stored(nodes.select("row", "unit", "n").unionByName(planted_partners(nodes, threshold)),
+                          "graph-searched")
         overlap, margin, beam = OVERLAP, MARGIN, BEAM
         recall: float | None = 0.0
         for attempt in range(ATTEMPTS):
-            links = _links(nodes, centres, threshold, overlap, margin, beam)
+            found = _links(searched, levels, threshold, overlap, margin, beam)
+            links = found.where("row >= 0")
             counts = links.groupBy("row").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
-            recall = audited_recall(nodes, counts, threshold)
+            recall = audited_recall(nodes, counts, threshold, planted_found(searched, found))
             log.info("recall of the audited sample: %s (attempt %d)", recall, attempt + 1)
             if recall is None or recall >= AUDIT_RECALL:
                 break
             overlap, margin, beam = 2 * overlap, 2 * margin, 2 * beam
         if recall is None or recall < AUDIT_RECALL:
             log.info("all possible pairs are compared")
-            links = _exact_links(nodes, centres, threshold)
+            links = _exact_links(nodes, levels[0], threshold)
             counts = links.groupBy("row").agg(F.sum("links").alias("links"))
         roots = connected_components(links.select(F.col("row").alias("src"), F.col("root").alias("dst")))
         roots = roots.withColumnRenamed("node", "row")

@@ -196,3 +196,56 @@ def test_exact_top_k(spark, monkeypatch):
     assert topk.top_inner_products(spark.createDataFrame([], VECTORS)).count() == 0
     few = spark.createDataFrame([(0, [1.0], 0, ""), (1, [2.0], 0, "")], VECTORS)
     assert [tuple(r) for r in topk.top_inner_products(few).collect()] == [(0, 1, 1, 256 * 512)]
+
+
+def test_rare_links_stay_on_the_graph(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(20_000, 48))
+    v[:100] = v[100:200] + rng.normal(scale=0.2, size=(100, 48))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    near = [(i, int(j)) for a in range(0, len(v), 2000) for i, row in enumerate(unit[a:a + 2000] @ unit.T, a)
+            for j in np.flatnonzero(row >= 0.95) if i != j]
+    assert 100 <= len(near) <= 400
+    recalls = []
+    audit = flatgraph.audited_recall
+    monkeypatch.setattr(flatgraph, "audited_recall", lambda *a: recalls.append(audit(*a)) or recalls[-1])
+    monkeypatch.setattr(flatgraph, "AUDIT_ROUNDS", 2)
+    monkeypatch.setattr(flatgraph, "_exact_links", lambda *a: pytest.fail("all pairs were compared"))
+    table = spark.createDataFrame([(i, x.tolist(), 0, "") for i, x in enumerate(v)], VECTORS)
+    got = flatgraph.near_copies(table).collect()
+    assert len(got) == len(v) and recalls[-1] >= 0.98
+    truth = np.bincount([i for i, _ in near], minlength=len(v))
+    assert all(r.n_links <= truth[r.vec_id] for r in got)
+    assert sum(r.n_links for r in got) >= 0.98 * len(near)
+
+
+def test_cells_grow_by_levels(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 12))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    monkeypatch.setattr(flatgraph, "LEVEL_CENTROIDS", 8)
+    levels = flatgraph.fit_levels(v[:800], 200)
+    assert [len(c) for c in levels] == [8, 8, 4]
+    sums = (levels[0][:, None, None] + levels[1][None, :, None] + levels[2]).reshape(256, 12)
+    cells = flatgraph.nearest_cells(v, levels, 300, 9.0)
+    assert all(len(set(c)) == len(c) == 256 for c in cells)
+    few = flatgraph.nearest_cells(v, levels, 3, 0.1)
+    far = ((v[:, None] - sums[None]) ** 2).sum(axis=2)
+    best = np.take_along_axis(far, np.array([c[0] for c in few])[:, None], 1)[:, 0]
+    assert all(1 <= len(c) <= 3 for c in few) and best.mean() < 1.5 * far.min(axis=1).mean()
+    rows = vector_rows(rng, 600)
+    monkeypatch.setattr(flatgraph, "LEVEL_CENTROIDS", 2)
+    monkeypatch.setattr(flatgraph, "CLUSTER_ROWS", 90)
+    got = flatgraph.near_copies(spark.createDataFrame(rows, VECTORS)).collect()
+    assert len(got) == len(rows) and sum(r.n_links > 0 for r in got) > 100
+
+
+def test_planted_partners_lie_in_range(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(50, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "row long, unit array<double>")
+    got = flatgraph.planted_partners(nodes, 0.95, 40).collect()
+    assert len({r.row for r in got}) == 40 and all(r.row < 0 and r.n == 0 for r in got)
+    assert all(0.95 <= v[-1 - r.row] @ np.array(r.unit) <= 0.9751 for r in got)
