@@ -228,10 +228,32 @@ def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RA
 
 
 def without_near_copies(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The documents of which one of each group stays: the one with the smallest doc_id, then text hash."""
-    groups = simhash_groups(docs, words, radius)
-    keep = (groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
-            .select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")))
-    same = F.col("_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_h") == F.col("_hash"))
-    return own_columns_apart(docs, ["doc_id", "text"], lambda own: own.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-                             .dropDuplicates(["doc_id", "_h"]).join(keep, same, "left_semi"))
+    """The documents of which one of each group stays: the one with the smallest doc_id, then text hash.
+
+    Of rows with one doc_id and text the one whose other columns have the least hash stays.  The columns of
+    ``docs`` come back unchanged.  What goes is decided on (doc_id, text hash); the documents only meet the keys that
+    go, which Spark broadcasts up to its threshold, and only repeated rows are aggregated with their texts.
+    """
+    groups = simhash_groups(docs, words, radius).select("group", "doc_id", "text_hash")
+    keys = stored(groups.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n")), "simhash-keys")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = stored(keys.groupBy("group").agg(F.min(order).alias("first")), "simhash-first")
+    judged = (keys.join(first, "group").withColumn("stays", order == F.col("first")).where("NOT stays OR n > 1")
+              .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"))
+    judged = stored(judged, "simhash-judged")
+    same = (F.col("_id").eqNullSafe(F.col("doc_id").cast("long"))
+            & F.col("_hash").eqNullSafe(F.xxhash64(F.col("text").cast("string"))))
+    kinds = dict(docs.dtypes)
+
+    def work(own: DataFrame) -> DataFrame:
+        alone = own.join(judged.select("_id", "_hash"), same, "left_anti")
+        repeated = judged.where("stays").select("_id", "_hash")
+        if not repeated.limit(1).count():
+            return alone
+        other = F.xxhash64(F.lit(HASH_SEED), *[o for o, c in zip(own.columns, docs.columns, strict=True)
+                                               if c not in ("doc_id", "text") and "map<" not in kinds[c]])
+        one = (own.join(repeated, same).groupBy("_id", "_hash")
+               .agg(F.min_by(F.struct(*own.columns), other).alias("row")).select("row.*"))
+        return alone.unionByName(one)
+
+    return own_columns_apart(docs, ["doc_id", "text"], work)

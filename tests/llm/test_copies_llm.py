@@ -57,6 +57,21 @@ def test_one_document_of_each_group_stays(documents, odd_docs, no_docs):
         assert {r.doc_id for r in kept.collect()} == ids
 
 
+def test_repeated_rows_and_texts_without_a_shuffle(spark, documents):
+    from pyspark.sql import functions as F
+
+    twice = documents.withColumn("lang", F.lit("zz")).unionByName(documents).unionByName(documents)
+    left = simhash.without_near_copies(twice.repartition(5))
+    once = simhash.without_near_copies(documents)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in once.collect())
+    again = simhash.without_near_copies(twice.repartition(3))
+    assert sorted(map(str, again.collect())) == sorted(map(str, left.collect()))
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    maps = documents.withColumn("m", F.create_map(F.lit("a"), "doc_id"))
+    assert simhash.without_near_copies(maps.union(maps)).count() == once.count()
+
+
 @pytest.mark.parametrize("block", [2048, 40])
 def test_bit_sliced_links_lose_nothing(spark, block):
     rng = np.random.default_rng(block)
