@@ -219,6 +219,10 @@ register("search", """
 SELECT * FROM behavior
 WHERE contains(upper(id_cliente), '#000001') OR contains(upper(nombre), '#000001')
 """)
+register("search_by_index", """
+SELECT * FROM behavior
+WHERE contains(upper(id_cliente), '#000001') OR contains(upper(nombre), '#000001')
+""")
 register("filter_combo", """
 SELECT * FROM behavior
 WHERE (contains(upper(id_cliente), '#000001') OR contains(upper(nombre), '#000001'))

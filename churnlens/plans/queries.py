@@ -43,7 +43,7 @@ def q_behavior_view(spark, sf_dir):
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
-from churnlens.operators import explore, metrics, stats, conclusions  # noqa: E402
+from churnlens.operators import explore, metrics, stats, conclusions, text_index  # noqa: E402
 from churnlens.functions.text import selection_label, id_from_label  # noqa: E402
 
 CITIES = ["NATION_1", "NATION_7", "NATION_13", "NATION_21"]
@@ -114,6 +114,14 @@ def q_search(spark, sf_dir):
     return explore.search(view(spark, sf_dir), SEARCH_TERM)
 
 
+@query("search_by_index")
+def q_search_by_index(spark, sf_dir):
+    """B1: the same search by an index of the whole view, which is built first."""
+    path = _folder(spark, "search")
+    text_index.build_index(view(spark, sf_dir), path)
+    return text_index.search_index(spark, path, SEARCH_TERM)
+
+
 @query("filter_combo")
 def q_filter_combo(spark, sf_dir):
     return explore.filter_customers(view(spark, sf_dir), SEARCH_TERM, None, ["N", "A"], None, 1)
