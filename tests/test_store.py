@@ -62,3 +62,31 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
         session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master))
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             ensure_checkpoint_dir(session)
+
+
+def _contracts(spark, rows):
+    return spark.createDataFrame(rows, "id_contrato string, id_cliente string, id_servicio long, estado string, "
+                                       "monto_mensual double")
+
+
+def test_principal_reads_its_contracts_a_few_times(spark, tmp_path):
+    from churnlens.sources.adapter import mark_principal
+
+    _contracts(spark, [("1-1", "a", 1, "activo", 1.0)]).write.parquet(str(tmp_path / "c"))
+    plan = mark_principal(spark.read.parquet(str(tmp_path / "c")))._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Relation [") == 3  # it was 17: every step read the one before twice
+    assert plan.executedPlan().toString().count("Exchange hashpartitioning") <= 3
+
+
+def test_principal_ties_repeats_and_nulls(spark):
+    from churnlens.sources.adapter import mark_principal
+
+    rows = [("1-1", "a", 1, "activo", 5.0), ("1-2", "a", 2, "activo", 5.0), ("9-9", "a", 9, "inactivo", 9.0),
+            ("2-1", "b", 1, "activo", 5.0), ("10-1", "b", 1, "activo", 5.0), ("10-1", "b", 1, "activo", 5.0),
+            ("3-1", "c", None, "activo", 7.0), ("3-2", "c", 1, "activo", 6.0), ("4", "d", 1, "activo", 1.0),
+            ("5-1", None, 1, "activo", 1.0), ("6-1", "e", 1, None, 1.0), ("7-1", "f", 1, "activo", None)]
+    got = mark_principal(_contracts(spark, rows))
+    assert got.columns[-1] == "es_principal" and dict(got.dtypes)["es_principal"] == "int"
+    marked = [(*r[:-1], r[-1]) for r in got.collect()]
+    best = {("1-2", "a"), ("10-1", "b")}  # largest struct, repeats included; one that lacks a value is none
+    assert sorted(marked, key=str) == sorted(((*r, int(r[:2] in best)) for r in rows), key=str)
