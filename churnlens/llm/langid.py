@@ -209,9 +209,16 @@ def identify(docs: DataFrame) -> DataFrame:
                     protos).select("doc_id", "held_out", "lang_pred", "score"))
 
 
-def identified_documents(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """The documents whose language is identified, with their own columns; rejects ``und`` and lower scores."""
+def identified_documents(docs: DataFrame, least_score: float = 0.0, contradicts: float | None = None) -> DataFrame:
+    """The documents whose language is identified, with their own columns; rejects ``und`` and lower scores.
+
+    With ``contradicts``, a document whose label names another language than its text is rejected as well, if the
+    score is at least that; labels stay no input of the prediction, and documents without one are kept.
+    """
     held = F.coalesce(fold("doc_id") == 0, F.lit(False))
     langs, protos = train(docs.where(~held).select("text", "lang"))
-    return own_columns_apart(docs, ["text"], lambda own: predict(own, langs, protos).where(
-        (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)))
+    keep = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)
+    if contradicts is not None:
+        keep &= ~F.coalesce((F.col("lang") != F.col("lang_pred")) & (F.col("score") >= contradicts), F.lit(False))
+    return own_columns_apart(docs, ["text"] if contradicts is None else ["text", "lang"],
+                             lambda own: predict(own, langs, protos).where(keep))

@@ -1,6 +1,6 @@
 """A corpus pipeline: language ID, near-duplicate removal, mixing, packing; each stage reads what the last one kept.
 
-Identified documents stay (``und`` goes), one document of each SimHash
+Identified documents stay (``und`` goes, and so does a text in another language than its label), one document of each SimHash
 group stays, sources are mixed to their target weights (a document may stay twice), and the mix is packed into
 sequences.  Every stage returns the columns of ``documents`` but the last, which returns the packed pieces.
 """
@@ -16,10 +16,13 @@ from churnlens.llm.queries import tokenizer_file
 #: A text whose cosine with every learned language is lower is rejected: none but ``und``, as a short text's cosine
 #: is no larger than the noise of the profiles.
 LEAST_SCORE = 0.0
+#: A label is contradicted by a text of at least this cosine with another language; short texts, whose language is
+#: less sure, do not reach it.
+CONTRADICTS = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.identified_documents(docs, LEAST_SCORE)
+    return langid.identified_documents(docs, LEAST_SCORE, CONTRADICTS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

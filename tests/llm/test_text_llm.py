@@ -276,6 +276,15 @@ def test_short_labelled_texts_stay(spark, documents):
     assert {r[0] for r in rows} - {r.doc_id for r in langid.identified_documents(docs, 0.05).collect()}
 
 
+def test_texts_in_another_language_than_their_label_go(spark, documents):
+    whole = max((r for r in documents.collect() if r.lang == "en"), key=lambda r: len(r.text)).text
+    rows = [(10 ** 6 + i, whole, lang, "src1", len(whole)) for i, lang in enumerate(("en", "fr", None))]
+    docs = documents.unionByName(spark.createDataFrame(rows, documents.schema))
+    kept = corpus_pipeline.identify_language(spark, docs, SMALL)
+    assert {r.doc_id for r in kept.collect()} & {r[0] for r in rows} == {10 ** 6, 10 ** 6 + 2}
+    assert kept.columns == docs.columns
+
+
 def test_registry():
     assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11))
     assert set(ORACLE) <= set(QUERIES)
