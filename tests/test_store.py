@@ -73,9 +73,13 @@ def test_principal_reads_its_contracts_a_few_times(spark, tmp_path):
     from churnlens.sources.adapter import mark_principal
 
     _contracts(spark, [("1-1", "a", 1, "activo", 1.0)]).write.parquet(str(tmp_path / "c"))
-    plan = mark_principal(spark.read.parquet(str(tmp_path / "c")))._jdf.queryExecution()
-    assert plan.optimizedPlan().toString().count("Relation [") == 3  # it was 17: every step read the one before twice
-    assert plan.executedPlan().toString().count("Exchange hashpartitioning") <= 3
+    cached = []
+    marked = mark_principal(spark.read.parquet(str(tmp_path / "c")), cached)
+    leaves = marked._jdf.queryExecution().withCachedData().collectLeaves()
+    assert leaves.size() == 3  # active rows, the kept ones, the others; it was 17, as each step read the one before twice
+    assert len(cached) == 4
+    for df in cached:
+        df.unpersist()
 
 
 def test_principal_ties_repeats_and_nulls(spark):
