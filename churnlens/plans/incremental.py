@@ -67,9 +67,10 @@ def _batch_state(spark: SparkSession, root: str, content: dict, state: str) -> D
 
 
 def read_state(spark: SparkSession, root: str, state: str, content: dict | None = None) -> DataFrame | None:
-    """A state summed over all batches; None before the first."""
-    rows = _batch_state(spark, root, commits.latest(spark, root)[1] if content is None else content, state)
-    return None if rows is None else _sums(rows, state)
+    """A state summed over all batches; None before the first.  A lone folder holds sums already."""
+    content = commits.latest(spark, root)[1] if content is None else content
+    rows = _batch_state(spark, root, content, state)
+    return rows if rows is None or len(content[state]) == 1 else _sums(rows, state)
 
 
 def _write(df: DataFrame, root: str, kind: str, sort: str | None = None) -> str:

@@ -133,3 +133,16 @@ def test_two_writers_and_vacuum(spark, tmp_path):
     assert commits.vacuum(spark, root, lambda c: c["x"], keep=2) == []  # an open reader's folders stay
     assert commits.vacuum(spark, root, lambda c: c["x"], keep=1) == ["ours", "theirs"]
     assert os.path.isdir(os.path.join(root, "stray")) and commits.latest(spark, root) == (3, {"x": ["new"]})
+
+
+def test_one_folder_of_a_state_is_not_summed_again(spark, tmp_path):
+    rows = [("a", 1), ("b", -2), (None, 3)]
+    for folder in ("one", "two"):
+        spark.createDataFrame(rows, "id_factura string, n long").write.parquet(str(tmp_path / folder))
+
+    def read(*folders):
+        return incremental.read_state(spark, str(tmp_path), "atrasados", {"atrasados": list(folders)})
+
+    assert sorted(map(tuple, read("one").collect()), key=str) == sorted(rows, key=str)
+    assert "Aggregate" not in read("one")._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, read("one", "two").collect()), key=str) == sorted([(k, 2 * n) for k, n in rows], key=str)
