@@ -145,6 +145,7 @@ def train(labelled: DataFrame, dims: int = DIMENSIONS, ngram: int = NGRAM, seed:
                 for (lang, _), v in zip(by.items(), profile.bundles([np.concatenate(g) for g in by.values()]),
                                         strict=True):
                     total[lang] = total.get(lang, 0.0) + v.astype(np.float64)
+        profiler.cache_clear()  # a worker that lives on holds no tables for the steps after this
         yield pa.record_batch([pa.array(list(total), pa.string()),
                                pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))],
                               ["lang", "v"])
@@ -192,6 +193,7 @@ def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, dims: int = D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()),
                                               pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
             pa.default_memory_pool().release_unused()
+        profiler.cache_clear()
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
     return docs.select(*names).mapInArrow(predict_task, f"{types}, lang_pred string, score double")
