@@ -246,25 +246,33 @@ def publish_clean(clean: DataFrame, report: DataFrame, root: str) -> None:
 # --------------------------------------------------------------------------- A10
 def publish_operational(tables: dict[str, DataFrame], root: str, history_root: str | None = None,
                         reset: bool = False, reset_predictions: bool = False,
-                        check_principal: bool = True, check_integrity: bool = True) -> dict:
+                        check_principal: bool = True, check_integrity: bool = True, check_first: bool = False) -> dict:
     """A10: reload the operational tables, keeping the prediction history by default.
 
     Refuses when customers already exist and ``reset`` is not set.  All tables are written to a new version and
     checked there: foreign keys (C7), row and key rules (C8), the principal-contract rule (C9) and customers that
     the kept history still names.  Only then is the pointer switched; on any failure the live version stays.
+    ``check_first`` holds the same rules (but the history's) against the given tables before they are copied, so that
+    tables which are stored already are refused without a copy of them.
     """
     spark = next(iter(tables.values())).sparkSession
     if live_path(spark, root, "clientes"):
         n = read_live(spark, root, "clientes").count()
         if n and not reset:
             raise RuntimeError(RELOAD_REFUSED.format(n=n))
+
+    def gates(given: dict[str, DataFrame]) -> None:
+        if check_integrity:
+            integrity.assert_integrity(given)
+        if check_principal and "clientes" in given and "contratos" in given:
+            integrity.assert_principal_rule(given["clientes"], given["contratos"])
+
+    if check_first:
+        gates(tables)
     stage = stage_version(tables, root)
     try:
         staged = {n: spark.read.parquet(os.path.join(stage, n)) for n in tables}
-        if check_integrity:
-            integrity.assert_integrity(staged)
-        if check_principal and "clientes" in staged and "contratos" in staged:
-            integrity.assert_principal_rule(staged["clientes"], staged["contratos"])
+        gates(staged)
         if history_root and path_exists(spark, history_root) and not reset_predictions:
             orphans = integrity.fk_orphans({"predicciones": read_history(spark, history_root),
                                             "clientes": staged["clientes"]}).first()["huerfanos"]

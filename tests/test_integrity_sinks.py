@@ -236,3 +236,38 @@ def test_admissible_rows_pass_the_gates(spark, tmp_path):
     assert sinks.publish_operational(kept, root)["clientes"] == 1
     empty = {n: df.limit(0) for n, df in tables.items()}
     assert all(df.count() == 0 for df in integrity.admissible(empty).values())
+
+
+def test_admissible_tables_are_read_by_column_and_once(spark):
+    """What others refer to is kept as parquet, and no second branch looks for nulls that the row rules removed."""
+    tables = {
+        "clientes": spark.createDataFrame([("a", "A", 3, 0)], "id_cliente string, nombre string, satisfaccion int, abandono int"),
+        "contratos": spark.createDataFrame([("k1", "a", 1, "activo", 9.0, 1)], "id_contrato string, id_cliente string, "
+                                           "id_servicio long, estado string, monto_mensual double, es_principal int"),
+        "facturas": spark.createDataFrame([(1, "a", "2026-01")], "id_factura long, id_cliente string, periodo string"),
+        "pagos": spark.createDataFrame([("p1", 1)], "id_pago string, id_factura long"),
+        "reclamos": spark.createDataFrame([("r1", "a", None), ("r2", "a", 7)],
+                                          "id_reclamo string, id_cliente string, id_sucursal int"),
+        "sucursales": spark.createDataFrame([(1, "uno")], "id_sucursal int, nombre string"),
+    }
+    kept = integrity.admissible(tables)
+    for name in ("clientes", "contratos", "facturas"):
+        assert kept[name].inputFiles(), name
+    pagos = kept["pagos"]._jdf.queryExecution()
+    assert "Union" not in pagos.optimizedPlan().toString()
+    assert "ReadSchema: struct<id_factura:bigint>" in pagos.executedPlan().toString()
+    assert [r["id_reclamo"] for r in kept["reclamos"].collect()] == ["r1"]  # no branch office is no broken reference
+
+
+def test_stored_tables_are_refused_before_they_are_copied(spark, tmp_path, monkeypatch):
+    copied, stage = [], sinks.stage_version
+    monkeypatch.setattr(sinks, "stage_version", lambda tables, root: copied.append(sorted(tables)) or stage(tables, root))
+    facturas = spark.createDataFrame([(1, "a"), (1, "a")], "id_factura long, id_cliente string")
+    clientes = spark.createDataFrame([("a", 3, 0)], "id_cliente string, satisfaccion int, abandono int")
+    root = str(tmp_path / "op")
+    with pytest.raises(ValueError, match="facturas.pk_unico"):
+        sinks.publish_operational({"clientes": clientes, "facturas": facturas}, root, check_first=True)
+    assert not copied and sinks.live_version(spark, root) is None
+    kept = {"clientes": clientes, "facturas": facturas.distinct()}
+    assert sinks.publish_operational(kept, root, check_first=True)["clientes"] == 1
+    assert copied == [["clientes", "facturas"]]
