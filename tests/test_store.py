@@ -94,3 +94,21 @@ def test_principal_ties_repeats_and_nulls(spark):
     marked = [(*r[:-1], r[-1]) for r in got.collect()]
     best = {("1-2", "a"), ("10-1", "b")}  # largest struct, repeats included; one that lacks a value is none
     assert sorted(marked, key=str) == sorted(((*r, int(r[:2] in best)) for r in rows), key=str)
+
+
+def test_principal_keeps_a_customers_contracts_together(spark):
+    from pyspark.sql import functions as F
+
+    from churnlens.sources.adapter import mark_principal
+
+    rows = [(f"{o}-{n}", f"c{o % 5}", n, "activo", float(o)) for o in range(40) for n in range(1, 5)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = mark_principal(_contracts(spark, rows)).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(got) == 160 and len({(r.id_cliente, r.p) for r in got}) == 5  # it was a partition for nearly every contract
+    assert sorted(r.id_contrato for r in got if r.es_principal) == ["35-4", "36-4", "37-4", "38-4", "39-4"]
