@@ -58,3 +58,53 @@ def test_no_contracts_and_no_services(spark):
     services = spark.createDataFrame([], "id_servicio long, nombre string")
     one = spark.createDataFrame([("1-1", "a", 1, "A", "activo", 1.0, 1)], CONTRACTS)
     assert contract_facts(none, services).collect() == [] == contract_facts(one, services).collect()
+
+
+def test_principal_rows_are_cut_before_their_one_shuffle(spark, tmp_path):
+    from churnlens.sources.adapter import mark_principal
+
+    rows = [(f"{i}-1", f"c{i % 10}", i % 20, "A", "activo", float(i), 0) for i in range(2000)]
+    spark.createDataFrame(rows, CONTRACTS).drop("es_principal").coalesce(1).write.parquet(str(tmp_path / "c"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        marked = mark_principal(spark.read.parquet(str(tmp_path / "c")))
+        got = sorted(r.id_contrato for r in marked.collect() if r.es_principal)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == [f"{i}-1" for i in range(1990, 2000)]
+    plan = marked._jdf.queryExecution().executedPlan()
+    assert _shuffled(plan) < 2100  # the contracts once and a row per customer; it was every contract in each of two steps
+    exchanges = [x for x in plan.toString().split("== Initial Plan ==")[0].split("\n") if "Exchange hashpartitioning(id_cliente" in x]
+    assert len(exchanges) == 2
+
+
+def test_principal_equals_plain_steps(spark):
+    import math
+    import random
+
+    from churnlens.sources.adapter import mark_principal
+
+    draw = random.Random(5)
+    rows = [(draw.choice(["1-1", "1-2", "2-1", "10-1", "9-12", "7", "x-1", None]), draw.choice(["a", "b", "c", "d", "e", None]),
+             draw.choice([1, 2, 10, None]), draw.choice(["activo", "activo", "activo", "inactivo", None]),
+             draw.choice([0.0, -0.0, 1.5, 1.501, 7.0, math.nan, None])) for _ in range(160)]
+    rows += [(f"{i}-1", "z", 1, "activo", -1.0 * i) for i in range(1, 6)] + [("3-1", "y", None, "activo", 1.0), ("4-1", "y", 1, "activo", 0.5)]
+    rows = [(a if a != "x-1" else "8-1", *r) for a, *r in rows]
+
+    def keys(r):
+        parts = (r[0] or "").split("-")
+        cents = None if r[4] is None else (math.inf if math.isnan(r[4]) else round(r[4] * 100))  # NaN is above all numbers
+        return (cents, r[2], int(parts[0]) if parts[0] else None, int(parts[1]) if len(parts) > 1 else None)
+
+    best = {}
+    for customer in {r[1] for r in rows} - {None}:
+        left = [keys(r) for r in rows if r[1] == customer and r[3] == "activo"]
+        for j in range(4):
+            most = max((k[j] for k in left if k[j] is not None), default=None)
+            left = [k for k in left if k[j] is not None and k[j] == most]
+        best[customer] = left[0] if left else None
+    want = [(*r, int(r[3] == "activo" and r[1] is not None and best[r[1]] == keys(r))) for r in rows]
+    marked = mark_principal(spark.createDataFrame(rows, "id_contrato string, id_cliente string, id_servicio long, estado string, "
+                                                        "monto_mensual double"))
+    assert sorted(str(tuple(r)) for r in marked.collect()) == sorted(map(str, want)) and sum(w[-1] for w in want) > 2
