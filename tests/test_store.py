@@ -112,3 +112,18 @@ def test_principal_keeps_a_customers_contracts_together(spark):
             spark.conf.set(k, v)
     assert len(got) == 160 and len({(r.id_cliente, r.p) for r in got}) == 5  # it was a partition for nearly every contract
     assert sorted(r.id_contrato for r in got if r.es_principal) == ["35-4", "36-4", "37-4", "38-4", "39-4"]
+
+
+def test_tables_are_stored_without_the_intake(spark, tmp_path):
+    for name in store.DRIVER_INPUTS:
+        os.symlink(os.path.join(SF, f"{name}.parquet"), tmp_path / f"{name}.parquet")
+    tables = store.stored_tables(spark, str(tmp_path))
+    folder = store.materialize_tables(spark, str(tmp_path))
+    assert tables.clientes.count() > 0 and store._complete(spark, folder)
+    assert not os.path.exists(os.path.join(folder, store.INTAKE))  # it was written for every query
+    n = spark.read.parquet(os.path.join(SF, "events.parquet")).count() + tables.clientes.count()
+    assert store.stored_intake(spark, str(tmp_path)).count() == n
+    written = sorted(os.listdir(os.path.join(folder, store.INTAKE)))
+    assert store.stored_intake(spark, str(tmp_path)).count() == n and store.stored_tables(spark, str(tmp_path)) is tables
+    assert sorted(os.listdir(os.path.join(folder, store.INTAKE))) == written
+    assert not [x for x in os.listdir(os.path.dirname(folder)) if ".tmp-" in x]
